@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrain.llm.common import read
 from lexigrain.llm.exact_dedup import exact_dedup
 
+from lexigrain.llm.mixing import mix
 from lexigrain.llm.near_dedup import near_dedup
+from lexigrain.llm.packing import pack
 from lexigrain.llm.toxicity import toxicity
 
 
@@ -15,6 +17,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), shingle_words=2)
 
@@ -23,6 +40,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def level(rows: str, parents: str, name: str, budget: str) -> str:
+    """SQL that divides the parents' budget among children with w and cap, as water fills vessels."""
+    over = f"partition by {parents}"
+    return f"""
+        select *, case when is_full then cap when w_open > 0 then greatest({budget} - c_full, 0) * w // w_open else 0 end as share from (
+            select *, sum(case when is_full then cap else 0 end) over ({over}) as c_full, sum(case when is_full then 0 else w end) over ({over}) as w_open from (
+                select *, w > 0 and cap * (w_all - w_before) <= ({budget} - c_before) * w as is_full from (
+                    select *, sum(w) over ({over}) as w_all, coalesce(sum(w) over earlier, 0) as w_before, coalesce(sum(cap) over earlier, 0) as c_before
+                    from ({rows}) window earlier as ({over} order by case when w > 0 then cap::double / w end nulls last, {name} rows between unbounded preceding and 1 preceding))))"""
+
+
+MIXING = f"""
+    with named as (select doc_id, coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\r\\n]+'))::bigint as tokens from documents),
+    d as (select *, case when not regexp_matches(source, '^src[0-9]{{1,9}}$') then 'other' when substr(source, 4)::int < 7 then 'web' when substr(source, 4)::int < 14 then 'reference' else 'community' end as domain from named),
+    leaf as (select domain, lang, source, sum(tokens)::hugeint as leaf_tokens, 4 * sum(tokens)::hugeint as cap, 1 as w from d group by all),
+    tops as ({level("select domain, sum(cap)::hugeint as cap, any_value(case domain when 'web' then 5 when 'reference' then 3 when 'community' then 2 else 1 end) as w, (select sum(leaf_tokens) from leaf) as budget, 0 as root from leaf group by domain", "root", "domain", "budget")}),
+    mids as ({level("select l.domain, l.lang, sum(l.cap)::hugeint as cap, any_value(case l.lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end) as w, any_value(t.share) as budget from leaf l join tops t using (domain) group by l.domain, l.lang", "domain", "lang", "budget")}),
+    lows as ({level("select l.*, m.share as budget from leaf l join mids m using (domain, lang)", "domain, lang", "source", "budget")}),
+    plans as (select domain, lang, source, leaf_tokens, share, case when leaf_tokens > 0 then least(4, share // leaf_tokens) else 1 end as whole from lows),
+    parts as (select *, case when whole < 4 then share - whole * leaf_tokens else 0 end as prefix from plans),
+    placed as (select *, sum(tokens) over (partition by domain, lang, source order by md5('17:' || whole::bigint || ':' || doc_id)) as upto from d join parts using (domain, lang, source))
+    select doc_id, domain, lang, source, tokens, share::bigint as leaf_budget, (whole + case when upto <= prefix and leaf_tokens > 0 then 1 else 0 end)::bigint as times from placed"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -33,4 +74,5 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                    doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
             from documents window g as (partition by coalesce(text, ''))""",
+        "op6_mixing": MIXING,
     }
