@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexigrain.llm.common import read
 from lexigrain.llm.exact_dedup import exact_dedup
 
+from lexigrain.llm.gif import text_media
 from lexigrain.llm.mixing import mix
 from lexigrain.llm.near_dedup import near_dedup
 from lexigrain.llm.packing import pack
@@ -17,6 +18,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
