@@ -6,22 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexigrain.llm.common import read
 from lexigrain.llm.exact_dedup import exact_dedup
-
 from lexigrain.llm.gif import text_media
+from lexigrain.llm.html_text import extract
 from lexigrain.llm.mixing import mix
 from lexigrain.llm.near_dedup import near_dedup
 from lexigrain.llm.packing import pack
+from lexigrain.llm.token_counts import count_tokens
 from lexigrain.llm.toxicity import toxicity
+from lexigrain.llm.url_filter import judge_urls
+from lexigrain.llm.warc import archived_pages
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op3_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
@@ -41,6 +56,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -69,6 +88,15 @@ MIXING = f"""
     select doc_id, domain, lang, source, tokens, share::bigint as leaf_budget, (whole + case when upto <= prefix and leaf_tokens > 0 then 1 else 0 end)::bigint as times from placed"""
 
 
+URLS = """
+    with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a),
+    rules(h, p, v) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+    hits as (select page_id, p.host, p.path, arg_max(h || rules.p, length(h || rules.p)) as rule, arg_max(v, length(h || rules.p)) as v
+        from p left join rules on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, rules.p) group by all)
+    select page_id, host, path, rule, coalesce(v, case when regexp_matches(host, '^(.*[.])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)([.]|$)') then 'block' else 'allow' end) as verdict from hits"""
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
@@ -79,5 +107,10 @@ def oracle_sql() -> dict[str, str]:
             select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                    doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
             from documents window g as (partition by coalesce(text, ''))""",
+        "op4_url_filter": URLS,
         "op6_mixing": MIXING,
+        "op9_warc": """
+            with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+            k as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) else page_id end as keep_id from p)
+            select page_id, payload_bytes, payload_digest, case when keep_id = page_id then 'response' else 'revisit' end as record_type, case when keep_id <> page_id then keep_id end as refers_to from k""",
     }
