@@ -1,24 +1,56 @@
-"""The corpus pipeline: toxicity, exact copies, near copies, mixture, packing."""
+"""The corpus pipeline: toxic documents go, then exact copies, then near copies; what stays is mixed to
+the target weights and packed into sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexigrain.llm.common import keep, read
 from lexigrain.llm.exact_dedup import drop_copies
+from lexigrain.llm.mixing import select_mixture
+from lexigrain.llm.near_dedup import drop_near_copies
+from lexigrain.llm.packing import pack
+from lexigrain.llm.queries import tokenizer_path
+from lexigrain.llm.toxicity import drop_toxic
+
+#: Of the tokens that reach the mixture, the share that goes into training.
+BUDGET_PERCENT = 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic."""
+    return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest identifier."""
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (five-word shingles, similarity 0.8) the document with the least identifier."""
+    return drop_near_copies(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture's budget of tokens takes, each at most once."""
+    return select_mixture(docs, budget=F.expr(f"coalesce(sum(leaf_tokens), 0) * {BUDGET_PERCENT} div 100"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document: where it lies in which sequence."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("packing", packing)]
+#: Toxicity and near copies are beyond SQL; the tests compare the stages with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexigrain.llm.common import keep
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; each stage's rows are a table in the shared folder."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
