@@ -263,7 +263,7 @@ def palette256(spark: SparkSession) -> DataFrame:
 def documentation(spark: SparkSession) -> DataFrame:
     """(kind, owner, ord, markdown): a section for each lexer and formatter, options as a table."""
     keys = lexer_keys(spark).groupBy("lexer").pivot("kind", ["alias", "glob", "mime"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), ", "))
-    line = lambda c, title: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n\n{title}: "), F.col(c))).otherwise("")
+    line = lambda c, title: F.when(F.col(c) != "", F.concat(F.lit(f"\n\n{title}: "), F.col(c))).otherwise("")
     row = F.concat_ws(" | ", F.concat(F.lit("| "), F.col("name")), "type", F.concat(F.coalesce("default", F.lit("null/none")), F.lit(" |")))
     table = options(spark).groupBy("owner_kind", "owner").agg(F.array_join(F.sort_array(F.collect_list(row)), "\n").alias("rows"))
     of_lexers = lexers(spark).join(F.broadcast(keys.withColumnRenamed("lexer", "name")), "name", "left").select(F.lit("lexer").alias("kind"), F.col("name").alias("owner"), "ord", F.concat(F.lit("## "), F.col("name"), line("alias", "Alias(es)"), line("glob", "Filename(s)"), line("mime", "MIME type(s)")).alias("head"))

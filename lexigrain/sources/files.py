@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.functions.strings import chomp, guess_encoding, is_binary, to_utf8
+from lexigrain.functions.strings import guess_encoding, is_binary, to_utf8
 from lexigrain.operators.routing import lexer_spec, route
 
 SECTIONS = ("TEST", "LEXER", "FORMATTER", "SOURCE", "EXPECT")
@@ -35,7 +35,7 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """(path, test, lexer, formatter, source, expect) of case files: sections begin with ``--NAME--``
     lines, their text loses one line end. ``lexer`` has name and options, which stand on lines of their own."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ssc").text(path, wholetext=True)
-    section = lambda name: chomp(F.regexp_extract("value", rf"(?s)(?:^|\n)--{name}--\r?\n(.*?)(?=\n--(?:{'|'.join(SECTIONS)})--\r?\n|\z)", 1))
+    section = lambda name: F.regexp_extract("value", rf"(?s)(?:^|\n)--{name}--\r?\n(.*?)(?=\r?\n--(?:{'|'.join(SECTIONS)})--\r?\n|(?:\r?\n)?\z)", 1)
     cases = files.select(F.col("_metadata.file_path").alias("path"), *(section(name).alias(name.lower()) for name in SECTIONS))
     spec = F.concat(F.regexp_extract("lexer", "^[^\n]*", 0), F.lit("?"), F.replace(F.regexp_extract("lexer", r"(?s)^[^\n]*\n(.*)$", 1), F.lit("\n"), F.lit(";")))
     return cases.withColumn("lexer", lexer_spec(spec))
