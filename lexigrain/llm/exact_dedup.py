@@ -214,7 +214,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_largest: bool = True) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; of rows repeated with one identifier, all."""
+    """The rows of ``df`` that stay, with all their columns; of rows repeated with one identifier and text,
+    all."""
     found = exact_dedup(df, id_col, text_col, keep_largest)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return df.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    dropped = found.where("not kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha256")).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256) == F.col("__sha256"))
+    return df.join(dropped, same, "left_anti")

@@ -136,11 +136,14 @@ class Weights:
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, inside, outside) counts of labelled pages; a word's feature has no mark, a tag's ``<``."""
+    """(feature, inside, outside) counts of labelled pages; a word's feature has no mark, a tag's ``<``. What
+    is chrome by its names scores nothing and so tells nothing about lists or links in articles."""
     for batch in batches:
         inside, outside = Counter(), Counter()
         for page in batch.column("html").to_pylist():
             for u in units(page):
+                if u.chrome:
+                    continue
                 into = inside if u.in_article else outside
                 if u.is_tag:
                     into.update("<" + f for f in u.kind)

@@ -61,7 +61,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def level(rows: str, parents: str, name: str, budget: str) -> str:
