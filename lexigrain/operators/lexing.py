@@ -75,9 +75,9 @@ def cut(text: Column, patterns: list[str]) -> Column:
         parts.append(f"({shifted})")
         keep.append(f"${at}")
         at += 1 + groups_in(pattern)
-    marked = F.regexp_replace(text, "|".join(parts), MARK.join(keep) + STOP)
-    pieces = F.filter(F.split(marked, STOP), lambda x: x != "")
-    return F.transform(pieces, lambda x: F.struct((F.length(x) - F.length(F.ltrim(x, F.lit(MARK)))).alias("n"), F.btrim(x, F.lit(MARK)).alias("text")))
+    marked = F.rtrim(F.regexp_replace(text, "|".join(parts), MARK.join(keep) + STOP), F.lit(STOP))
+    pieces = F.transform(F.split(marked, STOP), lambda x: F.struct((F.call_function("position", F.replace(x, F.lit(MARK), F.lit("")), x) - 1).alias("n"), F.replace(x, F.lit(MARK), F.lit("")).alias("text")))
+    return F.when(text == "", F.array().cast("array<struct<n:int,text:string>>")).otherwise(pieces)
 
 
 def typed(r: Rule, text: Column) -> Column:
@@ -132,13 +132,8 @@ def lex(text: Column, rule_set: RuleSet, lexer: str) -> Column:
     """The tokens of ``text``: one leading byte order mark is left out, a first line that begins with
     ``#!`` is one IGNORABLE token, neighbours of one type are joined. Null gives null, an empty text no
     tokens. U+FDD0 and U+FDD1 aren't text: where they occur the whole text is one ERROR token."""
-    bare = F.regexp_replace(text, "^\ufeff", "")
-    named = lambda type_, t: F.array(F.struct(F.lit(lexer).alias("lexer"), F.lit(0).alias("depth"), F.lit(type_).alias("type"), t.alias("text")))
-
-    def whole(b: Column) -> Column:
-        head = F.regexp_extract(b, "^#![^\r\n]*[\r\n]", 0)
-        body = F.substr(b, F.length(head) + 1)
-        lead = F.when(head != "", named("IGNORABLE", head)).otherwise(F.array().cast(TOKEN))
-        return F.when(F.contains(b, F.lit(MARK)) | F.contains(b, F.lit(STOP)), named("ERROR", b)).otherwise(coalesced(F.concat(lead, tokens_of(body, rule_set, lexer))))
-
-    return F.when(text.isNotNull(), let(bare, whole))
+    bare = F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
+    with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer)
+    whole = F.array(F.struct(F.lit(lexer).alias("lexer"), F.lit(0).alias("depth"), F.lit("ERROR").alias("type"), bare.alias("text")))
+    foreign = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(STOP))
+    return F.when(text.isNull(), F.lit(None)).when(foreign, whole).otherwise(coalesced(tokens_of(bare, with_shebang, lexer)))
