@@ -7,10 +7,13 @@ agree with the probability of the Jaccard similarity, with Chernoff-type concent
 coordinates miss a pair of similarity 0.8 with a probability under 1e-5.
 
 Texts with equal shingle sets are one class before banding. Within a bucket no pairs are emitted at
-first: every member is compared with the least member (one edge each); the links that hold give
-components; only pairs of a bucket whose ends are still in different components are compared after
-that, each of them. So every candidate pair that could join two components is verified on the texts
-themselves, and a bucket that holds a third of all rows costs a row for each member.
+first: every member is compared with the least member, the bucket's hub; the links that hold give
+components. Most groups are one component then. Where a hub's group still has several, the members
+outside its largest component are its outliers, and these are searched in all the group's members, block
+against block: a task holds one block of either, counts the common shingles through an inverted index
+and gives at most one link for each outlier and component, verified on the words. So every candidate pair
+that could join two components is decided on full sets, and what is sent or made stays in proportion to
+the members of the groups, not to their pairs.
 """
 
 from __future__ import annotations
@@ -146,6 +149,85 @@ def links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
     return both.select("a", "b", "a_text", "b_text").mapInArrow(verified(size, percent), "a long, b long")
 
 
+BLOCK = "hub long, left long, right long, query boolean, doc_id long, component long, text string"
+
+
+def block_links(rows: list[tuple[bool, int, int, bytes]], size: int, percent: int, hashes: dict) -> set[tuple[int, int]]:
+    """(component, component) of the links between the queries and the members of one pair of blocks; one
+    link for each query and component is enough."""
+    members = [(doc, comp, text, shingles(words_of(text), size, hashes)) for query, doc, comp, text in rows if not query]
+    if not members:
+        return set()
+    postings = np.concatenate([m[3] for m in members])
+    owner = np.repeat(np.arange(len(members)), [len(m[3]) for m in members])
+    order = np.argsort(postings, kind="stable")
+    postings, owner = postings[order], owner[order]
+    sizes, comps = np.array([len(m[3]) for m in members]), np.array([m[1] for m in members])
+    out = set()
+    for query, doc, comp, text in rows:
+        if not query:
+            continue
+        items = shingles(words_of(text), size, hashes)
+        low, high = np.searchsorted(postings, items, "left"), np.searchsorted(postings, items, "right")
+        counts = high - low
+        first = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+        both = np.bincount(owner[first + np.arange(counts.sum())], minlength=len(members))
+        near = np.flatnonzero((comps != comp) & (both > 0) & (100 * both >= percent * (len(items) + sizes - both)))
+        found, own = set(), None
+        for k in near:
+            if comps[k] in found:
+                continue
+            own = shingle_set(text, size) if own is None else own
+            other = shingle_set(members[k][2], size)
+            common = len(own & other)
+            if 100 * common >= percent * (len(own) + len(other) - common):
+                found.add(comps[k])
+                out.add((int(comp), int(comps[k])))
+    return out
+
+
+def searched(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, key, rows = WordHashes(), None, []
+
+        def result() -> pa.RecordBatch:
+            found = sorted(block_links(rows, size, percent, hashes)) if rows else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("hub", "left", "right", "query", "doc_id", "component")]
+            for hub, left, right, query, doc, comp, text in zip(*columns, batch.column("text").cast(pa.binary()), strict=True):
+                if (hub, left, right) != key:
+                    yield result()
+                    key, rows = (hub, left, right), []
+                rows.append((query, doc, comp, text.as_py()))
+        yield result()
+
+    return run
+
+
+def outlier_links(placed: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 256) -> DataFrame:
+    """Pairs (a, b) of components that a link joins, from ``placed`` (hub, doc_id, component).
+
+    The members of a hub's group that aren't in its largest component are searched in all its members.
+    Both are cut into blocks of about ``block``; a member goes to each block of outliers and an outlier to
+    each block of members.
+    """
+    counts = placed.groupBy("hub", "component").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("hub").agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    mixed = keep(mixed.select("hub", "main", blocks(F.col("all")).alias("lefts"), blocks(F.col("all") - F.col("most")).alias("rights")))
+    rows = placed.join(mixed, "hub")
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = rows.where("component <> main").select("hub", each("lefts").alias("left"), own("rights").alias("right"), F.lit(True).alias("query"), "doc_id", "component")
+    held = rows.select("hub", own("lefts").alias("left"), each("rights").alias("right"), F.lit(False).alias("query"), "doc_id", "component")
+    both = asked.unionByName(held).join(texts.select("doc_id", "text"), "doc_id")
+    names = [c.split()[0] for c in BLOCK.split(", ")]
+    dealt = both.select(*names).repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right")
+    return dealt.mapInArrow(searched(size, percent), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches.
 
@@ -188,17 +270,12 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stars = members.where("doc_id <> least").select("doc_id", "n_shingles", "least").distinct().join(sizes, "least")
     stars = stars.where(f"100 * least(n_shingles, n_least) >= {percent} * greatest(n_shingles, n_least)").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     first = keep(links(stars, texts, shingle_words, percent))
-    groups = components(first)
-    placed = members.select("bucket", "doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.count("*").alias("n"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > 1").select("bucket", "main")
-    placed = keep(placed.join(mixed, "bucket"))
-    rest = placed.where("component <> main").select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-    others = placed.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"), "main")
-    met = rest.join(others, "bucket").where(f"ca <> cb and (cb = main or a > b) and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = links(pairs, texts, shingle_words, percent)
-    groups = components(first.unionByName(second))
+    groups = keep(components(first))
+    placed = members.select(F.col("least").alias("hub"), "doc_id").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    joins = keep(components(outlier_links(keep(placed), texts, shingle_words, percent)))
+    final = groups.join(joins.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = joins.join(groups, "node", "left_anti").select("node", "component")  # documents that only an outlier search has joined
+    groups = final.unionByName(alone)
     named = classes.select("set_key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
