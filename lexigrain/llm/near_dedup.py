@@ -229,7 +229,8 @@ def outlier_links(placed: DataFrame, texts: DataFrame, size: int, percent: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that each node of ``edges`` (a, b) reaches.
+    """(node, component): the least node that each node of ``edges`` (a, b) reaches, without those that are
+    their own.
 
     Large-star and small-star turns on the edge table, which never grows, until nothing changes; each
     turn is a table in the shared folder.
@@ -278,7 +279,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     groups = final.unionByName(alone)
     named = classes.select("set_key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

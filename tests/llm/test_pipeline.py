@@ -4,12 +4,14 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from conftest import SF
 from lexigrain.llm.toxicity import toxicity
 from test_near_dedup import plain
 from test_packing import check
 
 
+SF = "/root/testdata/sf0.01"
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     """Rows that go into each stage and come out of the last."""

@@ -20,11 +20,13 @@ def test_held_out_accuracy(spark):
 
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(1)
-    truth = rng.random(4_000) < 0.2
-    good, bad = np.where(truth, rng.random(4_000) < 0.8, rng.random(4_000) < 0.02), rng.random(4_000) < 0.3
-    marks = np.where(rng.random(4_000) < 0.1, ~truth, truth)
-    posterior, rates = label_model(np.column_stack([good, good, bad]), marks)
-    assert abs(rates[0, 1] - 0.8) < 0.1 and rates[0, 0] < 0.06 and abs(rates[2, 1] - rates[2, 0]) < 0.1
+    truth = rng.random(6_000) < 0.2
+    voters = [np.where(truth, rng.random(6_000) < 0.7, rng.random(6_000) < 0.03) for _ in range(5)]
+    noise = rng.random(6_000) < 0.3
+    marks = np.where(rng.random(6_000) < 0.05, ~truth, truth)
+    posterior, rates = label_model(np.column_stack([*voters, voters[0], noise]), marks)  # one voter twice
+    assert np.abs(rates[:6, 1] - 0.7).max() < 0.1 and rates[:6, 0].max() < 0.08
+    assert abs(rates[6, 1] - rates[6, 0]) < 0.1
     assert ((posterior > 0.5) == truth).mean() > (marks == truth).mean()
 
 
