@@ -29,7 +29,7 @@ RAW = frozenset("canvas head iframe math noscript object script style svg templa
 #: Elements, and words of class, id and role, that name the parts around an article.
 CHROME_TAGS = frozenset("aside button dialog fieldset footer form header label legend menu nav option select".split())
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
