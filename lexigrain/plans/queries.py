@@ -306,6 +306,15 @@ ORACLE_SQL = {
         with scripts as (select page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) as js from pages),
         names as (select page_id, unnest(regexp_extract_all(regexp_replace(js, '"[^"]*"', '', 'g'), '[$_a-zA-Z][$_a-zA-Z0-9]*')) as text from scripts)
         select text, count(distinct page_id) as pages, count(*) as uses from names where text not in ('var') group by text""",
+    "sql_types": r"""
+        with statements as (select o_orderkey as k, 'SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = ' || o_custkey || ' AND o_orderstatus = ' || chr(39) || o_orderstatus || chr(39) || ' -- ' || o_orderpriority as s from orders),
+        pieces as (select k, regexp_extract_all(s, '--[^\n]*|[\x27][^\x27]*[\x27]|[0-9]+|[A-Za-z_]+|\s+|(?s:.)') as l from statements),
+        kinds as (select k, i, l[i] as text, case when starts_with(l[i], '--') then 'comment' when l[i][1] = chr(39) then 'string' when regexp_matches(l[i], '^[0-9]') then 'number' when l[i] in ('SELECT', 'FROM', 'WHERE', 'AND', '=', ',') then l[i] when regexp_matches(l[i], '^[A-Za-z_]') then 'name' else 'space' end as kind from pieces, unnest(range(1, len(l) + 1)) as u(i)),
+        names(lexer, kind, type) as (values
+            ('PostgreSQL', 'comment', 'COMMENT_SINGLE'), ('PostgreSQL', 'string', 'STRING_SINGLE'), ('PostgreSQL', 'number', 'NUMBER_DECIMAL'), ('PostgreSQL', 'name', 'IGNORABLE'), ('PostgreSQL', 'space', 'IGNORABLE'), ('PostgreSQL', '=', 'OPERATOR'), ('PostgreSQL', ',', 'OPERATOR'), ('PostgreSQL', 'SELECT', 'KEYWORD'), ('PostgreSQL', 'FROM', 'KEYWORD'), ('PostgreSQL', 'WHERE', 'KEYWORD'), ('PostgreSQL', 'AND', 'KEYWORD'),
+            ('MySQL', 'comment', 'COMMENT_SINGLE'), ('MySQL', 'string', 'STRING'), ('MySQL', 'number', 'NUMBER'), ('MySQL', 'name', 'NAME'), ('MySQL', 'space', 'IGNORABLE'), ('MySQL', '=', 'OPERATOR'), ('MySQL', ',', 'PUNCTUATION'), ('MySQL', 'SELECT', 'KEYWORD'), ('MySQL', 'FROM', 'KEYWORD'), ('MySQL', 'WHERE', 'KEYWORD'), ('MySQL', 'AND', 'OPERATOR')),
+        typed as (select lexer, k, i, text, type, case when type = lag(type) over (partition by lexer, k order by i) then 0 else 1 end as new from kinds join names using (kind))
+        select lexer, type, sum(new)::bigint as tokens, sum(length(text))::bigint as chars from typed group by all""",
     "sql_uppercase": "select o_orderkey, 'SELECT o_orderkey FROM orders WHERE o_custkey = ' || o_custkey as text from orders",
     "diff_lines": """
         with lines as (select unnest(['Index: o' || o_orderkey, '--- a', '+++ b', '@@ 1 @@', '-' || o_orderstatus, '+' || o_orderpriority, ' end']) as line from orders),
