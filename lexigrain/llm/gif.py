@@ -6,6 +6,7 @@ stay full), global and local palettes, interlacing, transparency and the disposa
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -22,12 +23,13 @@ from lexigrain.llm.common import id_and_text, keep
 FULL = 4096
 
 
-def width_plan(depth: int, n: int) -> np.ndarray:
-    """Bits of the codes 0 to n - 1 after a clear code."""
-    first = (1 << depth) + 1
-    reached = first + np.arange(n)
-    reached[:1] = first - 1
-    return np.clip(np.floor(np.log2(reached)).astype(np.int64) + 1, depth + 1, 12)
+@functools.cache
+def width_plan(depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the codes after a clear code, and the sums up to and with each: more codes than fill the table."""
+    reached = (1 << depth) + 1 + np.arange(2 * FULL)
+    reached[0] -= 1
+    plan = np.clip(np.floor(np.log2(reached)).astype(np.int64) + 1, depth + 1, 12)
+    return plan, np.cumsum(plan)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -36,20 +38,21 @@ def lzw_encode(data: bytes) -> bytes:
 
     def close(end: int) -> None:
         codes.append(np.array([*segment, end]))
-        widths.append(width_plan(8, len(segment) + 1))
+        widths.append(width_plan(8)[0][: len(segment) + 1])
 
     if data:
-        append, get, last = segment.append, table.get, data[0]
-        for byte in data[1:]:
-            key = last << 8 | byte
-            known = get(key)
-            if known is not None:
+        append, get = segment.append, table.get
+        high = (np.frombuffer(data, np.uint8).astype(np.int64) << 12).tolist()  # a key is a byte above a code
+        last = data[0]
+        for byte in high[1:]:
+            key = byte | last
+            if (known := get(key)) is not None:
                 last = known
                 continue
             append(last)
             table[key] = code
             code += 1
-            last = byte
+            last = byte >> 12
             if code == FULL:
                 close(256)
                 segment.clear()
@@ -72,14 +75,15 @@ def lzw_decode(stream: bytes, depth: int, most: int) -> bytes:
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     n_bits, at, out, got = len(stream) * 8, 0, [], 0
     base = [bytes([k]) for k in range(clear)] + [b"", b""]
-    plan = width_plan(depth, 2 * FULL)
-    ends = np.cumsum(plan)
+    plan, ends = width_plan(depth)
     table, last, reached = list(base), b"", 0
+    put = out.append
     while at < n_bits and got < most:
+        room = (n_bits - at) // (depth + 1) + 1
         if reached:
-            bits, offsets = np.full(FULL, 12, np.int64), at + 12 * np.arange(FULL)
+            bits, offsets = np.full(min(room, FULL), 12, np.int64), at + 12 * np.arange(min(room, FULL))
         else:
-            bits, offsets = plan, at + ends - plan
+            bits, offsets = plan[:room], at + ends[:room] - plan[:room]
         fits = int(np.searchsorted(offsets + bits, n_bits, "right"))
         if not fits:
             break
@@ -88,20 +92,29 @@ def lzw_decode(stream: bytes, depth: int, most: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (offsets & 7)) & ((1 << bits) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(stops[0]) if len(stops) else fits
-        for code in codes[:stop].tolist():
+        todo = codes[:stop].tolist()
+        if todo and not last:
+            if todo[0] >= clear:
+                raise ValueError("a code before its entry")
+            last = table[todo[0]]
+            put(last)
+            got += 1
+            del todo[0]
+        growing, add = FULL - len(table), table.append
+        for code in todo[:growing]:
             if code < len(table):
                 entry = table[code]
-                if last and len(table) < FULL:
-                    table.append(last + entry[:1])
-            elif last:
+            elif code == len(table):
                 entry = last + last[:1]
-                if len(table) < FULL:
-                    table.append(entry)
             else:
                 raise ValueError("a code before its entry")
-            out.append(entry)
-            got += len(entry)
+            add(last + entry[:1])
+            put(entry)
             last = entry
+        for code in todo[growing:]:
+            last = table[code]
+            put(last)
+        got += sum(map(len, out[-len(todo) :])) if todo else 0
         if not len(stops):
             if fits < len(plan) and not reached:
                 break
@@ -143,6 +156,10 @@ def palette_of(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int
     return np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3), at + 3 * n
 
 
+def opaque(colours: np.ndarray) -> np.ndarray:
+    return np.column_stack([colours, np.full(len(colours), 255, np.uint8)])
+
+
 def decode(data: bytes) -> list[Frame]:
     """All frames in order. ValueError, IndexError or struct.error if it isn't a GIF."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
@@ -175,9 +192,11 @@ def decode(data: bytes) -> list[Frame]:
         before = canvas.copy() if disposal == 3 else None
         place = canvas[top : top + height, left : left + width]
         seen = grid[: place.shape[0], : place.shape[1]]
-        drawn = np.full(seen.shape, True) if transparent is None else seen != transparent
-        place[drawn, :3] = colours[np.minimum(seen, len(colours) - 1)][drawn]
-        place[drawn, 3] = 255
+        drawn = opaque(colours)[np.minimum(seen, len(colours) - 1)]
+        if transparent is None:
+            place[:] = drawn
+        else:
+            np.copyto(place, drawn, where=(seen != transparent)[..., None])
         frames.append(Frame(left, top, width, height, delay, disposal, transparent, grid.tobytes(), canvas.copy()))
         if disposal == 2:
             place[:] = 0
@@ -189,11 +208,12 @@ def decode(data: bytes) -> list[Frame]:
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """Visible pixels by two bits of red, green and blue each: 64 counts."""
-    seen = canvas[canvas[..., 3] > 0]
-    high = (seen[:, 0] >> 6).astype(np.int64) << 4 | (seen[:, 1] >> 6).astype(np.int64) << 2 | seen[:, 2] >> 6
-    return np.bincount(high, minlength=64)
+    seen, alpha = canvas.reshape(-1, 4) >> 6, canvas[..., 3].ravel()
+    high = seen[:, 0] << 4 | seen[:, 1] << 2 | seen[:, 2]
+    return np.bincount(high if alpha.all() else high[alpha > 0], minlength=64)
 
 
+@functools.cache
 def palette332() -> bytes:
     """256 colours by rule: three bits of red, three of green, two of blue."""
     return bytes(x for k in range(256) for x in ((k >> 5) * 255 // 7, (k >> 2 & 7) * 255 // 7, (k & 3) * 255 // 3))
