@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -185,22 +185,26 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_f
     return ToxicityModel(terms, weights.tolist(), bias, {m: (float(a), float(b)) for m, (a, b) in zip(names, estimated, strict=True)})
 
 
+def probabilities(texts: Iterable[str | None], model: ToxicityModel, memo: dict) -> list[float]:
+    """The scores of texts; null counts as empty."""
+    z = np.array([float(rates(t or "", model.terms, memo) @ np.array(model.weights)) for t in texts]) + model.bias
+    return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
+
+
 def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0) -> DataFrame:
-    """doc_id, held_out, score, predicted, text_hash for every row; null and empty texts get the score of a
-    text without words. A null identifier is in no fold and counts as not held out; rows repeated with one
+    """doc_id, held_out, score, predicted for every row; null and empty texts get the score of a text
+    without words. A null identifier is in no fold and counts as not held out; rows repeated with one
     identifier are scored each; an empty table gives no rows."""
-    weights = np.array(model.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for batch in batches:
-            z = [float(rates(t, model.terms, memo) @ weights) + model.bias for t in batch.column("text").to_pylist()]
-            scores = pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), scores], names=["doc_id", "text_hash", "score"])
+            found = probabilities(batch.column("text").to_pylist(), model, memo)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    out = id_and_text(df, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, score double")
+    out = id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
-    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "text_hash")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -209,8 +213,13 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that aren't predicted toxic, with all their columns."""
-    found = toxicity(df, labels, id_col, text_col, **options)
-    dropped = found.where("predicted = 1").select(F.col("doc_id").alias("__dropped"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__hash"))
-    return df.join(dropped, same, "left_anti")
+    """The rows of ``df`` that aren't predicted toxic, with all their columns. Rows are judged one by one
+    where they are, so nothing is shuffled and repeated or null identifiers make no difference."""
+    model = fit(id_and_text(df, id_col, text_col), labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array([p < 0.5 for p in probabilities(batch.column(text_col).to_pylist(), model, memo)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
