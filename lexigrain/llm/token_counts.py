@@ -10,6 +10,7 @@ so words are counted once for each worker and looked up afterwards.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from lexigrain.llm.common import id_and_text
 
 SPACE = "▁"
-#: Words with the spaces before them: no piece has a space after another character.
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Words with the spaces before them: no piece has a space after another character, or has a line feed.
+WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
+SPACED = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -46,25 +48,36 @@ def load_vocabulary(path: str) -> Vocabulary:
     file = sentencepiece.SentencePieceProcessor(model_file=path)
     normal = [k for k in range(file.get_piece_size()) if not (file.is_control(k) or file.is_unknown(k) or file.is_byte(k) or file.is_unused(k))]
     pieces = {file.id_to_piece(k): file.get_score(k) for k in normal}
-    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+    if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
         raise ValueError("a piece goes on after a word's end")
     return Vocabulary(pieces, any(map(file.is_byte, range(file.get_piece_size()))))
 
 
-class Counter:
-    """Piece counts and scores of texts. A worker's memory holds ``most`` words at most."""
+class Counter(dict):
+    """Piece counts and scores of texts. A worker's memory holds ``most`` words at most.
+
+    Unknown runs that aren't spelled in bytes are one piece even across words, so there a line feed,
+    which is unknown, stays with its neighbours.
+    """
 
     def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
         self.fallback, self.unknown, self.most = vocabulary.byte_fallback, vocabulary.unknown_score, most
-        self.known: dict[str, tuple[int, float]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         if vocabulary.pieces:
             self.automaton.make_automaton()
+        self.singles = {p for p in vocabulary.pieces if len(p) == 1}
 
     def word(self, word: str) -> tuple[int, float]:
         """(pieces, score) of one word. ``ways[k]``: score, pieces and whether the last is unknown."""
+        if self.singles.issuperset(word):  # nothing in it can be unknown
+            scores, counts = [None] * len(word) + [0.0], [0] * (len(word) + 1)
+            for last, (length, score) in self.automaton.iter(word):  # in the order of the ends, the longest first
+                way = scores[last - length] + score
+                if scores[last] is None or way > scores[last]:
+                    scores[last], counts[last] = way, counts[last - length] + 1
+            return counts[len(word) - 1], scores[len(word) - 1]
         ends: dict[int, list[tuple[int, float]]] = {}
         if len(self.automaton):
             for last, piece in self.automaton.iter(word):
@@ -85,20 +98,30 @@ class Counter:
             ways.append(best)
         return ways[-1][1], ways[-1][0]
 
+    def __missing__(self, word: str) -> tuple[int, float]:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = self.word(word)
+        return found
+
     def text(self, text: str) -> tuple[int, float]:
         """(pieces, score); words' scores are added in order."""
         if not text:
             return 0, 0.0
-        known, count, total = self.known, 0, 0.0
-        for word in WORD.findall(SPACE + text.replace(" ", SPACE)):
-            found = known.get(word)
-            if found is None:
-                if len(known) >= self.most:
-                    known.clear()
-                found = known[word] = self.word(word)
-            count += found[0]
-            total += found[1]
-        return count, total
+        if not self.fallback:
+            words = SPACED.findall(SPACE + text.replace(" ", SPACE))
+        elif "  " in text or SPACE in text or text[0] == " ":
+            words = WORD.findall(SPACE + text.replace(" ", SPACE))
+        else:  # no space follows another, so the words are what stands between spaces
+            words = (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
+        counts, scores = zip(*map(self.__getitem__, words), strict=True)
+        return sum(counts), sum(scores)
+
+
+@functools.lru_cache(maxsize=1)
+def counter(path: str) -> Counter:
+    """The counter of this worker, which keeps its words from task to task."""
+    return Counter(load_vocabulary(path))
 
 
 def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,9 +133,9 @@ def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(load_vocabulary(vocabulary_path))
+        count = counter(vocabulary_path).text
         for batch in batches:
-            found = [counter.text(text.as_py()) for text in batch.column("text")]
+            found = [count(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, score double")
