@@ -13,6 +13,7 @@ these go into sequences together, longest first, best fit.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import unicodedata
 import zlib
@@ -31,38 +32,89 @@ _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x180)] if c
 UNUSUAL = re.compile("[^" + re.escape("".join(_PLAIN)) + "]")
 
 
+#: The same as bytes of Latin-1, for a quick look at a text.
+_PLAIN_LATIN1 = bytes(ord(c) for c in _PLAIN if ord(c) < 256)
+
+
 class WordTokenizer:
     """The token ids of a text, as the tokenizer file gives them, as little-endian 32-bit bytes.
 
-    The tokenizer treats each word on its own, so the ids of a word are looked up once and kept; texts
-    with unusual characters or with special tokens' marks go through the tokenizer whole.
+    The tokenizer drops white space and treats each word on its own, so the ids of what stands between
+    white space are looked up once and kept, and those of its words without punctuation, ``most`` of
+    either at a time. A text's new words are encoded in one call; a word ends with the token that has the
+    vocabulary's mark of a word's end. Texts with unusual characters or with special tokens' marks go
+    through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.last = {k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         kind = {c: unicodedata.category(c)[0] for c in _PLAIN}
         letters = re.escape("".join(c for c in _PLAIN if kind[c] == "L"))
         digits = re.escape("".join(c for c in _PLAIN if kind[c] == "N"))
-        self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+        self.cut = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.ids(text)).tobytes()
+
+    def learn_words(self, words: list[str]) -> None:
+        ids = self.ids(" ".join(words))
+        ends = [4 * at for at, k in enumerate(ids, 1) if k in self.last]
+        if len(ends) == len(words) and ends[-1] == 4 * len(ids):
+            joined = array("I", ids).tobytes()
+            found = [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        else:
+            found = map(self.whole, words)
+        self.words.update(zip(words, found, strict=True))
+
+    def learn_chunks(self, chunks: list[str]) -> None:
+        pieces = self.cut.findall("\n".join(chunks).lower())
+        new = set(pieces).difference(self.words, "\n")
+        if len(self.words) + len(new) > self.most:  # all words of these chunks must be there at once
+            self.words.clear()
+            new = set(pieces).difference("\n")
+        if new:
+            self.learn_words(list(new))
+        known, which, ids = self.words, iter(chunks), []
+        put = ids.append
+        for piece in pieces:
+            if piece != "\n":
+                put(known[piece])
+            else:
+                self.chunks[next(which)] = b"".join(ids)
+                ids.clear()
+        self.chunks[next(which)] = b"".join(ids)
+
+    def usual(self, text: str) -> bool:
+        try:
+            return not text.encode("latin-1").translate(None, _PLAIN_LATIN1)
+        except UnicodeEncodeError:
+            return UNUSUAL.search(text) is None
 
     def __call__(self, text: str) -> bytes:
-        if "<|" in text or UNUSUAL.search(text):
+        if "<|" in text or not self.usual(text):
             return self.whole(text)
-        words, known = self.pieces.findall(text.lower()), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.whole(w)
-            return b"".join([known[w] for w in words])
+        chunks = text.split()
+        new = set(chunks).difference(self.chunks)
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks.clear()
+            new = set(chunks)
+        if new:
+            self.learn_chunks(list(new))
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+
+@functools.lru_cache(maxsize=1)
+def tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker, which keeps its words from task to task."""
+    return WordTokenizer(path)
 
 
 def cuts(n: int, capacity: int, tail: int) -> list[int]:
@@ -78,7 +130,7 @@ def pieces(path: str, capacity: int, tail: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(path)
+        tokenize = tokenizer(path)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -120,7 +172,9 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     numbered from 0 without gaps. Rows repeated with one identifier are packed each; an empty table
     gives no rows; a null identifier is kept as it is.
     """
-    cut = keep(id_and_text(df, id_col, text_col).mapInArrow(pieces(tokenizer_path, capacity, tail, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets))))
+    cut = keep(id_and_text(df, id_col, text_col).mapInArrow(pieces(tokenizer_path, capacity, tail, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"))
+    buckets = max(buckets, cut.count() // 100_000)  # so that no bucket of a class grows with the input
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
     counts = keep(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     classes = counts.groupBy("length").agg(F.sum("n").alias("pieces"))
     classes = classes.withColumn("per", F.expr(f"{capacity} div length")).withColumn("full", F.expr("pieces div per"))
