@@ -2,9 +2,9 @@
 
 A page is a sequence of words and tags. A word scores positive, by the kind of block it stands in; a tag
 scores negative, by its name and by the words of its class, id and role; what a page marks as chrome
-(menus, adverts, forms, comments) scores nothing. One scan finds the contiguous run with the largest
-sum; its blocks are the text. The weights come from labelled pages: those with one article element,
-where every word and tag is known to be inside or outside.
+(menus, adverts, forms, comments) scores nothing, unless it holds the body (``settled``, ``without_wrappers``).
+One scan finds the contiguous run with the largest sum; its blocks are the text. The weights come from
+labelled pages: those with one article element, where every word and tag is known to be inside or outside.
 """
 
 from __future__ import annotations
@@ -31,6 +31,11 @@ CHROME_TAGS = frozenset("aside button dialog fieldset footer form header label l
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
+#: Parts of a name that tell a state of the page (``no-sidebar``, ``comments-open``), not what the element is.
+STATE_WORDS = frozenset("closed disabled enabled has is no not open opened with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A page whose best run is worth this many times more without the names is wrapped in a named element.
+WRAPPED = 4.0
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -41,19 +46,43 @@ CLOSES_P = BLOCKS - {"body", "caption", "html", "option", "title"}
 @dataclass(slots=True)
 class Unit:
     """One word run or tag in page order. ``block`` numbers the blocks of the page; ``kind`` is the
-    innermost block element of a text, or the features of a tag."""
+    innermost block element of a text, or the features of a tag. ``within`` is the innermost named element
+    around it, ``own`` the named element that a tag opens or closes (-1: none)."""
 
     is_tag: bool
     block: int
     kind: tuple[str, ...]
     text: str
-    chrome: bool
+    within: int
     in_article: bool
+    own: int = -1
+
+
+@dataclass(slots=True)
+class Named:
+    """An element that is chrome by its name, and the named element around it (-1: none). Outer elements
+    come first in a page's list."""
+
+    kind: tuple[str, ...]
+    parent: int
+
+
+@dataclass(slots=True)
+class Body:
+    """A main or article element: the named element that it is or is in, and its words."""
+
+    is_main: bool
+    within: int
+    words: int = 0
 
 
 def features(name: str, rest: str) -> tuple[str, ...]:
     """``<name`` and the words of its class, id and role."""
-    found = {w for m in NAMED.finditer(rest) for w in NAME_WORD.findall((m[1] or m[2] or m[3] or "").lower())} if rest else ()
+    found = set()
+    for m in NAMED.finditer(rest) if rest else ():
+        for one in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(NAME_WORD.findall(one))
+            found |= words if words.isdisjoint(STATE_WORDS) else words - CHROME_WORDS
     return (name, *sorted("." + w for w in found))
 
 
@@ -61,18 +90,26 @@ def is_chrome(kind: tuple[str, ...]) -> bool:
     return kind[0] in CHROME_TAGS or any(w[1:] in CHROME_WORDS for w in kind[1:])
 
 
-def units(page: str) -> Iterator[Unit]:
+def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
     """Words and tags in page order; comments, scripts, styles and the head are left out. Elements that
-    aren't closed end with their parent, an open paragraph at the next block."""
+    aren't closed end with their parent, an open paragraph at the next block. A header, by tag or name, is
+    no chrome in a main or article element, and a heading named so nowhere."""
     at, block, low = 0, 0, None
-    stack: list[tuple[str, bool, bool]] = []  # name, in chrome, in an article
+    seen: list[Unit] = []
+    named: list[Named] = []
+    bodies: list[Body] = []
+    stack: list[tuple[str, int, bool, int, int, bool]] = []  # name, named element, in an article, body, own named element, plain
+    root = ("", -1, False, -1, -1, False)
     while at < len(page):
+        _, within, inside, body, _, _ = stack[-1] if stack else root
         if page[at] != "<":
             end = page.find("<", at)
             end = len(page) if end < 0 else end
             text = html.unescape(page[at:end])
-            name = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "")
-            yield Unit(False, block, (name,), text, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2])
+            name = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "")
+            seen.append(Unit(False, block, (name,), text, within, inside))
+            if body >= 0:
+                bodies[body].words += len(text.split())
             at = end
             continue
         if page.startswith("<!--", at):
@@ -85,10 +122,10 @@ def units(page: str) -> Iterator[Unit]:
             continue
         m = TAG.match(page, at) or LOOSE_TAG.match(page, at)
         if m is None:
-            yield Unit(False, block, ("",), "<", bool(stack) and stack[-1][1], bool(stack) and stack[-1][2])
+            seen.append(Unit(False, block, ("",), "<", within, inside))
             at += 1
             continue
-        at, name = m.end(), m[2].lower()
+        at, name, own = m.end(), m[2].lower(), -1
         if name in RAW and not m[1]:
             low = page.lower() if low is None or len(low) != len(page) else low
             if name == "head":  # ends with the head or where the body begins
@@ -98,27 +135,77 @@ def units(page: str) -> Iterator[Unit]:
             at = min(ends) if ends else len(page)
             continue
         if name == "br":
-            yield Unit(False, block, ("",), " ", bool(stack) and stack[-1][1], bool(stack) and stack[-1][2])
+            seen.append(Unit(False, block, ("",), " ", within, inside))
             continue
         if m[1]:
             kind, place = ("/" + name,), next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            inside = bool(stack) and stack[-1][2] and name != "article"
-            chrome = bool(stack) and stack[-1][1]
+            inside = inside and name != "article"
             if place is not None:
+                own, kind = stack[place][4], () if stack[place][5] else kind
                 del stack[place:]
         else:
             kind = features(name, m[3])
             if name in CLOSES_P or name == "li":
                 place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ("li" if name == "li" else "p")), None)
-                if place is not None and not any(n in BLOCKS for n, _, _ in stack[place + 1 :]):
+                if place is not None and not any(e[0] in BLOCKS for e in stack[place + 1 :]):
                     del stack[place:]
-            inside = bool(stack) and stack[-1][2]
-            chrome = bool(stack) and stack[-1][1]
+                    _, within, inside, body, _, _ = stack[-1] if stack else root
+            if name in HEADINGS or (name != "header" and body >= 0):
+                kind = tuple(f for f in kind if f != ".header")
+            plain = name == "header" and body >= 0 and not is_chrome(("", *(f for f in kind[1:] if f != ".header")))
+            kind = () if plain else kind
             if name not in VOID and not m[3].endswith("/"):
-                own = chrome or (is_chrome(kind) and name not in ("html", "body"))
-                stack.append((name, own, inside or name == "article"))
+                if not plain and name not in ("html", "body") and is_chrome(kind):
+                    own = len(named)
+                    named.append(Named(kind, within))
+                around = own if own >= 0 else within
+                if name in ("main", "article"):
+                    body = len(bodies)
+                    bodies.append(Body(name == "main", around))
+                stack.append((name, around, inside or name == "article", body, own, plain))
         block += name in BLOCKS
-        yield Unit(True, block, kind, "", chrome, inside)
+        seen.append(Unit(True, block, kind, "", within, inside, own))
+    return seen, named, bodies
+
+
+def chain(named: list[Named], within: int) -> Iterator[int]:
+    """A named element and the named ones around it."""
+    while within >= 0:
+        yield within
+        within = named[within].parent
+
+
+def hidden(named: list[Named], free: set[int]) -> list[bool]:
+    """Of each named element, whether it or one around it is chrome; the last entry is for no element."""
+    out = [False] * (len(named) + 1)
+    for k, e in enumerate(named):
+        out[k] = k not in free or out[e.parent]
+    return out
+
+
+def settled(seen: list[Unit], named: list[Named], bodies: list[Body]) -> set[int]:
+    """Named elements that are a main element or hold one; and the articles that the fewest names hide,
+    with what is around them, where they have more words than what no name hides."""
+    free = {k for b in bodies if b.is_main for k in chain(named, b.within)}
+    articles = [b for b in bodies if not b.is_main and b.words]
+    if not named or not articles:
+        return free
+    depth = [0] * (len(named) + 1)  # names that hide an element
+    for k, e in enumerate(named):
+        depth[k] = depth[e.parent] + (k not in free)
+    least = min(depth[b.within] for b in articles)
+    if least:
+        first = [b for b in articles if depth[b.within] == least]
+        hides = hidden(named, free)
+        if sum(b.words for b in first) > sum(len(u.text.split()) for u in seen if not u.is_tag and not hides[u.within]):
+            around = set()
+            for b in first:
+                for k in chain(named, b.within):
+                    if k in around:
+                        break
+                    around.add(k)
+            free |= around
+    return free
 
 
 @dataclass
@@ -130,7 +217,10 @@ class Weights:
     word: float = 0.5  # in an element that no labelled page has
     tag: float = 0.3
 
-    def of_tag(self, kind: tuple[str, ...]) -> float:
+    def of_tag(self, kind: tuple[str, ...], free: bool = False) -> float:
+        """``free``: the tag is of an element that is no chrome despite its name."""
+        if free or not kind:
+            return -self.tag
         known = [self.tags.get(f, self.tag if f[0] != "." else 0.0) for f in kind]
         return -max(known) - (4.0 if is_chrome(kind) or is_chrome((kind[0].lstrip("/"),)) else 0.0)
 
@@ -141,10 +231,15 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside, outside = Counter(), Counter()
         for page in batch.column("html").to_pylist():
-            for u in units(page):
-                if u.chrome:
+            seen, named, bodies = parsed(page)
+            free = settled(seen, named, bodies)
+            hides = hidden(named, free)
+            for u in seen:
+                if hides[u.within]:
                     continue
                 into = inside if u.in_article else outside
+                if u.is_tag and u.own in free:
+                    continue
                 if u.is_tag:
                     into.update("<" + f for f in u.kind)
                 elif n := len(u.text.split()):
@@ -184,19 +279,73 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return where
 
 
-def main_text(page: str, weights: Weights) -> str:
-    """The text of a page: the blocks of the best run, chrome left out, joined by line feeds."""
-    seen = list(units(page))
-    scores = []
+def scored(seen: list[Unit], named: list[Named], weights: Weights, free: set[int]) -> tuple[list[float], list[bool]]:
+    """Scores of the units, and which named elements hide their words."""
+    hides, scores = hidden(named, free), []
     for u in seen:
         if u.is_tag:
-            scores.append(weights.of_tag(u.kind))
+            scores.append(weights.of_tag(u.kind, u.own in free))
         else:
-            scores.append(0.0 if u.chrome else weights.words.get(u.kind[0], weights.word) * len(u.text.split()))
+            scores.append(0.0 if hides[u.within] else weights.words.get(u.kind[0], weights.word) * len(u.text.split()))
+    return scores, hides
+
+
+def without_wrappers(seen: list[Unit], named: list[Named], weights: Weights, free: set[int]) -> set[int]:
+    """``free`` and, where names hide most of what the weights find, the named elements around it: from the
+    outside, in each the one with the most words of the best run that hides nothing, as few as are needed.
+    Elements named by words free their like beside them (the results of a search)."""
+    scores, _ = scored(seen, named, weights, free)
+    start, end = best_run(scores)
+    left = sum(scores[start:end])
+    for k, u in enumerate(seen):
+        if not u.is_tag:
+            scores[k] = weights.words.get(u.kind[0], weights.word) * len(u.text.split())
+    start, end = best_run(scores)
+    goal = sum(scores[start:end])
+    if left * WRAPPED >= goal:
+        return free
+    words = [0] * (len(named) + 1)
+    for u in seen[start:end]:
+        if not u.is_tag:
+            words[u.within] += len(u.text.split())
+    for k in range(len(named) - 1, -1, -1):
+        words[named[k].parent] += words[k]
+    heaviest, like = [-1] * (len(named) + 1), {}
+    for k, e in enumerate(named):
+        if words[k] and (heaviest[e.parent] < 0 or words[k] > words[heaviest[e.parent]]):
+            heaviest[e.parent] = k
+        like.setdefault((e.parent, e.kind), []).append(k)
+    path, k = [], heaviest[-1]
+    while k >= 0:
+        path.append(like[named[k].parent, named[k].kind] if is_chrome(("", *named[k].kind[1:])) else [k])
+        k = heaviest[k]
+
+    def more(n: int) -> set[int]:
+        return free.union(*path[:n])
+
+    def reached(n: int) -> bool:
+        found, _ = scored(seen, named, weights, more(n))
+        a, b = best_run(found)
+        return sum(found[a:b]) * WRAPPED >= goal
+
+    low, high = 0, len(path)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if reached(middle) else (middle + 1, high)
+    return more(low)
+
+
+def main_text(page: str, weights: Weights) -> str:
+    """The text of a page: the blocks of the best run, chrome left out, joined by line feeds."""
+    seen, named, bodies = parsed(page)
+    free = settled(seen, named, bodies)
+    if len(free) < len(named):
+        free = without_wrappers(seen, named, weights, free)
+    scores, hides = scored(seen, named, weights, free)
     start, end = best_run(scores)
     out: dict[int, list[str]] = {}
     for u in seen[start:end]:
-        if not u.is_tag and not u.chrome:
+        if not u.is_tag and not hides[u.within]:
             out.setdefault(u.block, []).append(u.text)
     lines = (" ".join("".join(parts).split()) for parts in out.values())
     return "\n".join(x for x in lines if x)

@@ -48,6 +48,46 @@ def test_chrome_is_left_out(weights, wrap, middle):
     assert main_text(page, weights) == f"A title & more\n{WORDS} Next line\n{WORDS} Bold end."
 
 
+WRAPPERS = [
+    "<form id=aspnetForm>%s</form>",
+    '<main class="content no-sidebar">%s</main>',
+    '<article class="post comments-open">%s</article>',
+    '<article class="post sponsored">%s</article>',
+    '<form><div class="search-widget"><article class="recommended">%s</article></div></form>',
+    '<div class="has-comments">%s</div>',
+    '<fieldset><div class="search-result">%s</div></fieldset>',
+    '<div class="related-topics">%s</div>',
+    "<aside>%s</aside>",
+    "<label>%s</label>",
+    "<form>" * 2_000 + "%s" + "</form>" * 2_000,
+]
+
+
+@pytest.mark.parametrize("wrap", WRAPPERS)
+@pytest.mark.parametrize("outside", [True, False])
+def test_names_of_wrappers_hide_nothing(weights, wrap, outside):
+    body = f"<h1>A title</h1><p>{WORDS}</p><p>{WORDS}</p>{CHROME[3]}<p>{WORDS}</p>"
+    before, after = "".join(CHROME[:4]), "".join(CHROME[4:])
+    page = before + wrap % body + after if outside else wrap % (before + body + after)
+    assert main_text(f"<html><body>{page}</body></html>", weights) == "\n".join(["A title", WORDS, WORDS, WORDS])
+
+
+@pytest.mark.parametrize("head", ['<header><h1>A title</h1></header>', '<h1 class="header">A title</h1>', '<div class="article-header"><h1>A title</h1></div>'])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_headlines_in_headers(weights, head, tag):
+    page = f"<body>{''.join(CHROME[:4])}<{tag}>{head}<p>{WORDS}</p></{tag}>{''.join(CHROME[4:])}</body>"
+    assert main_text(page, weights) == f"A title\n{WORDS}"
+
+
+def test_named_parts_stay_out(weights):
+    comments = '<section id="comments">' + f'<article class="comment"><p>{WORDS}</p></article>' * 2 + "</section>"
+    cards = '<div class="related">' + "<article><p>Another page</p></article>" * 6 + "</div>"
+    for wrap in ('<article class="post comments-open">%s</article>', '<div id="content">%s</div>', "<main>%s</main>"):
+        assert main_text(f"<body>{wrap % f'<p>{WORDS}</p><p>{WORDS}</p>'}{comments}{cards}</body>", weights) == f"{WORDS}\n{WORDS}"
+    results = "".join(f'<div class="search-result"><p>{WORDS}</p></div>' for _ in range(5))
+    assert main_text(f"<body>{CHROME[2]}{results}</body>", weights) == "\n".join([WORDS] * 5)
+
+
 def test_broken_and_bare_pages(weights):
     assert main_text("", weights) == ""
     assert main_text("just text &lt;b&gt; &#233;", weights) == "just text <b> é"
