@@ -2,8 +2,8 @@
 
 A construct that runs over lines (strings, comments, embedded code) is one pattern; its inside is cut by
 an inner rule set. Patterns are Java regular expressions without nested quantifiers over text, so they
-scan long texts in linear time and constant stack. Word lists that are longer than a page are
-parameters: the sets below hold the common part, and ``rule_set(name, words={...})`` takes the whole.
+scan long texts in linear time and constant stack. Word lists that are longer than a page stand in
+``plans.word_lists``; ``rule_set(name, words={...})`` adds to them.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 
 from lexigrain.operators.lexing import Rule, RuleSet, rule, rules
+from lexigrain.plans import word_lists as lists
 from lexigrain.plans.catalog import LEXER_NAMES
 
 LINE = r"[^\r\n]*(?:\r\n|[\r\n])?"
@@ -37,6 +38,14 @@ def escape(pattern: str) -> list[Rule]:
     return [rule("SEQUENCE_ESCAPED", pattern)]
 
 
+def extended(words: Mapping[str, Iterable[str]], fold: bool = False, **tables: str) -> list[str]:
+    """The tables with the words given for them; a given word leaves the other tables."""
+    spell = str.lower if fold else str
+    given = {k: {spell(w) for w in words.get(k, ())} for k in tables}
+    taken = set().union(*given.values())
+    return [" ".join([*(w for w in table.split() if w not in taken), *sorted(given[k])]) for k, table in tables.items()]
+
+
 C_COMMENT = r"/\*" + until(r"\*/", escapes=False)
 SPACE = rule("IGNORABLE", r"\s+")
 HEX = "[0-9a-fA-F]"
@@ -198,21 +207,16 @@ def apache() -> RuleSet:
     )
 
 
-# Common directives.
-NGINX_DIRECTIVES = "access_log add_header alias allow auth_basic auth_basic_user_file autoindex charset client_body_buffer_size client_body_timeout client_header_timeout client_max_body_size default_type deny error_log error_page etag events expires fastcgi_cache fastcgi_index fastcgi_param fastcgi_pass geo gzip gzip_comp_level gzip_disable gzip_http_version gzip_min_length gzip_proxied gzip_types gzip_vary http if include index internal ip_hash keepalive keepalive_requests keepalive_timeout large_client_header_buffers limit_conn limit_conn_zone limit_except limit_rate limit_req limit_req_zone listen location log_format log_not_found map multi_accept open_file_cache pid proxy_buffering proxy_buffers proxy_buffer_size proxy_cache proxy_cache_path proxy_cache_valid proxy_connect_timeout proxy_hide_header proxy_http_version proxy_intercept_errors proxy_next_upstream proxy_pass proxy_pass_header proxy_read_timeout proxy_redirect proxy_send_timeout proxy_set_header proxy_ssl_verify real_ip_header resolver return rewrite root satisfy scgi_pass send_timeout sendfile server server_name server_tokens set set_real_ip_from split_clients ssl ssl_certificate ssl_certificate_key ssl_ciphers ssl_client_certificate ssl_dhparam ssl_prefer_server_ciphers ssl_protocols ssl_session_cache ssl_session_timeout ssl_stapling ssl_verify_client stub_status sub_filter tcp_nodelay tcp_nopush try_files types underscores_in_headers upstream use user uwsgi_pass valid_referers worker_connections worker_processes worker_rlimit_nofile"
-# Common variables.
-NGINX_VARIABLES = "$args $binary_remote_addr $body_bytes_sent $bytes_sent $content_length $content_type $document_root $document_uri $host $hostname $https $is_args $limit_rate $msec $nginx_version $pid $proxy_add_x_forwarded_for $proxy_host $proxy_port $query_string $realpath_root $remote_addr $remote_port $remote_user $request $request_body $request_filename $request_length $request_method $request_time $request_uri $scheme $server_addr $server_name $server_port $server_protocol $ssl_cipher $ssl_protocol $status $time_iso8601 $time_local $upstream_addr $upstream_cache_status $upstream_response_time $upstream_status $uri"
-
-
 def nginx(words: Mapping[str, Iterable[str]]) -> RuleSet:
-    directives, variables = (" ".join(words.get(k, ())) or v for k, v in (("directives", NGINX_DIRECTIVES), ("variables", NGINX_VARIABLES)))
+    directives, variables = extended(words, directives=lists.NGINX_DIRECTIVES, variables=lists.NGINX_VARIABLES)
+    prefixes = "|".join(p.removeprefix("$") for p in lists.NGINX_PREFIXES.split())
     return rules(
         rule("COMMENT_SINGLE", "#" + LINE),
         rule("IGNORABLE", r"\\\n|\s+"),
         rule("PUNCTUATION", "[;{}]"),
         rule("STRING_SINGLE", quoted('"'), inner=escape(r'\\[trn\\"]')),
         rule("STRING_SINGLE", quoted("'"), inner=escape(r"\\[trn\\']")),
-        rule("NAME_BUILTIN", r"\$(?:arg|cookie|http|sent_http|upstream_http)_[^;{}()\s]+"),
+        rule("NAME_BUILTIN", rf"\$(?:{prefixes})[^;{{}}()\s]*"),
         rule("NAME_VARIABLE", r"\$[^;{}()\s]+", NAME_BUILTIN=variables),
         rule("TEXT", r"(?<=[;{}]\s{0,200}|\A\s{0,200}|\n[ \t]{0,200})[^$#;{}\s'\"][^;{}\s]*", KEYWORD_BUILTIN=directives),
         rule("NUMBER_DECIMAL", r"[0-9]+(?=[;{}()\s])"),
@@ -338,20 +342,17 @@ def cmake() -> RuleSet:
     )
 
 
-# Common properties and values.
-CSS_PROPERTIES = "align-content align-items align-self animation animation-delay animation-duration animation-name background background-attachment background-clip background-color background-image background-origin background-position background-repeat background-size border border-bottom border-bottom-color border-bottom-style border-bottom-width border-collapse border-color border-left border-left-color border-left-style border-left-width border-radius border-right border-right-color border-right-style border-right-width border-spacing border-style border-top border-top-color border-top-style border-top-width border-width bottom box-shadow box-sizing caption-side clear clip color columns content counter-increment counter-reset cursor direction display empty-cells flex flex-basis flex-direction flex-flow flex-grow flex-shrink flex-wrap float font font-family font-size font-style font-variant font-weight height justify-content left letter-spacing line-height list-style list-style-image list-style-position list-style-type margin margin-bottom margin-left margin-right margin-top max-height max-width min-height min-width opacity order orphans outline outline-color outline-style outline-width overflow overflow-x overflow-y padding padding-bottom padding-left padding-right padding-top page-break-after page-break-before page-break-inside position quotes resize right table-layout text-align text-decoration text-indent text-overflow text-shadow text-transform top transform transition unicode-bidi vertical-align visibility white-space widows width word-break word-spacing word-wrap z-index"
-CSS_VALUES = "absolute auto baseline black block blue bold bolder both bottom break-word capitalize center circle collapse cover contain cursive dashed default disc dotted double fantasy fixed flex gray green grid hidden inherit initial inline inline-block italic justify left lighter lowercase medium middle monospace move none normal nowrap oblique pointer pre red relative repeat repeat-x repeat-y no-repeat right sans-serif scroll separate serif small solid square static sub super table text top transparent underline uppercase visible white"
-
-
 def css(words: Mapping[str, Iterable[str]]) -> RuleSet:
-    properties, values = (" ".join(words.get(k, ())) or v for k, v in (("properties", CSS_PROPERTIES), ("values", CSS_VALUES)))
+    # The two are looked up at different places, so a word may be in both.
+    properties, values = extended(words, properties=lists.CSS_PROPERTIES) + extended(words, values=lists.CSS_VALUES)
+    prefixes = "|".join(lists.CSS_PREFIXES.split())
     comment = rule("COMMENT_MULTILINE", C_COMMENT)
     name = "-?[a-z_][a-z0-9_-]*"
     block = rules(
         rule("PUNCTUATION", r"[{};()]"),
         SPACE,
         comment,
-        rule("KEYWORD_BUILTIN", rf"-(?:moz|ms|o|webkit|khtml|apple)-[a-z-]+(?=\s*:)"),
+        rule("KEYWORD_BUILTIN", rf"(?:{prefixes})[a-z0-9_-]+(?=\s*:)", NAME_BUILTIN=properties),
         rule("KEYWORD", rf"{name}(?=\s*:)", NAME_BUILTIN=properties),
         rule("KEYWORD_PSEUDO", rf":{name}"),
         rule("NAME_FUNCTION", rf"{name}(?=\()"),
@@ -429,13 +430,8 @@ def markup(html: bool, words: Mapping[str, Iterable[str]]) -> RuleSet:
     )
 
 
-# Common reserved words and types of SQL.
-SQL_WORDS = "add all alter analyze and any as asc authorization before begin between both by cascade case change check collate column commit constraint convert create cross cube current current_catalog current_date current_role current_time current_timestamp current_user cursor database databases declare default deferrable delete desc describe distinct drop each else end escape except execute exists explain fetch filter first following for foreign from full function grant group grouping having if ignore in index inner insert intersect interval into is isolation join key kill language last lateral leading left level like limit lock match merge natural new next no not nulls of offset on only option or order outer over partition preceding prepare primary procedure range read recursive references release rename repeat replace restrict return returning revoke right rollback row rows savepoint schema select session set show some start table tablesample then to trailing transaction trigger truncate unbounded union unique unlock update use using values view when where window with within without work write"
-SQL_TYPES = "bigint binary bit blob boolean bytea char character date datetime decimal double enum float float4 float8 inet int int2 int4 int8 integer json jsonb mediumint nchar numeric point precision real serial smallint text time timestamp timestamptz tinyint uuid varbinary varchar varying xml year"
-
-
 def postgresql(words: Mapping[str, Iterable[str]], standard_conforming_strings: bool = True) -> RuleSet:
-    keywords, types = (" ".join(words.get(k, ())) or v for k, v in (("keywords", SQL_WORDS + " true false null"), ("types", SQL_TYPES)))
+    keywords, types = extended(words, fold=True, keywords=lists.POSTGRESQL_KEYWORDS, types=lists.POSTGRESQL_TYPES)
     escapes = escape(rf"\\(?:u{HEX}{{4}}|U{HEX}{{8}}|x{HEX}{{1,2}}|[0-7]{{1,3}}|(?s:.))")
     plain = doubled("'") if standard_conforming_strings else quoted("'")
     return rules(
@@ -458,9 +454,7 @@ def postgresql(words: Mapping[str, Iterable[str]], standard_conforming_strings:
 
 
 def mysql(words: Mapping[str, Iterable[str]], ansi_quotes: bool = False, no_backslash_escapes: bool = False) -> RuleSet:
-    keywords = " ".join(words.get("keywords", ())) or SQL_WORDS + " " + SQL_TYPES
-    # Word operators and constants.
-    operators, constants = "and or xor not div mod like rlike regexp sounds binary is in between", "true false null unknown"
+    keywords, operators, constants = extended(words, fold=True, keywords=lists.MYSQL_KEYWORDS, operators=lists.MYSQL_OPERATORS, constants=lists.MYSQL_CONSTANTS)
     escapes = None if no_backslash_escapes else escape(r"\\(?s:.)")
     string = doubled if no_backslash_escapes else quoted  # a doubled quote makes two tokens of one type, which are joined
     return rules(
@@ -631,6 +625,6 @@ assert sorted([*WITH_OPTIONS, *PLAIN]) == sorted(LEXER_NAMES)
 
 
 def rule_set(name: str, words: Mapping[str, Iterable[str]] | None = None, **options) -> RuleSet:
-    """The rules of a language by its name. ``words`` replace the common word lists (``keywords``,
-    ``types``, ``directives``, ``variables``, ``properties``, ``values``)."""
+    """The rules of a language by its name. ``words`` are added to the word lists (``keywords``,
+    ``types``, ``operators``, ``constants``, ``directives``, ``variables``, ``properties``, ``values``)."""
     return PLAIN[name](**options) if name in PLAIN else WITH_OPTIONS[name](words or {}, **options)

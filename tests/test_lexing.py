@@ -95,6 +95,28 @@ def test_word_lists_are_parameters(spark):
     assert lexed(spark, "foo bar", "PostgreSQL", words={"keywords": ["foo"]}) == [("KEYWORD", "foo"), ("IGNORABLE", " bar")]
 
 
+WORDS = [
+    ("Nginx", "daemon on; accept_mutex off; proxy_ssl_ciphers HIGH;", "KEYWORD_BUILTIN", ["daemon", "accept_mutex", "proxy_ssl_ciphers"]),
+    ("Nginx", "set $x $geoip_city; set $y $ssl_server_name; set $z $upstream_cookie_a;", "NAME_BUILTIN", ["$geoip_city", "$ssl_server_name", "$upstream_cookie_a"]),
+    ("CSS", "a { filter: none; tab-size: 4; object-position: x; -xv-a: crosshair; foo: red }", "NAME_BUILTIN", ["filter", "none", "tab-size", "object-position", "crosshair"]),
+    ("CSS", "a { -xv-a: b; mso-style: c; -foo-x: d }", "KEYWORD_BUILTIN", ["-xv-a", "mso-style"]),
+    ("PostgreSQL", "vacuum Analyze x; listen y; unlisten z; returns t citext, money, false", "KEYWORD", ["vacuum", "Analyze", "listen", "unlisten", "returns", "false"]),
+    ("PostgreSQL", "vacuum x citext, Money, blob", "KEYWORD_TYPE", ["citext", "Money"]),
+    ("MySQL", "load data Force lines optionally longtext rows jsonb vacuum in between binary", "KEYWORD", ["load", "Force", "lines", "optionally", "longtext", "in", "between", "binary"]),
+    ("MySQL", "a and b is not Null or true", "OPERATOR", ["and", "is", "not", "or"]),
+    ("MySQL", "a is Null or true unknown", "KEYWORD_CONSTANT", ["Null", "true"]),
+]
+
+
+@pytest.mark.parametrize("lexer,source,type_,expected", WORDS)
+def test_whole_word_lists(spark, lexer, source, type_, expected):
+    assert [t for k, t in lexed(spark, source, lexer) if k == type_] == expected
+
+
+def test_words_are_added(spark):
+    assert lexed(spark, "foo select TEXT", "PostgreSQL", words={"keywords": ["Foo", "text"]}) == [("KEYWORD", "foo"), ("IGNORABLE", " "), ("KEYWORD", "select"), ("IGNORABLE", " "), ("KEYWORD", "TEXT")]
+
+
 def test_null_mark_and_noncharacters(spark):
     df = spark.createDataFrame([(None,), ("﻿1",), ("a﷐",)], "text string")
     got = [r.tokens and [(t.type, t.text) for t in r.tokens] for r in tokenize(df, "JSON").collect()]
