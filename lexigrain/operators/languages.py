@@ -1,8 +1,8 @@
 """The rule sets of the languages.
 
 A construct that runs over lines (strings, comments, embedded code) is one pattern; its inside is cut by
-an inner rule set. Patterns are Java regular expressions without nested quantifiers over text, so they
-scan long texts in linear time and constant stack. Word lists that are longer than a page stand in
+an inner rule set. Patterns are Java regular expressions whose groups repeat possessively (a loop in the
+matcher, without a stack) or not at all, so they scan texts of any length in linear time and constant stack. Word lists that are longer than a page stand in
 ``plans.word_lists``; ``rule_set(name, words={...})`` adds to them.
 """
 
@@ -21,7 +21,7 @@ REST_OF_LINE = r"[^\r\n]*"
 def until(close: str, escapes: bool = True) -> str:
     """The rest of a construct up to ``close``; a backslash before it keeps it open; without it, to the
     end of the text."""
-    before = r"(?<!\\)(?:\\\\){0,64}" if escapes else ""
+    before = r"(?<!\\)(?:\\\\)*+" if escapes else ""
     return rf"(?s:.*?)(?:{before}{close}|\z)"
 
 
@@ -31,7 +31,7 @@ def quoted(quote: str, escapes: bool = True) -> str:
 
 def doubled(quote: str) -> str:
     """A string in which the quote is written twice."""
-    return rf"{quote}[^{quote}]*+(?:{quote}|\z)(?:{quote}[^{quote}]*+(?:{quote}|\z)){{0,500}}"
+    return rf"{quote}[^{quote}]*+(?:{quote}|\z)(?:{quote}[^{quote}]*+(?:{quote}|\z))*+"
 
 
 def escape(pattern: str) -> list[Rule]:
@@ -54,7 +54,7 @@ HEX = "[0-9a-fA-F]"
 def c() -> RuleSet:
     escapes = escape(rf"\\(?:[0-7]{{1,3}}|x{HEX}+|u{HEX}{{4}}|U{HEX}{{8}}|(?s:.))")
     return rules(
-        rule("COMMENT_SINGLE", r"(?m:^)[ \t]*#(?:[^\r\n\\]++|\\\r\n|\\(?s:.)){0,500}(?:\r\n|[\r\n])?"),
+        rule("COMMENT_SINGLE", r"(?m:^)[ \t]*#(?:[^\r\n\\]++|\\\r\n|\\(?s:.))*+(?:\r\n|[\r\n])?"),
         rule("IGNORABLE", r"[ \t\f\x0b]+|[\r\n]+"),
         rule("COMMENT_SINGLE", "//" + LINE),
         rule("COMMENT_MULTILINE", C_COMMENT),
@@ -95,7 +95,7 @@ def go() -> RuleSet:
 
 def python() -> RuleSet:
     escapes = escape(rf"\\(?:['\"abfnrtv\\]|[0-7]{{1,3}}|o[0-7]{{1,3}}|x{HEX}{{2}}|N\{{[^}}]*\}}|u{HEX}{{4}}|U{HEX}{{8}})")
-    short = lambda q: rf"{q}(?:[^{q}\\\n]++|\\(?s:.)){{0,500}}{q}?"
+    short = lambda q: rf"{q}(?:[^{q}\\\n]++|\\(?s:.))*+{q}?"
     plain, raw = "(?:[bB]|[uU])?", "(?:[rR][bB]?|[bB][rR])"
     strings = []
     for prefix, type_, inner in ((raw, "STRING_DOUBLE", None), (plain, "STRING_SINGLE", escapes)):
@@ -129,7 +129,7 @@ def javascript() -> RuleSet:
         rule("STRING_DOUBLE", quoted("'"), inner=escapes),
         rule("STRING_DOUBLE", quoted('"'), inner=escapes),
         # Reserved words and constants.
-        rule("NAME_VARIABLE", rf"(?:[$_a-zA-Z]|\\u{HEX}{{4}})(?:[$_a-zA-Z0-9]++|\\u{HEX}{{4}}){{0,200}}", KEYWORD_CONSTANT="null true false", KEYWORD="break do instanceof typeof case else new var catch finally return void continue for switch while debugger function this with default if throw delete in try class enum extends super const export import implements let private public yield interface package protected static"),
+        rule("NAME_VARIABLE", rf"(?:[$_a-zA-Z]|\\u{HEX}{{4}})(?:[$_a-zA-Z0-9]++|\\u{HEX}{{4}})*+", KEYWORD_CONSTANT="null true false", KEYWORD="break do instanceof typeof case else new var catch finally return void continue for switch while debugger function this with default if throw delete in try class enum extends super const export import implements let private public yield interface package protected static"),
         rule("OPERATOR", r"[!=]==|>>>=?|[<>]{2}=?|[-+&|]{2}|[-+*/%&|^!<>=]=?|[~?:]"),
         lexer="Javascript",
     )
@@ -184,7 +184,7 @@ def bash() -> RuleSet:
         rule("STRING_DOUBLE", r"\$\(|`"),
         rule("PUNCTUATION", r"[!{}\[\]](?![^\s;|&()<>])"),
         # Builtins and keywords.
-        rule("STRING_SINGLE", r"(?:[^\s|&;()<>$#\"'`\\]++|\\(?s:.)){1,500}", NAME_BUILTIN=". : [ alias bg break builtin caller cd command compgen complete compopt continue declare dirs disown echo enable eval exec exit export fc fg getopts hash help history jobs kill let local logout mapfile popd printf pushd pwd read readarray readonly return set shift shopt source suspend test times trap type typeset ulimit umask unalias unset wait", KEYWORD="case do done elif else esac fi for function if in select then time until while"),
+        rule("STRING_SINGLE", r"(?:[^\s|&;()<>$#\"'`\\]++|\\(?s:.))++", NAME_BUILTIN=". : [ alias bg break builtin caller cd command compgen complete compopt continue declare dirs disown echo enable eval exec exit export fc fg getopts hash help history jobs kill let local logout mapfile popd printf pushd pwd read readarray readonly return set shift shopt source suspend test times trap type typeset ulimit umask unalias unset wait", KEYWORD="case do done elif else esac fi for function if in select then time until while"),
         rule("IGNORABLE", r"[\s|&;()<>]+"),
         lexer="Bash",
     )
@@ -202,7 +202,7 @@ def apache() -> RuleSet:
         rule("STRING_SINGLE", quoted("'"), inner=inside("'")),
         variable,
         rule("NUMBER_DECIMAL", r"[0-9]+(?=[\s>])"),
-        rule("STRING_SINGLE", r"(?:[^\s$>]++|>(?!\s|\z)|\$(?!\{)){1,500}"),
+        rule("STRING_SINGLE", r"(?:[^\s$>]++|>(?!\s|\z)|\$(?!\{))++"),
         lexer="Apache",
     )
 
@@ -389,9 +389,9 @@ def dtd() -> RuleSet:
     return rules(
         rule("COMMENT_MULTILINE", "<!--" + until("-->", escapes=False)),
         rule("NAME_TAG", r"<!ELEMENT\s[^>]*>?", inner=declared(rule("KEYWORD_CONSTANT", r"\bEMPTY\b|\bANY\b|#PCDATA"), rule("NAME_TAG", XML_NAME), rule("PUNCTUATION", "[(),]"), rule("OPERATOR", r"[|*+?]"))),
-        rule("NAME_TAG", r"<!ATTLIST\s(?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,500}>?", inner=declared(rule("KEYWORD_CONSTANT", "#(?:IMPLIED|REQUIRED|FIXED)"), rule("NAME_ATTRIBUTE", XML_NAME, KEYWORD_CONSTANT="CDATA ID IDREF IDREFS ENTITY ENTITIES NMTOKEN NMTOKENS NOTATION"), rule("PUNCTUATION", "[()]"), rule("OPERATOR", r"\|"))),
-        rule("NAME_TAG", r"<!ENTITY\s(?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,500}>?", inner=declared(rule("NAME_ENTITY", XML_NAME, KEYWORD_CONSTANT="SYSTEM PUBLIC NDATA"))),
-        rule("NAME_TAG", r"<!NOTATION\s(?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,500}>?", inner=declared(rule("IGNORABLE", XML_NAME, KEYWORD_CONSTANT="SYSTEM PUBLIC"))),
+        rule("NAME_TAG", r"<!ATTLIST\s(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>?", inner=declared(rule("KEYWORD_CONSTANT", "#(?:IMPLIED|REQUIRED|FIXED)"), rule("NAME_ATTRIBUTE", XML_NAME, KEYWORD_CONSTANT="CDATA ID IDREF IDREFS ENTITY ENTITIES NMTOKEN NMTOKENS NOTATION"), rule("PUNCTUATION", "[()]"), rule("OPERATOR", r"\|"))),
+        rule("NAME_TAG", r"<!ENTITY\s(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>?", inner=declared(rule("NAME_ENTITY", XML_NAME, KEYWORD_CONSTANT="SYSTEM PUBLIC NDATA"))),
+        rule("NAME_TAG", r"<!NOTATION\s(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>?", inner=declared(rule("IGNORABLE", XML_NAME, KEYWORD_CONSTANT="SYSTEM PUBLIC"))),
         rule("NAME_TAG", rf"<!DOCTYPE(?=\s)|<!\[\s*(?:INCLUDE|IGNORE|%{XML_NAME};)\s*\[|\]\]>|\]\s*>"),
         entity,
         SPACE,
@@ -408,7 +408,7 @@ def markup(html: bool, words: Mapping[str, Iterable[str]]) -> RuleSet:
         rule("STRING_SINGLE", '"[^"]*"?', inner=[entity]),
     ]
     opened = RuleSet((rule("NAME_TAG", rf"\A<(?:!DOCTYPE|{XML_NAME})|>\z"), *attributes), "IGNORABLE")
-    body = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,500}>?"
+    body = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>?"
     parts = [
         rule("COMMENT_MULTILINE", "<!--" + until("-->", escapes=False)),
         rule("TAG_PREPROC", r"<!\[CDATA\[" + until(r"\]\]>", escapes=False), inner=RuleSet((rule("TAG_PREPROC", r"\A<!\[CDATA\[|\]\]>\z"),), "IGNORABLE")),
@@ -551,7 +551,7 @@ def php_code() -> RuleSet:
         SPACE,
         rule("COMMENT_DOCUMENTATION", r"/\*\*(?=\s)" + until(r"\*/", escapes=False)),
         rule("COMMENT_MULTILINE", C_COMMENT),
-        rule("COMMENT_SINGLE", r"(?:#|//)[^\r\n?]*+(?:\?(?!>)[^\r\n?]*+){0,500}(?:\r\n|[\r\n])?"),
+        rule("COMMENT_SINGLE", r"(?:#|//)[^\r\n?]*+(?:\?(?!>)[^\r\n?]*+)*+(?:\r\n|[\r\n])?"),
         rule("STRING_SINGLE", quoted("'"), inner=escape(r"\\[\\']")),
         rule("STRING_DOUBLE", quoted('"'), inner=inside),
         rule("STRING_BACKTICK", quoted("`"), inner=inside),

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from lexigrain.operators.languages import rule_set
@@ -77,6 +79,31 @@ def test_tokens_spell_the_text(spark, lexer):
         assert all((a.type, a.lexer, a.depth) != (b.type, b.lexer, b.depth) for a, b in zip(row.tokens, row.tokens[1:], strict=False))
 
 
+N = 20_000
+MANY_PARTS = [
+    ("Python", "x = '" + "\\x00a" * N + "' + y", {"STRING_SINGLE": N + 1, "SEQUENCE_ESCAPED": N, "NAME_VARIABLE": 2}),
+    ("Python", "r'" + "\\'a" * N + "' + y", {"STRING_DOUBLE": 1, "NAME_VARIABLE": 1}),
+    ("Python", "'" + "\\\\" * N + "' + y", {"STRING_SINGLE": 2, "SEQUENCE_ESCAPED": 1, "NAME_VARIABLE": 1}),
+    ("C", "#define A \\\n" + "  int x; \\\n" * N + "\nint y;", {"COMMENT_SINGLE": 1, "KEYWORD": 1}),
+    ("C", '"' + "\\\\" * N + '" int', {"STRING_DOUBLE": 2, "SEQUENCE_ESCAPED": 1, "KEYWORD": 1}),
+    ("HTML", "<p" + " a='>'" * N + ">x", {"NAME_TAG": 2, "NAME_ATTRIBUTE": N, "STRING_SINGLE": N}),
+    ("XML", "<p" + ' a=">"' * N + ">x", {"NAME_TAG": 2, "NAME_ATTRIBUTE": N, "STRING_SINGLE": N}),
+    ("DTD", "<!ATTLIST a" + " b CDATA '>'" * N + ">", {"NAME_TAG": 2, "KEYWORD_CONSTANT": N, "STRING_SINGLE": N}),
+    ("DTD", "<!ENTITY a" + " '>'" * N + ">", {"NAME_TAG": 2, "NAME_ENTITY": 1, "STRING_SINGLE": N}),
+    ("DTD", "<!NOTATION a" + " PUBLIC '>'" * N + ">", {"NAME_TAG": 2, "KEYWORD_CONSTANT": N, "STRING_SINGLE": N}),
+    ("Javascript", "a" + "\\u00411" * N + " = 1", {"NAME_VARIABLE": 1, "OPERATOR": 1}),
+    ("Bash", "a" + "\\ if" * N, {"STRING_SINGLE": 1}),
+    ("PHP", "<?php //" + "? if" * N + "\nif", {"NAME_TAG": 1, "COMMENT_SINGLE": 1, "KEYWORD": 1}),
+]
+
+
+@pytest.mark.parametrize("lexer", sorted({m[0] for m in MANY_PARTS}))
+def test_constructs_of_many_parts(spark, lexer):
+    for _, source, expected in (m for m in MANY_PARTS if m[0] == lexer):
+        got = Counter(k for k, _ in lexed(spark, source, lexer))
+        assert {k: got[k] for k in expected} == expected, source[:40]
+
+
 def test_embedded_languages(spark):
     page = '<p class="a">x &amp; y<style>p{margin:0}</style><script>var t="</p>";</script></p>'
     row = tokenize(spark.createDataFrame([(page,)], "text string"), "HTML").first()
