@@ -255,7 +255,7 @@ def fit(pages: DataFrame, html_col: str = "html", max_fit_pages: int = 2_000) ->
     n = marked.count()
     if n > max_fit_pages:
         marked = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int((1 << 20) * max_fit_pages / n))
-    rows = marked.mapInArrow(counted, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside")), "feature").limit(5_000).collect()
+    rows = marked.mapInArrow(counted, "feature string, inside long, outside long").groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     words, tags = {}, {}
     for r in rows:
         odds = math.log((r.inside + 0.5) / (r.outside + 0.5))

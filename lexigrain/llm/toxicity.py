@@ -151,9 +151,20 @@ def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.int64()), pa.array([marked[t] for t in rows], pa.int64())], names=["term", "rows", "marked"])
 
 
+def chosen(ranked: list[str], max_terms: int) -> list[str]:
+    """All terms that no beginning among them implies, and of the others the first up to ``max_terms`` in
+    all, in the order given."""
+    stems = {t for t in ranked if t.endswith("*")}
+    implied = [t for t in ranked if any(t[:k] + "*" in stems for k in STARTS if k < len(t.rstrip("*")))]
+    spare = max(0, max_terms - (len(ranked) - len(implied)))
+    left = set(implied[spare:])
+    return [t for t in ranked if t not in left]
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_fit_rows: int = 12_000, max_terms: int = 250) -> ToxicityModel:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). Without a single row of each class
-    there are no voters and all texts get the same score."""
+    there are no voters and all texts get the same score. ``max_terms`` bounds the lexicon's spellings of
+    beginnings that are terms themselves; terms that vote on their own are all kept."""
     rows = training_rows(docs, labels, folds, held, max_fit_rows)
     marked = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, pos = int(marked[0]), int(marked[1])
@@ -164,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_f
     expected = F.col("rows") * F.lit(share)
     stands_out = (F.col("marked") - expected) / F.sqrt(expected * (1 - share) + 0.25)
     lift = (F.col("marked") / F.lit(pos)) / ((F.col("rows") - F.col("marked") + 0.5) / F.lit(n - pos))
-    best = counts.where("marked >= 4").withColumn("z", stands_out).where((F.col("z") > 4) & (lift > 4)).orderBy(F.desc("z"), "term").limit(max_terms)
-    terms = {r.term: k for k, r in enumerate(best.select("term").collect())}
+    best = counts.where("marked >= 4").withColumn("z", stands_out).where((F.col("z") > 4) & (lift > 4)).orderBy(F.desc("z"), "term")
+    terms = {t: k for k, t in enumerate(chosen([r.term for r in best.select("term").collect()], max_terms))}
     schema = "toxic int, x array<double>"
 
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

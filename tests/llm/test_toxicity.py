@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexigrain.llm.queries import op10_toxicity
-from lexigrain.llm.toxicity import ToxicityModel, drop_toxic, fit, label_model, linear, score, toxicity
+from lexigrain.llm.toxicity import ToxicityModel, chosen, drop_toxic, fit, label_model, linear, score, toxicity
 
 
 def test_held_out_accuracy(spark):
@@ -76,3 +77,12 @@ def test_edges(spark):
     assert toxicity(docs, labels.limit(0)).count() == 20
     nothing = {r.doc_id: r.score for r in score(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), ToxicityModel({}, [0.0] * 7, -1.0)).collect()}
     assert nothing[1] == nothing[2]
+
+
+def test_bound_counts_spellings_only(spark):
+    docs, labels, rows = made(spark)
+    rare = F.when(F.col("doc_id") % 40 == 0, F.concat("text", F.lit(" zorkig"))).otherwise(F.col("text"))
+    found = fit(docs.withColumn("text", rare), labels, max_terms=5).terms
+    assert len(found) == 5 and {"badwo*", "worse*", "zorki*"} <= set(found)
+    assert set(fit(docs.withColumn("text", rare), labels, max_terms=1).terms) == {"badwo*", "worse*", "zorki*"}
+    assert chosen(["abcdef*", "abcde*", "abcdefg", "xy", "abcd"], 3) == ["abcde*", "xy", "abcd"]
