@@ -545,7 +545,7 @@ def php_code() -> RuleSet:
         rule("SEQUENCE_INTERPOLATED", r"\{(?=\$)|\$\{|(?<=[a-zA-Z0-9_\])])\}"),
         rule("NAME_VARIABLE", variable),
     ]
-    listed = lambda type_: RuleSet((rule("KEYWORD", r"\A[a-z]+(?:\s+(?:const|function)\b)?", fold=True, inner=RuleSet((SPACE,), "KEYWORD")), SPACE, rule(type_, name, fold=True, KEYWORD="as"), rule("PUNCTUATION", "[,;{}]"), rule("COMMENT_MULTILINE", C_COMMENT)), "IGNORABLE")
+    listed = lambda type_: RuleSet((rule("KEYWORD", r"\A[a-z]+(?:\s+(?:const|function)\b)?", fold=True, inner=RuleSet((SPACE,), "KEYWORD")), SPACE, rule("COMMENT_MULTILINE", C_COMMENT), rule("COMMENT_SINGLE", r"(?:#|//)[^\r\n]*"), rule("NAME_NAMESPACE", name + r"(?=\\\s*\{)"), rule("NAME_FUNCTION", r"(?<=\bfunction\s{1,20})" + name), rule("NAME_CONSTANT", r"(?<=\bconst\s{1,20})" + name), rule(type_, name, fold=True, KEYWORD="as extends implements function const catch"), rule("OPERATOR", r"\|"), rule("PUNCTUATION", "[(),;{}]")), "IGNORABLE")
     word = lambda keyword: rf"(?i:\b{keyword})\s+(?=[a-zA-Z_\\\x80-\xff])"
     return rules(
         SPACE,
@@ -559,7 +559,11 @@ def php_code() -> RuleSet:
         rule("STRING_DOUBLE", r"<<<[ \t]*\"?([a-zA-Z_][a-zA-Z0-9_]*)\"?(?:\r?\n|\z)(?s:.*?)(?:(?<=\n)\1\b|\z)", inner=inside),
         rule("KEYWORD", r"(?i:\buse\s+const\s)[^;]*;?", inner=listed("NAME_CONSTANT")),
         rule("KEYWORD", r"(?i:\buse\s+function\s)[^;]*;?", inner=listed("NAME_FUNCTION")),
+        rule("KEYWORD", word("use") + r"[^;{(]*\\\s*\{[^}]*\}?", inner=listed("NAME_CLASS")),
         rule("KEYWORD", word("use") + "[^;{(]*[;{]", inner=listed("NAME_CLASS")),
+        rule("KEYWORD", "(?<!->|::)" + word("(?:extends|implements)") + "[^;{(]*", inner=listed("NAME_CLASS")),
+        rule("KEYWORD", r"(?<!->|::)(?i:\bcatch)\s*\([^)$]*", inner=listed("NAME_CLASS")),
+        rule("NAME_VARIABLE_INSTANCE", r"(?<=\b(?i:public|protected|private|var)\s{1,20})" + variable),
         rule("KEYWORD", word("namespace") + "[^;{(]*", inner=listed("NAME_NAMESPACE")),
         rule("NAME_FUNCTION", r"(?<=\bfunction\s{1,20}&?)[a-zA-Z_][a-zA-Z0-9_]*"),
         rule("NAME_CONSTANT", r"(?<=\bconst\s{1,20})[a-zA-Z_][a-zA-Z0-9_]*"),

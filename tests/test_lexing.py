@@ -122,6 +122,25 @@ def test_word_lists_are_parameters(spark):
     assert lexed(spark, "foo bar", "PostgreSQL", words={"keywords": ["foo"]}) == [("KEYWORD", "foo"), ("IGNORABLE", " bar")]
 
 
+RETAGS = [
+    ("class A extends Z implements B, C { }", {"NAME_CLASS": ["A", "Z", "B", "C"]}),
+    ("interface A extends B, \\N\\C { }", {"NAME_CLASS": ["A", "B", "\\N\\C"]}),
+    ("try { f(); } catch (A | B $e) { }", {"NAME_CLASS": ["A", "B"], "OPERATOR": ["|"], "NAME_VARIABLE": ["$e"], "KEYWORD": ["try", "catch"]}),
+    ("$p->catch(X);", {"NAME_FUNCTION": ["catch"], "NAME_CONSTANT": ["X"], "NAME_CLASS": []}),
+    ("class A { public $x; private $y = 1; }", {"NAME_VARIABLE_INSTANCE": ["$x", "$y"], "NAME_VARIABLE": []}),
+    ("use A\\{B, C as D};", {"NAME_NAMESPACE": ["A"], "NAME_CLASS": ["B", "C", "D"], "KEYWORD": ["use", "as"], "NAME_CONSTANT": []}),
+    ("use function A\\{b, c};", {"NAME_NAMESPACE": ["A"], "NAME_FUNCTION": ["b", "c"]}),
+    ("use A\\{function b, const C, D};", {"NAME_FUNCTION": ["b"], "NAME_CONSTANT": ["C"], "NAME_CLASS": ["D"]}),
+]
+
+
+def test_php_names_in_lists(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(RETAGS)], "k int, text string")
+    for row in tokenize(df, "PHP", start_inline=True).collect():
+        expected = RETAGS[row.k][1]
+        assert {k: [t.text for t in row.tokens if t.type == k] for k in expected} == expected, row.text
+
+
 WORDS = [
     ("Nginx", "daemon on; accept_mutex off; proxy_ssl_ciphers HIGH;", "KEYWORD_BUILTIN", ["daemon", "accept_mutex", "proxy_ssl_ciphers"]),
     ("Nginx", "set $x $geoip_city; set $y $ssl_server_name; set $z $upstream_cookie_a;", "NAME_BUILTIN", ["$geoip_city", "$ssl_server_name", "$upstream_cookie_a"]),
