@@ -35,14 +35,19 @@ def json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("event_id", long(F.col("seq")).alias("seq"), "type", "start", "end", "text")
 
 
-def json_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+def json_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single characters of the properties by kind, joined to runs: gaps and islands as rows."""
     pieces = cut(F.col("props"), ["[0-9]", "[a-z]"])
     rows = read(spark, sf_dir, "events").select("event_id", F.posexplode(pieces).alias("seq", "p"))
     kind = F.when(F.col("p.n") == 0, "NUMBER").when(F.col("p.n") == 1, "NAME").otherwise("IGNORABLE")
     rows = rows.select("event_id", "seq", F.lit("x").alias("lexer"), F.lit(0).alias("depth"), kind.alias("type"), F.col("p.text").alias("text"))
     runs = coalesce_rows(rows, "event_id")
-    return runs.groupBy("type", "text").agg(F.count("*").alias("runs")).where("type <> 'NUMBER'")
+    return runs.groupBy("type", "text").agg(F.count("*").alias("runs"))
+
+
+def json_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of ``json_runs`` that aren't digits."""
+    return json_runs(spark, sf_dir).where("type <> 'NUMBER'")
 
 
 def json_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +286,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -293,6 +298,9 @@ JSON = r"""
 ORACLE_SQL = {
     "json_types": JSON + " select type, count(*) as tokens, sum(length(text))::bigint as chars from tokens group by type",
     "json_spans": JSON + """ select event_id, seq::bigint as seq, type, ("end" - length(text))::bigint as start, "end"::bigint as "end", text from (select *, sum(length(text)) over (partition by event_id order by seq) as "end" from tokens)""",
+    "json_runs": """
+        with runs as (select unnest(regexp_extract_all(props, '[0-9]+|[a-z]+|[^0-9a-z]+')) as text from events)
+        select case when regexp_matches(text, '^[0-9]') then 'NUMBER' when regexp_matches(text, '^[a-z]') then 'NAME' else 'IGNORABLE' end as type, text, count(*) as runs from runs group by all""",
     "json_islands": """
         with runs as (select unnest(regexp_extract_all(props, '[0-9]+|[a-z]+|[^0-9a-z]+')) as text from events)
         select case when regexp_matches(text, '^[a-z]') then 'NAME' else 'IGNORABLE' end as type, text, count(*) as runs from runs where not regexp_matches(text, '^[0-9]') group by all""",
