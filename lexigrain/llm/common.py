@@ -4,18 +4,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+K, V = TypeVar("K", bound=Hashable), TypeVar("V")
+
+
+class Memo(dict[K, V]):
+    """What ``make`` gives for words, in a worker: at most ``most`` words of at most ``longest`` characters
+    are kept, so that its memory is bounded whatever the texts hold; other words are made anew each time."""
+
+    def __init__(self, make: Callable[[K], V], most: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, word: K) -> V:
+        found = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the session has no such folder (tests), a temporary one is set for it.
+    A local session without such a folder (tests) gets a temporary one; a cluster's must have one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-lexigrain-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"
@@ -30,6 +53,16 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables that ``keep`` gave, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("lexigrain-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,11 +1,14 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lexigrain.llm.queries import op10_toxicity
-from lexigrain.llm.toxicity import ToxicityModel, chosen, drop_toxic, fit, label_model, linear, score, toxicity
+from lexigrain.llm.toxicity import ToxicityModel, chosen, dependencies, drop_toxic, fit, form_of, generative, label_model, linear, score, toxicity
 
 
 def test_held_out_accuracy(spark):
@@ -86,3 +89,35 @@ def test_bound_counts_spellings_only(spark):
     assert len(found) == 5 and {"badwo*", "worse*", "zorki*"} <= set(found)
     assert set(fit(docs.withColumn("text", rare), labels, max_terms=1).terms) == {"badwo*", "worse*", "zorki*"}
     assert chosen(["abcdef*", "abcde*", "abcdefg", "xy", "abcd"], 3) == ["abcde*", "xy", "abcd"]
+
+
+def plain_score(text, model):
+    """The classifier's score by counting the terms one by one."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    scale = 1000 / max(20, len(words))
+    fits = lambda w, t: len(w) > len(t) - 1 and w.startswith(t[:-1]) if t.endswith("*") else w == t
+    z = model.bias + sum(model.weights[c] * math.log1p(scale * sum(fits(w, t) for w in words)) / 4 for t, c in model.terms.items())
+    z += model.weights[len(model.terms)] * math.log1p(scale * sum(any(fits(w, t) for t in model.terms) for w in words))
+    z += sum(a * b for a, b in zip(model.weights[len(model.terms) + 1 :], form_of(text or "", words, Counter(words)), strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_of_repeated_rows_by_hand(spark):
+    docs, labels, _ = made(spark)
+    model = fit(docs, labels)
+    rows = [(1, "Badword, badword WORSEWORDS! word1"), (1, "Badword, badword WORSEWORDS! word1"), (1, "word2 word3"), (None, "badwo"), (2, None)]
+    found = score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted((r.doc_id or 0, round(r.score, 9)) for r in found) == sorted((i or 0, round(plain_score(t, model), 9)) for i, t in rows)
+
+
+def test_dependencies_are_the_dependent_pairs():
+    rng = np.random.default_rng(3)
+    truth = rng.random(5_000) < 0.3
+    base = [np.where(truth, rng.random(5_000) < 0.6, rng.random(5_000) < 0.1) for _ in range(4)]
+    near = np.where(rng.random(5_000) < 0.05, ~base[2], base[2])
+    votes = np.column_stack([*base, near]).astype(np.uint8)
+    parent, left = dependencies(truth.astype(float), votes)
+    assert {frozenset((k, p)) for k, p in enumerate(parent) if p >= 0} == {frozenset((2, 4))} and 0.8 < left < 1
+    assert dependencies(truth.astype(float), votes[:, :0])[0].size == 0
+    _, _, held, given = generative(votes, truth.astype(int))
+    assert given.shape == (6, 2, 2) and held[-1] == -1
