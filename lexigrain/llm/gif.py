@@ -160,13 +160,25 @@ def opaque(colours: np.ndarray) -> np.ndarray:
     return np.column_stack([colours, np.full(len(colours), 255, np.uint8)])
 
 
-def decode(data: bytes) -> list[Frame]:
-    """All frames in order. ValueError, IndexError or struct.error if it isn't a GIF."""
+#: Pixels of the largest screen or frame that is decoded: a header of a few bytes can name 65,535 x 65,535.
+MAX_PIXELS = 1 << 25
+
+
+def decode(data: bytes, max_pixels: int = MAX_PIXELS) -> list[Frame]:
+    """All frames in order, see ``frames_of``."""
+    return list(frames_of(data, max_pixels))
+
+
+def frames_of(data: bytes, max_pixels: int = MAX_PIXELS) -> Iterator[Frame]:
+    """The frames one by one, so that an animation takes the memory of a few. ValueError, IndexError or
+    struct.error if it isn't a GIF, ValueError if the screen or a frame has over ``max_pixels`` pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     wide, high, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
     shared, at = palette_of(data, 13, flags)
-    canvas, frames, control = np.zeros((high, wide, 4), np.uint8), [], (0, 0, None)
+    if wide * high > max_pixels:
+        raise ValueError("the screen is too large")
+    canvas, control = np.zeros((high, wide, 4), np.uint8), (0, 0, None)
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label, (body, at) = data[at + 1], blocks(data, at + 2)
@@ -176,6 +188,8 @@ def decode(data: bytes) -> list[Frame]:
         if data[at] != 0x2C:
             raise ValueError("an unknown block")
         left, top, width, height, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        if width * height > max_pixels:
+            raise ValueError("a frame is too large")
         own, at = palette_of(data, at + 10, flags)
         depth, (stream, at) = data[at], blocks(data, at + 1)
         indices = lzw_decode(stream, depth, width * height)
@@ -197,13 +211,12 @@ def decode(data: bytes) -> list[Frame]:
             place[:] = drawn
         else:
             np.copyto(place, drawn, where=(seen != transparent)[..., None])
-        frames.append(Frame(left, top, width, height, delay, disposal, transparent, grid.tobytes(), canvas.copy()))
+        yield Frame(left, top, width, height, delay, disposal, transparent, grid.tobytes(), canvas.copy())
         if disposal == 2:
             place[:] = 0
         elif disposal == 3:
             canvas = before
         control = (0, 0, None)
-    return frames
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
@@ -236,10 +249,12 @@ def store(payload: bytes, width: int = 192, frame_rows: int = 128, delay: int =
 FRAMES = "id long, frame long, left long, top long, width long, height long, delay_ms long, disposal long, transparent long, histogram array<long>, error string"
 
 
-def frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def frames(df: DataFrame, id_col: str, media_col: str, max_pixels: int = MAX_PIXELS) -> DataFrame:
     """One row per frame of the GIFs in ``media_col``, with its time and the 64 counts of its colours.
 
-    A null, empty or broken file gives one row with ``error`` and nulls; a file without frames, none.
+    A null, empty or broken file gives one row with ``error`` and nulls after the frames before the fault,
+    as does one with a screen or frame of over ``max_pixels`` pixels; a file without frames, none. Rows
+    repeated with one identifier give their frames each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +263,7 @@ def frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
             rows = []
             for ident, media in zip(batch.column("id").to_pylist(), batch.column("media"), strict=True):
                 try:
-                    for k, f in enumerate(decode(media.as_py() or b"")):
+                    for k, f in enumerate(frames_of(media.as_py() or b"", max_pixels)):
                         rows.append((ident, k, f.left, f.top, f.width, f.height, f.delay_ms, f.disposal, f.transparent, histogram(f.canvas).tolist(), None))
                 except (ValueError, IndexError, struct.error) as problem:
                     rows.append((ident, *[None] * 9, str(problem)))
@@ -283,10 +298,10 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = media.as_py()
             digest = hashlib.sha256(media).hexdigest()
             if digest not in known:
-                shown = decode(media)
-                payload = b"".join(f.indices for f in shown)
-                counts = sum((histogram(f.canvas) for f in shown), np.zeros(64, np.int64))
-                feature = f"frames={len(shown)} ms={sum(f.delay_ms for f in shown)} colours=" + ",".join(f"{k}:{n}" for k, n in enumerate(counts.tolist()) if n)
+                shown = [(f.indices, f.delay_ms, histogram(f.canvas)) for f in frames_of(media)]
+                payload = b"".join(samples for samples, _, _ in shown)
+                counts = sum((colours for _, _, colours in shown), np.zeros(64, np.int64))
+                feature = f"frames={len(shown)} ms={sum(ms for _, ms, _ in shown)} colours=" + ",".join(f"{k}:{n}" for k, n in enumerate(counts.tolist()) if n)
                 known[digest] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), digest, feature)
             rows.append((ident, n, *known[digest]))
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -297,8 +312,9 @@ def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text as a GIF in the shared folder, reads the table back and describes it.
 
-    Null texts count as empty (192 spaces); a null identifier is kept; an empty table gives no rows;
-    long texts become animations of as many frames as they need.
+    Null texts count as empty (192 spaces); a null identifier is kept; rows repeated with one identifier
+    give a row each; an empty table gives no rows; long texts become animations of as many frames as they
+    need.
     """
     media = keep(id_and_text(df, id_col, text_col).mapInArrow(stored, "doc_id long, n_bytes long, media binary"))
     return media.mapInArrow(read_back, READ)

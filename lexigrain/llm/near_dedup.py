@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import id_and_text, keep
+from lexigrain.llm.common import Memo, discard, id_and_text, keep
 
 M1, M2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 S33, LOW = np.uint64(33), np.uint64(0xFFFFFFFF)
@@ -40,17 +40,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> S33)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept while there are at most ``most`` of them."""
+class WordHashes(Memo[bytes, int]):
+    """64-bit hashes of words, kept for ``most`` words of at most 64 bytes."""
 
     def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+        super().__init__(xxhash.xxh3_64_intdigest, most)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -243,7 +237,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = keep(small)
+        before, edges = edges, keep(small)
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -41,15 +41,15 @@ class WordTokenizer:
 
     The tokenizer drops white space and treats each word on its own, so the ids of what stands between
     white space are looked up once and kept, and those of its words without punctuation, ``most`` of
-    either at a time. A text's new words are encoded in one call; a word ends with the token that has the
+    either at a time; those longer than ``longest`` characters only while their text is tokenized. A text's new words are encoded in one call; a word ends with the token that has the
     vocabulary's mark of a word's end. Texts with unusual characters or with special tokens' marks go
     through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.last = {k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
@@ -91,6 +91,9 @@ class WordTokenizer:
                 self.chunks[next(which)] = b"".join(ids)
                 ids.clear()
         self.chunks[next(which)] = b"".join(ids)
+        for word in new:
+            if len(word) > self.longest:
+                del self.words[word]
 
     def usual(self, text: str) -> bool:
         try:
@@ -108,7 +111,11 @@ class WordTokenizer:
             new = set(chunks)
         if new:
             self.learn_chunks(list(new))
-        return b"".join(map(self.chunks.__getitem__, chunks))
+        ids = b"".join(map(self.chunks.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > self.longest:
+                del self.chunks[chunk]
+        return ids
 
 
 @functools.lru_cache(maxsize=1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import id_and_text
+from lexigrain.llm.common import Memo, id_and_text
 
 SPACE = "▁"
 #: Words with the spaces before them: no piece has a space after another character, or has a line feed.
@@ -53,15 +53,16 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, any(map(file.is_byte, range(file.get_piece_size()))))
 
 
-class Counter(dict):
-    """Piece counts and scores of texts. A worker's memory holds ``most`` words at most.
+class Counter(Memo):
+    """Piece counts and scores of texts, kept for ``most`` words of at most 64 characters.
 
     Unknown runs that aren't spelled in bytes are one piece even across words, so there a line feed,
     which is unknown, stays with its neighbours.
     """
 
     def __init__(self, vocabulary: Vocabulary, most: int = 300_000):
-        self.fallback, self.unknown, self.most = vocabulary.byte_fallback, vocabulary.unknown_score, most
+        super().__init__(self.word, most)
+        self.fallback, self.unknown = vocabulary.byte_fallback, vocabulary.unknown_score
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
@@ -98,12 +99,6 @@ class Counter(dict):
             ways.append(best)
         return ways[-1][1], ways[-1][0]
 
-    def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = found = self.word(word)
-        return found
-
     def text(self, text: str) -> tuple[int, float]:
         """(pieces, score); words' scores are added in order."""
         if not text:
@@ -129,7 +124,8 @@ def count_tokens(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
 
     Spaces become the vocabulary's word mark, one is put before the text; nothing else is normalised.
     Null counts as empty and has no tokens; rows repeated with one identifier are counted each; null
-    identifiers are kept; an empty table gives no rows; memory grows with a word, not with a text.
+    identifiers are kept; an empty table gives no rows. Words are kept for later texts only up to 64
+    characters; a longer one, which may be a whole text, takes memory in proportion while it is counted.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

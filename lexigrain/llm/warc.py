@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import keep, scratch
+from lexigrain.llm.common import discard, keep, scratch
 
 MAGIC = b"WARC/1."
 STEP = len(MAGIC)
@@ -145,8 +145,8 @@ def reparse(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file, at, content in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("content"), strict=True):
-                content = content.as_py()
+            for file, at, parts in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("parts"), strict=True):
+                content = MAGIC.join(part["content"] for part in parts.as_py())
                 rows.append((file, at, *fields_of(content, *head_of(content), with_payload)))
             yield table(rows, f"file string, at long, {FIELDS}")
 
@@ -167,7 +167,8 @@ def chain(candidates: DataFrame) -> DataFrame:
         pointers = nodes.join(ends, ["file", "to"], "left").select("file", "at", F.col("after").alias("to"), "reached")
         hits = nodes.where("reached and to is not null").select("file", F.col("to").alias("at"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("reached"), F.lit(False).alias("known"))
         both = pointers.withColumn("known", F.lit(True)).unionByName(hits)
-        nodes = keep(both.groupBy("file", "at").agg(F.max("to").alias("to"), F.max("reached").alias("reached"), F.max("known").alias("known")).where("known").drop("known"))
+        before, nodes = nodes, keep(both.groupBy("file", "at").agg(F.max("to").alias("to"), F.max("reached").alias("reached"), F.max("known").alias("known")).where("known").drop("known"))
+        discard(before)
         now = nodes.where("reached").count()
         if now == reached:
             return nodes.where("reached").select("file", "at")
@@ -204,8 +205,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     owned = starts.withColumn("owner", F.last("owner", True).over(of)).withColumn("end", F.last("end", True).over(of)).where("at < end").select("file", "at", "owner")
     contents = text.mapInArrow(scan(True, False), PIECE).select("file", "split", "within", "content").join(bases, ["file", "split"]).withColumn("at", at)
     parts = contents.join(owned, ["file", "at"]).groupBy("file", F.col("owner").alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda done, part: F.concat(done, F.lit(MAGIC), part["content"]))
-    whole = parts.select("file", "at", F.substring(joined, STEP + 1, 2**31 - 1).alias("content")).mapInArrow(reparse(with_payload), f"file string, at long, {FIELDS}")
+    whole = parts.mapInArrow(reparse(with_payload), f"file string, at long, {FIELDS}")
     return records.where("total <= size").select(*out).unionByName(whole.select(*out))
 
 

@@ -92,3 +92,19 @@ def test_frames(spark):
     assert [(r.id, r.frame, r.delay_ms) for r in rows] == [(1, 0, 50), (1, 1, 0), (2, None, None), (3, None, None)]
     assert rows[0].histogram[48] == 3 and rows[0].histogram[0] == 1 and rows[2].error
     assert np.array(rows[1].histogram).sum() == 4
+
+
+def test_hostile_sizes(spark):
+    huge = gif([frame([1, 1, 1, 1])], 20_000, 20_000)
+    tall = gif([frame([0, 1, 1, 1]), frame([1], width=65_535, height=65_535)])
+    df = spark.createDataFrame([(1, huge), (2, tall), (2, tall), (3, gif([frame([1])] * 3, 9, 9))], "id long, media binary")
+    rows = sorted(((r.id, r.frame, r.error) for r in frames(df, "id", "media").collect()), key=repr)
+    assert rows[0] == (1, None, "the screen is too large")
+    assert rows[1:5] == [(2, 0, None), (2, 0, None), (2, None, "a frame is too large"), (2, None, "a frame is too large")]
+    assert [r[:2] for r in rows[5:]] == [(3, 0), (3, 1), (3, 2)]
+    assert [r.error for r in frames(df.where("id = 3"), "id", "media", max_pixels=80).collect()] == ["the screen is too large"]
+
+
+def test_repeated_identifiers(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b")], "doc_id long, text string")
+    assert sorted(r.payload_sha256 for r in text_media(df).collect()) == sorted(hashlib.sha256(t.ljust(192).encode()).hexdigest() for t in "abb")

@@ -73,3 +73,12 @@ def test_edges(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
     rows = pack(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), PATH).collect()
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 2), (1, 2), (1, 2)] and {r.sequence_id for r in rows} == {0}
+
+
+def test_long_words_are_not_kept():
+    whole, fast = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    rng = random.Random(8)
+    for _ in range(40):
+        text = "".join(rng.choices("abcdefghij0-", k=20_000)) + " short words"
+        assert list(array("I", fast(text))) == whole.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*fast.chunks, *fast.words])) <= 64

@@ -1,5 +1,6 @@
 import functools
 import random
+import tracemalloc
 
 import pytest
 from tokenizers import Tokenizer
@@ -72,3 +73,18 @@ def test_query_and_edges(spark):
     got = sorted((tuple(r) for r in count_tokens(df, path).collect()), key=repr)
     assert [r[:2] for r in got[:2]] == [(1, 0), (1, 0)] and len(got) == 4
     assert count_tokens(df.limit(0), path).collect() == []
+
+
+def test_memory_does_not_grow_with_long_words():
+    """Of a thousand distinct long words none is kept."""
+    counter = Counter(Vocabulary({c: -1.0 for c in "abcdefghij"} | {SPACE: -1.0}, True), most=500)
+    tracemalloc.start()
+    for k in range(1_000):
+        word = (f"{k:03d}".translate(str.maketrans("0123456789", "abcdefghij")) + "aj") * 40_000
+        assert counter[word if k % 20 == 0 else word[:65]][0] > 0  # each 20th in full, for time
+    assert tracemalloc.get_traced_memory()[0] < 5_000_000
+    tracemalloc.stop()
+    assert max(map(len, counter), default=0) <= 64
+    for k in range(2_000):
+        counter.text(f"w{k}")
+    assert len(counter) <= 500
