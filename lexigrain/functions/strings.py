@@ -100,8 +100,17 @@ def guess_encoding(data: Column) -> Column:
 def first_bad_utf8(data: Column) -> Column:
     """The place of the first byte that isn't UTF-8, from 0; null for valid data."""
     fixed = F.encode(F.make_valid_utf8(data.cast("string")), "UTF-8")
-    same = F.filter(F.sequence(F.lit(1), F.least(F.octet_length(data), F.octet_length(fixed))), lambda k: F.substr(data, k, F.lit(1)) != F.substr(fixed, k, F.lit(1)))
-    return F.when(~F.is_valid_utf8(data.cast("string")), F.coalesce(F.get(same, F.lit(0)), F.least(F.octet_length(data), F.octet_length(fixed)) + 1) - 1)
+    part = lambda c, n: F.substr(c, F.lit(1), n)
+
+    def halve(found: Column, _: Column) -> Column:
+        """Bounds of the number of bytes that are the same: each step compares one beginning."""
+        middle = F.ceil((found["low"] + found["high"]) / 2).cast("int")
+        same = part(data, middle) == part(fixed, middle)
+        return F.struct(F.when(same, middle).otherwise(found["low"]).alias("low"), F.when(same, found["high"]).otherwise(middle - 1).alias("high"))
+
+    bounds = F.struct(F.lit(0).alias("low"), F.least(F.octet_length(data), F.octet_length(fixed)).alias("high"))
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(32)), bounds, halve, lambda found: found["low"])
+    return F.when(~F.is_valid_utf8(data.cast("string")), same)
 
 
 def to_utf8(data: Column, encoding: Column) -> Column:
@@ -114,4 +123,4 @@ def to_utf8(data: Column, encoding: Column) -> Column:
 
 def is_binary(data: Column) -> Column:
     """Whether one of the first 1,024 bytes is zero."""
-    return F.hex(F.substring(data, 1, 1024)).rlike("^(?:..)*00")
+    return F.contains(F.substring(data, 1, 1024), F.unhex(F.lit("00")))

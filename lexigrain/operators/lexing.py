@@ -2,23 +2,34 @@
 
 A rule set is an ordered list of patterns; at each place the first pattern that matches makes a token, and
 what no pattern matches gets the set's default type, so the tokens always spell the text. One
-``regexp_replace`` marks which pattern made each piece, one ``split`` cuts there: a text is scanned once,
-in the JVM, without a shuffle. A rule may hand its piece to another rule set (the escapes of a string, the
-styles and scripts of a page); the nesting of rule sets is part of the plan and so has a fixed depth.
+``regexp_replace`` puts a mark behind each piece that tells which pattern made it; all that follows works on
+the marked text: word lists change the marks of the words they hold, neighbours with one mark are joined, and
+in the end one function call a token makes rows of it. A text is scanned a few times, in the JVM, without a
+shuffle. A rule may hand its piece to another rule set (the escapes of a string, the styles and scripts of a
+page); the nesting of rule sets is part of the plan and so has a fixed depth.
+
+The expression of a rule set is made as SQL text, which is parsed in one go; columns made one by one would
+cost a call to the JVM for each of some thousand parts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that never occur in text: between a piece and the numbers of the patterns, and after a piece.
-MARK, STOP = "\ufdd0", "\ufdd1"
+#: Marks, and the stop behind a piece, are the characters of one private use block. A text's own ones are
+#: moved to another block meanwhile.
+FIRST, SIZE = 0xE000, 256
+STOP = chr(FIRST + SIZE - 1)
+BLOCK = rf"\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 1:x}}}"
+ANY, TEXT, AFTER_STOP = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 2:x}}}]", f"[^{BLOCK}]++", f"(?<![^{STOP}])"
+#: What doesn't stay of the marks around the pieces, and of neighbours with one mark.
+SPARE = rf"(?<={ANY}){ANY}++|{AFTER_STOP}{ANY}++{STOP}?"
+TWINS = rf"(?<![{BLOCK}])({ANY}){ANY}*+{STOP}{ANY}*+(?={TEXT}\1)"
 TOKEN = "array<struct<lexer:string,depth:int,type:string,text:string>>"
 
 
@@ -61,66 +72,162 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def literal(text: str) -> str:
+    """A string in SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
+
+
 def groups_in(pattern: str) -> int:
     """Capturing groups of a pattern."""
     bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
 
 
-def cut(text: Column, patterns: list[str]) -> Column:
-    """Array of (number of the pattern, piece); the last number is for what none matches."""
-    parts, keep, at = [], [], 1
-    for pattern in [*patterns, r"(?s:.)"]:
+def one_of(words: Iterable[str]) -> str:
+    """A pattern for whole words of a list, as a tree of their beginnings."""
+    by_first: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        by_first.setdefault(word[:1], []).append(word[1:])
+    ends = "" in by_first
+    by_first.pop("", None)
+    parts = [re.escape(first) + one_of(rest) for first, rest in by_first.items()]
+    return parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})" + "?" * ends if parts else ""
+
+
+def bound(name: str, value: str, use: str) -> str:
+    """SQL of ``use`` with ``value`` computed once and called ``name``."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def marked_sql(text: str, patterns: list[tuple[str, str]]) -> str:
+    """SQL of a text with marks around each piece and a stop behind it, from (pattern, mark) in order; the
+    last is for single characters that no pattern matches. Of the marks behind a piece the first is its own."""
+    parts, kept, at = [], [], 1
+    for pattern, mark in patterns:
         shifted = re.sub(r"\\([1-9])", lambda m, at=at: "\\" + str(int(m[1]) + at), pattern) if groups_in(pattern) else pattern
         parts.append(f"({shifted})")
-        keep.append(f"${at}")
+        kept.append(f"${at}{mark}")
         at += 1 + groups_in(pattern)
-    marked = F.rtrim(F.regexp_replace(text, "|".join(parts), MARK.join(keep) + STOP), F.lit(STOP))
-    pieces = F.transform(F.split(marked, STOP), lambda x: F.struct((F.call_function("position", F.replace(x, F.lit(MARK), F.lit("")), x) - 1).alias("n"), F.replace(x, F.lit(MARK), F.lit("")).alias("text")))
-    return F.when(text == "", F.array().cast("array<struct<n:int,text:string>>")).otherwise(pieces)
+    return f"regexp_replace({text}, {literal('|'.join(parts))}, {literal(''.join(kept) + STOP)})"
 
 
-def typed(r: Rule, text: Column) -> Column:
-    spelled = F.lower(text) if r.fold else text
-    out = F.lit(r.type)
-    for type_, words in r.words.items():
-        out = F.when(spelled.isin(*sorted(words)), F.lit(type_)).otherwise(out)
-    return out
+def without_sql(marked: str, *patterns: str) -> str:
+    return f"regexp_replace({marked}, {literal('|'.join(patterns))}, '')"
 
 
-def tokens_of(text: Column, rule_set: RuleSet, lexer: str, depth: int = 0) -> Column:
-    """Array of (lexer, depth, type, text), not yet coalesced."""
-    lexer, depth = (rule_set.lexer, depth + 1) if rule_set.lexer and rule_set.lexer != lexer else (lexer, depth)
-    token = lambda type_, piece: F.struct(F.lit(lexer).alias("lexer"), F.lit(depth).alias("depth"), type_.alias("type"), piece.alias("text"))
-    pieces = cut(text, [r.pattern for r in rule_set.rules])
-    plain = F.array(*(F.lit(r.type) for r in rule_set.rules), F.lit(rule_set.default))
-    special = [(k, r) for k, r in enumerate(rule_set.rules) if r.words]
+def split_sql(marked: str) -> str:
+    """Pieces with their own marks."""
+    return f"split(rtrim('{STOP}', {marked}), '{STOP}')"
 
-    def type_of(p: Column) -> Column:
-        return reduce(lambda rest, kr: F.when(p["n"] == kr[0], typed(kr[1], p["text"])).otherwise(rest), special, plain[p["n"]])
 
-    inner = [(k, r) for k, r in enumerate(rule_set.rules) if r.inner is not None]
-    if not inner:
-        return F.transform(pieces, lambda p: token(type_of(p), p["text"]))
+def number_sql(piece: str) -> str:
+    return f"(ascii(substr({piece}, -1)) - {FIRST})"
+
+
+class Marks(dict):
+    """A mark for each key, in the order in which they are asked for."""
+
+    def __missing__(self, key: tuple) -> str:
+        if len(self) == SIZE - 1:
+            raise ValueError("the rule sets have too many kinds of tokens")
+        self[key] = mark = chr(FIRST + len(self))
+        return mark
 
-    def one(p: Column) -> Column:
-        out = F.array(token(type_of(p), p["text"]))
-        for k, r in inner:
-            out = F.when(p["n"] == k, tokens_of(p["text"], r.inner, lexer, depth)).otherwise(out)
-        return out
 
-    return F.flatten(F.transform(pieces, one))
+def relabelled_sql(marked: str, listed: list[tuple[str, list[tuple[Iterable[str], bool, str]], str]]) -> str:
+    """SQL of a marked text in which the words of lists have the lists' marks, from (mark of the rule, lists
+    of (words, fold, mark), mark of other pieces)."""
+    parts, kept, at = [], [], 1
+    for own, tables, other in listed:
+        found = []
+        for words, fold, mark in tables:
+            found.append(f"((?i:{one_of(words)}))" if fold else f"({one_of(words)})")
+            kept.append(f"${at}{mark}")
+            at += 1
+        parts.append("".join(f"{f}{own}|" for f in found) + f"({TEXT}){own}")
+        kept.append(f"${at}{other}")
+        at += 1
+    return f"regexp_replace({marked}, {literal(f'(?<![^{BLOCK}])(?![{BLOCK}])(?:{"|".join(parts)})')}, {literal(''.join(kept))})"
 
 
-def coalesced(tokens: Column) -> Column:
-    """Neighbours of one type, lexer and depth joined into one token."""
+def first_of(pattern: str) -> str | None:
+    """The character with which all matches of a pattern begin, if that is easily told."""
+    m = re.match(r"\\\\|\\\$|[&%]", pattern)
+    bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern)
+    while (shorter := re.sub(r"\([^()]*\)", "", bare)) != bare:
+        bare = shorter
+    return m[0] if m and "|" not in bare else None
+
 
-    def join(t: Column) -> Column:
-        differs = lambda i: (t[i - 1]["type"] != t[i - 2]["type"]) | (t[i - 1]["lexer"] != t[i - 2]["lexer"]) | (t[i - 1]["depth"] != t[i - 2]["depth"])
-        first = F.filter(F.sequence(F.lit(1), F.size(t)), lambda i: F.when(i == 1, F.lit(True)).otherwise(differs(i)))
-        return let(first, lambda s: F.transform(s, lambda at, k: F.struct(t[at - 1]["lexer"].alias("lexer"), t[at - 1]["depth"].alias("depth"), t[at - 1]["type"].alias("type"), F.array_join(F.transform(F.slice(t, at, F.coalesce(F.get(s, k + 1), F.size(t) + 1) - at), lambda x: x["text"]), "").alias("text"))))
+def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, lexer: str, depth: int = 0, level: int = 0, *spare: str) -> str:
+    """SQL of the marked text of a rule set and those inside it; a mark stands for (lexer, depth, type).
+    ``spare``: what else goes together with the spare marks."""
+    lexer, depth = (rule_set.lexer, depth + 1) if rule_set.lexer and rule_set.lexer != lexer else (lexer, depth)
+    p, s = f"p{level}", f"s{level}"
+    patterns, listed, inner = [], [], []
+    for k, r in enumerate(rule_set.rules):
+        mark = marks[lexer, depth, r.type]
+        if r.inner is not None or any(r.words.values()):
+            own = marks["rule", lexer, depth, level, k, id(r)]
+            if r.inner is not None:
+                inner.append((own, r))
+            else:  # the last list that has a word wins
+                listed.append((own, [(words, r.fold, marks[lexer, depth, t]) for t, words in reversed(r.words.items()) if words], mark))
+            mark = own
+        if patterns and patterns[-1][1] == mark and not groups_in(r.pattern):
+            patterns[-1] = (f"{patterns[-1][0]}|{r.pattern}", mark)
+        else:
+            patterns.append((r.pattern, mark))
+    out = marked_sql(text, [*patterns, (r"(?s:.)", marks[lexer, depth, rule_set.default])])
+    if listed:
+        out = relabelled_sql(out, listed)
+    if not inner:
+        return without_sql(out, *spare, SPARE)
+    out = without_sql(out, SPARE)
+    plain: dict[tuple[str, str], str] = {}  # pieces in which no inner rule can match
+    for own, r in inner:
+        needles = {first_of(i.pattern) for i in r.inner.rules}
+        if None not in needles and not r.inner.lexer:
+            key = ("".join(sorted(needles)), marks[lexer, depth, r.inner.default])
+            plain[key] = plain.get(key, "") + own
+    for (needles, mark), owns in plain.items():
+        out = f"regexp_replace({out}, {literal(f'({AFTER_STOP}[^{BLOCK}{needles}]++)[{owns}]')}, {literal('$1' + mark)})"
+    some = f"[{''.join(own for own, _ in inner)}]"
+    cases = "".join(f" when {literal(own)} then {tokens_sql(f'substr({p}, 1, length({p}) - 2)', r.inner, marks, lexer, depth, level + 1)}" for own, r in inner)
+    parts = f"regexp_extract_all({s}, {literal(f'{TEXT}{some}{STOP}|(?:{TEXT}(?!{some}){ANY}{STOP})++')}, 0)"
+    whole = f"array_join(transform({parts}, {p} -> case substr({p}, -2, 1){cases} else {p} end), '')"
+    return bound(s, out, f"if({s} rlike {literal(some)}, {whole}, {s})")
 
-    return let(tokens, lambda t: F.when(F.size(t) == 0, t).otherwise(join(t)))
+
+def cut(text: Column, patterns: list[str]) -> Column:
+    """Array of (number of the pattern, piece); the last number is for what none matches."""
+    numbered = [(pattern, chr(FIRST + k)) for k, pattern in enumerate([*patterns, r"(?s:.)"])]
+    pieces = f"transform({split_sql(without_sql(marked_sql('y', numbered), SPARE))}, p -> named_struct('n', {number_sql('p')}, 'text', {back_sql('p')}))"
+    type_ = "array<struct<n:int,text:string>>"
+    none = f"array(named_struct('n', {len(patterns)}, 'text', x))"
+    return F.call_function("transform", F.array(text), F.expr(aside_sql(pieces, type_, none)))[0]
+
+
+def aside_sql(use: str, type_: str, otherwise: str) -> str:
+    """A function of a text, as SQL: null of null, an empty array of an empty text, else ``use``, which calls
+    the text ``y`` and gets at a piece's text by ``back_sql``. Where the text has characters of the marks'
+    block, these are moved to a private use block of planes 15 and 16 that the text doesn't touch;
+    ``otherwise`` if there is no such block."""
+    high = literal(r"[^\x{f0000}-\x{10ffff}]+")
+    taken = f"transform(split(regexp_replace(x, {high}, ''), ''), c -> substr(hex(encode(c, 'UTF-32')), -6, 4))"
+    free = f"array_except(transform(sequence({0xF00}, {0x10FF}), b -> lpad(hex(b), 4, '0')), {taken})"
+    block = lambda code: f"array_join(transform(sequence(0, {SIZE - 1}), i -> decode(unhex({code}), 'UTF-32')), '')"
+    far = block("concat('00', free[0], lpad(hex(i), 2, '0'))")
+    near = block(f"lpad(hex(i + {FIRST}), 8, '0')")
+    moved = f"case when x rlike {literal(f'[{BLOCK}]')} then {bound('free', free, f"named_struct('near', {near}, 'far', if(size(free) = 0, '', {far}))")} end"
+    text = bound("y", "if(v is null, x, translate(x, v.near, v.far))", use)
+    return f"x -> {bound('v', moved, f"case when x is null then null when x = '' then cast(array() as {type_}) when v.far = '' then {otherwise} else {text} end")}"
+
+
+def back_sql(piece: str) -> str:
+    """The text of a piece without its mark, moved characters where they were."""
+    bare = f"substr({piece}, 1, length({piece}) - 1)"
+    return f"if(v is null, {bare}, translate({bare}, v.far, v.near))"
 
 
 def uppercased(tokens: Column) -> Column:
@@ -128,12 +235,29 @@ def uppercased(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: t.withField("text", F.when(t["type"].isin("KEYWORD", "KEYWORD_TYPE"), F.upper(t["text"])).otherwise(t["text"])))
 
 
+def lex_sql(rule_set: RuleSet, lexer: str) -> str:
+    """A function of a text, as SQL, that gives its tokens."""
+    with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer)
+    marks = Marks()
+    flat = all(r.inner is None for r in rule_set.rules)
+    joined = tokens_sql("y", with_shebang, marks, lexer, 0, 0, TWINS) if flat else without_sql(tokens_sql("y", with_shebang, marks, lexer), TWINS)
+    kinds = [("", 0, "") if k[0] == "rule" else k for k in marks]
+    first = next(k for k in kinds if k[0])
+
+    def column(f: int) -> str:
+        values = [str(k[f]) if f == 1 else literal(k[f]) for k in kinds]
+        alike = all(k[f] == first[f] for k in kinds if k[0])
+        return values[kinds.index(first)] if alike else f"array({', '.join(values)})[{number_sql('p')}]"
+
+    token = f"named_struct('lexer', {column(0)}, 'depth', {column(1)}, 'type', {column(2)}, 'text', {back_sql('p')})"
+    whole = f"array(named_struct('lexer', {literal(lexer)}, 'depth', 0, 'type', 'ERROR', 'text', x))"
+    return aside_sql(f"transform({split_sql(joined)}, p -> {token})", TOKEN, whole)
+
+
 def lex(text: Column, rule_set: RuleSet, lexer: str) -> Column:
     """The tokens of ``text``: one leading byte order mark is left out, a first line that begins with
     ``#!`` is one IGNORABLE token, neighbours of one type are joined. Null gives null, an empty text no
-    tokens. U+FDD0 and U+FDD1 aren't text: where they occur the whole text is one ERROR token."""
+    tokens; a text with characters of all 512 private use blocks of planes 15 and 16, and of the first block
+    of plane 0, is one ERROR token."""
     bare = F.when(text.startswith("\ufeff"), F.substr(text, F.lit(2))).otherwise(text)
-    with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer)
-    whole = F.array(F.struct(F.lit(lexer).alias("lexer"), F.lit(0).alias("depth"), F.lit("ERROR").alias("type"), bare.alias("text")))
-    foreign = F.contains(text, F.lit(MARK)) | F.contains(text, F.lit(STOP))
-    return F.when(text.isNull(), F.lit(None)).when(foreign, whole).otherwise(coalesced(tokens_of(bare, with_shebang, lexer)))
+    return F.call_function("transform", F.array(bare), F.expr(lex_sql(rule_set, lexer)))[0]

@@ -40,25 +40,23 @@ def rgb(colour: str) -> tuple[int, int, int]:
     return tuple(bytes.fromhex(colour[1:]))
 
 
-def steps256() -> list[tuple[int, int, int]]:
-    # The first sixteen colours.
-    base = "000000 cd0000 00cd00 cdcd00 0000ee cd00cd 00cdcd e5e5e5 7f7f7f ff0000 00ff00 ffff00 5c5cff ff00ff 00ffff ffffff"
-    levels = (0, 95, 135, 175, 215, 255)
-    cube = [(r, g, b) for r in levels for g in levels for b in levels]
-    return [tuple(bytes.fromhex(c)) for c in base.split()] + cube + [(g, g, g) for g in range(8, 248, 10)]
+steps256 = catalog.palette
 
 
 def nearest256(colour: str) -> int:
     """The first palette entry with the least squared distance."""
     own = rgb(colour)
-    return min(enumerate(steps256()), key=lambda e: sum((a - b) ** 2 for a, b in zip(own, e[1], strict=True)))[0]
+    return min(enumerate(catalog.palette()), key=lambda e: sum((a - b) ** 2 for a, b in zip(own, e[1], strict=True)))[0]
 
 
-def nearest_palette(colours: DataFrame, palette: DataFrame) -> DataFrame:
-    """(r, g, b, idx) for a table of colours: every colour against the 256 of the palette, a fixed number."""
-    p = F.broadcast(palette.select("idx", F.col("r").alias("pr"), F.col("g").alias("pg"), F.col("b").alias("pb")))
-    distance = sum((F.col(c) - F.col("p" + c)) * (F.col(c) - F.col("p" + c)) for c in "rgb")
-    return colours.join(p).groupBy("r", "g", "b").agg(F.min_by("idx", F.struct(distance, F.col("idx"))).alias("idx"))
+def nearest_palette(colours: DataFrame, palette: DataFrame | None = None) -> DataFrame:
+    """(r, g, b, idx) for each different colour of a table. The palette, of 256 entries or a caller's few,
+    is an array in the plan, so a colour is looked up where it is."""
+    rows = enumerate(catalog.palette()) if palette is None else [(e.idx, (e.r, e.g, e.b)) for e in palette.collect()]
+    entries = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("idx", *"rgb"), (k, *c), strict=True))) for k, c in rows))
+    distance = lambda e: sum(((F.col(c) - e[c]) * (F.col(c) - e[c]) for c in "rgb"), F.lit(0))
+    nearest = F.array_min(F.transform(entries, lambda e: F.struct(distance(e), e["idx"].alias("idx"))))
+    return colours.select("r", "g", "b").distinct().select("r", "g", "b", nearest["idx"].alias("idx"))
 
 
 def parse_colour(text: Column) -> Column:
@@ -107,11 +105,12 @@ def xml_escaped(text: Column) -> Column:
 
 
 def dumped(text: Column) -> Column:
-    """Line feed, tab and return as escapes, other control bytes as ``0xNN``."""
+    """Line feed, tab and return as escapes, each byte of other control and non-ASCII characters as ``0xNN``."""
     out = F.replace(F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit("\r"), F.lit("\\r"))
-    for code in (*(k for k in range(32) if chr(k) not in "\t\n\r"), 127):
-        out = F.replace(out, F.lit(chr(code)), F.lit(f"0x{code:02x}"))
-    return out
+    odd = r"[\x00-\x1f\x7f-\x{10ffff}]"
+    one = lambda part: F.when(part.rlike("^" + odd), F.regexp_replace(F.lower(F.hex(F.encode(part, "UTF-8"))), "(..)", "0x$1")).otherwise(part)
+    parts = F.regexp_extract_all(out, F.lit(rf"(?s){odd}+|[^\x00-\x1f\x7f-\x{{10ffff}}]+"), F.lit(0))
+    return F.when(out.rlike(odd), F.array_join(F.transform(parts, one), "")).otherwise(out)
 
 
 @dataclass

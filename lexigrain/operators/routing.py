@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrain.operators.lexing import let
 from lexigrain.plans import catalog
 
 
@@ -69,7 +70,7 @@ def by_shebang(text: Column) -> Column:
     isn't an option and names one."""
     line = F.regexp_extract(text, "^#![ \t]*([^\r\n]*)", 1)
     words = F.filter(F.split(line, "[ \t]+"), lambda w: w != "")
-    later = F.filter(F.transform(F.filter(F.slice(words, 2, 1_000), lambda w: ~w.startswith("-")), by_interpreter), lambda x: x.isNotNull())
+    later = F.filter(F.transform(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda w: ~w.startswith("-")), by_interpreter), lambda x: x.isNotNull())
     return F.when(line == "", F.lit(None)).when(F.get(words, F.lit(0)) == "/usr/bin/env", F.get(later, F.lit(0))).otherwise(by_interpreter(F.get(words, F.lit(0))))
 
 
@@ -87,13 +88,14 @@ def content_scores(text: Column) -> list[tuple[str, Column]]:
 def guess(text: Column) -> Column:
     """The lexer of a text by its content: the ``#!`` line, else the highest score above 0, the first in
     the registry of equal ones; null if nothing tells."""
-    bare = F.regexp_replace(text, "^﻿", "")
-    scores = content_scores(bare)
-    best = F.greatest(*(s for _, s in scores))
-    out = F.lit(None).cast("string")
-    for name, score in reversed(scores):
-        out = F.when((score == best) & (best > 0), F.lit(name)).otherwise(out)
-    return F.coalesce(by_shebang(bare), out)
+    bare = F.regexp_replace(text, "^\ufeff", "")
+    names, scores = zip(*content_scores(bare), strict=True)
+
+    def first(found: Column) -> Column:
+        best = F.array_max(found)
+        return F.when(best > 0, F.element_at(F.array(*map(F.lit, names)), F.array_position(found, best).cast("int")))
+
+    return F.coalesce(by_shebang(bare), let(F.array(*scores), first))
 
 
 def route(df: DataFrame, text_col: str = "text", path_col: str | None = None, forced: str | None = None, out_col: str = "lexer") -> DataFrame:

@@ -248,16 +248,18 @@ def theme_styles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(style_rows(), "theme string, type string, fg string, bg string, bold boolean, italic boolean, underline boolean")
 
 
-def palette256(spark: SparkSession) -> DataFrame:
-    """(idx, r, g, b): 16 fixed colours, a cube of six steps, a ramp of greys."""
+def palette() -> list[tuple[int, int, int]]:
+    """The 256 colours: 16 fixed ones, a cube of six steps, a ramp of greys."""
     # The first sixteen colours.
     base = "000000 cd0000 00cd00 cdcd00 0000ee cd00cd 00cdcd e5e5e5 7f7f7f ff0000 00ff00 ffff00 5c5cff ff00ff 00ffff ffffff"
-    n, steps = F.col("id") - 16, F.array(*map(F.lit, (0x00, 0x5F, 0x87, 0xAF, 0xD7, 0xFF)))
-    first = spark.createDataFrame([(k, *bytes.fromhex(c)) for k, c in enumerate(base.split())], "idx int, r int, g int, b int")
-    cube = spark.range(16, 232).select(F.col("id").cast("int").alias("idx"), *(steps[(F.floor(n / div) % 6).cast("int")].alias(c) for c, div in (("r", 36), ("g", 6), ("b", 1))))
-    grey = (F.lit(8) + 10 * (F.col("id") - 232)).cast("int")
-    ramp = spark.range(232, 256).select(F.col("id").cast("int").alias("idx"), *(grey.alias(c) for c in "rgb"))
-    return first.unionByName(cube).unionByName(ramp)
+    levels = (0, 95, 135, 175, 215, 255)
+    cube = [(r, g, b) for r in levels for g in levels for b in levels]
+    return [tuple(bytes.fromhex(c)) for c in base.split()] + cube + [(g, g, g) for g in range(8, 248, 10)]
+
+
+def palette256(spark: SparkSession) -> DataFrame:
+    """(idx, r, g, b)."""
+    return spark.createDataFrame([(k, *c) for k, c in enumerate(palette())], "idx int, r int, g int, b int")
 
 
 def documentation(spark: SparkSession) -> DataFrame:
