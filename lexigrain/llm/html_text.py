@@ -25,12 +25,17 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't text.
-RAW = frozenset("canvas head iframe math noscript object script style svg template textarea title".split())
+RAW = frozenset("canvas head iframe noscript object script style svg template textarea title".split())
 #: Elements, and words of class, id and role, that name the parts around an article.
 CHROME_TAGS = frozenset("aside button dialog fieldset footer form header label legend menu nav option select".split())
 CHROME_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
 )
+#: Parts of a name that say where or what kind of box an element is: ``site-header`` is a header, ``share-price``
+#: is about something else than sharing.
+BOX_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons col column container content count desktop div fixed float global group head holder icon icons inline inner item items js label layout left link links list main mobile module my nav outer page pages panel post posts primary region right row secondary section single site slot small sticky stories tablet text title top unit wrap wrapper".split()
+)
 #: Parts of a name that tell a state of the page (``no-sidebar``, ``comments-open``), not what the element is.
 STATE_WORDS = frozenset("closed disabled enabled has is no not open opened with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -40,6 +45,10 @@ TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[a-z]+")
+#: Where the content of an element ends that isn't text; a head also ends where the body begins.
+ENDS = {name: re.compile("</head|<body" if name == "head" else "</" + name, re.IGNORECASE | re.ASCII) for name in RAW}
+#: What a tag costs at most inside an article or main element, and elsewhere.
+INSIDE_COST, MOST_COST = 0.05, 8.0
 CLOSES_P = BLOCKS - {"body", "caption", "html", "option", "title"}
 
 
@@ -82,7 +91,8 @@ def features(name: str, rest: str) -> tuple[str, ...]:
     for m in NAMED.finditer(rest) if rest else ():
         for one in (m[1] or m[2] or m[3] or "").lower().split():
             words = set(NAME_WORD.findall(one))
-            found |= words if words.isdisjoint(STATE_WORDS) else words - CHROME_WORDS
+            names = words.isdisjoint(STATE_WORDS) and words <= CHROME_WORDS | BOX_WORDS
+            found |= words if names else words - CHROME_WORDS
     return (name, *sorted("." + w for w in found))
 
 
@@ -94,19 +104,21 @@ def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
     """Words and tags in page order; comments, scripts, styles and the head are left out. Elements that
     aren't closed end with their parent, an open paragraph at the next block. A header, by tag or name, is
     no chrome in a main or article element, and a heading named so nowhere."""
-    at, block, low = 0, 0, None
+    at, block = 0, 0
     seen: list[Unit] = []
     named: list[Named] = []
     bodies: list[Body] = []
-    stack: list[tuple[str, int, bool, int, int, bool]] = []  # name, named element, in an article, body, own named element, plain
-    root = ("", -1, False, -1, -1, False)
+    # name, named element, in an article, body, own named element, plain, place of the innermost block element
+    stack: list[tuple[str, int, bool, int, int, bool, int]] = []
+    root = ("", -1, False, -1, -1, False, -1)
+    opened = Counter()
     while at < len(page):
-        _, within, inside, body, _, _ = stack[-1] if stack else root
+        _, within, inside, body, _, _, innermost = stack[-1] if stack else root
         if page[at] != "<":
             end = page.find("<", at)
             end = len(page) if end < 0 else end
             text = html.unescape(page[at:end])
-            name = next((e[0] for e in reversed(stack) if e[0] in BLOCKS), "")
+            name = stack[innermost][0] if innermost >= 0 else ""
             seen.append(Unit(False, block, (name,), text, within, inside))
             if body >= 0:
                 bodies[body].words += len(text.split())
@@ -127,29 +139,27 @@ def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
             continue
         at, name, own = m.end(), m[2].lower(), -1
         if name in RAW and not m[1]:
-            low = page.lower() if low is None or len(low) != len(page) else low
-            if name == "head":  # ends with the head or where the body begins
-                ends = [k for k in (low.find("</head", at), low.find("<body", at)) if k >= 0]
-            else:
-                ends = [k for k in (low.find("</" + name, at),) if k >= 0]
-            at = min(ends) if ends else len(page)
+            end = ENDS[name].search(page, at)
+            at = end.start() if end else len(page)
             continue
         if name == "br":
             seen.append(Unit(False, block, ("",), " ", within, inside))
             continue
         if m[1]:
-            kind, place = ("/" + name,), next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            kind = ("/" + name,)
             inside = inside and name != "article"
-            if place is not None:
-                own, kind = stack[place][4], () if stack[place][5] else kind
-                del stack[place:]
+            if opened[name]:
+                while (last := stack.pop())[0] != name:
+                    opened[last[0]] -= 1
+                opened[name] -= 1
+                own, kind = last[4], () if last[5] else kind
         else:
             kind = features(name, m[3])
             if name in CLOSES_P or name == "li":
-                place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == ("li" if name == "li" else "p")), None)
-                if place is not None and not any(e[0] in BLOCKS for e in stack[place + 1 :]):
-                    del stack[place:]
-                    _, within, inside, body, _, _ = stack[-1] if stack else root
+                if innermost >= 0 and stack[innermost][0] == ("li" if name == "li" else "p"):
+                    opened.subtract(e[0] for e in stack[innermost:])
+                    del stack[innermost:]
+                    _, within, inside, body, _, _, innermost = stack[-1] if stack else root
             if name in HEADINGS or (name != "header" and body >= 0):
                 kind = tuple(f for f in kind if f != ".header")
             plain = name == "header" and body >= 0 and not is_chrome(("", *(f for f in kind[1:] if f != ".header")))
@@ -162,7 +172,8 @@ def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
                 if name in ("main", "article"):
                     body = len(bodies)
                     bodies.append(Body(name == "main", around))
-                stack.append((name, around, inside or name == "article", body, own, plain))
+                stack.append((name, around, inside or name == "article", body, own, plain, len(stack) if name in BLOCKS else innermost))
+                opened[name] += 1
         block += name in BLOCKS
         seen.append(Unit(True, block, kind, "", within, inside, own))
     return seen, named, bodies
@@ -260,7 +271,7 @@ def fit(pages: DataFrame, html_col: str = "html", max_fit_pages: int = 2_000) ->
     for r in rows:
         odds = math.log((r.inside + 0.5) / (r.outside + 0.5))
         if r.feature.startswith("<"):
-            tags[r.feature[1:]] = min(8.0, max(0.01, -odds))
+            tags[r.feature[1:]] = min(MOST_COST, max(0.01, -odds))
         else:
             words[r.feature] = min(1.0, max(0.1, odds))
     return Weights(words, tags)
@@ -284,7 +295,8 @@ def scored(seen: list[Unit], named: list[Named], weights: Weights, free: set[int
     hides, scores = hidden(named, free), []
     for u in seen:
         if u.is_tag:
-            scores.append(weights.of_tag(u.kind, u.own in free))
+            cost = -weights.of_tag(u.kind, u.own in free)
+            scores.append(-min(cost, INSIDE_COST) if u.in_article and not hides[u.within] else -cost)
         else:
             scores.append(0.0 if hides[u.within] else weights.words.get(u.kind[0], weights.word) * len(u.text.split()))
     return scores, hides

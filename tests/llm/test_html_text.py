@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -109,3 +110,34 @@ def test_edges(spark):
     assert got == sorted([(1, None, "", 0), (1, "u", "", 0), (None, "u", "word", 4)], key=repr)
     assert extract(df.limit(0)).collect() == []
     assert extract(df, Weights({}, {})).count() == 3
+
+
+def test_pages_without_the_label(spark, weights):
+    """The weights find the same text where the article is a plain division."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert main_text(re.sub(r"(</?)article\b", r"\1div", r.html), weights) == plain_article(r.html), r.page_id
+
+
+def test_letters_that_change_length_in_lower_case(weights):
+    assert main_text("<p>İİİİ words here</p><script>var x = 1;</script><p>hello there</p>", weights) == "İİİİ words here\nhello there"
+    assert main_text("<p>a</p><SCRIPT>x</ſcript>y</Script><p>b</p>", weights) == "a\nb"
+
+
+def test_words_of_names_that_are_about_something_else(weights):
+    page = "<body>" + CHROME[2] + "<article><p>%s</p><div class='share-price'><p>The share price rose</p></div><p>As a response</p>%s</article></body>"
+    for chrome in ("", '<div class="share-buttons"><p>Tell your friends of it</p></div>', '<div class="site-footer widget-area">Footer</div>', '<ul class="nav-links list"><li>Next</li></ul>'):
+        assert main_text(page % (WORDS, chrome), weights) == f"{WORDS}\nThe share price rose\nAs a response"
+
+
+def test_formulas_are_text(weights):
+    assert main_text(f"<article><p>{WORDS} <math><mi>x</mi> <mo>=</mo> <mn>1</mn></math></p></article>", weights) == f"{WORDS} x = 1"
+
+
+@pytest.mark.parametrize("part", ["<b>x ", "</i>y<b>", "<p>z", "<script></script>w ", "<li>q<b>", "<div>a "])
+def test_a_megabyte_of_tags_takes_linear_time(weights, part):
+    def seconds(n):
+        began = time.process_time()
+        main_text(part * (n // len(part)), weights)
+        return time.process_time() - began
+
+    assert seconds(1_000_000) < 8 * max(seconds(250_000), 0.1)
