@@ -34,10 +34,20 @@ def doubled(quote: str) -> str:
     return rf"{quote}[^{quote}]*+(?:{quote}|\z)(?:{quote}[^{quote}]*+(?:{quote}|\z))*+"
 
 
+C_COMMENT = r"/\*" + until(r"\*/", escapes=False)
+SPACE = rule("IGNORABLE", r"\s+")
+
+
 def escape(pattern: str) -> list[Rule]:
     return [rule("SEQUENCE_ESCAPED", pattern)]
 
 
+def named(keyword: str, name: str, *rest: Rule) -> Rule:
+    """A keyword and the name after it, however much white space is between them; ``rest`` are the rules of
+    what follows the keyword."""
+    return rule("KEYWORD", rf"(?<!->|::|\$)\b{keyword}\s++{name}", inner=RuleSet((rule("KEYWORD", rf"\A{keyword}\b"), SPACE, *rest), "IGNORABLE"))
+
+
 def extended(words: Mapping[str, Iterable[str]], fold: bool = False, **tables: str) -> list[str]:
     """The tables with the words given for them; a given word leaves the other tables."""
     spell = str.lower if fold else str
@@ -46,8 +56,6 @@ def extended(words: Mapping[str, Iterable[str]], fold: bool = False, **tables: s
     return [" ".join([*(w for w in table.split() if w not in taken), *sorted(given[k])]) for k, table in tables.items()]
 
 
-C_COMMENT = r"/\*" + until(r"\*/", escapes=False)
-SPACE = rule("IGNORABLE", r"\s+")
 HEX = "[0-9a-fA-F]"
 
 
@@ -93,7 +101,9 @@ def go() -> RuleSet:
     )
 
 
-def python() -> RuleSet:
+def python(intended: bool = False) -> RuleSet:
+    """``intended``: with the floating point numbers that the language's scanner defines but never tells."""
+    floats = [rule("NUMBER_FLOAT", r"(?:[0-9]*\.[0-9]+|[0-9]+\.?)[eE][+-]?[0-9]+|[0-9]*\.[0-9]+|[0-9]+\.")] if intended else []
     escapes = escape(rf"\\(?:['\"abfnrtv\\]|[0-7]{{1,3}}|o[0-7]{{1,3}}|x{HEX}{{2}}|N\{{[^}}]*\}}|u{HEX}{{4}}|U{HEX}{{8}})")
     short = lambda q: rf"{q}(?:[^{q}\\\n]++|\\(?s:.))*+{q}?"
     plain, raw = "(?:[bB]|[uU])?", "(?:[rR][bB]?|[bB][rR])"
@@ -108,6 +118,7 @@ def python() -> RuleSet:
         rule("COMMENT_SINGLE", "#" + LINE),
         *strings,
         rule("NUMBER_IMAGINARY", r"(?:[0-9]*\.[0-9]+|[0-9]+\.?)(?:[eE][+-]?[0-9]+)?[jJ]"),
+        *floats,
         rule("NUMBER_HEXADECIMAL", rf"0[xX]{HEX}+"),
         rule("NUMBER_OCTAL", "0[oO][0-7]+"),
         rule("NUMBER_BINARY", "0[bB][01]+"),
@@ -120,7 +131,16 @@ def python() -> RuleSet:
     )
 
 
-def javascript() -> RuleSet:
+def javascript(intended: bool = False) -> RuleSet:
+    """``intended``: with the numbers, punctuation and regular expressions that the language's scanner
+    defines but never tells; without, these are IGNORABLE and slashes OPERATOR."""
+    more = [
+        rule("NUMBER_HEXADECIMAL", rf"0[xX]{HEX}+"),
+        rule("NUMBER_FLOAT", r"(?:[0-9]+\.[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+"),
+        rule("NUMBER_DECIMAL", "[0-9]+"),
+        rule("STRING_REGEX", r"(?:(?<=[(,=:\[!&|?{};])|(?<=[(,=:\[!&|?{};] )|(?<=\breturn )|\A)/(?![/*])(?:[^/\\\[\r\n]++|\\.|\[(?:[^\]\\\r\n]++|\\.)*+\]?)++/[a-z]*", inner=escape(r"\\.")),
+        rule("PUNCTUATION", r"[{}()\[\].;,]"),
+    ] if intended else []
     escapes = escape(rf"\\(?:[\\'\"bfnrtv]|x{HEX}{{2}}|u{HEX}{{4}})")
     return rules(
         SPACE,
@@ -130,6 +150,7 @@ def javascript() -> RuleSet:
         rule("STRING_DOUBLE", quoted('"'), inner=escapes),
         # Reserved words and constants.
         rule("NAME_VARIABLE", rf"(?:[$_a-zA-Z]|\\u{HEX}{{4}})(?:[$_a-zA-Z0-9]++|\\u{HEX}{{4}})*+", KEYWORD_CONSTANT="null true false", KEYWORD="break do instanceof typeof case else new var catch finally return void continue for switch while debugger function this with default if throw delete in try class enum extends super const export import implements let private public yield interface package protected static"),
+        *more,
         rule("OPERATOR", r"[!=]==|>>>=?|[<>]{2}=?|[-+&|]{2}|[-+*/%&|^!<>=]=?|[~?:]"),
         lexer="Javascript",
     )
@@ -174,14 +195,17 @@ def lua() -> RuleSet:
 
 def bash() -> RuleSet:
     variable = r"\$(?:[*@#?\-$!0_1-9]|[a-zA-Z_][a-zA-Z_0-9]*)"
-    inside = [*escape(r'\\[$`"\\!]'), rule("STRING_DOUBLE", r"\$\([^)]*\)?|`[^`]*`?"), rule("NAME_VARIABLE", variable)]
+    substitution = r"\$\([^)]*+\)?|`[^`]*+`?"
+    for _ in range(12):  # substitutions in substitutions
+        substitution = rf"\$\((?:[^)$`]++|\$(?!\()|{substitution})*+\)?|`[^`]*+`?"
+    inside = [rule("STRING_DOUBLE", substitution), *escape(r'\\[$`"\\!]')]
     return rules(
         rule("STRING_DOUBLE", r"\$" + quoted("'"), inner=escape(rf"\\(?:[abeEfnrtv\\'\"]|[0-7]{{1,3}}|x{HEX}{{1,2}}|u{HEX}{{1,4}}|U{HEX}{{1,8}}|c.)")),
         rule("STRING_SINGLE", quoted("'", escapes=False)),
-        rule("STRING_DOUBLE", quoted('"'), inner=inside),
+        rule("STRING_DOUBLE", rf'"(?:[^"\\$`]++|\\(?s:.)|\$(?!\()|{substitution})*+(?:"|\\?\z)', inner=inside),
         rule("COMMENT_SINGLE", r"(?<![^\s;|&(])#[^\n]*"),
         rule("NAME_VARIABLE", variable + r"|\$\{[^}\n]*\}"),
-        rule("STRING_DOUBLE", r"\$\(|`"),
+        rule("STRING_DOUBLE", substitution),
         rule("PUNCTUATION", r"[!{}\[\]](?![^\s;|&()<>])"),
         # Builtins and keywords.
         rule("STRING_SINGLE", r"(?:[^\s|&;()<>$#\"'`\\]++|\\(?s:.))++", NAME_BUILTIN=". : [ alias bg break builtin caller cd command compgen complete compopt continue declare dirs disown echo enable eval exec exit export fc fg getopts hash help history jobs kill let local logout mapfile popd printf pushd pwd read readarray readonly return set shift shopt source suspend test times trap type typeset ulimit umask unalias unset wait", KEYWORD="case do done elif else esac fi for function if in select then time until while"),
@@ -212,13 +236,13 @@ def nginx(words: Mapping[str, Iterable[str]]) -> RuleSet:
     prefixes = "|".join(p.removeprefix("$") for p in lists.NGINX_PREFIXES.split())
     return rules(
         rule("COMMENT_SINGLE", "#" + LINE),
+        rule("IGNORABLE", r"(?:(?<=[;{}\n])\s*+|\A\s*+|(?=[^\S\n]*+\n)\s++)[^$#;{}\s'\"\\][^;{}\s]*", inner=RuleSet((SPACE, rule("TEXT", r"\S+", KEYWORD_BUILTIN=directives)), "IGNORABLE")),
         rule("IGNORABLE", r"\\\n|\s+"),
         rule("PUNCTUATION", "[;{}]"),
         rule("STRING_SINGLE", quoted('"'), inner=escape(r'\\[trn\\"]')),
         rule("STRING_SINGLE", quoted("'"), inner=escape(r"\\[trn\\']")),
         rule("NAME_BUILTIN", rf"\$(?:{prefixes})[^;{{}}()\s]*"),
         rule("NAME_VARIABLE", r"\$[^;{}()\s]+", NAME_BUILTIN=variables),
-        rule("TEXT", r"(?<=[;{}]\s{0,200}|\A\s{0,200}|\n[ \t]{0,200})[^$#;{}\s'\"][^;{}\s]*", KEYWORD_BUILTIN=directives),
         rule("NUMBER_DECIMAL", r"[0-9]+(?=[;{}()\s])"),
         rule("STRING_SINGLE", r"[^$#;{}()\s]+"),
         lexer="Nginx",
@@ -499,7 +523,7 @@ def varnish_body(version: int) -> RuleSet:
         rule("STRING_SINGLE", r'\{"' + until(r'"\}', escapes=False)),
         rule("STRING_SINGLE", quoted('"'), inner=escape(r'\\[\\"nt]')),
         rule("KEYWORD_DECLARATION", r"vcl(?=\s+[0-9]*\.[0-9])"),
-        rule("IGNORABLE", r"(?<=\bsub\s{1,100})[a-zA-Z_.-]+", NAME_FUNCTION=has(VARNISH_SUBROUTINES)),
+        named("sub", "[a-zA-Z_.-]+", rule("IGNORABLE", "[a-zA-Z_.-]+", NAME_FUNCTION=has(VARNISH_SUBROUTINES))),
         rule("NAME_VARIABLE", r"(?:be)?re(?:q|sp)\.http\.[a-zA-Z_.-]*|obj\.http\.[a-zA-Z_.-]*"),
         # Keywords.
         rule("IGNORABLE", "[a-zA-Z_.-]*[a-zA-Z_][a-zA-Z_.-]*", NAME_VARIABLE=has(VARNISH_VARIABLES), NAME_FUNCTION=VARNISH_FUNCTIONS, KEYWORD="sub set unset include import if else elseif elif elsif" + " remove" * old, KEYWORD_CONSTANT="true false"),
@@ -545,7 +569,7 @@ def php_code() -> RuleSet:
         rule("SEQUENCE_INTERPOLATED", r"\{(?=\$)|\$\{|(?<=[a-zA-Z0-9_\])])\}"),
         rule("NAME_VARIABLE", variable),
     ]
-    listed = lambda type_: RuleSet((rule("KEYWORD", r"\A[a-z]+(?:\s+(?:const|function)\b)?", fold=True, inner=RuleSet((SPACE,), "KEYWORD")), SPACE, rule("COMMENT_MULTILINE", C_COMMENT), rule("COMMENT_SINGLE", r"(?:#|//)[^\r\n]*"), rule("NAME_NAMESPACE", name + r"(?=\\\s*\{)"), rule("NAME_FUNCTION", r"(?<=\bfunction\s{1,20})" + name), rule("NAME_CONSTANT", r"(?<=\bconst\s{1,20})" + name), rule(type_, name, fold=True, KEYWORD="as extends implements function const catch"), rule("OPERATOR", r"\|"), rule("PUNCTUATION", "[(),;{}]")), "IGNORABLE")
+    listed = lambda type_: RuleSet((rule("KEYWORD", r"\A[a-z]+(?:\s+(?:const|function)\b)?", fold=True, inner=RuleSet((SPACE,), "KEYWORD")), SPACE, rule("COMMENT_MULTILINE", C_COMMENT), rule("COMMENT_SINGLE", r"(?:#|//)[^\r\n]*"), rule("NAME_NAMESPACE", name + r"(?=\\\s*\{)"), named("(?i:function)", name, rule("NAME_FUNCTION", name)), named("(?i:const)", name, rule("NAME_CONSTANT", name)), rule(type_, name, fold=True, KEYWORD="as extends implements function const catch"), rule("OPERATOR", r"\|"), rule("PUNCTUATION", "[(),;{}]")), "IGNORABLE")
     word = lambda keyword: rf"(?i:\b{keyword})\s+(?=[a-zA-Z_\\\x80-\xff])"
     return rules(
         SPACE,
@@ -563,11 +587,11 @@ def php_code() -> RuleSet:
         rule("KEYWORD", word("use") + "[^;{(]*[;{]", inner=listed("NAME_CLASS")),
         rule("KEYWORD", "(?<!->|::)" + word("(?:extends|implements)") + "[^;{(]*", inner=listed("NAME_CLASS")),
         rule("KEYWORD", r"(?<!->|::)(?i:\bcatch)\s*\([^)$]*", inner=listed("NAME_CLASS")),
-        rule("NAME_VARIABLE_INSTANCE", r"(?<=\b(?i:public|protected|private|var)\s{1,20})" + variable),
+        named("(?i:public|protected|private|var)", variable, rule("NAME_VARIABLE_INSTANCE", variable)),
         rule("KEYWORD", word("namespace") + "[^;{(]*", inner=listed("NAME_NAMESPACE")),
-        rule("NAME_FUNCTION", r"(?<=\bfunction\s{1,20}&?)[a-zA-Z_][a-zA-Z0-9_]*"),
-        rule("NAME_CONSTANT", r"(?<=\bconst\s{1,20})[a-zA-Z_][a-zA-Z0-9_]*"),
-        rule("NAME_CLASS", r"(?<=\b(?:class|trait|interface|extends|implements|new|instanceof)\s{1,20})" + name, fold=True, KEYWORD="class static", NAME_BUILTIN_PSEUDO="self parent"),
+        named("(?i:function)", r"&?\s*+[a-zA-Z_][a-zA-Z0-9_]*", rule("OPERATOR", "&"), rule("NAME_FUNCTION", "[a-zA-Z_][a-zA-Z0-9_]*")),
+        named("(?i:const)", "[a-zA-Z_][a-zA-Z0-9_]*", rule("NAME_CONSTANT", "[a-zA-Z_][a-zA-Z0-9_]*")),
+        named("(?i:class|trait|interface|extends|implements|new|instanceof)", name, rule("NAME_CLASS", name, fold=True, KEYWORD="class static", NAME_BUILTIN_PSEUDO="self parent")),
         rule("NAME_FUNCTION", r"(?<=->|::)[a-zA-Z_][a-zA-Z0-9_]*(?=\s*\()"),
         rule("NAME_VARIABLE_INSTANCE", r"(?<=->)[a-zA-Z_][a-zA-Z0-9_]*"),
         rule("NAME_CONSTANT", r"(?<=::)[a-zA-Z_][a-zA-Z0-9_]*", fold=True, KEYWORD="class"),

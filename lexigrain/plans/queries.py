@@ -9,13 +9,22 @@ from lexigrain.functions import strings
 from lexigrain.operators import render, routing
 from lexigrain.operators.lexing import cut
 from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokens, type_counts, with_spans
-from lexigrain.plans import catalog
+from lexigrain.plans import catalog, catalog_sql
+from lexigrain.plans.goldens import golden_rows
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sources(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
+    """Columns of a table whose texts are to be lexed. Lexing takes time where a table may be one small file:
+    with fewer splits than cores the rows are dealt to all cores; larger tables are lexed where they are."""
+    rows = read(spark, sf_dir, name).select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def long(c: Column) -> Column:
     return c.cast("long")
 
@@ -25,12 +34,12 @@ def long(c: Column) -> Column:
 
 def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the events' properties by type."""
-    return type_counts(tokenize(read(spark, sf_dir, "events"), "JSON", "props")).select("type", "tokens", "chars")
+    return type_counts(tokenize(sources(spark, sf_dir, "events", "props"), "JSON", "props")).select("type", "tokens", "chars")
 
 
 def json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every event with its place."""
-    rows = explode_tokens(tokenize(read(spark, sf_dir, "events").select("event_id", "props"), "JSON", "props"), "event_id")
+    rows = explode_tokens(tokenize(sources(spark, sf_dir, "events", "event_id", "props"), "JSON", "props"), "event_id")
     spans = with_spans(rows, "event_id")
     return spans.select("event_id", long(F.col("seq")).alias("seq"), "type", "start", "end", "text")
 
@@ -52,32 +61,32 @@ def json_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens by day of the event and type."""
-    rows = read(spark, sf_dir, "events").select(F.date_trunc("day", "ts").alias("day"), F.explode(tokens(F.col("props"), "JSON")).alias("t"))
+    rows = sources(spark, sf_dir, "events", "ts", "props").select(F.date_trunc("day", "ts").alias("day"), F.explode(tokens(F.col("props"), "JSON")).alias("t"))
     return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day"), F.col("t.type").alias("type")).agg(F.count("*").alias("tokens"))
 
 
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the pages by language (styles and scripts are their own) and type: the flagship."""
-    return type_counts(tokenize(read(spark, sf_dir, "pages"), "HTML", "html"))
+    return type_counts(tokenize(sources(spark, sf_dir, "pages", "html"), "HTML", "html"))
 
 
 def page_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute names with values in the tags of pages."""
-    rows = explode_tokens(tokenize(read(spark, sf_dir, "pages").select("page_id", "html"), "HTML", "html"), "page_id")
+    rows = explode_tokens(tokenize(sources(spark, sf_dir, "pages", "page_id", "html"), "HTML", "html"), "page_id")
     names = rows.where("type = 'NAME_ATTRIBUTE' and text like '%='").select(F.rtrim(F.regexp_replace("text", r"\s*=\s*$", "")).alias("attribute"))
     return names.groupBy("attribute").agg(F.count("*").alias("uses"))
 
 
 def page_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose tokens don't spell them: none."""
-    rows = tokenize(read(spark, sf_dir, "pages").where("html is not null"), "HTML", "html")
+    rows = tokenize(sources(spark, sf_dir, "pages", "html").where("html is not null"), "HTML", "html")
     spelled = F.array_join(F.transform("tokens", lambda t: t["text"]), "")
     return rows.agg(F.count("*").alias("pages"), F.count_if(spelled != F.col("html")).alias("broken"))
 
 
 def page_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names in the scripts of pages: in how many pages and how often."""
-    rows = explode_tokens(tokenize(read(spark, sf_dir, "pages").select("page_id", "html"), "HTML", "html"), "page_id")
+    rows = explode_tokens(tokenize(sources(spark, sf_dir, "pages", "page_id", "html"), "HTML", "html"), "page_id")
     return rows.where("lexer = 'Javascript' and type = 'NAME_VARIABLE'").groupBy("text").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("uses"))
 
 
@@ -87,14 +96,14 @@ def statement(quote: str = "'") -> Column:
 
 def sql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of one statement for each order, in two dialects."""
-    orders = read(spark, sf_dir, "orders").select(statement().alias("text"))
+    orders = sources(spark, sf_dir, "orders", statement().alias("text"))
     both = [type_counts(tokenize(orders, lexer)) for lexer in ("PostgreSQL", "MySQL")]
     return both[0].unionByName(both[1]).select("lexer", "type", "tokens", "chars")
 
 
 def sql_uppercase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements with their keywords in upper case."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("select o_orderkey from orders where o_custkey = "), F.col("o_custkey").cast("string")).alias("text"))
+    orders = sources(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("select o_orderkey from orders where o_custkey = "), F.col("o_custkey").cast("string")).alias("text"))
     rows = tokenize(orders, "PostgreSQL", uppercase_keywords=True)
     return rows.select("o_orderkey", F.array_join(F.transform("tokens", lambda t: t["text"]), "").alias("text"))
 
@@ -102,7 +111,7 @@ def sql_uppercase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patches made from orders: lines by kind."""
     lines = F.concat(F.lit("Index: o"), F.col("o_orderkey").cast("string"), F.lit("\n--- a\n+++ b\n@@ 1 @@\n-"), F.col("o_orderstatus"), F.lit("\n+"), F.col("o_orderpriority"), F.lit("\n end\n"))
-    return type_counts(tokenize(read(spark, sf_dir, "orders").select(lines.alias("text")), "Diff")).select("type", "tokens", "chars")
+    return type_counts(tokenize(sources(spark, sf_dir, "orders", lines.alias("text")), "Diff")).select("type", "tokens", "chars")
 
 
 #: A source for each language, to be filled with a key and a name.
@@ -148,6 +157,47 @@ def all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def golden_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden source of each language, filled with each nation's key and name, token by token."""
+    texts: dict[str, str] = {}
+    for language, _, _, _, text in golden_rows():
+        texts[language] = texts.get(language, "") + text
+    nations = read(spark, sf_dir, "nation").select(long(F.col("n_nationkey")).alias("n_nationkey"), F.replace("n_name", F.lit(" "), F.lit("")).alias("name"))
+    out = None
+    for language, text in texts.items():
+        lexer, _, variant = language.partition("?")
+        filled = F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("n_nationkey").cast("string")), F.lit("{n}"), F.col("name"))
+        rows = explode_tokens(tokenize(nations.select("n_nationkey", filled.alias("text")), lexer, **({variant: True} if variant else {})), "n_nationkey")
+        rows = rows.select("n_nationkey", F.lit(language).alias("language"), long(F.col("seq")).alias("seq"), "lexer", "type", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def keywords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the word lists, lexed where it can stand: words by list and type."""
+    places = {"directives": "%s x;", "variables": "set $q %s;", "properties": "a { %s: x }", "values": "a { b: %s }"}
+    out = None
+    for language in dict.fromkeys(w[0] for w in catalog_sql.WORDS):
+        words = [(kind, word, places.get(kind, "%s") % word) for name, kind, _, listed in catalog_sql.WORDS if name == language for word in listed.split()]
+        rows = explode_tokens(tokenize(spark.createDataFrame(words, "list string, word string, source string"), language, "source"), "list", "word")
+        found = rows.where("text = word").groupBy("list", "type").agg(F.count_distinct("word").alias("words")).select(F.lit(language).alias("language"), "list", "type", "words")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def long_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros, tags and strings of as many parts as an order's key tells: their tokens by type."""
+    orders = sources(spark, sf_dir, "orders", (F.col("o_orderkey") % 400 + 1).cast("int").alias("n"))
+    made = {"C": ("#define A", " \\\n  x", "\nint y;"), "HTML": ("<p", " a='>'", ">x"), "Javascript": ('"', "\\\\", '"; var'), "Python": ("'", "\\x41a", "' if")}
+    wanted = {"C": ("COMMENT_SINGLE", "KEYWORD"), "HTML": ("NAME_TAG", "NAME_ATTRIBUTE", "STRING_SINGLE"), "Javascript": ("STRING_DOUBLE", "SEQUENCE_ESCAPED", "KEYWORD"), "Python": ("STRING_SINGLE", "SEQUENCE_ESCAPED", "KEYWORD")}
+    out = None
+    for language, (before, part, after) in made.items():
+        rows = tokenize(orders.select(F.concat(F.lit(before), F.repeat(F.lit(part), F.col("n")), F.lit(after)).alias("text")), language)
+        counts = type_counts(rows).where(F.col("type").isin(*wanted[language])).select(F.lit(language).alias("language"), "type", "tokens")
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 # Routing
 
 
@@ -157,7 +207,7 @@ def url_basename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def url_lexers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the pages by the end of their URL, else by what they contain."""
-    pages = read(spark, sf_dir, "pages").select("html", F.regexp_replace("url", "[?#].*$", "").alias("path"))
+    pages = sources(spark, sf_dir, "pages", "html", F.regexp_replace("url", "[?#].*$", "").alias("path"))
     return routing.route(pages, "html", "path").groupBy("lexer").agg(F.count("*").alias("pages"))
 
 
@@ -165,7 +215,7 @@ def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guesses for texts made from orders, by what their number leaves."""
     k = F.col("o_orderkey") % 8
     text = F.when(k == 0, "#!/usr/bin/env -S python3 -u\nx").when(k == 1, "#!/bin/sh\n<?php").when(k == 2, "#!/bin/foo\n<?php echo 1;").when(k == 3, "<?xml version='1'?>").when(k == 4, "--- a\n+++ b").when(k == 5, "vcl 4.0;").when(k == 6, "CREATE TABLE t () engine=InnoDB;").otherwise("plain")
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(routing.guess(text), F.lit("Text")).alias("lexer"))
+    return sources(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.coalesce(routing.guess(text), F.lit("Text")).alias("lexer"))
 
 
 def named_lexers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,17 +236,17 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", render.render(tokens(F.col("props"), "JSON"), "HTML").alias("html"))
+    return sources(spark, sf_dir, "events", "event_id", "props").select("event_id", render.render(tokens(F.col("props"), "JSON"), "HTML").alias("html"))
 
 
 def events_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", render.render(tokens(F.col("props"), "JSON"), "Plain").alias("plain"))
+    return sources(spark, sf_dir, "events", "event_id", "props").select("event_id", render.render(tokens(F.col("props"), "JSON"), "Plain").alias("plain"))
 
 
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every formatter over the pages: the sizes of what comes out."""
     lexed = tokens(F.col("html"), "HTML")
-    rows = read(spark, sf_dir, "pages").select("page_id", lexed.alias("t"))
+    rows = sources(spark, sf_dir, "pages", "page_id", "html").select("page_id", lexed.alias("t"))
     made = {"bbcode": render.bbcode(codetag=True), "html": render.html(full=5, title="a & b"), "html_styles": render.html("Monokai", noclasses=True), "rtf": render.rtf(), "terminal": render.terminal(), "terminal_256": render.terminal(mode256=True)}
     return rows.select("page_id", *(long(F.length(f.render(F.col("t")))).alias(name) for name, f in made.items()))
 
@@ -286,7 +336,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -353,3 +403,8 @@ ORACLE_SQL = {
                n_name[1] || '__' || n_name[2:] as inserted, n_name[1] || n_name[4:] as deleted, '*' || n_name[4:] as replaced,
                (nullif(instr(upper(n_name), 'A'), 0) - 1)::bigint as found, true as same, ' \t' || n_name || ' \r\n' as dumped from nation""",
 }
+ORACLE_SQL |= catalog_sql.ORACLE_SQL
+ORACLE_SQL["all_languages"] = f"""
+    with {catalog_sql.values("sources", "lexer, source", ((k, v.replace("%%", "%")) for k, v in SOURCES.items()))},
+    filled as (select lexer, length(source) - 4 + length(n_nationkey::varchar || n_name) as n from sources, nation)
+    select lexer, sum(n)::bigint as chars, 0::bigint as broken, count(*) as sources from filled group by lexer"""

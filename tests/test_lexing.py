@@ -98,6 +98,17 @@ MANY_PARTS = [
 ]
 
 
+MANY_PARTS += [
+    ("Bash", '"' + "$(a " * 12 + '"b"' + ")" * 12 + '" if', {"STRING_DOUBLE": 1, "KEYWORD": 1}),
+    ("Bash", '"' + "$(a)`b`\\$" * N + '" if', {"SEQUENCE_ESCAPED": N, "STRING_DOUBLE": N + 1, "KEYWORD": 1}),
+    ("Nginx", ";" + " " * N + "listen 1;" + "\n" * N + "  root /x;", {"KEYWORD_BUILTIN": 2}),
+    ("Varnish", "sub" + " " * N + "vcl_recv {}", {"NAME_FUNCTION": 1, "KEYWORD": 1}),
+    ("PHP", "<?php class" + " " * N + "A { public" + "\n" * N + "$x; function" + " " * N + "f() {} const" + " " * N + "K = 1; }", {"NAME_CLASS": 1, "NAME_VARIABLE_INSTANCE": 1, "NAME_FUNCTION": 1, "NAME_CONSTANT": 1}),
+    ("PostgreSQL", "select '" + "''" * N + "' from", {"STRING_SINGLE": 1, "KEYWORD": 2}),
+    ("Javascript", '"' + "\\\\" * N + '"; var', {"STRING_DOUBLE": 2, "KEYWORD": 1}),
+]
+
+
 @pytest.mark.parametrize("lexer", sorted({m[0] for m in MANY_PARTS}))
 def test_constructs_of_many_parts(spark, lexer):
     for _, source, expected in (m for m in MANY_PARTS if m[0] == lexer):
