@@ -30,6 +30,10 @@ class Memo(dict[K, V]):
         return found
 
 
+#: The folders that this process has asked for and not removed.
+made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -41,7 +45,9 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-lexigrain-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lexigrain-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -53,14 +59,29 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``scratch``."""
+    if path in made:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        made.remove(path)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Removes the files of tables that ``keep`` gave, once nothing reads them any more."""
+    """Removes the files of tables that ``keep`` gave, once nothing reads them any more; others stay."""
     for df in tables:
-        spark = df.sparkSession
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            if folder.rpartition("/")[2].startswith("lexigrain-"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        names = {file.rpartition("/")[0].rpartition("/")[2] for file in df.inputFiles()}
+        for path in [p for p in made if p.rpartition("/")[2] in names]:
+            remove(df.sparkSession, path)
+
+
+def keep_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` kept; the folders that came into being on its way are removed."""
+    before = set(made)
+    out = keep(make())
+    for path in [p for p in made[:-1] if p not in before]:
+        remove(spark, path)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

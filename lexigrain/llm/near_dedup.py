@@ -8,12 +8,13 @@ coordinates miss a pair of similarity 0.8 with a probability under 1e-5.
 
 Texts with equal shingle sets are one class before banding. Within a bucket no pairs are emitted at
 first: every member is compared with the least member, the bucket's hub; the links that hold give
-components. Most groups are one component then. Where a hub's group still has several, the members
-outside its largest component are its outliers, and these are searched in all the group's members, block
-against block: a task holds one block of either, counts the common shingles through an inverted index
-and gives at most one link for each outlier and component, verified on the words. So every candidate pair
-that could join two components is decided on full sets, and what is sent or made stays in proportion to
-the members of the groups, not to their pairs.
+components. Most groups are one component then. The members of the other groups are searched exactly by
+prefixes: of two texts similar enough, the rarest shingles of one that make up a little over a fifth of it
+have one in common with those of the other, in any order of rareness that is the same for all. Rareness
+comes from a table of counts of fixed size. So texts that share a template share nothing here, and what is
+compared are members of one list and different components: pairs where a list is short, and where it
+is long, its members outside the largest component block against block, at most one link for each outlier
+and component. Every candidate pair that could join two components is decided on full sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -222,6 +224,75 @@ def outlier_links(placed: DataFrame, texts: DataFrame, size: int, percent: int,
     return dealt.mapInArrow(searched(size, percent), "a long, b long").distinct()
 
 
+#: Counts of shingles by the first bits of their hashes: the table that orders them by rareness, 1 MB.
+COUNT_BITS = 18
+PREFIX = "shingle long, doc_id long, component long, n long"
+
+
+def counted(size: int):
+    """(part, n): how many shingles of a batch have a beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").cast(pa.binary()):
+                items = shingles(words_of(text.as_py()), size, hashes)
+                total += np.bincount((items >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+        parts = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(total[parts], pa.int64())], names=["part", "n"])
+
+    return run
+
+
+def prefixes(size: int, percent: int, counts: Broadcast):
+    """The rarest shingles of each text: all but ``percent`` hundredths of it, rounded up, and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, rareness = WordHashes(), np.frombuffer(counts.value, np.uint32)
+        for batch in batches:
+            rare, n = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                items = shingles(words_of(text.as_py()), size, hashes)
+                order = np.lexsort((items, rareness[(items >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]))
+                rare.append(items[order[: len(items) - -(-percent * len(items) // 100) + 1]])
+                n.append(len(items))
+            lengths = list(map(len, rare))
+            shingle = np.concatenate(rare).view(np.int64) if rare else np.empty(0, np.int64)
+            each = [np.repeat(np.asarray(c, np.int64), lengths) for c in (batch.column("doc_id").to_numpy(), batch.column("component").to_numpy(), n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (shingle, *each)], names=[c.split()[0] for c in PREFIX.split(", ")])
+
+    return run
+
+
+def prefix_lists(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """(shingle, doc_id, component, n, listed) of ``members`` (doc_id, component, text): the lists of
+    shingles, by their members' prefixes, in which several components meet."""
+    spark = members.sparkSession
+    found = members.select("text").mapInArrow(counted(size), "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.uint32)
+    counts[found.column("part").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    rows = keep(members.mapInArrow(prefixes(size, percent, spark.sparkContext.broadcast(counts.tobytes())), PREFIX))
+    mixed = rows.groupBy("shingle").agg(F.count("*").alias("listed"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle", "listed")
+    return rows.join(mixed, "shingle")
+
+
+def group_links(placed: DataFrame, texts: DataFrame, size: int, percent: int, short: int = 32) -> DataFrame | None:
+    """Pairs (a, b) that join components, of documents or of components (which are documents too), from
+    ``placed`` (hub, doc_id, component); None where no hub's group has several components."""
+    mixed = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("hub")
+    members = keep(placed.join(mixed, "hub").select("doc_id", "component").distinct())
+    if members.isEmpty():
+        return None
+    lists = keep(prefix_lists(keep(members.join(texts.select("doc_id", "text"), "doc_id")), size, percent))
+    few = lists.where(F.col("listed") <= short).select("shingle", "doc_id", "component", "n")
+    other = few.select("shingle", *(F.col(c).alias(c + "_b") for c in ("doc_id", "component", "n")))
+    alike = f"doc_id < doc_id_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+    pairs = keep(few.join(other, "shingle").where(alike).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+    out = links(pairs, texts, size, percent)
+    many = lists.where(F.col("listed") > short).select(F.col("shingle").alias("hub"), "doc_id", "component")
+    return out if many.isEmpty() else out.unionByName(outlier_links(many, texts, size, percent))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of ``edges`` (a, b) reaches, without those that are
     their own.
@@ -268,10 +339,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     first = keep(links(stars, texts, shingle_words, percent))
     groups = keep(components(first))
     placed = members.select(F.col("least").alias("hub"), "doc_id").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    joins = keep(components(outlier_links(keep(placed), texts, shingle_words, percent)))
-    final = groups.join(joins.select(F.col("node").alias("component"), F.col("component").alias("joined")), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    alone = joins.join(groups, "node", "left_anti").select("node", "component")  # documents that only an outlier search has joined
-    groups = final.unionByName(alone)
+    more = group_links(keep(placed), texts, shingle_words, percent)
+    groups = groups if more is None else keep(components(first.unionByName(more)))
     named = classes.select("set_key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

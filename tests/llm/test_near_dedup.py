@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 
 from conftest import SF
-from lexigrain.llm.near_dedup import WordHashes, bands_of, block_links, components, drop_near_copies, near_dedup, outlier_links, shingle_set, shingles, sketch, words_of
+from lexigrain.llm.near_dedup import WordHashes, bands_of, block_links, components, drop_near_copies, group_links, near_dedup, outlier_links, prefix_lists, shingle_set, shingles, sketch, words_of
 from lexigrain.llm.queries import op8_near_dedup
+from pyspark.sql import functions as F
 
 
 def plain(rows, size, percent=80):
@@ -117,3 +118,34 @@ def test_words_and_edges(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup(df).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True)]
     assert near_dedup(df.limit(0)).collect() == []
+
+
+def templates(n, shared=100, own=50):
+    """Texts that share a template of half their words, each with as many words of its own; similarity 0.5."""
+    common = " ".join(f"t{k}" for k in range(shared))
+    return [(i, common + " " + " ".join(f"o{i}x{k}" for k in range(own))) for i in range(n)]
+
+
+def test_members_of_a_template_are_not_compared(spark):
+    """Five thousand members of one hub at similarity 0.5: what their prefixes have in common doesn't grow
+    with their pairs, and the few links among them are found."""
+    rows = templates(5_000)
+    rows += [(5_000 + k, rows[k][1] + f" more{k}") for k in range(0, 40, 2)]  # near copies of some
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    members = texts.withColumn("component", F.col("doc_id"))
+    lists = prefix_lists(members, 2, 80)
+    assert lists.count() < 5_000
+    placed = members.select(F.lit(0).cast("long").alias("hub"), "doc_id", "component")
+    found = {(r.a, r.b) for r in group_links(placed, texts, 2, 80).collect()}
+    assert found == {(k, 5_000 + k) for k in range(0, 40, 2)}
+    assert group_links(placed.where("doc_id = 1"), texts, 2, 80) is None
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_prefixes_lose_no_link(spark, short):
+    rng = random.Random(12)
+    rows = list(enumerate(variants(rng, 90, 40, 9) + variants(rng, 60, 25, 5)))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = spark.createDataFrame([(0, i, i) for i, _ in rows], "hub long, doc_id long, component long")
+    joined = {r.node: r.component for r in components(group_links(placed, texts, 2, 80, short)).collect()}
+    assert {i: joined.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in plain(rows, 2).items()}

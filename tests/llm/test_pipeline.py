@@ -61,3 +61,43 @@ def test_mixing_and_packing(stages):
 def test_run_is_the_stages(spark, stages):
     rows = lambda df: sorted(json.dumps(r.asDict(), default=str, sort_keys=True) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, SF)) == rows(stages[-1])
+
+
+def apply(spark, docs):
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(stage(spark, out[-1], SF))
+    return out
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, component_id string, tokens int, kept int"
+
+
+def test_odd_rows(spark):
+    """Nulls in any column, empty and long texts, repeated rows and columns named like the operators' own."""
+    words = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(8)]
+    rows = [(k, w, "en", "src1", len(w)) for k, w in enumerate(words)]
+    rows += [(0, words[0], "en", "src1", 1), (20, words[1], None, None, None), (21, words[1] + " more", "de", "src9", 1)]
+    rows += [(30, None, "en", "src1", None), (31, "", None, "src1", 0), (32, " \n", "xx", None, 2), (33, "z" * 300_000, "en", "odd", 1), (None, words[2] + " and so on", "en", "src1", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, "c", 1, 0) for r in rows], ODD)
+    stages = apply(spark, docs)
+    assert all(df.columns == docs.columns for df in stages[:-1])
+    ids = lambda df: sorted((-1 if r.doc_id is None else r.doc_id) for r in df.collect())
+    assert ids(stages[1]) == ids(docs)
+    assert ids(stages[2]) == [-1, 0, 0, 2, 3, 4, 5, 6, 7, 20, 21, 31, 32, 33]  # repeated rows stay together
+    assert ids(stages[3]) == [-1, 0, 0, 2, 3, 4, 5, 6, 7, 20, 31, 32, 33]
+    assert set(ids(stages[4])) <= set(ids(stages[3])) and stages[4].count() > 0
+    texts_left = [r.text for r in stages[4].collect()]
+    assert stages[5].where("start = 0").count() == len(texts_left)
+
+
+def test_empty_table(spark):
+    assert all(df.count() == 0 for df in apply(spark, spark.createDataFrame([], ODD)))
+
+
+def test_only_results_stay(spark):
+    from lexigrain.llm.common import made
+
+    before = set(made)
+    corpus_pipeline.run(spark, SF).count()
+    assert len(set(made) - before) < 8  # the mixture and the tables of the last stage
