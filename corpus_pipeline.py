@@ -1,12 +1,17 @@
 """The corpus pipeline: toxic documents go, then exact copies, then near copies; what stays is mixed to
-the target weights and packed into sequences."""
+the target weights and packed into sequences.
+
+All stages take any columns beside those of documents and any names of them, and an empty table, of which
+nothing comes out. Rows repeated with one identifier and rows without one are documents like others, except
+where a stage says otherwise.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import keep, read
+from lexigrain.llm.common import discard, keep_alone, read
 from lexigrain.llm.exact_dedup import drop_copies
 from lexigrain.llm.mixing import select_mixture
 from lexigrain.llm.near_dedup import drop_near_copies
@@ -19,27 +24,31 @@ BUDGET_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't predicted toxic."""
+    """Documents that aren't predicted toxic. A null text counts as empty; empty texts are scored like texts
+    without words and stay; a text of any length is scored whole."""
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest identifier."""
+    """Of equal texts the document with the largest identifier, null the least; null counts as empty, so of
+    empty texts one stays. Rows repeated with identifier and text stay or go together."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (five-word shingles, similarity 0.8) the document with the least identifier."""
+    """Of near copies (five-word shingles, similarity 0.8) the document with the least identifier. Texts
+    without words are near nothing, shorter ones are one shingle; documents without an identifier stay."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture's budget of tokens takes, each at most once."""
+    """Documents that the mixture's budget of tokens takes, each at most once. Null languages and sources
+    are leaves named unknown; a document that doesn't fit what is left of its leaf's budget goes."""
     return select_mixture(docs, budget=F.expr(f"coalesce(sum(leaf_tokens), 0) * {BUDGET_PERCENT} div 100"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document: where it lies in which sequence."""
+    """One row per piece of a document: where it lies in which sequence. An empty text is its end token."""
     return pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -49,8 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are a table in the shared folder."""
+    """All stages over ``documents``; each stage's rows are a table in the shared folder, and what came before
+    is removed."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir))
+        before, docs = docs, keep_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
