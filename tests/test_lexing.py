@@ -2,11 +2,13 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import cut, first_of, groups_in, one_of
 from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, with_spans
 from lexigrain.plans.catalog import LEXER_NAMES
+from lexigrain.plans.goldens import GOLDEN
 from lexigrain.plans.queries import SOURCES
 from pyspark.sql import functions as F
 
@@ -225,3 +227,29 @@ def test_no_python_in_the_plan(spark):
     plan = tokenize(spark.createDataFrame([("1",)], "text string"), "HTML")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert rule_set("HTML").lexer == "HTML"
+
+
+#: Where a later rule would match more: the openings of long comments are told before short ones.
+SHORTER = {("Lua", "COMMENT_MULTILINE", "COMMENT_SINGLE"), ("MySQL", "COMMENT_MULTILINE", "COMMENT_MULTILINE")}
+
+
+def java_pattern(pattern):
+    return regex.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern).replace("\\z", "\\Z"), regex.V0)
+
+
+def longer_matches(rules, text):
+    """(type, type) of rules where one that comes later matches more than the first, text between constructs aside."""
+    patterns, at = [java_pattern(r.pattern) for r in rules.rules], 0
+    while at < len(text):
+        found = [(m.end() - at, r) for r, p in zip(rules.rules, patterns, strict=True) if (m := p.match(text, at)) and m.end() > at]
+        yield from ((found[0][1].type, r.type) for n, r in found[1:] if n > found[0][0] and r.type != "IGNORABLE")
+        if found and found[0][1].inner:
+            yield from longer_matches(found[0][1].inner, text[at : at + found[0][0]])
+        at += found[0][0] if found else 1
+
+
+@pytest.mark.parametrize("language", GOLDEN)
+def test_first_match_is_the_longest(language):
+    name, _, variant = language.partition("?")
+    text = "".join(t.partition(" ")[2] for t in GOLDEN[language]).replace("{k}", "7").replace("{n}", "Name")
+    assert {(name, *types) for types in longer_matches(rule_set(name, **({variant: True} if variant else {})), text)} <= SHORTER
