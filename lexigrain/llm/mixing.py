@@ -5,7 +5,8 @@ proportion to their weights; a child that can't use its share (it has ``max_epoc
 at most) leaves the shortage to its siblings, and only what a whole subtree can't use goes to the
 siblings of the subtree. A leaf is then read for as many whole epochs as its budget covers, and of one
 more epoch, in an order seeded by the epoch, the longest prefix that the budget covers. The prefix is
-found from token sums by leaf and hash bucket; only the bucket in which it ends is sorted.
+found from token sums by leaf and hash bucket, 256 buckets at a time: the bucket in which it ends is cut into
+256 again until it has few rows, and only these are sorted. So no task's rows grow with a leaf.
 """
 
 from __future__ import annotations
@@ -70,12 +71,13 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int) -> DataFram
     return share_out(low, ["domain", "lang"], "source", "for_lang", "leaf_budget").select(*LEAF, "leaf_tokens", "leaf_budget")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: Column | None = None, max_epochs: int = 4, seed: int = 17) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", budget: Column | None = None, max_epochs: int = 4, seed: int = 17, bucket_rows: int = 1_000) -> DataFrame:
     """One row per input row: doc_id, domain, lang, source, tokens, leaf_budget, times.
 
     ``tokens`` are runs of characters other than space, tab, CR and LF (null text: none); ``budget`` is
     an aggregate over the leaves' ``leaf_tokens``, their sum by default; ``times`` says how often the
-    row is used. Edge cases: null language or source are leaves named ``unknown``; a row without tokens
+    row is used. Buckets are cut until one has about ``bucket_rows`` rows at most, which changes no result.
+    A text of any length is counted whole. Edge cases: null language or source are leaves named ``unknown``; a row without tokens
     costs nothing and is used where the prefix ends after its bucket; rows repeated with one identifier
     stand and fall together; an empty table gives no rows.
     """
@@ -86,12 +88,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     leaves = leaves.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.least(F.lit(max_epochs).cast("long"), F.expr("leaf_budget div leaf_tokens"))).otherwise(F.lit(1).cast("long")))
     leaves = keep(leaves.withColumn("prefix", F.when(F.col("whole") < max_epochs, F.col("leaf_budget") - F.col("whole") * F.col("leaf_tokens")).otherwise(F.lit(0))))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
-    placed = rows.join(leaves, LEAF).withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3))
-    sums = placed.groupBy(*LEAF, "bucket", "prefix").agg(F.sum("tokens").alias("n"))
-    sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket")))
-    ends = keep(sums.where("upto > prefix").groupBy(*LEAF).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("ahead")), "bucket").alias("end")).select(*LEAF, F.col("end.bucket").alias("end_bucket"), F.col("end.ahead").alias("ahead")))
+    digits, ends = 0, leaves.select(*LEAF, F.lit("").alias("end_bucket"), F.lit(0).cast("long").alias("ahead"))
+    largest = rows.groupBy(*LEAF).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    while digits == 0 or largest > bucket_rows * 16**digits:
+        inside = rows.join(leaves.join(ends, LEAF), LEAF).withColumn("place", order).where(F.substring("place", 1, digits) == F.col("end_bucket"))
+        digits += 2
+        sums = inside.groupBy(*LEAF, F.substring("place", 1, digits).alias("bucket"), "prefix", "ahead").agg(F.sum("tokens").alias("n"))
+        sums = sums.withColumn("upto", F.col("ahead") + F.sum("n").over(Window.partitionBy(*LEAF).orderBy("bucket")))
+        ends = keep(sums.where("upto > prefix").groupBy(*LEAF).agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("ahead")), "bucket").alias("end")).select(*LEAF, F.col("end.bucket").alias("end_bucket"), F.col("end.ahead").alias("ahead")))
     out = ["doc_id", *LEAF, "tokens", "leaf_budget"]
-    placed = rows.join(leaves.join(ends, LEAF, "left"), LEAF).withColumn("place", order).withColumn("bucket", F.substring("place", 1, 3))
+    placed = rows.join(leaves.join(ends, LEAF, "left"), LEAF).withColumn("place", order).withColumn("bucket", F.substring("place", 1, digits))
     clear = placed.where("end_bucket is null or bucket <> end_bucket").select(*out, (F.col("whole") + F.when(F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")), F.when(F.col("leaf_tokens") > 0, F.lit(1)).otherwise(0)).otherwise(0)).alias("times"))
     upto = F.col("ahead") + F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("place"))
     last = placed.where("bucket = end_bucket").withColumn("upto", upto).select(*out, (F.col("whole") + F.when(F.col("upto") <= F.col("prefix"), 1).otherwise(0)).alias("times"))

@@ -63,3 +63,14 @@ def test_selection_and_edges(spark):
 def test_native(spark, plan_of):
     df = spark.createDataFrame([(1, "a", "en", "src1")], "doc_id long, text string, lang string, source string")
     assert "Python" not in plan_of(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucket_sizes_change_nothing(spark):
+    """Buckets cut once and several times, a hot leaf, a very long text and clashing columns."""
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.randrange(1, 9), "en", rng.choice(["src0", "src0", "src8"]), "x", 5) for k in range(900)] + [(5_000, "long " * 100_000, "en", "src0", "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string, times int")
+    budget = F.expr("sum(leaf_tokens) div 3")
+    want = sorted(map(tuple, mix(df, budget=budget).collect()))
+    for size in (1, 10):
+        assert sorted(map(tuple, mix(df, budget=budget, bucket_rows=size).collect())) == want
