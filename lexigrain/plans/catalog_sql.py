@@ -105,3 +105,55 @@ ORACLE_SQL = {
             ('Javascript', 'STRING_DOUBLE', 2, 0), ('Javascript', 'SEQUENCE_ESCAPED', 1, 0), ('Javascript', 'KEYWORD', 1, 0), ('Python', 'STRING_SINGLE', 1, 1), ('Python', 'SEQUENCE_ESCAPED', 0, 1), ('Python', 'KEYWORD', 1, 0))
         select language, type, sum(texts * (tokens + per * (n + 1)))::bigint as tokens from n, kinds group by all""",
 }
+
+
+def part(colour: str, at: int) -> str:
+    return f"('0x' || {colour}[{at}:{at + 1}])::int"
+
+
+def rgb(colour: str, between: str) -> str:
+    return f" || '{between}' || ".join(part(colour, at) for at in (2, 4, 6))
+
+
+def distance(colour: str) -> str:
+    return " + ".join(f"({part(colour, at)} - {c}) ** 2" for c, at in zip("rgb", (2, 4, 6), strict=True))
+
+
+#: The lengths of what each formatter makes of a page: what goes around tokens by type, and the texts.
+FORMATS = r""",
+    TYPES, STYLES, BASE,
+    molokai as (select t.id, s.* from styles s join types t on t.name = s.type where theme = 'Molokai'),
+    shades as (select c, row_number() over (order by min(id * 2 + slot)) as n from (select fg as c, id, 0 as slot from molokai union all select bg, id, 1 from molokai) where c is not null group by c),
+    near as (select c, arg_min(idx, (DISTANCE) * 1000 + idx) as idx from shades, base group by c),
+    lines as (select m.type, case when bold then ';1' else '' end || case when italic then ';3' else '' end || case when underline then ';4' else '' end as marks,
+        coalesce(';38;2;' || FG, '') || coalesce(';48;2;' || BG, '') as colours, coalesce(';38;5;' || f.idx, '') || coalesce(';48;5;' || b.idx, '') as near_colours,
+        '{' || case when bold then '\b' else '' end || case when italic then '\i' else '' end || coalesce('\cb' || sb.n, '') || coalesce('\cf' || sf.n, '') || ' }' as rich,
+        repeat('[b][/b]', bold::int + italic::int + underline::int) || coalesce('[color=#' || printf('%x%x%x', PARTS) || '][/color]', '') as board
+        from molokai m left join near f on f.c = fg left join near b on b.c = bg left join shades sf on sf.c = fg left join shades sb on sb.c = bg),
+    looks as (select *, case when bold then 'font-weight: bold;' else '' end || case when italic then 'font-style: italic;' else '' end || case when underline then 'text-decoration: underline;' else '' end || coalesce('color: ' || fg || ';', '') || coalesce('background-color: ' || bg || ';', '') as look from styles),
+    around as (select t.name as type, coalesce(length(board), 0) as bbcode, case when t.name = 'IGNORABLE' then 0 else length('<span class=""></span>') + case when t.cssclass = ' ' then 1 else length(t.cssclass[1:2]) end end as html,
+        case when t.name = 'IGNORABLE' then 0 else coalesce(length('<span style="' || look || '"></span>'), 0) end as html_styles, coalesce(length(rich), 0) as rtf,
+        coalesce(length(chr(27) || '[' || (marks || colours)[2:] || 'm' || chr(27) || '[39;49;00m'), 0) as terminal, coalesce(length(chr(27) || '[' || (marks || near_colours)[2:] || 'm' || chr(27) || '[39;49;00m'), 0) as terminal_256
+        from types t left join lines on lines.type = t.name left join looks on looks.type = t.name and theme = 'Monokai'),
+    sheet as (select sum(length(names) + length(' {|}|') + length(look) + 3 * (length(look) - length(replace(look, ';', '')))) as n from (
+        select look, string_agg('.' || cssclass, ', ') as names from looks join types on types.name = looks.type where theme = 'Molokai' and cssclass <> ' ' group by look)),
+    shown as (select m.*, length(t) as n, length(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as escaped, length(regexp_replace(regexp_replace(t, '[\\{}]', 'xx', 'g'), '\r\n|[\r\n]', '12345', 'g')) as quoted,
+        case when lexer <> 'HTML' and lag(lexer) over w = 'HTML' then length('<SPAN class="">' || lexer) when lexer = 'HTML' and lag(lexer) over w <> 'HTML' then length('</SPAN>') else 0 end as moved from marked m window w as (partition by page_id order by i, j))
+    select page_id, (sum(n + new * bbcode) + length('[code][/code]'))::bigint as bbcode,
+        (sum(escaped + moved + new * html) + (select n from sheet) + length('<!DOCTYPE html>|<html>|  <head>|    <title>a &amp; b</title>|    <meta charset="utf-8">|    <style type="text/css">|    </style>|  </head>|  <body>|    <pre></pre>|  </body>|</html>'))::bigint as html,
+        (sum(escaped + moved + new * html_styles) + length('<pre></pre>'))::bigint as html_styles,
+        (sum(quoted + new * rtf) + (select sum(length('\red\green\blue;' || SHADE)) from shades) + length('{\rtf1\ansi\uc0\deff0{\fonttbl{\f0\fmodern\fprq1\fcharset0;}}{\colortbl;}\f0 }'))::bigint as rtf,
+        sum(n + new * terminal)::bigint as terminal, sum(n + new * terminal_256)::bigint as terminal_256
+    from shown join around using (type) group by page_id"""
+for name, sql in (
+    ("TYPES", TYPES),
+    ("STYLES", STYLES),
+    ("BASE", values("base", "idx, r, g, b", ((k, *c) for k, c in enumerate(catalog.palette())))),
+    ("DISTANCE", distance("c")),
+    ("FG", rgb("fg", ";")),
+    ("BG", rgb("bg", ";")),
+    ("PARTS", ", ".join(part("fg", at) for at in (2, 4, 6))),
+    ("SHADE", rgb("c", "")),
+):
+    FORMATS = FORMATS.replace(name, sql, 1)
+ORACLE_SQL["formats"] = PAGES + FORMATS

@@ -22,8 +22,8 @@ def test_all_languages_come_out_whole(spark):
     assert all(r.broken == 0 and r.sources == 25 for r in queries.all_languages(spark, SF).collect())
 
 
-def test_all_but_formats_have_sql():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"formats"}
+def test_all_have_sql():
+    assert set(queries.QUERIES) == set(queries.ORACLE_SQL)
 
 
 def test_entry_point(spark):
