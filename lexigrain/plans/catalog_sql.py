@@ -99,7 +99,7 @@ ORACLE_SQL = {
         with {values("golden", "language, seq, lexer, type, text", golden_rows())}
         select n_nationkey::bigint as n_nationkey, language, seq::bigint as seq, lexer, type, replace(replace(text, '{{k}}', n_nationkey::varchar), '{{n}}', replace(n_name, ' ', '')) as text from golden, nation""",
     "long_constructs": """
-        with n as (select (o_orderkey % 400)::bigint as n, count(*) as texts from orders group by 1),
+        with n as (select (s_suppkey * 37 % 2000)::bigint as n, count(*) as texts from supplier group by 1),
         kinds(language, type, tokens, per) as (values
             ('C', 'COMMENT_SINGLE', 1, 0), ('C', 'KEYWORD', 1, 0), ('HTML', 'NAME_TAG', 2, 0), ('HTML', 'NAME_ATTRIBUTE', 0, 1), ('HTML', 'STRING_SINGLE', 0, 1),
             ('Javascript', 'STRING_DOUBLE', 2, 0), ('Javascript', 'SEQUENCE_ESCAPED', 1, 0), ('Javascript', 'KEYWORD', 1, 0), ('Python', 'STRING_SINGLE', 1, 1), ('Python', 'SEQUENCE_ESCAPED', 0, 1), ('Python', 'KEYWORD', 1, 0))

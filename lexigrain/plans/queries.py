@@ -186,13 +186,13 @@ def keywords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macros, tags and strings of as many parts as an order's key tells: their tokens by type."""
-    orders = sources(spark, sf_dir, "orders", (F.col("o_orderkey") % 400 + 1).cast("int").alias("n"))
+    """Macros, tags and strings of up to 2,000 parts, as a supplier's key tells: their tokens by type."""
+    keys = sources(spark, sf_dir, "supplier", (F.col("s_suppkey") * 37 % 2_000 + 1).cast("int").alias("n"))
     made = {"C": ("#define A", " \\\n  x", "\nint y;"), "HTML": ("<p", " a='>'", ">x"), "Javascript": ('"', "\\\\", '"; var'), "Python": ("'", "\\x41a", "' if")}
     wanted = {"C": ("COMMENT_SINGLE", "KEYWORD"), "HTML": ("NAME_TAG", "NAME_ATTRIBUTE", "STRING_SINGLE"), "Javascript": ("STRING_DOUBLE", "SEQUENCE_ESCAPED", "KEYWORD"), "Python": ("STRING_SINGLE", "SEQUENCE_ESCAPED", "KEYWORD")}
     out = None
     for language, (before, part, after) in made.items():
-        rows = tokenize(orders.select(F.concat(F.lit(before), F.repeat(F.lit(part), F.col("n")), F.lit(after)).alias("text")), language)
+        rows = tokenize(keys.select(F.concat(F.lit(before), F.repeat(F.lit(part), F.col("n")), F.lit(after)).alias("text")), language)
         counts = type_counts(rows).where(F.col("type").isin(*wanted[language])).select(F.lit(language).alias("language"), "type", "tokens")
         out = counts if out is None else out.unionByName(counts)
     return out
