@@ -12,9 +12,9 @@ components. Most groups are one component then. The members of the other groups
 prefixes: of two texts similar enough, the rarest shingles of one that make up a little over a fifth of it
 have one in common with those of the other, in any order of rareness that is the same for all. Rareness
 comes from a table of counts of fixed size. So texts that share a template share nothing here, and what is
-compared are members of one list and different components: pairs where a list is short, and where it
-is long, its members outside the largest component block against block, at most one link for each outlier
-and component. Every candidate pair that could join two components is decided on full sets.
+compared are members of one list and different components: pairs where a list is short; members of long
+lists are searched in their hubs' groups, those outside the largest component block against block, at most
+one link for each outlier and component. Every candidate pair that could join two components is decided on full sets.
 """
 
 from __future__ import annotations
@@ -289,8 +289,8 @@ def group_links(placed: DataFrame, texts: DataFrame, size: int, percent: int, sh
     alike = f"doc_id < doc_id_b and component <> component_b and 100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
     pairs = keep(few.join(other, "shingle").where(alike).select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct())
     out = links(pairs, texts, size, percent)
-    many = lists.where(F.col("listed") > short).select(F.col("shingle").alias("hub"), "doc_id", "component")
-    return out if many.isEmpty() else out.unionByName(outlier_links(many, texts, size, percent))
+    many = keep(lists.where(F.col("listed") > short).select("doc_id").distinct())
+    return out if many.isEmpty() else out.unionByName(outlier_links(keep(placed.join(many, "doc_id")), texts, size, percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -340,7 +340,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     groups = keep(components(first))
     placed = members.select(F.col("least").alias("hub"), "doc_id").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     more = group_links(keep(placed), texts, shingle_words, percent)
-    groups = groups if more is None else keep(components(first.unionByName(more)))
+    groups = groups if more is None else keep(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
     named = classes.select("set_key", "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
