@@ -1,6 +1,7 @@
 import pytest
 
 from lexigrain.functions import strings
+from lexigrain.operators import render, routing
 from lexigrain.sources.files import read_cases, read_routed, read_sources, write_rendered
 from lexigrain.streaming.highlight import read_stream, rendered_stream, windowed_type_counts
 from pyspark.sql import functions as F
@@ -73,3 +74,27 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(120)
     got = {(r.window_start.hour, r.type): r.tokens for r in spark.table("counts").collect()}
     assert got == {(0, "PUNCTUATION"): 5, (0, "NUMBER_DECIMAL"): 3, (1, "KEYWORD_CONSTANT"): 1}
+
+
+def test_bytes(spark):
+    """The first bad byte, zero bytes and dumps, against Python's own view of the bytes."""
+    data = [b"", b"abc", b"ab\xc3\x28cd", b"\xff", "é東𝒳".encode(), "é".encode() + b"\xe6\x9d", b"x" * 5_000 + b"\x80" + b"y" * 5_000, b"\xef\xbf\xbdok\xc0"]
+    rows = spark.createDataFrame([(k, d) for k, d in enumerate(data)], "k int, d binary").select("k", strings.first_bad_utf8(F.col("d")).alias("bad"), strings.is_binary(F.col("d")).alias("zero")).collect()
+    for r in rows:
+        try:
+            data[r.k].decode()
+            assert r.bad is None
+        except UnicodeDecodeError as problem:
+            assert problem.start <= r.bad <= problem.end, data[r.k][:9]
+        assert not r.zero
+    zero = spark.createDataFrame([(b"\x00",), (b"a" * 1_023 + b"\x00",), (b"a" * 1_024 + b"\x00",), (b"\x10\x01",)], "d binary")
+    assert [r[0] for r in zero.select(strings.is_binary(F.col("d"))).collect()] == [True, True, False, False]
+    texts = ["plain\ttext\n", "é\x01𝒳\r", "", None, "\x7f"]
+    dumped = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(render.dumped(F.col("t"))).collect()]
+    assert dumped == ["plain\\ttext\\n", "0xc30xa90x010xf00x9d0x920xb3\\r", "", None, "0x7f"]
+
+
+def test_shebang_with_many_arguments(spark):
+    line = "#!/usr/bin/env " + "-x " * 3_000 + "python3 -u\nx"
+    rows = spark.createDataFrame([(line,), ("#!/usr/bin/env\n",), ("#! /bin/sh -e\n",), ("<?xml",), ("",), (None,)], "t string").select(routing.guess(F.col("t")).alias("g")).collect()
+    assert [r.g for r in rows] == ["Python", None, "Bash", "XML", None, None]
