@@ -29,19 +29,27 @@ RAW = frozenset("canvas head iframe noscript object script style svg template te
 #: Elements, and words of class, id and role, that name the parts around an article.
 CHROME_TAGS = frozenset("aside button dialog fieldset footer form header label legend menu nav option select".split())
 CHROME_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets".split()
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget widgets"
+    " anzeige fusszeile hinweis hinweise kommentar kommentare kommentarbereich kopfzeile seitenleiste werbung"
+    " anuncio anuncios aviso avisos barra cabecera comentario comentarios formulario publicidad"
+    " annonce annonces avis barre commentaire commentaires entete formulaire publicite".split()
 )
 #: Parts of a name that say where or what kind of box an element is: ``site-header`` is a header, ``share-price``
 #: is about something else than sharing.
 BOX_WORDS = frozenset(
-    "area article articles bar block body bottom box btn button buttons col column container content count desktop div fixed float global group head holder icon icons inline inner item items js label layout left link links list main mobile module my nav outer page pages panel post posts primary region right row secondary section single site slot small sticky stories tablet text title top unit wrap wrapper".split()
+    "area article articles bar block body bottom box btn button buttons col column container content count desktop div fixed float global group head holder icon icons inline inner item items js label layout left link links list main mobile module my nav outer page pages panel post posts primary region right row secondary section single site slot small sticky stories tablet text title top topic topics unit wrap wrapper".split()
 )
 #: Parts of a name that tell a state of the page (``no-sidebar``, ``comments-open``), not what the element is.
 STATE_WORDS = frozenset("closed disabled enabled has is no not open opened with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text: a label or button in them is a part of what they say.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 #: A page whose best run is worth this many times more without the names is wrapped in a named element.
 WRAPPED = 4.0
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: A quote begins a value only behind a name and ``=``; elsewhere it is a character like others.
+TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))?|[^>])*+)>""")
+#: From two characters into ``<!--``: ``<!-->`` and ``<!--->`` are whole comments.
+COMMENT_END = re.compile("--!?>")
 LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME_WORD = re.compile(r"[a-z]+")
@@ -125,8 +133,8 @@ def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
             at = end
             continue
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
-            at = len(page) if end < 0 else end + 3
+            end = COMMENT_END.search(page, at + 2)
+            at = end.end() if end else len(page)
             continue
         if page.startswith(("<!", "<?"), at):
             end = page.find(">", at)
@@ -162,7 +170,10 @@ def parsed(page: str) -> tuple[list[Unit], list[Named], list[Body]]:
                     _, within, inside, body, _, _, innermost = stack[-1] if stack else root
             if name in HEADINGS or (name != "header" and body >= 0):
                 kind = tuple(f for f in kind if f != ".header")
-            plain = name == "header" and body >= 0 and not is_chrome(("", *(f for f in kind[1:] if f != ".header")))
+            said = (name in ("button", "label") and innermost >= 0 and stack[innermost][0] in PROSE) or (name in ("fieldset", "legend") and body >= 0)
+            plain = (said or (name == "header" and body >= 0)) and not is_chrome(("", *(f for f in kind[1:] if f != ".header")))
+            if name == "blockquote" and body >= 0:  # a quotation, however it is named
+                kind = tuple(f for f in kind if f[1:] not in CHROME_WORDS)
             kind = () if plain else kind
             if name not in VOID and not m[3].endswith("/"):
                 if not plain and name not in ("html", "body") and is_chrome(kind):

@@ -141,3 +141,23 @@ def test_a_megabyte_of_tags_takes_linear_time(weights, part):
         return time.process_time() - began
 
     assert seconds(1_000_000) < 8 * max(seconds(250_000), 0.1)
+
+
+def test_quotes_and_comments(weights):
+    assert main_text(f"<article><p title=it's>alpha beta gamma</p><p>don't stop {WORDS}</p></article>", weights) == f"alpha beta gamma\ndon't stop {WORDS}"
+    assert main_text(f"<article><p><a href=/x title=John's>John</a> said it isn't so. {WORDS}</p></article>", weights) == f"John said it isn't so. {WORDS}"
+    assert main_text(f'<article><p data-x="a>b" title = \'c>d\' e=">">{WORDS}</p></article>', weights) == WORDS
+    for comment in ("<!-->", "<!--->", "<!-- x -->", "<!---->", "<!-- a --!>"):
+        assert main_text(f"<article>{comment}<p>{WORDS}</p></article>", weights) == WORDS
+
+
+def test_labels_and_quotations_in_articles(weights):
+    assert main_text(f"<article><p>{WORDS} see <label>the label</label> <button>now</button></p></article>", weights) == f"{WORDS} see the label now"
+    assert main_text(f"<article><p>{WORDS}</p><blockquote class='reply'><p>Quoted words</p></blockquote><fieldset><p>In a box</p></fieldset></article>", weights) == f"{WORDS}\nQuoted words\nIn a box"
+    assert main_text(f"<article><p>{WORDS}</p><form><fieldset><legend>Sign up</legend><label>Mail</label></fieldset></form></article>", weights) == WORDS
+
+
+@pytest.mark.parametrize("name", ["kommentare", "kommentar", "commentaires", "comentarios", "related-topics", "werbung"])
+def test_names_in_other_languages(weights, name):
+    assert main_text(f"<body><article><p>{WORDS}</p></article><div class='{name}'><p>{WORDS} I say</p></div></body>", weights) == WORDS
+    assert main_text(f"<body><article><p>{WORDS}</p><p>{WORDS}</p><div class='{name}'><p>Not of it</p></div></article></body>", weights) == f"{WORDS}\n{WORDS}"
