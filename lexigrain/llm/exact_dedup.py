@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import tempfile
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import id_and_text, keep
+from lexigrain.llm.common import free_name, id_and_text, keep
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -35,6 +36,10 @@ def shared_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
+#: References of a spilled string that come in one part.
+PART = 1 << 20
+
+
 class Node:
     __slots__ = ("count", "edge", "kids", "owner", "refs", "spilled")
 
@@ -45,7 +50,7 @@ class Node:
 class PatriciaTrie:
     """Byte strings with their owner, count and references.
 
-    ``largest`` says which identifier owns a text. When the edges hold more than ``max_bytes``, the
+    ``largest`` says which identifier owns a text. When edges and references hold more than ``max_bytes``, the
     heaviest subtree below the root path moves to a task-local file; later strings of that subtree
     follow it there, and ``groups`` rebuilds each such file in a trie of its own.
     """
@@ -79,7 +84,10 @@ class PatriciaTrie:
         if ident is not None and (node.owner is None or (ident > node.owner) == self.largest):
             node.owner = ident
         node.count += count
-        node.refs = refs if node.refs is None else node.refs + refs
+        if node.refs is None:
+            node.refs = array("q")
+        node.refs.extend(refs)
+        self.held += 8 * len(refs)
         if self.held > self.max_bytes:
             self.spill()
         return node
@@ -88,7 +96,7 @@ class PatriciaTrie:
         total, todo = 0, [node]
         while todo:
             x = todo.pop()
-            total += len(x.edge)
+            total += len(x.edge) + 8 * len(x.refs or ())
             todo += x.kids.values()
         return total
 
@@ -114,8 +122,9 @@ class PatriciaTrie:
             todo += [(path + kid.edge, kid) for kid in x.kids.values()]
         top.kids, top.owner, top.count, top.refs, top.spilled = {}, None, 0, None, out
 
-    def groups(self) -> Iterator[tuple[int | None, int, list]]:
-        """(owner, count, references) of every distinct string."""
+    def groups(self) -> Iterator[tuple[int | None, int, array]]:
+        """(owner, count, references) of every distinct string; a string of very many references comes in several
+        parts, each with its owner and whole count."""
         todo, files = [self.root], []
         while todo:
             x = todo.pop()
@@ -127,6 +136,23 @@ class PatriciaTrie:
         self.root = Node(b"")
         for file in files:
             file.seek(0)
+            suffixes, best, count = set(), None, 0
+            for suffix, ident, n, _ in records(file):
+                suffixes = suffixes if len(suffixes) > 1 else suffixes | {suffix}
+                count += n
+                if ident is not None and (best is None or (ident > best) == self.largest):
+                    best = ident
+            file.seek(0)
+            if len(suffixes) == 1:  # one string: its references needn't be in memory together
+                some = array("q")
+                for *_, refs in records(file):
+                    some.extend(refs)
+                    if len(some) >= PART:
+                        yield best, count, some
+                        some = array("q")
+                if some:
+                    yield best, count, some
+                continue
             below = PatriciaTrie(self.largest, self.max_bytes)
             for record in records(file):
                 below.insert(*record)
@@ -217,6 +243,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """The rows of ``df`` that stay, with all their columns; of rows repeated with one identifier and text,
     all."""
     found = exact_dedup(df, id_col, text_col, keep_largest)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__dropped"), F.col("text_sha256").alias("__sha256")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256) == F.col("__sha256"))
+    ident, content = free_name(df, "dropped"), free_name(df, "sha256")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(ident), F.col("text_sha256").alias(content)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256) == F.col(content))
     return df.join(dropped, same, "left_anti")

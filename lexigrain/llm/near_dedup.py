@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import Memo, discard, id_and_text, keep
+from lexigrain.llm.common import Memo, discard, free_name, id_and_text, keep
 
 M1, M2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 S33, LOW = np.uint64(33), np.uint64(0xFFFFFFFF)
@@ -348,7 +348,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document stands for its component, with all their columns."""
+    """The rows of ``df`` whose document stands for its component, with all their columns. Rows of one identifier
+    with different texts are judged by all of them: they go together if one of the texts is a copy that goes."""
     found = near_dedup(df, id_col, text_col, **options)
-    dropped = found.where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return df.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    ident = free_name(df, "dropped")
+    dropped = found.where("not kept").select(F.col("doc_id").alias(ident)).distinct()
+    return df.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col(ident)), "left_anti")

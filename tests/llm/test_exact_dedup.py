@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -49,3 +50,32 @@ def test_against_brute_force(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup(empty).collect() == [] and drop_copies(empty).collect() == []
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, 7), (2, "a", 5, 6, 7)], "doc_id long, text string, __dropped int, Dropped int, sha256 int")
+    assert [tuple(r) for r in drop_copies(df).collect()] == [(2, "a", 5, 6, 7)] and drop_copies(df).columns == df.columns
+
+
+def test_many_references_take_linear_time():
+    def seconds(n):
+        trie, began = PatriciaTrie(), time.process_time()
+        for k in range(n):
+            trie.insert(b"one text", k, 1, [k])
+        assert [(owner, count, list(refs)) for owner, count, refs in trie.groups()] == [(n - 1, n, list(range(n)))]
+        return time.process_time() - began
+
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.1)
+
+
+def test_references_are_spilled():
+    """One string with more references than fit, among others."""
+    trie = PatriciaTrie(max_bytes=2_000)
+    for k in range(5_000):
+        trie.insert(b"common", k, 1, [k])
+        trie.insert(b"c%d" % (k % 50), k, 1, [-k])
+    found = {}
+    for owner, count, refs in trie.groups():
+        found.setdefault((owner, count), []).extend(refs)
+    assert sorted(found.pop((4_999, 5_000))) == list(range(5_000))
+    assert sorted((k, len(r)) for k, r in found.items()) == [((4_950 + k, 100), 100) for k in range(50)]

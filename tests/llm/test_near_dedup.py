@@ -149,3 +149,8 @@ def test_prefixes_lose_no_link(spark, short):
     placed = spark.createDataFrame([(0, i, i) for i, _ in rows], "hub long, doc_id long, component long")
     joined = {r.node: r.component for r in components(group_links(placed, texts, 2, 80, short)).collect()}
     assert {i: joined.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in plain(rows, 2).items()}
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 5, 6), (2, "a b c d e f", 5, 6)], "doc_id long, text string, __dropped int, DROPPED int")
+    assert [tuple(r) for r in drop_near_copies(df).collect()] == [(1, "a b c d e f", 5, 6)]
