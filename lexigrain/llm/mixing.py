@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import keep
+from lexigrain.llm.common import free_name, keep
 
 LEAF = ["domain", "lang", "source"]
 #: The production tree: weights by name, and for names that aren't listed.
@@ -104,7 +104,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return clear.unionByName(last)
 
 
-def select_mixture(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that one epoch of the mixture uses, with all their columns."""
-    used = mix(df, id_col=id_col, max_epochs=1, **options).where("times > 0").select(F.col("doc_id").alias("__used")).distinct()
-    return df.join(used, F.col(id_col).cast("long").eqNullSafe(F.col("__used")), "left_semi")
+def select_mixture(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", max_epochs: int = 1, **options) -> DataFrame:
+    """The rows of ``df`` that the mixture uses, with all their columns, each as often as its epochs say."""
+    times = mix(df, id_col=id_col, lang_col=lang_col, source_col=source_col, max_epochs=max_epochs, **options).where("times > 0").select("doc_id", "lang", "source", "times").distinct()
+    names = {c: free_name(df, c) for c in times.columns}
+    times = times.select(*(F.col(c).alias(name) for c, name in names.items()))
+    leaf = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(names["doc_id"])) & (leaf(lang_col) == F.col(names["lang"])) & (leaf(source_col) == F.col(names["source"]))
+    return df.join(times, same).withColumn(names["times"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["times"])))).drop(*names.values())

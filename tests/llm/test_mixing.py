@@ -74,3 +74,10 @@ def test_bucket_sizes_change_nothing(spark):
     want = sorted(map(tuple, mix(df, budget=budget).collect()))
     for size in (1, 10):
         assert sorted(map(tuple, mix(df, budget=budget, bucket_rows=size).collect())) == want
+
+
+def test_names_that_clash(spark):
+    rows = [(k, "a b c", "en", "src1", 1, 2, 3) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, times int, _times int, __used int")
+    got = select_mixture(df)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows)
