@@ -9,7 +9,6 @@ where a stage says otherwise.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexigrain.llm.common import discard, keep_alone, read
 from lexigrain.llm.exact_dedup import drop_copies
@@ -19,9 +18,6 @@ from lexigrain.llm.packing import pack
 from lexigrain.llm.queries import tokenizer_path
 from lexigrain.llm.toxicity import drop_toxic
 
-#: Of the tokens that reach the mixture, the share that goes into training.
-BUDGET_PERCENT = 80
-
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic. A null text counts as empty; empty texts are scored like texts
@@ -42,9 +38,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture's budget of tokens takes, each at most once. Null languages and sources
-    are leaves named unknown; a document that doesn't fit what is left of its leaf's budget goes."""
-    return select_mixture(docs, budget=F.expr(f"coalesce(sum(leaf_tokens), 0) * {BUDGET_PERCENT} div 100"))
+    """Documents that the mixture takes, a row for each epoch in which it does (at most four); the budget is as many
+    tokens as there are. Null languages and sources are leaves named unknown; a document that doesn't fit what is
+    left of its leaf's budget isn't taken in that epoch."""
+    return select_mixture(docs, max_epochs=4)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
