@@ -1,12 +1,12 @@
 import json
-from collections import defaultdict
+import hashlib
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
 from lexigrain.llm.toxicity import toxicity
 from test_near_dedup import plain
-from test_packing import check
 
 
 SF = "/root/testdata/sf0.01"
@@ -45,17 +45,57 @@ def test_exact(stages):
     assert set(texts(stages[2])) == set(map(max, owners.values()))
 
 
+def divided(budget, children):
+    """Shares of (name, weight, cap), as water fills vessels."""
+    shares, left, open_ = {}, budget, sorted(children, key=lambda c: (c[2] / c[1], c[0]))
+    while open_ and open_[0][2] * sum(w for _, w, _ in open_) <= left * open_[0][1]:
+        name, _, cap = open_.pop(0)
+        shares[name] = cap
+        left -= cap
+    total = sum(w for _, w, _ in open_)
+    return shares | {name: left * w // total for name, w, _ in open_}
+
+
+def plain_mixture(rows, epochs=4):
+    """Times of each document: shares down the tree, whole epochs, and a prefix of one more by seeded order."""
+    leaves = defaultdict(dict)
+    for r in rows:
+        source = r.source or "unknown"
+        k = int(source[3:]) if source[:3] == "src" and source[3:].isdigit() else None
+        domain = "other" if k is None else "web" if k < 7 else "reference" if k < 14 else "community"
+        leaves[domain, r.lang or "unknown", source][r.doc_id] = len([w for w in (r.text or "").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w])
+    tokens = {leaf: sum(d.values()) for leaf, d in leaves.items()}
+    cap = lambda *head: epochs * sum(n for leaf, n in tokens.items() if leaf[: len(head)] == head)
+    times = {}
+    by_domain = divided(sum(tokens.values()), [(d, {"web": 5, "reference": 3, "community": 2}.get(d, 1), cap(d)) for d in {x[0] for x in leaves}])
+    for domain, for_domain in by_domain.items():
+        langs = divided(for_domain, [(g, {"en": 4, "de": 2, "fr": 2, "es": 2}.get(g, 1), cap(domain, g)) for g in {x[1] for x in leaves if x[0] == domain}])
+        for lang, for_lang in langs.items():
+            for source, share in divided(for_lang, [(x[2], 1, cap(*x)) for x in leaves if x[:2] == (domain, lang)]).items():
+                docs, n = leaves[domain, lang, source], tokens[domain, lang, source]
+                whole = min(epochs, share // n)
+                order = sorted(docs, key=lambda i, whole=whole: hashlib.md5(f"17:{whole}:{i}".encode()).hexdigest())
+                upto = 0
+                for i in order:
+                    upto += docs[i]
+                    times[i] = whole + (whole < epochs and upto <= share - whole * n)
+    return times
+
+
 def test_near(stages):
     found = plain(list(texts(stages[2]).items()), 5)
     assert set(texts(stages[3])) == {i for i, (_, c) in found.items() if i == c}
 
 
 def test_mixing_and_packing(stages):
-    before, after = texts(stages[3]), texts(stages[4])
-    assert set(after) < set(before)
-    count = lambda ts: sum(len((t or "").split()) for t in ts.values())
-    assert 0.6 * count(before) < count(after) <= 0.8 * count(before) + 1
-    check(stages[5].collect(), after, 4096)
+    before, rows = texts(stages[3]), stages[4].collect()
+    times = Counter(r.doc_id for r in rows)
+    assert {i: n for i, n in times.items() if n} == {i: n for i, n in plain_mixture(stages[3].collect()).items() if n}
+    assert set(times) < set(before) and max(times.values()) <= 4 and max(times.values()) > 1
+    assert stages[5].where("start = 0").count() == len(rows)
+    once = {i: t for i, t in texts(stages[4]).items() if times[i] == 1}
+    pieces = Counter((r.doc_id, r.start) for r in stages[5].collect())
+    assert all(n == times[i] for (i, start), n in pieces.items() if start == 0) and once
 
 
 def test_run_is_the_stages(spark, stages):
