@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 
-from lexigrain.operators.lexing import Rule, RuleSet, rule, rules
+from lexigrain.operators.lexing import Rule, RuleSet, either, rule, rules
 from lexigrain.plans import word_lists as lists
 from lexigrain.plans.catalog import LEXER_NAMES
 
@@ -42,6 +42,22 @@ def escape(pattern: str) -> list[Rule]:
     return [rule("SEQUENCE_ESCAPED", pattern)]
 
 
+def body(code: RuleSet, close: str, line: str = "") -> str:
+    """What stands before ``close`` in embedded code: its strings and comments as their own rules tell them, so
+    that a ``close`` inside them doesn't end it. ``line`` begins a comment that ends with the line or at ``close``."""
+    whole = [r.pattern for r in code.rules if r.type.startswith("STRING") or r.type in ("COMMENT_MULTILINE", "COMMENT_DOCUMENTATION")]
+    lines = [rf"(?:{line})(?:(?!{close})[^\r\n])*+"] if line else []
+    return rf"(?:{either(r'[\w\s]++', *lines, *whole)}|(?!{close})(?s:.))*+"
+
+
+def tagged(open_: str, code: RuleSet, close: str, inner: RuleSet, line: str = "", type_: str = "NAME_TAG") -> list[Rule]:
+    """Rules for embedded code in tags: closed, and open to the end of the text. ``inner`` cuts the code."""
+    between = body(code, close, line)
+    first, last = rule(type_, rf"\A(?:{open_})"), rule(type_, rf"(?:{close})\z")
+    cut = lambda *ends: RuleSet((*ends, Rule(inner.default, rf"(?s).+?(?=(?:{close})\z)|(?s).+" if last in ends else "(?s).+", inner=inner)), type_)
+    return [rule(type_, f"(?:{open_}){between}(?:{close})", inner=cut(first, last)), rule(type_, f"(?:{open_}){between}", inner=cut(first))]
+
+
 def named(keyword: str, name: str, *rest: Rule) -> Rule:
     """A keyword and the name after it, however much white space is between them; ``rest`` are the rules of
     what follows the keyword."""
@@ -310,19 +326,22 @@ def ruby() -> RuleSet:
 
 
 def template(code: RuleSet, lexer: str, secondary: RuleSet | None) -> RuleSet:
-    """Tags ``<% … %>`` with code; what is outside goes to ``secondary``."""
-    inside = RuleSet((rule("NAME_TAG", r"\A<%=?|%>\z"), rule("IGNORABLE", r"(?s).+?(?=%>\z|\z)", inner=code)), "NAME_TAG")
-    return rules(
-        rule("COMMENT_SINGLE", "<%#" + until("%>", escapes=False)),
-        rule("NAME_TAG", "<%" + until("%>", escapes=False), inner=inside),
-        Rule("IGNORABLE", r"(?s).+?(?=<%|\z)", inner=secondary),
-        lexer=lexer,
+    """Tags ``<% … %>`` with code; what is outside goes to ``secondary``, as one text with the tags as islands."""
+    return around(
+        [rule("COMMENT_SINGLE", "<%#" + until("%>", escapes=False)), *tagged("<%=?", code, "%>", code, line="#")],
+        r"(?s).+?(?=<%|\z)",
+        lexer,
+        secondary,
     )
 
 
+def around(tags: list[Rule], rest: str, lexer: str, secondary: RuleSet | None) -> RuleSet:
+    """A template: its tags, and the rest in the secondary language or as it is."""
+    return rules(*tags, lexer=lexer, outer=secondary) if secondary else rules(*tags, Rule("IGNORABLE", rest), lexer=lexer)
+
+
 def twig(secondary: RuleSet | None) -> RuleSet:
     inside = lambda keywords: rules(
-        rule("NAME_TAG", r"\A\{[{%]-?|-?[}%]\}\z"),
         SPACE,
         rule("NUMBER_FLOAT", r"[0-9]+\.[0-9]+"),
         rule("NUMBER_DECIMAL", "[0-9]+"),
@@ -334,14 +353,11 @@ def twig(secondary: RuleSet | None) -> RuleSet:
         rule("OPERATOR", r"[.?/*]{2}|[!=<>]?=|[-+%|?:~]"),
         rule("PUNCTUATION", r"[{}.()\[\]]"),
     )
+    # Statements.
     statements = "as autoescape block do else elseif embed endautoescape endblock endembed endfilter endfor endif endmacro endsandbox endset endspaceless endverbatim extends filter flush for from if import include macro sandbox set spaceless use verbatim with"
-    return rules(
-        rule("COMMENT_MULTILINE", r"\{#" + until(r"#\}", escapes=False)),
-        rule("NAME_TAG", r"\{\{" + until(r"\}\}", escapes=False), inner=inside("")),
-        rule("NAME_TAG", r"\{%" + until(r"%\}", escapes=False), inner=inside(statements)),
-        Rule("IGNORABLE", r"(?s).+?(?=\{[{%#]|\z)", inner=secondary),
-        lexer="Twig",
-    )
+    values, commands = inside(""), inside(statements)
+    comment = rule("COMMENT_MULTILINE", r"\{#" + until(r"#\}", escapes=False))
+    return around([comment, *tagged(r"\{\{-?", values, r"-?\}\}", values), *tagged(r"\{%-?", commands, r"-?%\}", commands)], r"(?s).+?(?=\{[{%#]|\z)", "Twig", secondary)
 
 
 # Commands.
@@ -389,7 +405,7 @@ def css(words: Mapping[str, Iterable[str]]) -> RuleSet:
     return rules(
         comment,
         SPACE,
-        rule("PUNCTUATION", r"\{[^{}]*\}", inner=RuleSet(block.rules, "IGNORABLE")),
+        rule("PUNCTUATION", rf"\{{{body(block, '[{}]')}\}}", inner=RuleSet(block.rules, "IGNORABLE")),
         rule("PUNCTUATION", "[{},()]"),
         rule("KEYWORD_PSEUDO", rf"::?{name}"),
         rule("OPERATOR", r"[~|^$*]=|[~+>*|\[\]=]"),
@@ -431,23 +447,26 @@ def markup(html: bool, words: Mapping[str, Iterable[str]]) -> RuleSet:
         rule("STRING_SINGLE", "'[^']*'?", inner=[entity]),
         rule("STRING_SINGLE", '"[^"]*"?', inner=[entity]),
     ]
+    declared = dtd()
+    # an internal subset ends where its own declarations, comments and sections have ended
+    subset = rf"(?:{either(r'[\w\s]++', *(r.pattern for r in declared.rules if r.pattern.startswith('<!') and 'DOCTYPE' not in r.pattern))}|\]\]>|(?!\]\s*>)(?s:.))*+"
     opened = RuleSet((rule("NAME_TAG", rf"\A<(?:!DOCTYPE|{XML_NAME})|>\z"), *attributes), "IGNORABLE")
-    body = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>?"
+    rest = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
     parts = [
         rule("COMMENT_MULTILINE", "<!--" + until("-->", escapes=False)),
         rule("TAG_PREPROC", r"<!\[CDATA\[" + until(r"\]\]>", escapes=False), inner=RuleSet((rule("TAG_PREPROC", r"\A<!\[CDATA\[|\]\]>\z"),), "IGNORABLE")),
-        rule("NAME_TAG", rf"<!DOCTYPE\s+{XML_NAME}[^>\[]*\[" + until(r"\]\s*>", escapes=False), inner=dtd()),
+        rule("NAME_TAG", rf"<!DOCTYPE\s+{XML_NAME}[^>\[]*\[{subset}(?:\]\s*>|\z)", inner=declared),
         rule("NAME_TAG", r"<!DOCTYPE(?=\s)[^>]*>?", inner=opened),
         rule("TAG_PREPROC", rf"<\?{XML_NAME}" + until(r"\?>", escapes=False), inner=RuleSet((rule("TAG_PREPROC", rf"\A<\?{XML_NAME}|\?>\z"), *attributes), "IGNORABLE")),
     ]
     if html:
         for tag, inner in (("style", css(words)), ("script", javascript())):
-            element = RuleSet((rule("NAME_TAG", rf"(?i)\A<{tag}\b[^>]*>", inner=opened), rule("NAME_TAG", rf"(?i)</{tag}\s*>\z"), rule("IGNORABLE", rf"(?is).+?(?=</{tag}\s*>\z|\z)", inner=inner)), "NAME_TAG")
-            parts.append(rule("NAME_TAG", rf"(?i:<{tag}\b)[^>]*>" + until(rf"(?i:</{tag}\s*>)", escapes=False), inner=element))
+            element = RuleSet((rule("NAME_TAG", rf"(?i)\A<{tag}\b{rest}>", inner=opened), rule("NAME_TAG", rf"(?i)</{tag}\s*>\z"), rule("IGNORABLE", rf"(?is).+?(?=</{tag}\s*>\z|\z)", inner=inner)), "NAME_TAG")
+            parts.append(rule("NAME_TAG", rf"(?i:<{tag}\b){rest}>" + until(rf"(?i:</{tag}\s*>)", escapes=False), inner=element))
     return rules(
         *parts,
         rule("NAME_TAG", rf"</{XML_NAME}\s*>"),
-        rule("NAME_TAG", rf"<{XML_NAME}" + body, inner=opened),
+        rule("NAME_TAG", rf"<{XML_NAME}{rest}>?", inner=opened),
         entity,
         rule("IGNORABLE", "[^<&]+"),
         lexer="HTML" if html else "XML",
@@ -621,12 +640,7 @@ def php(start_inline: bool = False, short_open_tag: bool = True, asp_tags: bool
     asp = asp_tags and version < 7
     opens = r"(?i:<\?php(?=\s|\z))|<\?=" + (r"|<\?(?!(?i:xml|php))" if short_open_tag else "") + ("|<%=?" if asp else "")
     closes = r"\?>" + ("|%>" if asp else "")
-    block = RuleSet((rule("NAME_TAG", rf"\A(?:{opens})|(?:{closes})\z"), Rule("IGNORABLE", rf"(?s).+?(?=(?:{closes})\z|\z)", inner=code)), "NAME_TAG")
-    return rules(
-        rule("NAME_TAG", rf"(?:{opens})" + until(f"(?:{closes})", escapes=False), inner=block),
-        Rule("IGNORABLE", rf"(?s).+?(?={opens}|\z)", inner=secondary),
-        lexer="PHP",
-    )
+    return around(tagged(opens, code, closes, code, line="#|//"), rf"(?s).+?(?={opens}|\z)", "PHP", secondary)
 
 
 def text() -> RuleSet:

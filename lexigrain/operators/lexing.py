@@ -21,16 +21,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Marks, and the stop behind a piece, are the characters of one private use block. A text's own ones are
-#: moved to another block meanwhile.
+#: Marks, the stop behind a piece, and the hole that stands for a template's tag in the text around it, are the
+#: characters of one private use block. A text's own ones are moved to another block meanwhile.
 FIRST, SIZE = 0xE000, 256
-STOP = chr(FIRST + SIZE - 1)
-BLOCK = rf"\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 1:x}}}"
-ANY, TEXT, AFTER_STOP = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 2:x}}}]", f"[^{BLOCK}]++", f"(?<![^{STOP}])"
+STOP, HOLE = chr(FIRST + SIZE - 2), chr(FIRST + SIZE - 1)
+RESERVED = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 1:x}}}]"
+BLOCK = rf"\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 2:x}}}"
+ANY, TEXT, AFTER_STOP = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 3:x}}}]", f"[^{BLOCK}]++", f"(?<![^{STOP}])"
 #: What doesn't stay of the marks around the pieces, and of neighbours with one mark.
 SPARE = rf"(?<={ANY}){ANY}++|{AFTER_STOP}{ANY}++{STOP}?"
 TWINS = rf"(?<![{BLOCK}])({ANY}){ANY}*+{STOP}{ANY}*+(?={TEXT}\1)"
-TOKEN = "array<struct<lexer:string,depth:int,type:string,text:string>>"
+TOKEN = "array<struct<lexer:string,depth:int,type:string,text:string,path:array<string>>>"
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class RuleSet:
-    """``lexer``: the name that its tokens carry; a set without a name is part of the one that calls it."""
+    """``lexer``: the name that its tokens carry; a set without a name is part of the one that calls it.
+    ``outer``: the rule set of what no rule matches, as one text: what the rules match are islands in it, and
+    a string, tag or style of the outer language goes on behind an island as if it weren't there."""
 
     rules: tuple[Rule, ...]
     default: str = "IGNORABLE"
     lexer: str | None = None
+    outer: RuleSet | None = None
 
 
 def rule(type_: str, pattern: str, fold: bool = False, inner: RuleSet | list[Rule] | None = None, **words: str) -> Rule:
@@ -63,8 +67,8 @@ def rule(type_: str, pattern: str, fold: bool = False, inner: RuleSet | list[Rul
     return Rule(type_, pattern, lists, fold, inner)
 
 
-def rules(*parts: Rule, default: str = "IGNORABLE", lexer: str | None = None) -> RuleSet:
-    return RuleSet(tuple(parts), default, lexer)
+def rules(*parts: Rule, default: str = "IGNORABLE", lexer: str | None = None, outer: RuleSet | None = None) -> RuleSet:
+    return RuleSet(tuple(parts), default, lexer, outer)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -83,6 +87,20 @@ def groups_in(pattern: str) -> int:
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", bare))
 
 
+def shifted(pattern: str, by: int) -> str:
+    """The pattern with its references to its own groups moved behind ``by`` other groups."""
+    return re.sub(r"\\([1-9][0-9]*)", lambda m: "\\" + str(int(m[1]) + by), pattern) if groups_in(pattern) else pattern
+
+
+def either(*patterns: str) -> str:
+    """One alternation of patterns that may have groups."""
+    parts, at = [], 0
+    for pattern in patterns:
+        parts.append(shifted(pattern, at))
+        at += groups_in(pattern)
+    return "|".join(parts)
+
+
 def one_of(words: Iterable[str]) -> str:
     """A pattern for whole words of a list, as a tree of their beginnings."""
     by_first: dict[str, list[str]] = {}
@@ -104,8 +122,7 @@ def marked_sql(text: str, patterns: list[tuple[str, str]]) -> str:
     last is for single characters that no pattern matches. Of the marks behind a piece the first is its own."""
     parts, kept, at = [], [], 1
     for pattern, mark in patterns:
-        shifted = re.sub(r"\\([1-9])", lambda m, at=at: "\\" + str(int(m[1]) + at), pattern) if groups_in(pattern) else pattern
-        parts.append(f"({shifted})")
+        parts.append(f"({shifted(pattern, at)})")
         kept.append(f"${at}{mark}")
         at += 1 + groups_in(pattern)
     return f"regexp_replace({text}, {literal('|'.join(parts))}, {literal(''.join(kept) + STOP)})"
@@ -128,7 +145,7 @@ class Marks(dict):
     """A mark for each key, in the order in which they are asked for."""
 
     def __missing__(self, key: tuple) -> str:
-        if len(self) == SIZE - 1:
+        if len(self) == SIZE - 2:
             raise ValueError("the rule sets have too many kinds of tokens")
         self[key] = mark = chr(FIRST + len(self))
         return mark
@@ -159,26 +176,41 @@ def first_of(pattern: str) -> str | None:
     return m[0] if m and "|" not in bare else None
 
 
-def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, lexer: str, depth: int = 0, level: int = 0, *spare: str) -> str:
-    """SQL of the marked text of a rule set and those inside it; a mark stands for (lexer, depth, type).
+def spliced_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...], level: int) -> str:
+    """SQL of the marked text of a rule set with islands: each becomes a hole, the outer rule set sees the rest
+    as one text, its pieces are cut at the holes, and the islands' own pieces go there."""
+    y, o, p, i = f"y{level}", f"o{level}", f"p{level}", f"i{level}"
+    island = literal(either(*(r.pattern for r in rule_set.rules)))
+    inside = f"transform(regexp_extract_all({y}, {island}, 0), {p} -> {tokens_sql(p, RuleSet(rule_set.rules, rule_set.default), marks, path, level + 1)})"
+    around = tokens_sql(f"regexp_replace({y}, {island}, {literal(HOLE)})", rule_set.outer, marks, path, level + 1)
+    cut_ = f"regexp_replace({around}, {literal(f'{HOLE}(?=[^{BLOCK}]*+({ANY}))')}, {literal(f'$1{STOP}{HOLE}')})"
+    cut_ = without_sql(without_sql(cut_, f"(?<={HOLE}){ANY}++{STOP}"), f"(?<![^{STOP}{HOLE}]){ANY}++{STOP}?")
+    joined = f"array_join(transform(split({o}, '{HOLE}', -1), (c, k) -> concat(c, coalesce(get({i}, k), ''))), '')"
+    return bound(y, text, bound(o, cut_, bound(i, inside, joined)))
+
+
+def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...], level: int = 0, *spare: str) -> str:
+    """SQL of the marked text of a rule set and those inside it; a mark stands for (path of lexers, type).
     ``spare``: what else goes together with the spare marks."""
-    lexer, depth = (rule_set.lexer, depth + 1) if rule_set.lexer and rule_set.lexer != lexer else (lexer, depth)
+    path = (*path, rule_set.lexer) if rule_set.lexer and rule_set.lexer != path[-1] else path
+    if rule_set.outer is not None:
+        return spliced_sql(text, rule_set, marks, path, level)
     p, s = f"p{level}", f"s{level}"
     patterns, listed, inner = [], [], []
     for k, r in enumerate(rule_set.rules):
-        mark = marks[lexer, depth, r.type]
+        mark = marks[path, r.type]
         if r.inner is not None or any(r.words.values()):
-            own = marks["rule", lexer, depth, level, k, id(r)]
+            own = marks["rule", path, level, k, id(r)]
             if r.inner is not None:
                 inner.append((own, r))
             else:  # the last list that has a word wins
-                listed.append((own, [(words, r.fold, marks[lexer, depth, t]) for t, words in reversed(r.words.items()) if words], mark))
+                listed.append((own, [(words, r.fold, marks[path, t]) for t, words in reversed(r.words.items()) if words], mark))
             mark = own
         if patterns and patterns[-1][1] == mark and not groups_in(r.pattern):
             patterns[-1] = (f"{patterns[-1][0]}|{r.pattern}", mark)
         else:
             patterns.append((r.pattern, mark))
-    out = marked_sql(text, [*patterns, (r"(?s:.)", marks[lexer, depth, rule_set.default])])
+    out = marked_sql(text, [*patterns, (r"(?s:.)", marks[path, rule_set.default])])
     if listed:
         out = relabelled_sql(out, listed)
     if not inner:
@@ -187,13 +219,13 @@ def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, lexer: str, depth: in
     plain: dict[tuple[str, str], str] = {}  # pieces in which no inner rule can match
     for own, r in inner:
         needles = {first_of(i.pattern) for i in r.inner.rules}
-        if None not in needles and not r.inner.lexer:
-            key = ("".join(sorted(needles)), marks[lexer, depth, r.inner.default])
+        if None not in needles and not r.inner.lexer and r.inner.outer is None:
+            key = ("".join(sorted(needles)), marks[path, r.inner.default])
             plain[key] = plain.get(key, "") + own
     for (needles, mark), owns in plain.items():
         out = f"regexp_replace({out}, {literal(f'({AFTER_STOP}[^{BLOCK}{needles}]++)[{owns}]')}, {literal('$1' + mark)})"
     some = f"[{''.join(own for own, _ in inner)}]"
-    cases = "".join(f" when {literal(own)} then {tokens_sql(f'substr({p}, 1, length({p}) - 2)', r.inner, marks, lexer, depth, level + 1)}" for own, r in inner)
+    cases = "".join(f" when {literal(own)} then {tokens_sql(f'substr({p}, 1, length({p}) - 2)', r.inner, marks, path, level + 1)}" for own, r in inner)
     parts = f"regexp_extract_all({s}, {literal(f'{TEXT}{some}{STOP}|(?:{TEXT}(?!{some}){ANY}{STOP})++')}, 0)"
     whole = f"array_join(transform({parts}, {p} -> case substr({p}, -2, 1){cases} else {p} end), '')"
     return bound(s, out, f"if({s} rlike {literal(some)}, {whole}, {s})")
@@ -219,7 +251,7 @@ def aside_sql(use: str, type_: str, otherwise: str) -> str:
     block = lambda code: f"array_join(transform(sequence(0, {SIZE - 1}), i -> decode(unhex({code}), 'UTF-32')), '')"
     far = block("concat('00', free[0], lpad(hex(i), 2, '0'))")
     near = block(f"lpad(hex(i + {FIRST}), 8, '0')")
-    moved = f"case when x rlike {literal(f'[{BLOCK}]')} then {bound('free', free, f"named_struct('near', {near}, 'far', if(size(free) = 0, '', {far}))")} end"
+    moved = f"case when x rlike {literal(RESERVED)} then {bound('free', free, f"named_struct('near', {near}, 'far', if(size(free) = 0, '', {far}))")} end"
     text = bound("y", "if(v is null, x, translate(x, v.near, v.far))", use)
     return f"x -> {bound('v', moved, f"case when x is null then null when x = '' then cast(array() as {type_}) when v.far = '' then {otherwise} else {text} end")}"
 
@@ -237,20 +269,21 @@ def uppercased(tokens: Column) -> Column:
 
 def lex_sql(rule_set: RuleSet, lexer: str) -> str:
     """A function of a text, as SQL, that gives its tokens."""
-    with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer)
+    with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer, rule_set.outer)
     marks = Marks()
-    flat = all(r.inner is None for r in rule_set.rules)
-    joined = tokens_sql("y", with_shebang, marks, lexer, 0, 0, TWINS) if flat else without_sql(tokens_sql("y", with_shebang, marks, lexer), TWINS)
-    kinds = [("", 0, "") if k[0] == "rule" else k for k in marks]
-    first = next(k for k in kinds if k[0])
-
-    def column(f: int) -> str:
-        values = [str(k[f]) if f == 1 else literal(k[f]) for k in kinds]
-        alike = all(k[f] == first[f] for k in kinds if k[0])
-        return values[kinds.index(first)] if alike else f"array({', '.join(values)})[{number_sql('p')}]"
-
-    token = f"named_struct('lexer', {column(0)}, 'depth', {column(1)}, 'type', {column(2)}, 'text', {back_sql('p')})"
-    whole = f"array(named_struct('lexer', {literal(lexer)}, 'depth', 0, 'type', 'ERROR', 'text', x))"
+    flat = rule_set.outer is None and all(r.inner is None for r in rule_set.rules)
+    joined = tokens_sql("y", with_shebang, marks, (lexer,), 0, TWINS) if flat else without_sql(tokens_sql("y", with_shebang, marks, (lexer,)), TWINS)
+    kinds = [None if k[0] == "rule" else k for k in marks]
+    paths = {k[0]: f"array({', '.join(map(literal, k[0]))})" for k in kinds if k}
+
+    def column(value: Callable[[tuple], str], missing: str) -> str:
+        values = [value(k) if k else missing for k in kinds]
+        told = {v for v, k in zip(values, kinds, strict=True) if k}
+        return told.pop() if len(told) == 1 else f"array({', '.join(values)})[{number_sql('p')}]"
+
+    columns = {"lexer": column(lambda k: literal(k[0][-1]), "''"), "depth": column(lambda k: str(len(k[0]) - 1), "0"), "type": column(lambda k: literal(k[1]), "''"), "text": back_sql("p"), "path": column(lambda k: paths[k[0]], f"array({literal(lexer)})")}
+    token = f"named_struct({', '.join(f'{literal(name)}, {value}' for name, value in columns.items())})"
+    whole = f"array(named_struct('lexer', {literal(lexer)}, 'depth', 0, 'type', 'ERROR', 'text', x, 'path', array({literal(lexer)})))"
     return aside_sql(f"transform({split_sql(joined)}, p -> {token})", TOKEN, whole)
 
 

@@ -126,6 +126,14 @@ class Formatter:
     enter: Callable[[Column], Column] | None = None
     leave: Callable[[Column], Column] | None = None
 
+    def moved(self, was: Column, now: Column) -> Column:
+        """What stands between two paths of lexers: all levels below their common beginning are left, then the
+        new ones are entered. The first level has no mark."""
+        levels = F.sequence(F.lit(1), F.least(F.size(was), F.size(now)))
+        shared = F.array_max(F.filter(levels, lambda n: F.slice(was, F.lit(1), n) == F.slice(now, F.lit(1), n)))
+        between = lambda n: F.concat(F.array_join(F.transform(F.reverse(F.slice(was, n + 1, F.size(was) - n)), self.leave), ""), F.array_join(F.transform(F.slice(now, n + 1, F.size(now) - n), self.enter), ""))
+        return let(F.coalesce(shared, F.lit(1)), between)
+
     def render(self, tokens: Column) -> Column:
         """One string for each row; null tokens give null."""
 
@@ -139,16 +147,15 @@ class Formatter:
             body = F.concat(by_type(self.before, t["type"]), self.written(t["text"]), by_type(self.after, t["type"]))
             if self.enter is None:
                 return body
-            was = F.coalesce(F.get(all_, k - 1)["depth"], F.lit(0))
-            came, went = t["depth"] > was, t["depth"] < was
-            return F.concat(F.when(came, self.enter(t["lexer"])).when(went, self.leave(t["lexer"])).otherwise(""), body)
+            was = F.coalesce(F.get(all_, k - 1)["path"], F.slice(t["path"], 1, 1))
+            return F.concat(F.when(was == t["path"], "").otherwise(self.moved(was, t["path"])), body)
 
         def close(all_: Column) -> Column:
-            open_ = F.coalesce(F.try_element_at(all_, F.lit(-1))["depth"], F.lit(0))
-            return F.when(open_ > 0, self.leave(F.lit(""))).otherwise("") if self.enter is not None else F.lit("")
+            last = F.try_element_at(all_, F.lit(-1))["path"]
+            return F.coalesce(self.moved(last, F.slice(last, 1, 1)), F.lit("")) if self.enter is not None else F.lit("")
 
         whole = lambda ts: F.concat(F.lit(self.head), F.array_join(F.transform(ts, lambda t, k: one(t, k, ts)), ""), close(ts), F.lit(self.tail))
-        return F.when(tokens.isNotNull(), let(tokens, whole))
+        return let(tokens, lambda ts: F.when(ts.isNotNull(), whole(ts)))
 
 
 def html(theme_name: str | None = None, full: int = 0, title: str = "", nowrap: bool = False, noclasses: bool = False, cssclass: str = "", linestart: int = 1, styles: Theme | None = None) -> Formatter:

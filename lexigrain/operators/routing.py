@@ -50,19 +50,25 @@ def upper_ascii(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def key_name(df: DataFrame) -> str:
+    """A name that no column of ``df`` has."""
+    return "_" * max([1, *(len(c) + 1 for c in df.columns)])
+
+
 def by_name(df: DataFrame, name_col: str, out_col: str = "lexer") -> DataFrame:
     """Adds the lexer with that name or alias, without regard to ASCII case; null for none."""
-    spark = df.sparkSession
-    names = catalog.lexers(spark).select("ord", F.col("name").alias(out_col), F.col("name").alias("__key"))
-    aliases = catalog.lexer_keys(spark).where("kind = 'alias'").select("ord", F.col("lexer").alias(out_col), F.col("value").alias("__key"))
-    keys = names.unionByName(aliases).groupBy(upper_ascii(F.col("__key")).alias("__key")).agg(F.min_by(out_col, "ord").alias(out_col))
-    return df.join(F.broadcast(keys), upper_ascii(F.col(name_col)) == F.col("__key"), "left").drop("__key")
+    spark, key = df.sparkSession, key_name(df)
+    names = catalog.lexers(spark).select("ord", F.col("name").alias(out_col), F.col("name").alias(key))
+    aliases = catalog.lexer_keys(spark).where("kind = 'alias'").select("ord", F.col("lexer").alias(out_col), F.col("value").alias(key))
+    keys = names.unionByName(aliases).groupBy(upper_ascii(F.col(key)).alias(key)).agg(F.min_by(out_col, "ord").alias(out_col))
+    return df.join(F.broadcast(keys), upper_ascii(F.col(name_col)) == F.col(key), "left").drop(key)
 
 
 def by_mime(df: DataFrame, mime_col: str, out_col: str = "lexer") -> DataFrame:
     """Adds the first lexer of a MIME type, compared with regard to case; null for none."""
-    keys = catalog.lexer_keys(df.sparkSession).where("kind = 'mime'").groupBy(F.col("value").alias("__key")).agg(F.min_by("lexer", "ord").alias(out_col))
-    return df.join(F.broadcast(keys), F.col(mime_col) == F.col("__key"), "left").drop("__key")
+    key = key_name(df)
+    keys = catalog.lexer_keys(df.sparkSession).where("kind = 'mime'").groupBy(F.col("value").alias(key)).agg(F.min_by("lexer", "ord").alias(out_col))
+    return df.join(F.broadcast(keys), F.col(mime_col) == F.col(key), "left").drop(key)
 
 
 def by_shebang(text: Column) -> Column:

@@ -34,9 +34,15 @@ def tokenize_by(df: DataFrame, lexer_col: str, lexers: Iterable[str], text_col:
     return df.withColumn(out_col, chosen)
 
 
+def once(tokens_col: str) -> Column:
+    """The tokens, for a generator. Of a bare column Spark would infer a filter on its size and push that, with
+    the whole lexing in it, below the projection: each text would be lexed three times."""
+    return F.coalesce(F.col(tokens_col), F.array().cast(TOKEN))
+
+
 def explode_tokens(df: DataFrame, *keys: str, tokens_col: str = "tokens") -> DataFrame:
-    """A row for each token: keys, seq from 0, lexer, depth, type, text. Rows without tokens vanish."""
-    return df.select(*keys, F.posexplode(tokens_col).alias("seq", "token")).select(*keys, "seq", "token.*")
+    """A row for each token: keys, seq from 0, lexer, depth, type, text, path. Rows without tokens vanish."""
+    return df.select(*keys, F.posexplode(once(tokens_col)).alias("seq", "token")).select(*keys, "seq", "token.*")
 
 
 def with_spans(rows: DataFrame, *keys: str) -> DataFrame:
@@ -58,11 +64,11 @@ def coalesce_rows(rows: DataFrame, *keys: str) -> DataFrame:
 
 def type_counts(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """(lexer, type, tokens, chars) over all rows; partial sums are made before the shuffle."""
-    rows = df.select(F.explode(tokens_col).alias("t")).select("t.lexer", "t.type", F.length("t.text").cast("long").alias("n"))
+    rows = df.select(F.explode(once(tokens_col)).alias("t")).select("t.lexer", "t.type", F.length("t.text").cast("long").alias("n"))
     return rows.groupBy("lexer", "type").agg(F.count("*").alias("tokens"), F.sum("n").alias("chars"))
 
 
 def sample_tokens(types: DataFrame) -> Column:
     """One token of each type that shows its name: the sample document."""
     listed = F.array_sort(F.collect_list(F.struct("id", "name", "description")))
-    return F.flatten(F.transform(listed, lambda t: F.array(F.struct(F.lit("Sample").alias("lexer"), F.lit(0).alias("depth"), t["name"].alias("type"), F.concat(t["name"], F.lit(": "), t["description"]).alias("text")), F.struct(F.lit("Sample").alias("lexer"), F.lit(0).alias("depth"), F.lit("IGNORABLE").alias("type"), F.lit("\n").alias("text"))))).cast(TOKEN)
+    return F.flatten(F.transform(listed, lambda t: F.array(F.struct(F.lit("Sample").alias("lexer"), F.lit(0).alias("depth"), t["name"].alias("type"), F.concat(t["name"], F.lit(": "), t["description"]).alias("text"), F.array(F.lit("Sample")).alias("path")), F.struct(F.lit("Sample").alias("lexer"), F.lit(0).alias("depth"), F.lit("IGNORABLE").alias("type"), F.lit("\n").alias("text"), F.array(F.lit("Sample")).alias("path"))))).cast(TOKEN)

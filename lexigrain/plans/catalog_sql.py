@@ -7,7 +7,7 @@ from collections.abc import Iterable
 
 from lexigrain.plans import catalog
 from lexigrain.plans import word_lists as lists
-from lexigrain.plans.goldens import golden_rows
+from lexigrain.plans.goldens import embedded_rows, golden_rows
 
 
 def value(v: object) -> str:
@@ -98,6 +98,14 @@ ORACLE_SQL = {
     "golden_tokens": f"""
         with {values("golden", "language, seq, lexer, type, text", golden_rows())}
         select n_nationkey::bigint as n_nationkey, language, seq::bigint as seq, lexer, type, replace(replace(text, '{{k}}', n_nationkey::varchar), '{{n}}', replace(n_name, ' ', '')) as text from golden, nation""",
+    "embedded_tokens": f"""
+        with {values("golden", "language, seq, path, type, text", embedded_rows())}
+        select page_id, language, seq::bigint as seq, path, type, replace(text, '{{u}}', 'u' || regexp_replace(url, '[^a-z0-9]', '', 'g')) as text from golden, pages""",
+    "embedded_spans": f"""
+        with {values("golden", "language, seq, path, type, text", embedded_rows())},
+        paths as (select language, seq, string_split(path, '/') as p, coalesce(lag(string_split(path, '/')) over (partition by language order by seq), [language]) as was from golden),
+        entered as (select language, sum(len(p) - (select count(*) from unnest(range(1, least(len(p), len(was)) + 1)) as u(k) where p[1:k] = was[1:k])) as n from paths group by language)
+        select language, count(*) as pages, sum(n)::bigint as spans, 0::bigint as unbalanced from entered, pages group by language""",
     "long_constructs": """
         with n as (select (s_suppkey * 37 % 2000)::bigint as n, count(*) as texts from supplier group by 1),
         kinds(language, type, tokens, per) as (values

@@ -212,3 +212,77 @@ def golden_rows() -> list[tuple[str, int, str, str, str]]:
             type_, _, lexer = kind.partition("@")
             out.append((language, seq, lexer or language.partition("?")[0], type_, text))
     return out
+
+
+#: Templates in markup: (path of lexers below the template's own, type, text) of each token; ``{u}`` stands for a
+#: name. A string, tag, style or script of the page goes on behind a tag of the template, and a tag of the template ends
+#: where its code says so.
+EMBEDDED: dict[str, list[tuple[str, str, str]]] = {
+    "Twig": [
+        ("HTML", "NAME_TAG", "<h"), ("", "NAME_TAG", "{{"), ("", "IGNORABLE", " n "), ("", "NAME_TAG", "}}"),
+        ("HTML", "IGNORABLE", " "), ("HTML", "NAME_ATTRIBUTE", "class="), ("HTML", "STRING_SINGLE", '"x'),
+        ("", "NAME_TAG", "{{"), ("", "IGNORABLE", " {u} "), ("", "NAME_TAG", "}}"), ("HTML", "STRING_SINGLE", 'z"'),
+        ("HTML", "NAME_TAG", "><style>"), ("HTML/CSS", "KEYWORD", "a"), ("HTML/CSS", "PUNCTUATION", "{"),
+        ("HTML/CSS", "NAME_BUILTIN", "color"), ("HTML/CSS", "IGNORABLE", ":"), ("", "NAME_TAG", "{{"),
+        ("", "IGNORABLE", " "), ("", "STRING_DOUBLE", '"'), ("", "SEQUENCE_INTERPOLATED", "}}"),
+        ("", "STRING_DOUBLE", '"'), ("", "IGNORABLE", " "), ("", "NAME_TAG", "}}"), ("HTML/CSS", "PUNCTUATION", ";}"),
+        ("HTML", "NAME_TAG", "</style>"), ("HTML", "IGNORABLE", "{u}"), ("", "NAME_TAG", "{%"), ("", "IGNORABLE", " "),
+        ("", "KEYWORD", "if"), ("", "IGNORABLE", " a "), ("", "NAME_TAG", "%}"), ("HTML", "IGNORABLE", " b"),
+        ("", "COMMENT_MULTILINE", "{# {u} #}"), ("HTML", "NAME_TAG", "<script>"), ("HTML/Javascript", "KEYWORD", "var"),
+        ("HTML/Javascript", "IGNORABLE", " "), ("HTML/Javascript", "NAME_VARIABLE", "s"),
+        ("HTML/Javascript", "IGNORABLE", " "), ("HTML/Javascript", "OPERATOR", "="),
+        ("HTML/Javascript", "IGNORABLE", " "), ("HTML/Javascript", "STRING_DOUBLE", "'a"), ("", "NAME_TAG", "{{"),
+        ("", "IGNORABLE", " b "), ("", "NAME_TAG", "}}"), ("HTML/Javascript", "STRING_DOUBLE", "c'"),
+        ("HTML", "NAME_TAG", "</script>"),
+    ],
+    "PHP": [
+        ("HTML", "NAME_TAG", "<a"), ("HTML", "IGNORABLE", " "), ("HTML", "NAME_ATTRIBUTE", "href="),
+        ("HTML", "STRING_SINGLE", '"'), ("", "NAME_TAG", "<?php"), ("", "IGNORABLE", " "), ("", "KEYWORD", "echo"),
+        ("", "IGNORABLE", " "), ("", "STRING_DOUBLE", '"{u} ?> b"'), ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "),
+        ("", "COMMENT_SINGLE", "// c "), ("", "NAME_TAG", "?>"), ("HTML", "STRING_SINGLE", '"'),
+        ("HTML", "NAME_TAG", ">"), ("HTML", "IGNORABLE", "{u}"), ("", "NAME_TAG", "<?="), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE", "$x"), ("", "IGNORABLE", " "), ("", "COMMENT_MULTILINE", "/* ?> */"),
+        ("", "IGNORABLE", " "), ("", "NAME_TAG", "?>"), ("HTML", "NAME_TAG", "</a>"),
+    ],
+    "ERB": [
+        ("HTML", "NAME_TAG", "<p"), ("HTML", "IGNORABLE", " "), ("HTML", "NAME_ATTRIBUTE", "title="),
+        ("HTML", "STRING_SINGLE", "'"), ("", "NAME_TAG", "<%="), ("Ruby", "IGNORABLE", " "),
+        ("Ruby", "NAME_VARIABLE_INSTANCE", "@{u}"), ("Ruby", "IGNORABLE", " "), ("Ruby", "COMMENT_SINGLE", "# don't "),
+        ("", "NAME_TAG", "%>"), ("HTML", "STRING_SINGLE", "'"), ("HTML", "NAME_TAG", ">"), ("", "NAME_TAG", "<%"),
+        ("Ruby", "IGNORABLE", " "), ("Ruby", "KEYWORD", "if"), ("Ruby", "IGNORABLE", " "),
+        ("Ruby", "STRING_DOUBLE", '"%>"'), ("Ruby", "IGNORABLE", " "), ("", "NAME_TAG", "%>"),
+        ("HTML", "IGNORABLE", "{u}"), ("HTML", "NAME_TAG", "</p>"),
+    ],
+    "EEX": [
+        ("HTML", "NAME_TAG", "<b"), ("HTML", "IGNORABLE", " "), ("HTML", "NAME_ATTRIBUTE", "id="),
+        ("HTML", "STRING_SINGLE", '"'), ("", "NAME_TAG", "<%="), ("Elixir", "IGNORABLE", " "),
+        ("Elixir", "STRING_DOUBLE", '"{u} %>"'), ("Elixir", "IGNORABLE", " "), ("", "NAME_TAG", "%>"),
+        ("HTML", "STRING_SINGLE", '"'), ("HTML", "NAME_TAG", ">"), ("", "COMMENT_SINGLE", "<%# {u} %>"),
+        ("HTML", "NAME_TAG", "</b>"),
+    ],
+    "CSS": [
+        ("", "KEYWORD", "a"), ("", "IGNORABLE", " "), ("", "PUNCTUATION", "{"), ("", "IGNORABLE", " "),
+        ("", "NAME_BUILTIN", "content"), ("", "IGNORABLE", ": "), ("", "STRING_SINGLE", '"{u} }"'),
+        ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "), ("", "COMMENT_MULTILINE", "/* } */"), ("", "IGNORABLE", " "),
+        ("", "PUNCTUATION", "}"), ("", "IGNORABLE", " "), ("", "KEYWORD", "b"),
+    ],
+    "XML": [
+        ("DTD", "NAME_TAG", "<!DOCTYPE"), ("DTD", "IGNORABLE", " a ["), ("DTD", "NAME_TAG", "<![INCLUDE[<!ENTITY"),
+        ("DTD", "IGNORABLE", " "), ("DTD", "NAME_ENTITY", "x"), ("DTD", "IGNORABLE", " "),
+        ("DTD", "STRING_SINGLE", '"{u} ]>"'), ("DTD", "NAME_TAG", ">]]>"), ("DTD", "COMMENT_MULTILINE", "<!-- ]> -->"),
+        ("DTD", "NAME_TAG", "]>"), ("", "NAME_TAG", "<b"), ("", "IGNORABLE", "/"), ("", "NAME_TAG", ">"),
+    ],
+    "HTML": [
+        ("", "NAME_TAG", "<script"), ("", "IGNORABLE", " "), ("", "NAME_ATTRIBUTE", "data-x="),
+        ("", "STRING_SINGLE", '"{u}>b"'), ("", "NAME_TAG", ">"), ("Javascript", "KEYWORD", "var"),
+        ("Javascript", "IGNORABLE", " "), ("Javascript", "NAME_VARIABLE", "x"), ("Javascript", "IGNORABLE", ";"),
+        ("", "NAME_TAG", "</script><p>"),
+    ],
+}
+#: The languages of these that take another around their tags.
+TEMPLATES = frozenset({"EEX", "ERB", "PHP", "Twig"})
+
+
+def embedded_rows() -> list[tuple[str, int, str, str, str]]:
+    """(language, seq, path, type, text)."""
+    return [(language, seq, f"{language}/{path}".rstrip("/"), type_, text) for language, found in EMBEDDED.items() for seq, (path, type_, text) in enumerate(found)]

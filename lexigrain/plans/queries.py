@@ -10,7 +10,7 @@ from lexigrain.operators import render, routing
 from lexigrain.operators.lexing import cut
 from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokens, type_counts, with_spans
 from lexigrain.plans import catalog, catalog_sql
-from lexigrain.plans.goldens import golden_rows
+from lexigrain.plans.goldens import EMBEDDED, TEMPLATES, golden_rows
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf_dir: str, name: str, *columns: str | Column) -> DataFrame:
     """Columns of a table whose texts are to be lexed. Lexing takes time where a table may be one small file:
-    with fewer splits than cores the rows are dealt to all cores; larger tables are lexed where they are."""
-    rows = read(spark, sf_dir, name).select(*columns)
+    with fewer files than cores the rows are dealt to all cores; larger tables are lexed where they are."""
+    table = read(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    rows = table.select(*columns)
+    return rows if len(table.inputFiles()) >= cores else rows.repartition(cores)
 
 
 def long(c: Column) -> Column:
@@ -95,10 +96,10 @@ def statement(quote: str = "'") -> Column:
 
 
 def sql_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of one statement for each order, in two dialects."""
+    """Tokens of one statement for each order, in two dialects, of which one scan makes both."""
     orders = sources(spark, sf_dir, "orders", statement().alias("text"))
-    both = [type_counts(tokenize(orders, lexer)) for lexer in ("PostgreSQL", "MySQL")]
-    return both[0].unionByName(both[1]).select("lexer", "type", "tokens", "chars")
+    both = F.concat(*(tokens(F.col("text"), lexer) for lexer in ("PostgreSQL", "MySQL")))
+    return type_counts(orders.select(both.alias("tokens"))).select("lexer", "type", "tokens", "chars")
 
 
 def sql_uppercase(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +174,33 @@ def golden_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, language, tokens): templates in markup, and markup with other languages, made around a name that each
+    page's URL gives."""
+    name = F.concat(F.lit("u"), F.regexp_replace("url", "[^a-z0-9]", ""))
+    pages = sources(spark, sf_dir, "pages", "page_id", name.alias("u"))
+    made = []
+    for language, found in EMBEDDED.items():
+        text = F.replace(F.lit("".join(t for *_, t in found)), F.lit("{u}"), F.col("u"))
+        options = {"secondary": "HTML"} if language in TEMPLATES else {}
+        made.append(F.struct(F.lit(language).alias("language"), tokens(text, language, **options).alias("tokens")))
+    return pages.select("page_id", F.inline(F.array(*made)))
+
+
+def embedded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token of them, with the languages that it stands in."""
+    rows = explode_tokens(embedded(spark, sf_dir), "page_id", "language")
+    return rows.select("page_id", "language", long(F.col("seq")).alias("seq"), F.array_join("path", "/").alias("path"), "type", "text")
+
+
+def embedded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of embedded languages in their HTML: how many, and in how many pages they don't balance."""
+    marks = F.regexp_extract_all(render.render(F.col("tokens"), "HTML"), F.lit("</?SPAN"), F.lit(0))
+    level = F.aggregate("marks", F.struct(F.lit(0).alias("now"), F.lit(0).alias("least")), lambda a, m: F.struct((a["now"] + F.when(m == "<SPAN", 1).otherwise(-1)).alias("now"), F.least(a["least"], a["now"] + F.when(m == "<SPAN", 1).otherwise(-1)).alias("least")))
+    rows = embedded(spark, sf_dir).select("language", marks.alias("marks")).withColumn("level", level)
+    return rows.groupBy("language").agg(F.count("*").alias("pages"), F.sum(long(F.size(F.filter("marks", lambda m: m == "<SPAN")))).alias("spans"), F.count_if(F.expr("level.now <> 0 or level.least < 0")).alias("unbalanced"))
+
+
 def keywords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the word lists, lexed where it can stand: words by list and type."""
     places = {"directives": "%s x;", "variables": "set $q %s;", "properties": "a { %s: x }", "values": "a { b: %s }"}
@@ -336,7 +364,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""

@@ -6,7 +6,8 @@ import regex
 
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import cut, first_of, groups_in, one_of
-from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, with_spans
+from lexigrain.operators.render import render
+from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, type_counts, with_spans
 from lexigrain.plans.catalog import LEXER_NAMES
 from lexigrain.plans.goldens import GOLDEN
 from lexigrain.plans.queries import SOURCES
@@ -253,3 +254,51 @@ def test_first_match_is_the_longest(language):
     name, _, variant = language.partition("?")
     text = "".join(t.partition(" ")[2] for t in GOLDEN[language]).replace("{k}", "7").replace("{n}", "Name")
     assert {(name, *types) for types in longer_matches(rule_set(name, **({variant: True} if variant else {})), text)} <= SHORTER
+
+
+def test_texts_are_lexed_once(spark):
+    df = spark.createDataFrame([(1, "1")], "id int, text string")
+    lexed_df = tokenize(df.repartition(2), "JSON")
+    for made in (explode_tokens(lexed_df, "id"), type_counts(lexed_df), explode_tokens(lexed_df, "id").where("type = 'ERROR'")):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("true|false|null") == 1
+
+
+#: (lexer, options, text, (path, type, text) that must be among the tokens)
+EMBEDDED = [
+    ("Twig", {"secondary": "HTML"}, '<a href="{{ u }}">text</a>', [("Twig/HTML", "STRING_SINGLE", '"'), ("Twig", "NAME_TAG", "{{"), ("Twig/HTML", "IGNORABLE", "text"), ("Twig/HTML", "NAME_TAG", "</a>")]),
+    ("Twig", {"secondary": "HTML"}, '<h{{ n }} class="x{{ y }}z">', [("Twig/HTML", "NAME_TAG", "<h"), ("Twig/HTML", "NAME_ATTRIBUTE", "class="), ("Twig/HTML", "STRING_SINGLE", '"x'), ("Twig/HTML", "STRING_SINGLE", 'z"')]),
+    ("Twig", {"secondary": "HTML"}, "<style>a{color:{{ x }}; top:0}</style>b", [("Twig/HTML/CSS", "NAME_BUILTIN", "color"), ("Twig/HTML/CSS", "NAME_BUILTIN", "top"), ("Twig/HTML", "NAME_TAG", "</style>"), ("Twig/HTML", "IGNORABLE", "b")]),
+    ("Twig", {"secondary": "HTML"}, '<script>s = "a{{ b }}c"; {{ d }} var</script>', [("Twig/HTML/Javascript", "STRING_DOUBLE", '"a'), ("Twig/HTML/Javascript", "STRING_DOUBLE", 'c"'), ("Twig/HTML/Javascript", "KEYWORD", "var")]),
+    ("Twig", {}, '{{ "}}" }}x{% if \'%}\' %}', [("Twig", "SEQUENCE_INTERPOLATED", "}}"), ("Twig", "IGNORABLE", "x"), ("Twig", "STRING_SINGLE", "'%}'")]),
+    ("ERB", {"secondary": "HTML"}, "<p title='<%= @x # don't %>'><% if \"%>\" %>é", [("ERB/HTML", "STRING_SINGLE", "'"), ("ERB/Ruby", "COMMENT_SINGLE", "# don't "), ("ERB/Ruby", "STRING_DOUBLE", '"%>"'), ("ERB/HTML", "IGNORABLE", "é")]),
+    ("EEX", {"secondary": "HTML"}, '<b id="<%= "%>" %>">', [("EEX/Elixir", "STRING_DOUBLE", '"%>"'), ("EEX/HTML", "STRING_SINGLE", '"'), ("EEX/HTML", "NAME_TAG", ">")]),
+    ("PHP", {"secondary": "HTML"}, '<a href="<?php echo "a ?> b"; // c ?>">x</a>', [("PHP", "STRING_DOUBLE", '"a ?> b"'), ("PHP", "COMMENT_SINGLE", "// c "), ("PHP/HTML", "STRING_SINGLE", '"'), ("PHP/HTML", "NAME_TAG", "</a>")]),
+    ("PHP", {}, "<?php $x = <<<A\n?>\nA;\n?>b", [("PHP", "STRING_DOUBLE", "<<<A\n?>\nA"), ("PHP", "NAME_TAG", "?>"), ("PHP", "IGNORABLE", "b")]),
+    ("PHP", {}, "a<?php echo '?>", [("PHP", "STRING_SINGLE", "'?>")]),
+    ("CSS", {}, 'a { content: "}"; color: red } b { /* } */ } c', [("CSS", "STRING_SINGLE", '"}"'), ("CSS", "NAME_BUILTIN", "color"), ("CSS", "COMMENT_MULTILINE", "/* } */"), ("CSS", "KEYWORD", "c")]),
+    ("XML", {}, '<!DOCTYPE a [<![INCLUDE[<!ENTITY x "]>">]]><!-- ]> -->]><b/>', [("XML/DTD", "STRING_SINGLE", '"]>"'), ("XML/DTD", "COMMENT_MULTILINE", "<!-- ]> -->"), ("XML/DTD", "NAME_TAG", "]>"), ("XML", "NAME_TAG", "<b")]),
+    ("HTML", {}, '<script data-x="a>b">var x;</script><p>', [("HTML", "STRING_SINGLE", '"a>b"'), ("HTML/Javascript", "KEYWORD", "var"), ("HTML", "NAME_TAG", "</script><p>")]),
+]
+
+
+@pytest.mark.parametrize("lexer,options,text,expected", EMBEDDED)
+def test_embedded_code(spark, lexer, options, text, expected):
+    row = tokenize(spark.createDataFrame([(text,)], "text string"), lexer, **options).select("tokens", render(F.col("tokens"), "HTML").alias("html")).first()
+    assert "".join(t.text for t in row.tokens) == text
+    found = [("/".join(t.path), t.type, t.text) for t in row.tokens]
+    assert [x for x in expected if x not in found] == []
+    assert all((t.path[-1], len(t.path) - 1) == (t.lexer, t.depth) for t in row.tokens)
+    depth = 0
+    for mark in re.findall("</?SPAN", row.html):
+        depth += 1 if mark == "<SPAN" else -1
+        assert depth >= 0
+    assert depth == 0
+
+
+def test_long_templates(spark):
+    """Many islands in one string of the outer language, and one island of many parts."""
+    n = 5_000
+    got = lexed(spark, '<a b="' + "x{{ y }}" * n + '">z', "Twig", secondary="HTML")
+    assert Counter(k for k, _ in got)["STRING_SINGLE"] == n + 1 and got[-1] == ("IGNORABLE", "z")
+    got = lexed(spark, "<?php " + "f('?>'); // x\n" * n + "?>z", "PHP", secondary="HTML")
+    assert Counter(k for k, _ in got)["STRING_SINGLE"] == n and got[-1] == ("IGNORABLE", "z")
