@@ -12,8 +12,9 @@ have candidates are fetched. Windows with a word that no document has are droppe
 joins on (term, doc, pos), so a word or document that is very frequent is no hot key. Proximity matches
 take the same order, with stretches of positions in place of single ones.
 
-Only tables made from the benchmark (words, windows) and lists of documents with candidates may be broadcast,
-and Spark checks their files' sizes first.
+Tables made from the benchmark (words, one column of the windows' ranked words) and lists of documents with
+candidates are broadcast if they have at most ``MOST`` rows of some ten bytes, which is counted first; larger ones are
+joined by shuffle.
 """
 
 from __future__ import annotations
@@ -28,9 +29,15 @@ from lexigrain.llm.common import discard, keep
 #: What is between words; upper case letters are lowered word by word.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 HEAD = -1
+MOST = 300_000
 PLACE = ["term", "doc", "pos"]
 
 
+def checked(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= MOST else table
+
+
 def words_of(text: Column) -> Column:
     """Runs of digits, ASCII letters and characters beyond ASCII, in the case of the text."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
@@ -59,7 +66,7 @@ def build_index(df: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_co
     (pos 0) doc_id and n_words."""
     rows = df.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     rows = rows.select("doc", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array(F.lit("")), "words")).alias("pos", "word"))
-    rows = rows.withColumn("word", lowered(F.col("word"))).join(terms, "word")
+    rows = rows.withColumn("word", lowered(F.col("word"))).join(checked(terms), "word")
     head = lambda c: F.when(F.col("term") == HEAD, F.col(c)).alias(c)
     return keep(rows.select(*PLACE, head("doc_id"), head("n_words")).sortWithinPartitions("term"))
 
@@ -70,14 +77,16 @@ def windows_of(items: DataFrame, terms: DataFrame, postings: DataFrame, length:
     n = F.least(F.lit(length), F.size("words"))
     rows = items.select("item", "words").dropDuplicates(["item"]).select("item", "words", n.alias("n"))
     rows = rows.select("item", "words", "n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at"))
-    rows = rows.select("item", "at", "n", F.posexplode(F.slice("words", F.col("at"), F.col("n"))).alias("offset", "word")).join(terms, "word")
-    counts = postings.groupBy("term").agg(F.count("*").alias("count"))
-    ranked = rows.join(counts, "term").groupBy("item", "at", "n").agg(F.array_sort(F.collect_list(F.struct("count", "term", "offset"))).alias("ranked"))
+    rows = rows.select("item", "at", "n", F.posexplode(F.slice("words", F.col("at"), F.col("n"))).alias("offset", "word")).join(checked(terms), "word")
+    counts = keep(postings.groupBy("term").agg(F.count("*").alias("count")))
+    ranked = rows.join(checked(counts), "term").groupBy("item", "at", "n").agg(F.array_sort(F.collect_list(F.struct("count", "term", "offset"))).alias("ranked"))
     return keep(ranked.where(F.size("ranked") == F.col("n")).select(F.monotonically_increasing_id().alias("win"), "item", "at", "n", "ranked"))
 
 
 def lists_of(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    return postings.select(*PLACE).join(terms.select("term").distinct(), "term", "left_semi")
+    """The lists of some terms; a filter only, so that it isn't worth a shuffle."""
+    wanted = keep(terms.select("term").distinct())
+    return postings.select(*PLACE).join(F.broadcast(wanted), "term", "left_semi") if wanted.count() <= MOST else postings.select(*PLACE)
 
 
 def ranked_term(windows: DataFrame, rank: int) -> DataFrame:
@@ -87,11 +96,11 @@ def ranked_term(windows: DataFrame, rank: int) -> DataFrame:
 
 def phrases(postings: DataFrame, windows: DataFrame) -> DataFrame:
     """win, doc, start: every place at which a window's words stand one after the other, stored."""
-    rarest = ranked_term(windows, 0)
-    begun = lists_of(postings, rarest).join(rarest, "term").select("win", "doc", (F.col("pos") - F.col("offset")).alias("start")).where("start > 0")
+    rarest = checked(ranked_term(windows, 0))
+    begun = postings.select(*PLACE).join(rarest, "term").select("win", "doc", (F.col("pos") - F.col("offset")).alias("start")).where("start > 0")
     begun = keep(begun)
     second = ranked_term(windows, 1)
-    asked = begun.join(second, "win").select("win", "doc", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
+    asked = begun.join(checked(second), "win").select("win", "doc", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
     met = asked.hint("merge").join(lists_of(postings, second), PLACE).select("win", "doc", "start")
     alone = begun.join(windows.where("n = 1"), "win", "left_semi")
     met = keep(met.unionByName(alone))
@@ -99,7 +108,9 @@ def phrases(postings: DataFrame, windows: DataFrame) -> DataFrame:
     docs = keep(met.select("doc").distinct())
     more = windows.where("n > 2").select("win", F.explode(F.slice("ranked", 3, F.greatest(F.col("n") - 2, F.lit(1)))).alias("r")).select("win", "r.term", "r.offset")
     asked = met.join(more, "win").select("win", "doc", "start", "term", (F.col("start") + F.col("offset")).alias("pos"))
-    there = lists_of(postings, more).join(docs, "doc", "left_semi")
+    there = lists_of(postings, more)
+    if docs.count() <= MOST:  # a filter only
+        there = there.join(F.broadcast(docs), "doc", "left_semi")
     counts = asked.hint("merge").join(there, PLACE).groupBy("win", "doc", "start").agg(F.count("*").alias("hits"))
     whole = counts.join(windows.select("win", "n"), "win").where("hits = n - 2").select("win", "doc", "start")
     out = keep(whole.unionByName(met.join(windows.where("n <= 2"), "win", "left_semi")))
@@ -115,7 +126,7 @@ def proximity(postings: DataFrame, windows: DataFrame, within: int) -> DataFrame
     sets = windows.select("win", distinct.alias("ranked")).withColumn("n", F.size("ranked"))
     rarest, second = ranked_term(sets, 0), ranked_term(sets, 1)
     cell = (F.col("pos") / within).cast("int")
-    begun = keep(lists_of(postings, rarest).join(rarest, "term").select("win", "doc", F.col("pos").alias("p")))
+    begun = keep(postings.select(*PLACE).join(checked(rarest), "term").select("win", "doc", F.col("pos").alias("p")))
     around = lambda c, words: c.join(words, "win").select("win", "doc", "p", "term", F.explode(F.transform(F.array(*(F.lit(k) for k in (-1, 0, 1))), lambda k: (F.col("p") / within).cast("int") + k)).alias("cell"))
     near = F.abs(F.col("pos") - F.col("p")) < within
     key = ["term", "doc", "cell"]
@@ -124,7 +135,7 @@ def proximity(postings: DataFrame, windows: DataFrame, within: int) -> DataFrame
     discard(begun)
     docs = keep(met.select("doc").distinct())
     more = sets.select("win", F.explode("ranked").alias("r")).select("win", "r.term")
-    there = lists_of(postings, more).join(docs, "doc", "left_semi").withColumn("cell", cell)
+    there = lists_of(postings, more).join(checked(docs), "doc", "left_semi").withColumn("cell", cell)
     found = around(met, more).hint("merge").join(there, key).where(near).groupBy("win", "doc", "p").agg(F.collect_list(F.struct("term", "pos")).alias("found"))  # at most 2 * within
     found = found.join(sets.select("win", "n"), "win")
     full = lambda x: F.size(F.array_distinct(F.transform(F.filter("found", lambda f: f["pos"].between(x, x + within - 1)), lambda f: f["term"]))) == F.col("n")
