@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import TOKEN, RuleSet, lex, uppercased
+from lexigrain.operators.retag import retagged
 
 
 def tokens(text: Column, lexer: str, secondary: str | RuleSet | None = None, words: Mapping[str, Iterable[str]] | None = None, **options) -> Column:
@@ -18,6 +19,7 @@ def tokens(text: Column, lexer: str, secondary: str | RuleSet | None = None, wor
     if secondary is not None:
         options["secondary"] = rule_set(secondary) if isinstance(secondary, str) else secondary
     out = lex(text, rule_set(lexer, words, **options), lexer)
+    out = retagged(out) if lexer == "PHP" else out
     return uppercased(out) if options.get("uppercase_keywords") else out
 
 

@@ -103,7 +103,7 @@ ORACLE_SQL = {
         select page_id, language, seq::bigint as seq, path, type, replace(text, '{{u}}', 'u' || regexp_replace(url, '[^a-z0-9]', '', 'g')) as text from golden, pages""",
     "embedded_spans": f"""
         with {values("golden", "language, seq, path, type, text", embedded_rows())},
-        paths as (select language, seq, string_split(path, '/') as p, coalesce(lag(string_split(path, '/')) over (partition by language order by seq), [language]) as was from golden),
+        paths as (select language, seq, string_split(path, '/') as p, coalesce(lag(string_split(path, '/')) over (partition by language order by seq), [split_part(language, ' ', 1)]) as was from golden),
         entered as (select language, sum(len(p) - (select count(*) from unnest(range(1, least(len(p), len(was)) + 1)) as u(k) where p[1:k] = was[1:k])) as n from paths group by language)
         select language, count(*) as pages, sum(n)::bigint as spans, 0::bigint as unbalanced from entered, pages group by language""",
     "long_constructs": """

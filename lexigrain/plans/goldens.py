@@ -216,7 +216,7 @@ def golden_rows() -> list[tuple[str, int, str, str, str]]:
 
 #: Templates in markup: (path of lexers below the template's own, type, text) of each token; ``{u}`` stands for a
 #: name. A string, tag, style or script of the page goes on behind a tag of the template, and a tag of the template ends
-#: where its code says so.
+#: where its code says so. A note in parentheses tells cases of one language apart.
 EMBEDDED: dict[str, list[tuple[str, str, str]]] = {
     "Twig": [
         ("HTML", "NAME_TAG", "<h"), ("", "NAME_TAG", "{{"), ("", "IGNORABLE", " n "), ("", "NAME_TAG", "}}"),
@@ -244,6 +244,29 @@ EMBEDDED: dict[str, list[tuple[str, str, str]]] = {
         ("", "NAME_VARIABLE", "$x"), ("", "IGNORABLE", " "), ("", "COMMENT_MULTILINE", "/* ?> */"),
         ("", "IGNORABLE", " "), ("", "NAME_TAG", "?>"), ("HTML", "NAME_TAG", "</a>"),
     ],
+    "PHP (declarations)": [
+        ("", "NAME_TAG", "<?php"), ("", "IGNORABLE", " "), ("", "KEYWORD", "class"), ("", "IGNORABLE", " "),
+        ("", "NAME_CLASS", "A{u}"), ("", "IGNORABLE", " "), ("", "PUNCTUATION", "{"), ("", "IGNORABLE", " "),
+        ("", "KEYWORD", "public"), ("", "IGNORABLE", " "), ("", "KEYWORD_TYPE", "int"), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE_INSTANCE", "$p"), ("", "PUNCTUATION", ","), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE_INSTANCE", "$q"), ("", "IGNORABLE", " "), ("", "OPERATOR", "="), ("", "IGNORABLE", " "),
+        ("", "PUNCTUATION", "["), ("", "NUMBER_DECIMAL", "1"), ("", "PUNCTUATION", ","), ("", "IGNORABLE", " "),
+        ("", "NUMBER_DECIMAL", "2"), ("", "PUNCTUATION", "],"), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE_INSTANCE", "${u}"), ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "),
+        ("", "KEYWORD", "static"), ("", "IGNORABLE", " "), ("", "OPERATOR", "?"), ("", "NAME_CLASS", "F{u}"),
+        ("", "IGNORABLE", " "), ("", "NAME_VARIABLE_INSTANCE", "$s"), ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "),
+        ("", "KEYWORD", "function"), ("", "IGNORABLE", " "), ("", "NAME_FUNCTION", "f"), ("", "PUNCTUATION", "("),
+        ("", "KEYWORD_TYPE", "array"), ("", "IGNORABLE", " "), ("", "NAME_VARIABLE", "$a"), ("", "PUNCTUATION", ")"),
+        ("", "OPERATOR", ":"), ("", "IGNORABLE", " "), ("", "NAME_CLASS", "B{u}"), ("", "IGNORABLE", " "),
+        ("", "PUNCTUATION", "{"), ("", "IGNORABLE", " "), ("", "KEYWORD", "static"), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE", "$v"), ("", "PUNCTUATION", ","), ("", "IGNORABLE", " "), ("", "NAME_VARIABLE", "$w"),
+        ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "), ("", "KEYWORD", "return"), ("", "IGNORABLE", " "),
+        ("", "NAME_VARIABLE", "$x"), ("", "IGNORABLE", " "), ("", "OPERATOR", "?"), ("", "IGNORABLE", " "),
+        ("", "NAME_FUNCTION", "f"), ("", "PUNCTUATION", "("), ("", "NAME_VARIABLE", "$y"), ("", "PUNCTUATION", ")"),
+        ("", "IGNORABLE", " "), ("", "OPERATOR", ":"), ("", "IGNORABLE", " "), ("", "NAME_CONSTANT", "C{u}"),
+        ("", "PUNCTUATION", ";"), ("", "IGNORABLE", " "), ("", "PUNCTUATION", "}"), ("", "IGNORABLE", " "),
+        ("", "PUNCTUATION", "}"),
+    ],
     "ERB": [
         ("HTML", "NAME_TAG", "<p"), ("HTML", "IGNORABLE", " "), ("HTML", "NAME_ATTRIBUTE", "title="),
         ("HTML", "STRING_SINGLE", "'"), ("", "NAME_TAG", "<%="), ("Ruby", "IGNORABLE", " "),
@@ -285,4 +308,4 @@ TEMPLATES = frozenset({"EEX", "ERB", "PHP", "Twig"})
 
 def embedded_rows() -> list[tuple[str, int, str, str, str]]:
     """(language, seq, path, type, text)."""
-    return [(language, seq, f"{language}/{path}".rstrip("/"), type_, text) for language, found in EMBEDDED.items() for seq, (path, type_, text) in enumerate(found)]
+    return [(language, seq, f"{language.split()[0]}/{path}".rstrip("/"), type_, text) for language, found in EMBEDDED.items() for seq, (path, type_, text) in enumerate(found)]

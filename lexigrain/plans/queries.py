@@ -182,8 +182,9 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = []
     for language, found in EMBEDDED.items():
         text = F.replace(F.lit("".join(t for *_, t in found)), F.lit("{u}"), F.col("u"))
-        options = {"secondary": "HTML"} if language in TEMPLATES else {}
-        made.append(F.struct(F.lit(language).alias("language"), tokens(text, language, **options).alias("tokens")))
+        lexer = language.split()[0]
+        options = {"secondary": "HTML"} if lexer in TEMPLATES else {}
+        made.append(F.struct(F.lit(language).alias("language"), tokens(text, lexer, **options).alias("tokens")))
     return pages.select("page_id", F.inline(F.array(*made)))
 
 

@@ -156,6 +156,30 @@ def test_php_names_in_lists(spark):
         assert {k: [t.text for t in row.tokens if t.type == k] for k in expected} == expected, row.text
 
 
+FOLDS = [
+    ("class A { public int $p, $q = [1, 2], $r; var $u; }", {"NAME_VARIABLE_INSTANCE": ["$p", "$q", "$r", "$u"], "KEYWORD_TYPE": ["int"], "NAME_VARIABLE": []}),
+    ("class A { static ?Foo $s = null, $t; function f() { static $v, $w; } }", {"NAME_VARIABLE_INSTANCE": ["$s", "$t"], "NAME_CLASS": ["A", "Foo"], "NAME_VARIABLE": ["$v", "$w"]}),
+    ("function f(int $a, Bar $b = X): ?Baz { return $x ? f($y) : Qux; }", {"NAME_CLASS": ["Bar", "Baz"], "NAME_CONSTANT": ["X", "Qux"], "KEYWORD_TYPE": ["int"]}),
+    ("abstract function g(): int|Foo; $f = function () use ($a): array { };", {"KEYWORD_TYPE": ["int", "array"], "NAME_CLASS": ["Foo"], "NAME_VARIABLE": ["$f", "$a"]}),
+    ("$g = fn(int $x): Foo => BAR;", {"NAME_CLASS": ["Foo"], "NAME_CONSTANT": ["BAR"]}),
+    ("class B { function __construct(private int $x, Foo $y) {} } $o->public; X::class;", {"NAME_VARIABLE_INSTANCE": ["$x", "public"], "NAME_VARIABLE": ["$y", "$o"], "NAME_CLASS": ["B", "Foo", "X"]}),
+    ("}}} ))) function ) : Foo public $", {"KEYWORD": ["function", "public"]}),
+]
+
+
+def test_php_fold(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(FOLDS)] + [(-1, "")], "k int, text string")
+    for row in tokenize(df, "PHP", start_inline=True).collect():
+        expected = FOLDS[row.k][1] if row.k >= 0 else {}
+        assert {k: [t.text for t in row.tokens if t.type == k] for k in expected} == expected, row.text
+        assert "".join(t.text for t in row.tokens) == row.text
+
+
+def test_php_fold_of_a_long_text(spark):
+    got = lexed(spark, "<?php " + "class A { public int $p, $q; function f(): Foo { return g($x); } }\n" * 1_000, "PHP")
+    assert Counter(got)["NAME_VARIABLE_INSTANCE", "$q"] == 1_000 and Counter(got)["NAME_CLASS", "Foo"] == 1_000
+
+
 WORDS = [
     ("Nginx", "daemon on; accept_mutex off; proxy_ssl_ciphers HIGH;", "KEYWORD_BUILTIN", ["daemon", "accept_mutex", "proxy_ssl_ciphers"]),
     ("Nginx", "set $x $geoip_city; set $y $ssl_server_name; set $z $upstream_cookie_a;", "NAME_BUILTIN", ["$geoip_city", "$ssl_server_name", "$upstream_cookie_a"]),
