@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import TOKEN, RuleSet, lex, uppercased
+from lexigrain.operators.options import OptionError, checked, lexer_of
 from lexigrain.operators.retag import retagged
 
 
@@ -36,6 +37,32 @@ def tokenize_by(df: DataFrame, lexer_col: str, lexers: Iterable[str], text_col:
     return df.withColumn(out_col, chosen)
 
 
+def tokenize_specs(df: DataFrame, spec_col: str, specs: Iterable[str], text_col: str = "text", out_col: str = "tokens", error_col: str = "error") -> DataFrame:
+    """Each row by its own lexer spec (``PHP?start_inline=1``, or a chain of specs between commas, each for what is outside
+    the tags of the one before), of those in ``specs``: the distinct specs of the column, whose number bounds the
+    plan. A spec that can't be used, or isn't listed, gives null tokens and says why in ``error_col``."""
+    text, chosen, why = F.col(text_col), F.lit(None).cast(TOKEN), F.when(F.col(spec_col).isNotNull(), F.concat(F.lit("not among the specs: "), F.col(spec_col)))
+    for spec in dict.fromkeys(specs):
+        mine = F.col(spec_col) == spec
+        try:
+            name, found = spec_options(spec)
+        except OptionError as e:
+            why = F.when(mine, F.lit(str(e))).otherwise(why)
+        else:
+            chosen, why = F.when(mine, tokens(text, name, **found)).otherwise(chosen), F.when(mine, F.lit(None)).otherwise(why)
+    return df.withColumns({out_col: chosen, error_col: why})
+
+
+def spec_options(spec: str) -> tuple[str, dict]:
+    """The lexer of a spec or a chain of specs, and its checked options."""
+    first, *rest = [s for s in spec.split(",") if s] or [""]
+    name, _, found = lexer_of(first)
+    if rest:
+        inner, options = spec_options(",".join(rest))
+        found |= checked("lexer", name, {"secondary": rule_set(inner, **options)})
+    return name, found
+
+
 def once(tokens_col: str) -> Column:
     """The tokens, for a generator. Of a bare column Spark would infer a filter on its size and push that, with
     the whole lexing in it, below the projection: each text would be lexed three times."""

@@ -28,6 +28,8 @@ KEYS = values("registry", "ord, line", enumerate(catalog.LEXERS.strip().splitlin
     keys as (select ord, name as lexer, kind, (pos - 1)::int as pos, v[pos] as value from (
         select ord, name, kind, string_split_regex(f[field], ' +') as v from lexers, (values (2, 'alias'), (3, 'glob'), (4, 'mime'), (5, 'interpreter')) k(field, kind) where coalesce(f[field], '') <> ''), unnest(range(1, len(v) + 1)) as u(pos))"""
 OPTIONS = values("opts", "owner_kind, owner, name, type, dflt", ((k, o, n, t, d or None) for k, o, n, t, d in catalog.fields(catalog.OPTIONS)))
+#: Texts that orders' keys make, by what they are guessed to be.
+GUESSES = "guesses as (select ['Python', 'Bash', 'PHP', 'XML', 'Diff', 'Varnish', 'MySQL', 'Text'][o_orderkey % 8 + 1] as owner, count(*) as texts from orders group by 1)"
 STYLES = values("styles", "theme, type, fg, bg, bold, italic, underline", catalog.style_rows())
 
 #: (language, list, type of its words, the list)
@@ -66,38 +68,42 @@ ORACLE_SQL = {
     "ancestors": f"""
         with recursive {TYPES}, up(name, ancestor, distance) as (
             select name, name, 0 from types union all select up.name, types.parent, up.distance + 1 from up join types on types.name = up.ancestor where types.parent is not null)
-        select name, ancestor, distance::int as distance from up""",
-    "lexer_list": f"with {KEYS} select ord, lexer, kind, pos, value from keys",
-    "option_list": f"with {OPTIONS} select owner_kind, owner, name, type, dflt as \"default\" from opts",
+        , {PAGES.split("with", 1)[1]}, counts as (select type, sum(new)::bigint as n from marked group by type)
+        select name, ancestor, distance::int as distance, coalesce(n, 0)::bigint as tokens from up left join counts on type = name""",
+    "lexer_list": f"{PAGES}, {KEYS}, counts as (select lexer, sum(new)::bigint as n from marked group by lexer) select ord, keys.lexer, kind, pos, value, coalesce(n, 0)::bigint as tokens from keys left join counts using (lexer)",
+    "option_list": f"with {OPTIONS}, {GUESSES} select owner_kind, owner, name, type, dflt as \"default\", coalesce(texts, 0)::bigint as texts from opts left join guesses using (owner)",
     "named_lexers": f"""
-        with {KEYS}, asked as (select distinct lower(value) as value from keys where kind in ('alias', 'mime')),
+        with {KEYS}, known as (select value, (row_number() over (order by value) - 1)::int as k from (select name as value from lexers union select value from keys where kind in ('alias', 'mime'))),
+        asked as (select case when o_orderkey % 2 = 0 then upper(value) else value end as value from orders join known on k = o_orderkey % (select count(*) from known)),
         named as (select upper(k) as k, arg_min(name, ord) as named from (select name as k, name, ord from lexers union all select value, lexer, ord from keys where kind = 'alias') group by 1),
         typed as (select value as k, arg_min(lexer, ord) as typed from keys where kind = 'mime' group by 1)
-        select value, named, typed from asked left join named on named.k = upper(value) left join typed on typed.k = value""",
+        select value, named, typed, count(*) as orders from asked left join named on named.k = upper(value) left join typed on typed.k = value group by all""",
     "theme_css": f"""
-        with {TYPES}, {STYLES}, groups as (
+        {PAGES}, {TYPES}, {STYLES}, groups as (
             select theme, fg, bg, bold, italic, underline, min(id) as head, string_agg('.code .' || cssclass, ', ' order by id) as names from styles join types on types.name = styles.type
-            where cssclass <> ' ' and (fg is not null or bg is not null or bold or italic or underline) group by all)
+            where cssclass <> ' ' and (fg is not null or bg is not null or bold or italic or underline) and name in (select type from marked) group by all)
         select theme, string_agg(names || ' {{' || chr(10) || coalesce('  background-color: ' || bg || ';' || chr(10), '') || coalesce('  color: ' || fg || ';' || chr(10), '') || case when bold then '  font-weight: bold;' || chr(10) else '' end
             || case when italic then '  font-style: italic;' || chr(10) else '' end || case when underline then '  text-decoration: underline;' || chr(10) else '' end || '}}' || chr(10), '' order by head) as css from groups group by theme""",
     "sample_document": f"""
-        with {TYPES}, lines as (select id, name, replace(replace(replace(name || ': ' || description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text, case when cssclass = ' ' then ' ' else cssclass[1:2] end as class from types)
+        {PAGES}, {TYPES}, lines as (select id, name, replace(replace(replace(name || ': ' || description, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text, case when cssclass = ' ' then ' ' else cssclass[1:2] end as class from types where name in (select type from marked))
         select '<pre>' || string_agg(case when name = 'IGNORABLE' then text else '<span class="' || class || '">' || text || '</span>' end || chr(10), '' order by id) || '</pre>' as html from lines""",
     "markdown": f"""
-        with {KEYS}, {OPTIONS}, {values("formatters", "name, description", catalog.FORMATTERS.items())},
+        with {KEYS}, {OPTIONS}, {GUESSES}, {values("formatters", "name, description", catalog.FORMATTERS.items())},
         lines as (select lexer, string_agg(value, ', ' order by pos) filter (kind = 'alias') as a, string_agg(value, ', ' order by pos) filter (kind = 'glob') as g, string_agg(value, ', ' order by pos) filter (kind = 'mime') as m from keys group by lexer),
         heads as (select 'lexer' as kind, name as owner, ord, '## ' || name || coalesce(chr(10) || chr(10) || 'Alias(es): ' || a, '') || coalesce(chr(10) || chr(10) || 'Filename(s): ' || g, '') || coalesce(chr(10) || chr(10) || 'MIME type(s): ' || m, '') as head from lexers left join lines on lexer = name
             union all select 'formatter', name, 0, '## ' || name || chr(10) || chr(10) || description from formatters),
         tables as (select owner_kind, owner, string_agg(line, chr(10) order by line) as lines from (select owner_kind, owner, '| ' || name || ' | ' || type || ' | ' || coalesce(dflt, 'null/none') || ' |' as line from opts) group by all)
-        select kind, h.owner, ord::int as ord, head || coalesce(chr(10) || chr(10) || '| Option | Type | Default value |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines, '') as markdown
-        from heads h left join tables t on t.owner_kind = kind and t.owner = h.owner""",
+        select kind, h.owner, ord::int as ord, head || coalesce(chr(10) || chr(10) || '| Option | Type | Default value |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines, '') as markdown, coalesce(texts, 0)::bigint as texts
+        from heads h left join tables t on t.owner_kind = kind and t.owner = h.owner left join guesses on guesses.owner = h.owner""",
     "encodings": """
         with w(written, mark, told, size) as (values ('UTF-8', 3, 'UTF-8', 1), ('UTF-16LE', 2, 'UTF-16LE', 2), ('UTF-16BE', 2, 'UTF-16BE', 2), ('UTF-8', 0, 'UTF-8', 1))
-        select written, n_name, told, n_name as text, size = 2 as "binary", (case when written = 'UTF-8' then mark + length(n_name) else 0 end)::int as bad from w, nation""",
-    "keywords_by_language": "with words as (" + " union all ".join(f"select {value(language)} as language, {value(kind)} as list, {value(type_)} as type, unnest(string_split_regex(trim({value(' '.join(words.split()))}), ' +')) as word" for language, kind, type_, words in WORDS) + ") select language, list, type, count(distinct word) as words from words group by all",
+        select written, c_name, told, c_name as text, size = 2 as "binary", (case when written = 'UTF-8' then mark + length(c_name) else 0 end)::int as bad from w, customer""",
+    "keywords_by_language": f"""
+        with {values("words", "k, language, list, type, word", ((k, *w) for k, w in enumerate((language, kind, type_, word) for language, kind, type_, words in WORDS for word in words.split())))}
+        select language, list, type, count(distinct word) as words, count(*) as uses from orders join words on k = o_orderkey % (select count(*) from words) group by all""",
     "golden_tokens": f"""
         with {values("golden", "language, seq, lexer, type, text", golden_rows())}
-        select n_nationkey::bigint as n_nationkey, language, seq::bigint as seq, lexer, type, replace(replace(text, '{{k}}', n_nationkey::varchar), '{{n}}', replace(n_name, ' ', '')) as text from golden, nation""",
+        select s_suppkey::bigint as s_suppkey, language, seq::bigint as seq, lexer, type, replace(replace(text, '{{k}}', s_suppkey::varchar), '{{n}}', 'S' || s_nationkey::varchar) as text from golden, supplier""",
     "embedded_tokens": f"""
         with {values("golden", "language, seq, path, type, text", embedded_rows())}
         select page_id, language, seq::bigint as seq, path, type, replace(text, '{{u}}', 'u' || regexp_replace(url, '[^a-z0-9]', '', 'g')) as text from golden, pages""",
@@ -107,7 +113,7 @@ ORACLE_SQL = {
         entered as (select language, sum(len(p) - (select count(*) from unnest(range(1, least(len(p), len(was)) + 1)) as u(k) where p[1:k] = was[1:k])) as n from paths group by language)
         select language, count(*) as pages, sum(n)::bigint as spans, 0::bigint as unbalanced from entered, pages group by language""",
     "long_constructs": """
-        with n as (select (s_suppkey * 37 % 2000)::bigint as n, count(*) as texts from supplier group by 1),
+        with n as (select (o_orderkey * 37 % case when o_orderkey % 100 = 0 then 2000 else 20 end)::bigint as n, count(*) as texts from orders group by 1),
         kinds(language, type, tokens, per) as (values
             ('C', 'COMMENT_SINGLE', 1, 0), ('C', 'KEYWORD', 1, 0), ('HTML', 'NAME_TAG', 2, 0), ('HTML', 'NAME_ATTRIBUTE', 0, 1), ('HTML', 'STRING_SINGLE', 0, 1),
             ('Javascript', 'STRING_DOUBLE', 2, 0), ('Javascript', 'SEQUENCE_ESCAPED', 1, 0), ('Javascript', 'KEYWORD', 1, 0), ('Python', 'STRING_SINGLE', 1, 1), ('Python', 'SEQUENCE_ESCAPED', 0, 1), ('Python', 'KEYWORD', 1, 0))

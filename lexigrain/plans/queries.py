@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
 from lexigrain.operators.lexing import cut
-from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokens, type_counts, with_spans
+from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokenize_by, tokenize_specs, tokens, type_counts, with_spans
 from lexigrain.plans import catalog, catalog_sql
 from lexigrain.plans.goldens import EMBEDDED, TEMPLATES, golden_rows
 
@@ -146,12 +146,12 @@ SOURCES = {
 
 
 def all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each language a source for each nation: tokens, characters and sources that don't come out
+    """For each language a source for each supplier: tokens, characters and sources that don't come out
     whole (none)."""
-    nations = read(spark, sf_dir, "nation")
+    suppliers = sources(spark, sf_dir, "supplier", "s_suppkey", F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("name"))
     out = None
     for lexer, source in SOURCES.items():
-        rows = tokenize(nations.select(F.format_string(source, F.col("n_nationkey").cast("string"), "n_name").alias("text")), lexer)
+        rows = tokenize(suppliers.select(F.format_string(source, F.col("s_suppkey").cast("string"), "name").alias("text")), lexer)
         spelled = F.array_join(F.transform("tokens", lambda t: t["text"]), "")
         counts = rows.agg(F.lit(lexer).alias("lexer"), F.sum(long(F.length("text"))).alias("chars"), F.count_if(spelled != F.col("text")).alias("broken"), F.count_if(F.size("tokens") > 0).alias("sources"))
         out = counts if out is None else out.unionByName(counts)
@@ -159,17 +159,17 @@ def all_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def golden_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden source of each language, filled with each nation's key and name, token by token."""
+    """The golden source of each language, filled with each supplier's key and a name, token by token."""
     texts: dict[str, str] = {}
     for language, _, _, _, text in golden_rows():
         texts[language] = texts.get(language, "") + text
-    nations = read(spark, sf_dir, "nation").select(long(F.col("n_nationkey")).alias("n_nationkey"), F.replace("n_name", F.lit(" "), F.lit("")).alias("name"))
+    suppliers = sources(spark, sf_dir, "supplier", long(F.col("s_suppkey")).alias("s_suppkey"), F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("name"))
     out = None
     for language, text in texts.items():
         lexer, _, variant = language.partition("?")
-        filled = F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("n_nationkey").cast("string")), F.lit("{n}"), F.col("name"))
-        rows = explode_tokens(tokenize(nations.select("n_nationkey", filled.alias("text")), lexer, **({variant: True} if variant else {})), "n_nationkey")
-        rows = rows.select("n_nationkey", F.lit(language).alias("language"), long(F.col("seq")).alias("seq"), "lexer", "type", "text")
+        filled = F.replace(F.replace(F.lit(text), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{n}"), F.col("name"))
+        rows = explode_tokens(tokenize(suppliers.select("s_suppkey", filled.alias("text")), lexer, **({variant: True} if variant else {})), "s_suppkey")
+        rows = rows.select("s_suppkey", F.lit(language).alias("language"), long(F.col("seq")).alias("seq"), "lexer", "type", "text")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -203,20 +203,23 @@ def embedded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keywords_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of the word lists, lexed where it can stand: words by list and type."""
+    """Words of the word lists, lexed where they can stand: one for each order, as its key tells. Words by list and
+    type, and how often."""
     places = {"directives": "%s x;", "variables": "set $q %s;", "properties": "a { %s: x }", "values": "a { b: %s }"}
-    out = None
-    for language in dict.fromkeys(w[0] for w in catalog_sql.WORDS):
-        words = [(kind, word, places.get(kind, "%s") % word) for name, kind, _, listed in catalog_sql.WORDS if name == language for word in listed.split()]
-        rows = explode_tokens(tokenize(spark.createDataFrame(words, "list string, word string, source string"), language, "source"), "list", "word")
-        found = rows.where("text = word").groupBy("list", "type").agg(F.count_distinct("word").alias("words")).select(F.lit(language).alias("language"), "list", "type", "words")
-        out = found if out is None else out.unionByName(found)
-    return out
+    listed = [(language, kind, word, places.get(kind, "%s") % word) for language, kind, _, words in catalog_sql.WORDS for word in words.split()]
+    words = spark.createDataFrame([(k, *w) for k, w in enumerate(listed)], "k int, language string, list string, word string, source string")
+    orders = sources(spark, sf_dir, "orders", (F.col("o_orderkey") % len(listed)).cast("int").alias("k"))
+    rows = tokenize_by(orders.join(F.broadcast(words), "k"), "language", dict.fromkeys(w[0] for w in listed), "source")
+    found = explode_tokens(rows, "language", "list", "word").where("text = word")
+    return found.groupBy("language", "list", "type").agg(F.count_distinct("word").alias("words"), F.count("*").alias("uses"))
 
 
 def long_constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Macros, tags and strings of up to 2,000 parts, as a supplier's key tells: their tokens by type."""
-    keys = sources(spark, sf_dir, "supplier", (F.col("s_suppkey") * 37 % 2_000 + 1).cast("int").alias("n"))
+    """Macros, tags and strings of up to 20 parts, and of up to 2,000 for every hundredth key, as an order's key tells:
+    their tokens by type."""
+    key = F.col("o_orderkey")
+    parts = F.when(key % 100 == 0, key * 37 % 2_000).otherwise(key * 37 % 20) + 1
+    keys = sources(spark, sf_dir, "orders", parts.cast("int").alias("n"))
     made = {"C": ("#define A", " \\\n  x", "\nint y;"), "HTML": ("<p", " a='>'", ">x"), "Javascript": ('"', "\\\\", '"; var'), "Python": ("'", "\\x41a", "' if")}
     wanted = {"C": ("COMMENT_SINGLE", "KEYWORD"), "HTML": ("NAME_TAG", "NAME_ATTRIBUTE", "STRING_SINGLE"), "Javascript": ("STRING_DOUBLE", "SEQUENCE_ESCAPED", "KEYWORD"), "Python": ("STRING_SINGLE", "SEQUENCE_ESCAPED", "KEYWORD")}
     out = None
@@ -240,25 +243,52 @@ def url_lexers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.route(pages, "html", "path").groupBy("lexer").agg(F.count("*").alias("pages"))
 
 
-def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Guesses for texts made from orders, by what their number leaves."""
+def guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_orderkey, lexer) for texts made from orders, by what their number leaves."""
     k = F.col("o_orderkey") % 8
     text = F.when(k == 0, "#!/usr/bin/env -S python3 -u\nx").when(k == 1, "#!/bin/sh\n<?php").when(k == 2, "#!/bin/foo\n<?php echo 1;").when(k == 3, "<?xml version='1'?>").when(k == 4, "--- a\n+++ b").when(k == 5, "vcl 4.0;").when(k == 6, "CREATE TABLE t () engine=InnoDB;").otherwise("plain")
     return sources(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.coalesce(routing.guess(text), F.lit("Text")).alias("lexer"))
 
 
+def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guesses for texts made from orders."""
+    return guesses(spark, sf_dir)
+
+
 def named_lexers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names and aliases in any case, and MIME types, to lexers."""
-    keys = catalog.lexer_keys(spark).where("kind in ('alias', 'mime')").select(F.lower("value").alias("value"))
-    both = routing.by_mime(routing.by_name(keys, "value", "named"), "value", "typed")
-    return both.select("value", "named", "typed").distinct()
+    """Names, aliases and MIME types that orders' keys choose, in either case: to which lexers they lead, and for how
+    many orders."""
+    known = sorted(set(catalog.LEXER_NAMES) | {v for row in catalog.fields(catalog.LEXERS) for field in (row[1], row[3]) for v in field.split()})
+    names = spark.createDataFrame(list(enumerate(known)), "k int, value string")
+    key = F.col("o_orderkey")
+    orders = read(spark, sf_dir, "orders").select((key % len(known)).cast("int").alias("k"), (key % 2 == 0).alias("upper"))
+    asked = orders.join(F.broadcast(names), "k").select(F.when(F.col("upper"), F.upper("value")).otherwise(F.col("value")).alias("value"))
+    both = routing.by_mime(routing.by_name(asked, "value", "named"), "value", "typed")
+    return both.groupBy("value", "named", "typed").agg(F.count("*").alias("orders"))
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexer specs made from nations, taken apart."""
-    spec = F.concat(F.col("n_name"), F.lit("?key="), F.col("n_nationkey").cast("string"), F.lit(";flag&region="), F.col("n_regionkey").cast("string"))
-    rows = read(spark, sf_dir, "nation").select(routing.lexer_spec(spec).alias("s"))
-    return rows.select("s.name", F.explode("s.options").alias("option", "value"))
+    """Lexer specs made from orders, taken apart: options and their values, and how often."""
+    spec = F.concat("o_orderstatus", F.lit("?key="), F.col("o_orderkey").cast("string"), F.lit(";flag&priority="), F.col("o_orderpriority"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", routing.lexer_spec(spec).alias("s"))
+    return rows.select("o_orderkey", "s.name", F.explode("s.options").alias("option", "value"))
+
+
+#: Specs of lexers with options, two that no lexer has, and a text for each.
+ROW_SPECS = [
+    ("PHP?start_inline=1", "echo 1;"), ("php?start_inline=off&short_open_tag=on", "a<? echo 1; ?>"), ("PostgreSQL?uppercase_keywords", "select 1"), ("mysql?ansi_quotes=1;no_backslash_escapes", 'select "a\\"'),
+    ("Varnish?version=4", "bereq.method"), ("Varnish", "bereq.method"), ("twig?secondary=HTML", "<b>{{ x }}</b>"), ("JSON", "[1]"), ("JSON?unknown=1", "[1]"), ("Nothing", "[1]"),
+]
+
+
+def row_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexer with options of its own for each order, chosen by its key: tokens by spec and type, and what is wrong with
+    the specs that can't be used."""
+    table = F.array(*(F.struct(F.lit(spec).alias("spec"), F.lit(text).alias("text")) for spec, text in ROW_SPECS))
+    orders = sources(spark, sf_dir, "orders", table[(F.col("o_orderkey") % len(ROW_SPECS)).cast("int")].alias("x")).select("x.*")
+    rows = tokenize_specs(orders, "spec", [spec for spec, _ in ROW_SPECS])
+    found = rows.select("spec", F.col("error"), F.explode_outer("tokens").alias("t"))
+    return found.groupBy("spec", F.col("t.type").alias("type"), "error").agg(F.count("*").alias("tokens"))
 
 
 # Rendering
@@ -286,8 +316,15 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(render.xml_escaped(text)).alias("xml"), F.md5(strings.json_quoted(text)).alias("json"))
 
 
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lexer, type, tokens, chars) of the pages; as many rows as there are pairs of a lexer and a type."""
+    return page_types(spark, sf_dir)
+
+
 def theme_css(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.css(catalog.theme_styles(spark), catalog.token_types(spark), scope=".code")
+    """The themes as style sheets, for the types of tokens that the pages have."""
+    seen = page_tokens(spark, sf_dir).select("type").distinct()
+    return render.css(catalog.theme_styles(spark).join(seen, "type", "left_semi"), catalog.token_types(spark), scope=".code")
 
 
 def nearest_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,27 +342,42 @@ def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line for each token type, in its own style."""
-    return catalog.token_types(spark).agg(render.render(sample_tokens(catalog.token_types(spark)), "HTML").alias("html"))
+    """A line for each token type that the pages have, in its own style."""
+    seen = page_tokens(spark, sf_dir).select(F.col("type").alias("name")).distinct()
+    types = catalog.token_types(spark).join(seen, "name", "left_semi")
+    return types.agg(render.render(sample_tokens(types), "HTML").alias("html"))
 
 
 # Catalog
 
 
 def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.token_ancestors(spark)
+    """The pages' tokens by type and what is above it; types without tokens too."""
+    counts = page_tokens(spark, sf_dir).groupBy(F.col("type").alias("name")).agg(F.sum("tokens").alias("tokens"))
+    rows = catalog.token_ancestors(spark).join(counts, "name", "left")
+    return rows.select("name", "ancestor", "distance", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"))
 
 
 def lexer_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.lexer_keys(spark)
+    """Names, patterns and types of all lexers, with the pages' tokens of each."""
+    counts = page_tokens(spark, sf_dir).groupBy("lexer").agg(F.sum("tokens").alias("tokens"))
+    return catalog.lexer_keys(spark).join(counts, "lexer", "left").select("ord", "lexer", "kind", "pos", "value", F.coalesce("tokens", F.lit(0).cast("long")).alias("tokens"))
+
+
+def texts_by_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guesses(spark, sf_dir).groupBy(F.col("lexer").alias("owner")).agg(F.count("*").alias("texts"))
 
 
 def option_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.options(spark)
+    """All options, with the texts that are guessed to be of their lexer."""
+    rows = catalog.options(spark).join(texts_by_lexer(spark, sf_dir), "owner", "left")
+    return rows.select("owner_kind", "owner", "name", "type", "default", F.coalesce("texts", F.lit(0).cast("long")).alias("texts"))
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.documentation(spark)
+    """Documentation of lexers and formatters, with the texts that are guessed to be of each."""
+    rows = catalog.documentation(spark).join(texts_by_lexer(spark, sf_dir), "owner", "left")
+    return rows.select("kind", "owner", "ord", "markdown", F.coalesce("texts", F.lit(0).cast("long")).alias("texts"))
 
 
 # Scalar functions
@@ -337,10 +389,10 @@ def option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("n_name")
+    name = F.col("c_name")
     padded = F.concat(F.lit(" \t"), name, F.lit(" \r\n"))
-    return read(spark, sf_dir, "nation").select(
-        "n_nationkey",
+    return read(spark, sf_dir, "customer").select(
+        "c_custkey",
         strings.chomp(padded).alias("chomped"),
         strings.trim(padded).alias("trimmed"),
         strings.ltrim(padded).alias("left_trimmed"),
@@ -350,22 +402,26 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         strings.subreplace(name, "*", 0, 3).alias("replaced"),
         strings.find(name, "a", fold=True).cast("long").alias("found"),
         strings.equal_fold(name, F.lower(name)).alias("same"),
+        strings.starts_with(name, "Cust").alias("begins"),
+        strings.ends_with(name, "9").alias("ends"),
+        strings.formatted("%s/%05d", name, F.col("c_nationkey")).alias("printed"),
+        F.lit(strings.VERSION).alias("version"),
         render.dumped(padded).alias("dumped"),
     )
 
 
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in five encodings: what is told, and whether they come back."""
-    nations = read(spark, sf_dir, "nation").select("n_name")
+    customers = read(spark, sf_dir, "customer").select("c_name")
     out = None
     for name, mark in (("UTF-8", "EFBBBF"), ("UTF-16LE", "FFFE"), ("UTF-16BE", "FEFF"), ("UTF-8", "")):
-        data = F.concat(F.unhex(F.lit(mark)), F.encode("n_name", name))
-        told = nations.select(F.lit(name).alias("written"), "n_name", strings.guess_encoding(data).alias("told"), strings.to_utf8(data, F.lit(name)).alias("text"), strings.is_binary(data).alias("binary"), strings.first_bad_utf8(F.concat(data, F.unhex(F.lit("C328")))).alias("bad"))
+        data = F.concat(F.unhex(F.lit(mark)), F.encode("c_name", name))
+        told = customers.select(F.lit(name).alias("written"), "c_name", strings.guess_encoding(data).alias("told"), strings.to_utf8(data, F.lit(name)).alias("text"), strings.is_binary(data).alias("binary"), strings.first_bad_utf8(F.concat(data, F.unhex(F.lit("C328")))).alias("bad"))
         out = told if out is None else out.unionByName(told)
     return out
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -410,7 +466,7 @@ ORACLE_SQL = {
     "url_basename": "select page_id, case when bare = '' then '/' else regexp_extract(bare, '[^/]*$') end as name from (select page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as bare from pages)",
     "url_lexers": "select case when regexp_matches(regexp_replace(url, '[?#].*$', ''), '[.]html/*$') then 'HTML' when contains(lower(html), '<?php') then 'PHP' when starts_with(html, '<?xml') or starts_with(html, '<!DOCTYPE') then 'XML' else 'Text' end as lexer, count(*) as pages from pages group by 1",
     "guessed": "select o_orderkey, ['Python', 'Bash', 'PHP', 'XML', 'Diff', 'Varnish', 'MySQL', 'Text'][o_orderkey % 8 + 1] as lexer from orders",
-    "specs": "select n_name as name, unnest(['key', 'flag', 'region']) as option, unnest([n_nationkey::varchar, '', n_regionkey::varchar]) as value from nation",
+    "specs": "select o_orderkey, o_orderstatus as name, unnest(['key', 'flag', 'priority']) as option, unnest([o_orderkey::varchar, '', o_orderpriority]) as value from orders",
     "events_html": JSON + """ select event_id, '<pre>' || string_agg(case type when 'IGNORABLE' then text else '<span class="' || case type when 'STRING_DOUBLE' then 'sd' when 'NUMBER_DECIMAL' then 'md' when 'NUMBER_FLOAT' then 'mf' when 'PUNCTUATION' then 'p' else 'kc' end || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>' end, '' order by seq) || '</pre>' as html from tokens group by event_id""",
     "events_plain": JSON + " select event_id, string_agg(type || ': ' || text, chr(10) order by seq) as plain from tokens group by event_id",
     "escaped": r"""
@@ -428,12 +484,24 @@ ORACLE_SQL = {
         select o_orderkey, ('0x' || h[1:2])::int as r, ('0x' || h[3:4])::int as g, ('0x' || h[5:6])::int as b from w""",
     "option_values": "select o_orderkey, coalesce(try_cast(nullif(regexp_extract(o_orderpriority, '^\\s*([+-]?[0-9]+)', 1), '') as int), 0) as number, coalesce(try_cast(nullif(regexp_extract(o_orderpriority, '^\\s*([+-]?[0-9]+)', 1), '') as int), 0) <> 0 as flag from orders",
     "string_functions": r"""
-        select n_nationkey, ' ' || chr(9) || n_name || ' ' as chomped, n_name as trimmed, n_name || ' ' || chr(13) || chr(10) as left_trimmed, ' ' || chr(9) || n_name as right_trimmed,
-               n_name[1] || '__' || n_name[2:] as inserted, n_name[1] || n_name[4:] as deleted, '*' || n_name[4:] as replaced,
-               (nullif(instr(upper(n_name), 'A'), 0) - 1)::bigint as found, true as same, ' \t' || n_name || ' \r\n' as dumped from nation""",
+        select c_custkey, ' ' || chr(9) || c_name || ' ' as chomped, c_name as trimmed, c_name || ' ' || chr(13) || chr(10) as left_trimmed, ' ' || chr(9) || c_name as right_trimmed,
+               c_name[1] || '__' || c_name[2:] as inserted, c_name[1] || c_name[4:] as deleted, '*' || c_name[4:] as replaced,
+               (nullif(instr(upper(c_name), 'A'), 0) - 1)::bigint as found, true as same, c_name[:4] = 'Cust' as begins, c_name[-1:] = '9' as ends, c_name || '/' || lpad(c_nationkey::varchar, 5, '0') as printed, '0.0.0' as version, ' \t' || c_name || ' \r\n' as dumped from customer""",
 }
 ORACLE_SQL |= catalog_sql.ORACLE_SQL
 ORACLE_SQL["all_languages"] = f"""
     with {catalog_sql.values("sources", "lexer, source", ((k, v.replace("%%", "%")) for k, v in SOURCES.items()))},
-    filled as (select lexer, length(source) - 4 + length(n_nationkey::varchar || n_name) as n from sources, nation)
+    filled as (select lexer, length(source) - 4 + length(s_suppkey::varchar || 'S' || s_nationkey::varchar) as n from sources, supplier)
     select lexer, sum(n)::bigint as chars, 0::bigint as broken, count(*) as sources from filled group by lexer"""
+#: (spec, type, tokens of one text, error)
+ROW_SPEC_TOKENS = [
+    ("PHP?start_inline=1", "KEYWORD", 1, None), ("PHP?start_inline=1", "IGNORABLE", 1, None), ("PHP?start_inline=1", "NUMBER_DECIMAL", 1, None), ("PHP?start_inline=1", "PUNCTUATION", 1, None),
+    ("php?start_inline=off&short_open_tag=on", "IGNORABLE", 4, None), ("php?start_inline=off&short_open_tag=on", "NAME_TAG", 2, None), ("php?start_inline=off&short_open_tag=on", "KEYWORD", 1, None), ("php?start_inline=off&short_open_tag=on", "NUMBER_DECIMAL", 1, None), ("php?start_inline=off&short_open_tag=on", "PUNCTUATION", 1, None),
+    ("PostgreSQL?uppercase_keywords", "KEYWORD", 1, None), ("PostgreSQL?uppercase_keywords", "IGNORABLE", 1, None), ("PostgreSQL?uppercase_keywords", "NUMBER_DECIMAL", 1, None),
+    ("mysql?ansi_quotes=1;no_backslash_escapes", "KEYWORD", 1, None), ("mysql?ansi_quotes=1;no_backslash_escapes", "IGNORABLE", 1, None), ("mysql?ansi_quotes=1;no_backslash_escapes", "NAME", 1, None),
+    ("Varnish?version=4", "NAME_VARIABLE", 1, None), ("Varnish", "IGNORABLE", 1, None), ("twig?secondary=HTML", "NAME_TAG", 4, None), ("twig?secondary=HTML", "IGNORABLE", 1, None),
+    ("JSON", "PUNCTUATION", 2, None), ("JSON", "NUMBER_DECIMAL", 1, None), ("JSON?unknown=1", None, 1, "JSON has no option 'unknown'"), ("Nothing", None, 1, "no 'Nothing' among " + ", ".join(catalog.LEXER_NAMES)),
+]
+ORACLE_SQL["row_specs"] = f"""
+    with {catalog_sql.values("specs", "k, spec", enumerate(spec for spec, _ in ROW_SPECS))}, {catalog_sql.values("found", "spec, type, n, error", ROW_SPEC_TOKENS)}
+    select spec, type, error, sum(n)::bigint as tokens from orders join specs on k = o_orderkey % {len(ROW_SPECS)} join found using (spec) group by all"""

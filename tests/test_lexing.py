@@ -7,7 +7,7 @@ import regex
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import cut, first_of, groups_in, one_of
 from lexigrain.operators.render import render
-from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, type_counts, with_spans
+from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, tokenize_specs, type_counts, with_spans
 from lexigrain.plans.catalog import LEXER_NAMES
 from lexigrain.plans.goldens import GOLDEN
 from lexigrain.plans.queries import SOURCES
@@ -326,3 +326,12 @@ def test_long_templates(spark):
     assert Counter(k for k, _ in got)["STRING_SINGLE"] == n + 1 and got[-1] == ("IGNORABLE", "z")
     got = lexed(spark, "<?php " + "f('?>'); // x\n" * n + "?>z", "PHP", secondary="HTML")
     assert Counter(k for k, _ in got)["STRING_SINGLE"] == n and got[-1] == ("IGNORABLE", "z")
+
+
+def test_specs_by_row(spark):
+    specs = ["PHP?start_inline=1", "Twig,HTML", "Twig?secondary=HTML", "JSON?x=1", "Nope", "php?secondary=php"]
+    df = spark.createDataFrame([(s, "<b>{{ x }}</b>") for s in [*specs, "JSON"]] + [(None, "1"), (specs[0], None)], "spec string, text string")
+    rows = tokenize_specs(df, "spec", specs).collect()
+    assert [r.error for r in rows] == [None, None, None, "JSON has no option 'x'", rows[4].error, "PHP can't be its own secondary", "not among the specs: JSON", None, None]
+    assert rows[4].error.startswith("no 'Nope' among ") and rows[1].tokens == rows[2].tokens and rows[8].tokens is None
+    assert [t.lexer for t in rows[0].tokens] == ["PHP"] * len(rows[0].tokens) and "".join(t.text for t in rows[0].tokens) == "<b>{{ x }}</b>"
