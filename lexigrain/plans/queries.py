@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain.functions import encodings as encodings_of
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
 from lexigrain.operators.lexing import cut
@@ -421,7 +422,29 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings)}
+#: For each written encoding: the texts' languages, and letters changed so that the texts have its script's.
+LEGACY = [
+    ("ISO-8859-1", "de fr es", "", ""), ("windows-1252", "de fr es", ".", "…"), ("ISO-8859-2", "en", "zlswk", "żłśęą"), ("windows-1250", "en", "zlswk", "žłšěř"),
+    ("windows-1251", "en", "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыжз"), ("KOI8-R", "en", "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыжз"),
+    ("UTF-8", "de fr es", "", ""), ("UTF-16LE", "en", "", ""),
+]
+
+
+def legacy_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in eight encodings, those with characters beyond ASCII: whether 95 % at least are told, and how many
+    come back as they were, which are those of which the encoding has all characters."""
+    docs = sources(spark, sf_dir, "documents", "lang", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    written = []
+    for name, langs, old, new in LEGACY:
+        text = F.translate("text", old, new) if old else F.col("text")
+        written.append(F.when(F.col("lang").isin(*langs.split()), F.struct(F.lit(name).alias("written"), text.alias("text"), encodings_of.encoded(text, name).alias("data"))))
+    rows = docs.select(F.inline(F.filter(F.array(*written), lambda x: x.isNotNull()))).where(F.col("text").rlike(r"[^\x00-\x7f]") | ((F.col("written") == "UTF-16LE") & (F.length("text") > 3)))
+    rows = rows.select("written", "text", "data", encodings_of.detect_encoding(F.col("data"))["encoding"].alias("told"))
+    back = encodings_of.to_text(F.col("data"), F.col("written")) == F.col("text")
+    return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(back).alias("back"))
+
+
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -505,3 +528,9 @@ ROW_SPEC_TOKENS = [
 ORACLE_SQL["row_specs"] = f"""
     with {catalog_sql.values("specs", "k, spec", enumerate(spec for spec, _ in ROW_SPECS))}, {catalog_sql.values("found", "spec, type, n, error", ROW_SPEC_TOKENS)}
     select spec, type, error, sum(n)::bigint as tokens from orders join specs on k = o_orderkey % {len(ROW_SPECS)} join found using (spec) group by all"""
+#: Texts of the documents as ``legacy_encodings`` writes them, and the characters that each encoding has.
+ORACLE_SQL["legacy_encodings"] = f"""
+    with {catalog_sql.values("pages", "written, langs, old, new, has", ((name, langs, old, new, encodings_of.upper_half(name) if name in encodings_of.CODE_PAGES else None) for name, langs, old, new in LEGACY))},
+    rows as (select written, has, translate(lower(coalesce(text, '')), old, new) as text from documents join pages on list_contains(string_split(langs, ' '), lang))
+    select written, count(*) as texts, true as mostly_told, count_if(has is null or translate(regexp_replace(text, '[\\x00-\\x7f]', '', 'g'), has, '') = '')::bigint as back
+    from rows where regexp_matches(text, '[^\\x00-\\x7f]') or written = 'UTF-16LE' and length(text) > 3 group by written"""
