@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lexigrain.functions import encodings as encodings_of
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
+from lexigrain.operators.hooks import BuiltIn, Hooks, render_with
 from lexigrain.operators.lexing import cut
 from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokenize_by, tokenize_specs, tokens, type_counts, with_spans
 from lexigrain.plans import catalog, catalog_sql
 from lexigrain.plans.goldens import EMBEDDED, TEMPLATES, golden_rows
+from lexigrain.sources import files
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -292,6 +294,33 @@ def row_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("spec", F.col("t.type").alias("type"), "error").agg(F.count("*").alias("tokens"))
 
 
+# Files
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file for each supplier, in one of three encodings or with a zero byte, written to the shared folder and read
+    back: files by encoding and language, and their characters."""
+    key = F.col("s_suppkey")
+    head = F.element_at(F.array(F.lit("<?php echo 1; // "), F.lit("#!/usr/bin/python\n# "), F.lit("<?xml version='1'?>\n"), F.lit("plain\x00 ")), (key % 4 + 1).cast("int"))
+    said = F.when(key % 3 == 0, "\u0434\u043e\u043c\u0430").otherwise("\u00e9l\u00e8ve")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(head, said, F.lit("\n"), "s_name").alias("text"))
+    folder = files.shared_folder(spark)
+    for k, encoding in enumerate(("windows-1251", "UTF-8", "ISO-8859-1")):
+        files.write_documents(rows.where(key % 3 == k), folder, encoding=encoding)
+    found = routing.route(files.read_sources(spark, folder, glob="*.txt"))
+    return found.groupBy("encoding", "lexer").agg(F.count("*").alias("files"), F.sum(long(F.length("text"))).alias("chars"))
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case file for each supplier, written to the shared folder and read back."""
+    name, key = F.col("s_name"), F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("--TEST--\n"), name, F.lit("\n--LEXER--\nPHP\nversion="), key, F.lit("\nstart_inline\n--FORMATTER--\nPlain\n--SOURCE--\necho "), key, F.lit(";\n\n// "), name, F.lit("\n--EXPECT--\nKEYWORD: echo"))
+    folder = files.shared_folder(spark)
+    files.write_documents(read(spark, sf_dir, "supplier").select(text.alias("text")), folder)
+    cases = files.read_cases(spark, folder, "*.txt")
+    return cases.select("test", "lexer.name", F.col("lexer.options")["version"].alias("version"), F.col("lexer.options")["start_inline"].alias("start_inline"), "formatter", "source", "expect")
+
+
 # Rendering
 
 
@@ -311,6 +340,37 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *(long(F.length(f.render(F.col("t")))).alias(name) for name, f in made.items()))
 
 
+class Bracketed(Hooks):
+    """``[type:text]`` for each token but those without a type of their own; strings are written with their length only."""
+
+    def start_token(self, type_: str) -> str | None:
+        self.type_ = type_
+        return None if type_ == "IGNORABLE" else f"[{type_}:"
+
+    def write_token(self, text: str) -> str | None:
+        return str(len(text)) if self.type_ == "STRING_DOUBLE" else text
+
+    def end_token(self, type_: str) -> str | None:
+        return None if type_ == "IGNORABLE" else "]"
+
+    def end_document(self) -> str | None:
+        return "."
+
+
+class Numbered(BuiltIn):
+    """The HTML formatter with one hook of its own."""
+
+    def write_token(self, text: str) -> str | None:
+        return None if text.isdigit() else super().write_token(text)
+
+
+def events_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as formatters with hooks in Python write them: one of its own, and HTML with one hook overridden."""
+    lexed = tokens(F.col("props"), "JSON")
+    rows = sources(spark, sf_dir, "events", "event_id", lexed.alias("t"))
+    return rows.select("event_id", render_with(F.col("t"), Bracketed()).alias("bracketed"), render_with(F.col("t"), Numbered("HTML", nowrap=True)).alias("html"))
+
+
 def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup, JSON and plain escapes of what was said."""
     text = F.col("text")
@@ -444,7 +504,7 @@ def legacy_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(back).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, source_files, case_files, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -491,6 +551,14 @@ ORACLE_SQL = {
     "guessed": "select o_orderkey, ['Python', 'Bash', 'PHP', 'XML', 'Diff', 'Varnish', 'MySQL', 'Text'][o_orderkey % 8 + 1] as lexer from orders",
     "specs": "select o_orderkey, o_orderstatus as name, unnest(['key', 'flag', 'priority']) as option, unnest([o_orderkey::varchar, '', o_orderpriority]) as value from orders",
     "events_html": JSON + """ select event_id, '<pre>' || string_agg(case type when 'IGNORABLE' then text else '<span class="' || case type when 'STRING_DOUBLE' then 'sd' when 'NUMBER_DECIMAL' then 'md' when 'NUMBER_FLOAT' then 'mf' when 'PUNCTUATION' then 'p' else 'kc' end || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>' end, '' order by seq) || '</pre>' as html from tokens group by event_id""",
+    "events_hooks": JSON + """ select event_id, string_agg(case type when 'IGNORABLE' then text when 'STRING_DOUBLE' then '[STRING_DOUBLE:' || length(text) || ']' else '[' || type || ':' || text || ']' end, '' order by seq) || '.' as bracketed,
+        string_agg(case type when 'IGNORABLE' then text else '<span class="' || case type when 'STRING_DOUBLE' then 'sd' when 'NUMBER_DECIMAL' then 'md' when 'NUMBER_FLOAT' then 'mf' when 'PUNCTUATION' then 'p' else 'kc' end || '">' || case when regexp_full_match(text, '[0-9]+') then '' else replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') end || '</span>' end, '' order by seq) as html from tokens group by event_id""",
+    "source_files": """
+        with s as (select s_suppkey % 3 as e, s_suppkey % 4 as k, length(s_name) as n from supplier where s_suppkey % 4 <> 3)
+        select ['windows-1251', 'UTF-8', 'ISO-8859-1'][e + 1] as encoding, ['PHP', 'Python', 'XML'][k + 1] as lexer, count(*) as files,
+               sum([17, 20, 20][k + 1] + case e when 0 then 4 else 5 end + n + 2)::bigint as chars from s group by all""",
+    "case_files": """
+        select s_name as test, 'PHP' as name, s_suppkey::varchar as version, '' as start_inline, 'Plain' as formatter, 'echo ' || s_suppkey || ';' || chr(10) || chr(10) || '// ' || s_name as source, 'KEYWORD: echo' as expect from supplier""",
     "events_plain": JSON + " select event_id, string_agg(type || ': ' || text, chr(10) order by seq) as plain from tokens group by event_id",
     "escaped": r"""
         select conv_id, turn, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as xml,

@@ -2,7 +2,7 @@ import pytest
 
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
-from lexigrain.sources.files import read_cases, read_routed, read_sources, write_rendered
+from lexigrain.sources.files import read_cases, read_routed, read_sources, write_documents, write_rendered
 from lexigrain.streaming.highlight import read_stream, rendered_stream, windowed_type_counts
 from pyspark.sql import functions as F
 
@@ -57,6 +57,19 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first().value == "é"
 
 
+def test_documents_and_encodings(spark, tmp_path):
+    rows = [("“é”\nline two",), ("",), (None,), ("日",)]
+    df = spark.createDataFrame(rows, "text string").repartition(2)
+    write_documents(df, str(tmp_path / "docs"), encoding="windows-1252")
+    files = sorted((tmp_path / "docs").glob("part-*"))
+    assert sorted(f.read_bytes() for f in files) == sorted([b"\x93\xe9\x94\nline two\n", b"\n", b"\n", b"?\n"])
+    found = {(r.encoding, r.text) for r in read_sources(spark, str(tmp_path / "docs")).collect()}
+    assert found == {("windows-1252", "“é”\nline two\n"), ("UTF-8", "\n"), ("UTF-8", "?\n")}
+    write_rendered(df.coalesce(1), str(tmp_path / "wide"), "text", encoding="UTF-16BE")
+    (wide,) = (tmp_path / "wide").glob("part-*")
+    assert sorted(wide.read_bytes().decode("utf-16-be").split("\n")) == sorted(["“é”", "line two", "", "", "日", ""])
+
+
 def test_case_files(spark, tmp_path):
     (tmp_path / "x.ssc").write_text("--TEST--\nname\n--LEXER--\nphp\nstart_inline=1\nflag\n--SOURCE--\na\n\n--EXPECT--\nNAME: a\n")
     row = read_cases(spark, str(tmp_path)).first()

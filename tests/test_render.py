@@ -1,4 +1,5 @@
 from lexigrain.operators import render
+from lexigrain.operators.hooks import BuiltIn, Hooks, render_with
 from lexigrain.operators.render import Formatter, Style
 from lexigrain.operators.tokens import tokens
 from lexigrain.plans import catalog
@@ -59,3 +60,37 @@ def test_catalog(spark):
     assert up["NAME_VARIABLE_GLOBAL", "NAME"] == 2 and ("STRING_DOUBLE", "STRING") not in up
     docs = {(r.kind, r.owner): r.markdown for r in catalog.documentation(spark).collect()}
     assert len(docs) == 30 and "| secondary | lexer | null/none |" in docs["lexer", "Twig"] and "Alias" not in docs["lexer", "C"]
+
+
+class Own(Hooks):
+    def start_token(self, type_):
+        return f"<{type_}>"
+
+    def write_token(self, text):
+        return None if text == "x" else text
+
+    def start_lexing(self, lexer):
+        return f"({lexer}"
+
+    def end_lexing(self, lexer):
+        return f"{lexer})"
+
+    def start_document(self):
+        return "^"
+
+    def end_document(self):
+        return "$"
+
+
+class Louder(BuiltIn):
+    def write_token(self, text):
+        return super().write_token(text).upper()
+
+
+def test_hooks_in_python(spark):
+    df = spark.createDataFrame([("<style>a{b:x}</style>x",), (None,), ("",)], "text string")
+    lexed = tokens(F.col("text"), "HTML")
+    got = [tuple(r) for r in df.select(render_with(lexed, Own()), render_with(lexed, Louder("HTML", nowrap=True)), render.render(lexed, "HTML", nowrap=True)).collect()]
+    assert got[0][0] == "^<NAME_TAG><style>(CSS<KEYWORD>a<PUNCTUATION>{<KEYWORD>b<KEYWORD_PSEUDO>:x<PUNCTUATION>}CSS)<NAME_TAG></style><IGNORABLE>$"
+    assert got[0][1].lower() == got[0][2].lower() and "&LT;STYLE&GT;" in got[0][1] and '<SPAN class="CSS">' in got[0][1]
+    assert got[1:] == [(None, None, None), ("^$", "", "")]
