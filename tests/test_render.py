@@ -62,32 +62,30 @@ def test_catalog(spark):
     assert len(docs) == 30 and "| secondary | lexer | null/none |" in docs["lexer", "Twig"] and "Alias" not in docs["lexer", "C"]
 
 
-class Own(Hooks):
-    def start_token(self, type_):
-        return f"<{type_}>"
-
-    def write_token(self, text):
-        return None if text == "x" else text
-
-    def start_lexing(self, lexer):
-        return f"({lexer}"
+def test_hooks_in_python(spark):
+    class Own(Hooks):
+        def start_token(self, type_):
+            return f"<{type_}>"
 
-    def end_lexing(self, lexer):
-        return f"{lexer})"
+        def write_token(self, text):
+            return None if text == "x" else text
 
-    def start_document(self):
-        return "^"
+        def start_lexing(self, lexer):
+            return f"({lexer}"
 
-    def end_document(self):
-        return "$"
+        def end_lexing(self, lexer):
+            return f"{lexer})"
 
+        def start_document(self):
+            return "^"
 
-class Louder(BuiltIn):
-    def write_token(self, text):
-        return super().write_token(text).upper()
+        def end_document(self):
+            return "$"
 
+    class Louder(BuiltIn):
+        def write_token(self, text):
+            return super().write_token(text).upper()
 
-def test_hooks_in_python(spark):
     df = spark.createDataFrame([("<style>a{b:x}</style>x",), (None,), ("",)], "text string")
     lexed = tokens(F.col("text"), "HTML")
     got = [tuple(r) for r in df.select(render_with(lexed, Own()), render_with(lexed, Louder("HTML", nowrap=True)), render.render(lexed, "HTML", nowrap=True)).collect()]
