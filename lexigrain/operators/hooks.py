@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexigrain.operators.render import FORMATTERS, Formatter
 
@@ -90,10 +90,15 @@ class BuiltIn(Hooks):
         return "</SPAN>" if self.is_html else None
 
 
-def render_with(tokens: Column, hooks: Hooks) -> Column:
-    """One string for each row; null tokens give null."""
+def rendered_with(df: DataFrame, tokens_col: str = "tokens", **hooks: Hooks) -> DataFrame:
+    """``df`` with the tokens replaced by the text that each of the named hooks makes of them; null tokens give null."""
+    kept = [c for c in df.columns if c != tokens_col]
+    fields = [df.schema[c] for c in kept] + [StructField(name, StringType()) for name in hooks]
 
-    def run(rows: pa.Array) -> pa.Array:
-        return pa.array([None if ts is None else hooks.rendered(ts) for ts in rows.to_pylist()], pa.string())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(tokens_col).to_pylist()
+            made = [pa.array([None if ts is None else h.rendered(ts) for ts in rows], pa.string()) for h in hooks.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[f.name for f in fields])
 
-    return F.arrow_udf(run, "string")(tokens)
+    return df.select(*kept, tokens_col).mapInArrow(run, StructType(fields))

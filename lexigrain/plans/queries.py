@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexigrain.functions import encodings as encodings_of
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
-from lexigrain.operators.hooks import BuiltIn, Hooks, render_with
+from lexigrain.operators.hooks import BuiltIn, Hooks, rendered_with
 from lexigrain.operators.lexing import cut
 from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokenize_by, tokenize_specs, tokens, type_counts, with_spans
 from lexigrain.plans import catalog, catalog_sql
@@ -367,8 +367,8 @@ class Numbered(BuiltIn):
 def events_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as formatters with hooks in Python write them: one of its own, and HTML with one hook overridden."""
     lexed = tokens(F.col("props"), "JSON")
-    rows = sources(spark, sf_dir, "events", "event_id", lexed.alias("t"))
-    return rows.select("event_id", render_with(F.col("t"), Bracketed()).alias("bracketed"), render_with(F.col("t"), Numbered("HTML", nowrap=True)).alias("html"))
+    rows = sources(spark, sf_dir, "events", "event_id", "props").select("event_id", lexed.alias("tokens"))
+    return rendered_with(rows, bracketed=Bracketed(), html=Numbered("HTML", nowrap=True))
 
 
 def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 from lexigrain.operators import render
-from lexigrain.operators.hooks import BuiltIn, Hooks, render_with
+from lexigrain.operators.hooks import BuiltIn, Hooks, rendered_with
 from lexigrain.operators.render import Formatter, Style
 from lexigrain.operators.tokens import tokens
 from lexigrain.plans import catalog
@@ -87,8 +87,8 @@ def test_hooks_in_python(spark):
             return super().write_token(text).upper()
 
     df = spark.createDataFrame([("<style>a{b:x}</style>x",), (None,), ("",)], "text string")
-    lexed = tokens(F.col("text"), "HTML")
-    got = [tuple(r) for r in df.select(render_with(lexed, Own()), render_with(lexed, Louder("HTML", nowrap=True)), render.render(lexed, "HTML", nowrap=True)).collect()]
+    lexed = df.select(tokens(F.col("text"), "HTML").alias("tokens"))
+    got = [tuple(r) for r in rendered_with(lexed.withColumn("built_in", render.render(F.col("tokens"), "HTML", nowrap=True)), own=Own(), louder=Louder("HTML", nowrap=True)).select("own", "louder", "built_in").collect()]
     assert got[0][0] == "^<NAME_TAG><style>(CSS<KEYWORD>a<PUNCTUATION>{<KEYWORD>b<KEYWORD_PSEUDO>:x<PUNCTUATION>}CSS)<NAME_TAG></style><IGNORABLE>$"
     assert got[0][1].lower() == got[0][2].lower() and "&LT;STYLE&GT;" in got[0][1] and '<SPAN class="CSS">' in got[0][1]
     assert got[1:] == [(None, None, None), ("^$", "", "")]
