@@ -258,6 +258,26 @@ def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guesses(spark, sf_dir)
 
 
+def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a byte order mark, a first line for the shell and surrogates in a JSON string, made from orders: tokens by
+    type."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("\ufeff#!/bin/x "), key, F.lit('\n["\\uD835\\uDE3C\\uD835'), F.col("o_orderstatus"), F.lit('\\u0041", '), key, F.lit("]"))
+    return type_counts(tokenize(sources(spark, sf_dir, "orders", text.alias("text")), "JSON")).select("type", "tokens", "chars")
+
+
+def user_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's theme beside a built-in one that is found by its name in any case: their sheets, for the types of the events'
+    tokens, and how many tokens each styles."""
+    own = render.user_theme(spark, "Own", {"PUNCTUATION": render.Style(fg="#ff0000", bold=True), "STRING_DOUBLE": render.Style(bg="#000080", italic=True, underline=True), "NAME_TAG": render.Style(fg="#00ff00")})
+    name = routing.find_theme("MONOKAI")
+    styles = own.unionByName(catalog.theme_styles(spark).where(F.col("theme") == name))
+    counts = json_types(spark, sf_dir).select("type", "tokens")
+    sheets = render.css(styles.join(counts, "type", "left_semi"), catalog.token_types(spark), indent="  ")
+    styled = styles.where("coalesce(fg, bg) is not null or bold or italic or underline").join(counts, "type").groupBy("theme").agg(F.sum("tokens").alias("styled"))
+    return sheets.join(styled, "theme")
+
+
 def named_lexers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names, aliases and MIME types that orders' keys choose, in either case: to which lexers they lead, and for how
     many orders."""
@@ -504,7 +524,7 @@ def legacy_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(back).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, named_lexers, specs, row_specs, source_files, case_files, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, marked_texts, user_themes, named_lexers, specs, row_specs, source_files, case_files, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -584,6 +604,18 @@ ORACLE_SQL["all_languages"] = f"""
     with {catalog_sql.values("sources", "lexer, source", ((k, v.replace("%%", "%")) for k, v in SOURCES.items()))},
     filled as (select lexer, length(source) - 4 + length(s_suppkey::varchar || 'S' || s_nationkey::varchar) as n from sources, supplier)
     select lexer, sum(n)::bigint as chars, 0::bigint as broken, count(*) as sources from filled group by lexer"""
+ORACLE_SQL["marked_texts"] = """
+    with o as (select length(o_orderkey::varchar) as n from orders)
+    select type, sum(tokens)::bigint as tokens, sum(chars)::bigint as chars from (
+        select unnest(['IGNORABLE', 'PUNCTUATION', 'STRING_DOUBLE', 'SEQUENCE_ESCAPED', 'ERROR', 'NUMBER_DECIMAL']) as type, unnest([2, 3, 3, 2, 1, 1]) as tokens, unnest([10 + n + 1, 3, 3, 18, 6, n]) as chars from o) group by type"""
+ORACLE_SQL["user_themes"] = JSON + f""",
+    {catalog_sql.TYPES}, {catalog_sql.STYLES}, own as (select 'Own' as theme, * from (values ('PUNCTUATION', '#ff0000', null, true, false, false), ('STRING_DOUBLE', null, '#000080', false, true, true)) t(type, fg, bg, bold, italic, underline)),
+    every as (select * from own union all select * from styles where theme = 'Monokai'), counts as (select type, count(*) as n from tokens group by type),
+    looks as (select every.*, id, cssclass, n from every join types on types.name = every.type join counts using (type) where fg is not null or bg is not null or bold or italic or underline),
+    blocks as (select theme, min(id) as head, string_agg('.' || cssclass, ', ' order by id) || ' {{' || chr(10) || coalesce('    background-color: ' || bg || ';' || chr(10), '') || coalesce('    color: ' || fg || ';' || chr(10), '')
+        || case when bold then '    font-weight: bold;' || chr(10) else '' end || case when italic then '    font-style: italic;' || chr(10) else '' end || case when underline then '    text-decoration: underline;' || chr(10) else '' end || '}}' || chr(10) as block
+        from looks where cssclass <> ' ' group by theme, fg, bg, bold, italic, underline)
+    select theme, css, styled from (select theme, string_agg(block, '' order by head) as css from blocks group by theme) join (select theme, sum(n)::bigint as styled from looks group by theme) using (theme)"""
 #: (spec, type, tokens of one text, error)
 ROW_SPEC_TOKENS = [
     ("PHP?start_inline=1", "KEYWORD", 1, None), ("PHP?start_inline=1", "IGNORABLE", 1, None), ("PHP?start_inline=1", "NUMBER_DECIMAL", 1, None), ("PHP?start_inline=1", "PUNCTUATION", 1, None),
