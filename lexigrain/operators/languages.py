@@ -212,7 +212,7 @@ def lua() -> RuleSet:
 def bash() -> RuleSet:
     variable = r"\$(?:[*@#?\-$!0_1-9]|[a-zA-Z_][a-zA-Z_0-9]*)"
     substitution = r"\$\([^)]*+\)?|`[^`]*+`?"
-    for _ in range(12):  # substitutions in substitutions
+    for _ in range(64):  # substitutions in substitutions
         substitution = rf"\$\((?:[^)$`]++|\$(?!\()|{substitution})*+\)?|`[^`]*+`?"
     inside = [rule("STRING_DOUBLE", substitution), *escape(r'\\[$`"\\!]')]
     return rules(

@@ -103,6 +103,7 @@ MANY_PARTS = [
 
 MANY_PARTS += [
     ("Bash", '"' + "$(a " * 12 + '"b"' + ")" * 12 + '" if', {"STRING_DOUBLE": 1, "KEYWORD": 1}),
+    ("Bash", '"' + "$(a " * 60 + '"b"' + ")" * 60 + '" if', {"STRING_DOUBLE": 1, "KEYWORD": 1}),
     ("Bash", '"' + "$(a)`b`\\$" * N + '" if', {"SEQUENCE_ESCAPED": N, "STRING_DOUBLE": N + 1, "KEYWORD": 1}),
     ("Nginx", ";" + " " * N + "listen 1;" + "\n" * N + "  root /x;", {"KEYWORD_BUILTIN": 2}),
     ("Varnish", "sub" + " " * N + "vcl_recv {}", {"NAME_FUNCTION": 1, "KEYWORD": 1}),
