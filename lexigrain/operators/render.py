@@ -50,9 +50,11 @@ def nearest256(colour: str) -> int:
 
 
 def nearest_palette(colours: DataFrame, palette: DataFrame | None = None) -> DataFrame:
-    """(r, g, b, idx) for each different colour of a table. The palette, of 256 entries or a caller's few,
-    is an array in the plan, so a colour is looked up where it is."""
-    rows = enumerate(catalog.palette()) if palette is None else [(e.idx, (e.r, e.g, e.b)) for e in palette.collect()]
+    """(r, g, b, idx) for each different colour of a table. The palette, of 256 entries at most, is an array in the
+    plan, so a colour is looked up where it is."""
+    rows = enumerate(catalog.palette()) if palette is None else [(e.idx, (e.r, e.g, e.b)) for e in palette.limit(257).collect()]
+    if palette is not None and len(rows) > 256:
+        raise ValueError("a palette has 256 entries at most")
     entries = F.expr("array(" + ", ".join(f"named_struct('idx', {k}, 'r', {r}, 'g', {g}, 'b', {b})" for k, (r, g, b) in rows) + ")")
     distance = lambda e: sum(((F.col(c) - e[c]) * (F.col(c) - e[c]) for c in "rgb"), F.lit(0))
     nearest = F.array_min(F.transform(entries, lambda e: F.struct(distance(e), e["idx"].alias("idx"))))

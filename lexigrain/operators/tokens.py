@@ -37,10 +37,15 @@ def tokenize_by(df: DataFrame, lexer_col: str, lexers: Iterable[str], text_col:
     return df.withColumn(out_col, chosen)
 
 
-def tokenize_specs(df: DataFrame, spec_col: str, specs: Iterable[str], text_col: str = "text", out_col: str = "tokens", error_col: str = "error") -> DataFrame:
+def tokenize_specs(df: DataFrame, spec_col: str, specs: Iterable[str] | None = None, text_col: str = "text", out_col: str = "tokens", error_col: str = "error", most: int = 200) -> DataFrame:
     """Each row by its own lexer spec (``PHP?start_inline=1``, or a chain of specs between commas, each for what is outside
-    the tags of the one before), of those in ``specs``: the distinct specs of the column, whose number bounds the
-    plan. A spec that can't be used, or isn't listed, gives null tokens and says why in ``error_col``."""
+    the tags of the one before), of those in ``specs``; without these, of the distinct ones of the column, which are looked
+    up first and may be ``most`` at most, as their number bounds the plan. A spec that can't be used, or isn't listed,
+    gives null tokens and says why in ``error_col``."""
+    if specs is None:
+        specs = [r[0] for r in df.select(spec_col).where(F.col(spec_col).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(specs) > most:
+            raise ValueError(f"{spec_col} has more than {most} different specs")
     text, chosen, why = F.col(text_col), F.lit(None).cast(TOKEN), F.when(F.col(spec_col).isNotNull(), F.concat(F.lit("not among the specs: "), F.col(spec_col)))
     for spec in dict.fromkeys(specs):
         mine = F.col(spec_col) == spec

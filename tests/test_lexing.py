@@ -335,4 +335,8 @@ def test_specs_by_row(spark):
     rows = tokenize_specs(df, "spec", specs).collect()
     assert [r.error for r in rows] == [None, None, None, "JSON has no option 'x'", rows[4].error, "PHP can't be its own secondary", "not among the specs: JSON", None, None]
     assert rows[4].error.startswith("no 'Nope' among ") and rows[1].tokens == rows[2].tokens and rows[8].tokens is None
+    every = tokenize_specs(df, "spec").collect()
+    assert [r.tokens for r in every[:6]] == [r.tokens for r in rows[:6]] and every[6].error is None and every[6].tokens
+    with pytest.raises(ValueError):
+        tokenize_specs(df, "spec", most=3)
     assert [t.lexer for t in rows[0].tokens] == ["PHP"] * len(rows[0].tokens) and "".join(t.text for t in rows[0].tokens) == "<b>{{ x }}</b>"
