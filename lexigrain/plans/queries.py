@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrain import api
 from lexigrain.functions import encodings as encodings_of
 from lexigrain.functions import strings
 from lexigrain.operators import render, routing
@@ -300,7 +301,7 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Specs of lexers with options, two that no lexer has, and a text for each.
 ROW_SPECS = [
     ("PHP?start_inline=1", "echo 1;"), ("php?start_inline=off&short_open_tag=on", "a<? echo 1; ?>"), ("PostgreSQL?uppercase_keywords", "select 1"), ("mysql?ansi_quotes=1;no_backslash_escapes", 'select "a\\"'),
-    ("Varnish?version=4", "bereq.method"), ("Varnish", "bereq.method"), ("twig?secondary=HTML", "<b>{{ x }}</b>"), ("JSON", "[1]"), ("JSON?unknown=1", "[1]"), ("Nothing", "[1]"),
+    ("Varnish?version=4", "bereq.method"), ("Varnish", "bereq.method"), ("twig?secondary=HTML", "<b>{{ x }}</b>"), ("Twig,HTML", "<b>{{ y }}</b>"), ("JSON", "[1]"), ("JSON?unknown=1", "[1]"), ("Nothing", "[1]"),
 ]
 
 
@@ -360,6 +361,15 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", *(long(F.length(f.render(F.col("t")))).alias(name) for name, f in made.items()))
 
 
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through the public functions: rendered by name with options, and the lexers that names, file names and contents
+    lead to."""
+    events = sources(spark, sf_dir, "events", "event_id", "props").withColumns({"path": F.concat(F.lit("/x/"), F.col("event_id").cast("string"), F.lit(".json")), "name": F.lit("json")})
+    rows = api.highlight(events, "json", "html", text_col="props", cssclass="x", nowrap="off")
+    rows = api.lexer_for_filename(api.lexer_by_name(rows, "name").withColumnRenamed("lexer", "named")).withColumnRenamed("lexer", "filed")
+    return api.lexer_guess(rows, "props").select("event_id", "rendered", "named", "filed", F.col("lexer").alias("guessed"))
+
+
 class Bracketed(Hooks):
     """``[type:text]`` for each token but those without a type of their own; strings are written with their length only."""
 
@@ -524,7 +534,7 @@ def legacy_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(back).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, marked_texts, user_themes, named_lexers, specs, row_specs, source_files, case_files, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, marked_texts, user_themes, named_lexers, specs, row_specs, source_files, case_files, highlighted, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -579,6 +589,7 @@ ORACLE_SQL = {
                sum([17, 20, 20][k + 1] + case e when 0 then 4 else 5 end + n + 2)::bigint as chars from s group by all""",
     "case_files": """
         select s_name as test, 'PHP' as name, s_suppkey::varchar as version, '' as start_inline, 'Plain' as formatter, 'echo ' || s_suppkey || ';' || chr(10) || chr(10) || '// ' || s_name as source, 'KEYWORD: echo' as expect from supplier""",
+    "highlighted": JSON + """ select event_id, '<pre class="x">' || string_agg(case type when 'IGNORABLE' then text else '<span class="' || case type when 'STRING_DOUBLE' then 'sd' when 'NUMBER_DECIMAL' then 'md' when 'NUMBER_FLOAT' then 'mf' when 'PUNCTUATION' then 'p' else 'kc' end || '">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</span>' end, '' order by seq) || '</pre>' as rendered, 'JSON' as named, 'JSON' as filed, null::varchar as guessed from tokens group by event_id""",
     "events_plain": JSON + " select event_id, string_agg(type || ': ' || text, chr(10) order by seq) as plain from tokens group by event_id",
     "escaped": r"""
         select conv_id, turn, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as xml,
@@ -622,7 +633,7 @@ ROW_SPEC_TOKENS = [
     ("php?start_inline=off&short_open_tag=on", "IGNORABLE", 4, None), ("php?start_inline=off&short_open_tag=on", "NAME_TAG", 2, None), ("php?start_inline=off&short_open_tag=on", "KEYWORD", 1, None), ("php?start_inline=off&short_open_tag=on", "NUMBER_DECIMAL", 1, None), ("php?start_inline=off&short_open_tag=on", "PUNCTUATION", 1, None),
     ("PostgreSQL?uppercase_keywords", "KEYWORD", 1, None), ("PostgreSQL?uppercase_keywords", "IGNORABLE", 1, None), ("PostgreSQL?uppercase_keywords", "NUMBER_DECIMAL", 1, None),
     ("mysql?ansi_quotes=1;no_backslash_escapes", "KEYWORD", 1, None), ("mysql?ansi_quotes=1;no_backslash_escapes", "IGNORABLE", 1, None), ("mysql?ansi_quotes=1;no_backslash_escapes", "NAME", 1, None),
-    ("Varnish?version=4", "NAME_VARIABLE", 1, None), ("Varnish", "IGNORABLE", 1, None), ("twig?secondary=HTML", "NAME_TAG", 4, None), ("twig?secondary=HTML", "IGNORABLE", 1, None),
+    ("Varnish?version=4", "NAME_VARIABLE", 1, None), ("Varnish", "IGNORABLE", 1, None), ("twig?secondary=HTML", "NAME_TAG", 4, None), ("twig?secondary=HTML", "IGNORABLE", 1, None), ("Twig,HTML", "NAME_TAG", 4, None), ("Twig,HTML", "IGNORABLE", 1, None),
     ("JSON", "PUNCTUATION", 2, None), ("JSON", "NUMBER_DECIMAL", 1, None), ("JSON?unknown=1", None, 1, "JSON has no option 'unknown'"), ("Nothing", None, 1, "no 'Nothing' among " + ", ".join(catalog.LEXER_NAMES)),
 ]
 ORACLE_SQL["row_specs"] = f"""
