@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrain.operators.languages import rule_set
-from lexigrain.operators.lexing import TOKEN, RuleSet, lex, uppercased
+from lexigrain.operators.lexing import TOKEN, RuleSet, bound, lex, uppercased
 from lexigrain.operators.options import OptionError, checked, lexer_of
 from lexigrain.operators.retag import retagged
 
@@ -86,6 +86,26 @@ def with_spans(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("text"))
 
 
+def placed_sql(stretch: int = 256) -> str:
+    """A function of tokens, as SQL: the tokens with their places, in stretches, so that a text of any length takes nearly
+    linear time."""
+    fields = ("lexer", "depth", "type", "text", "path")
+    span = f"named_struct({', '.join(f"'{f}', t.{f}" for f in fields)}, 'start', a.at, 'end', a.at + length(t.text))"
+    type_ = TOKEN.removesuffix(">>") + ",start:bigint,end:bigint>>"
+    lengths = "aggregate(b, 0L, (n, t) -> n + length(t.text))"
+    starts = f"aggregate(blocks, named_struct('at', 0L, 'all', cast(array() as array<bigint>)), (a, b) -> named_struct('at', a.at + {lengths}, 'all', concat(a.all, array(a.at))), a -> a.all)"
+    inside = f"aggregate(b, named_struct('at', starts[i], 'out', cast(array() as {type_})), (a, t) -> named_struct('at', a.at + length(t.text), 'out', concat(a.out, array({span}))), a -> a.out)"
+    blocks = f"transform(sequence(1, size(ts), {stretch}), k -> slice(ts, k, {stretch}))"
+    return f"ts -> if(size(ts) > 0, {bound('blocks', blocks, bound('starts', starts, f'flatten(transform(blocks, (b, i) -> {inside}))'))}, cast(array() as {type_}))"
+
+
+def explode_spans(df: DataFrame, *keys: str, tokens_col: str = "tokens") -> DataFrame:
+    """As ``explode_tokens``, with ``start`` and ``end`` in characters, from 0, end exclusive; without a shuffle, as
+    places are found within the row."""
+    placed = F.call_function("transform", F.array(once(tokens_col)), F.expr(placed_sql()))[0]
+    return df.select(*keys, F.posexplode(placed).alias("seq", "token")).select(*keys, "seq", "token.*")
+
+
 def coalesce_rows(rows: DataFrame, *keys: str) -> DataFrame:
     """Neighbours of one type, lexer and depth as one row (gaps and islands); ``seq`` is the first one's."""
     order = Window.partitionBy(*keys).orderBy("seq")

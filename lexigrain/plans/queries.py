@@ -11,7 +11,7 @@ from lexigrain.functions import strings
 from lexigrain.operators import render, routing
 from lexigrain.operators.hooks import BuiltIn, Hooks, rendered_with
 from lexigrain.operators.lexing import cut
-from lexigrain.operators.tokens import coalesce_rows, explode_tokens, sample_tokens, tokenize, tokenize_by, tokenize_specs, tokens, type_counts, with_spans
+from lexigrain.operators.tokens import coalesce_rows, explode_spans, explode_tokens, sample_tokens, tokenize, tokenize_by, tokenize_specs, tokens, type_counts
 from lexigrain.plans import catalog, catalog_sql
 from lexigrain.plans.goldens import EMBEDDED, TEMPLATES, golden_rows
 from lexigrain.sources import files
@@ -44,8 +44,7 @@ def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of every event with its place."""
-    rows = explode_tokens(tokenize(sources(spark, sf_dir, "events", "event_id", "props"), "JSON", "props"), "event_id")
-    spans = with_spans(rows, "event_id")
+    spans = explode_spans(tokenize(sources(spark, sf_dir, "events", "event_id", "props"), "JSON", "props"), "event_id")
     return spans.select("event_id", long(F.col("seq")).alias("seq"), "type", "start", "end", "text")
 
 

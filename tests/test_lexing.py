@@ -7,7 +7,7 @@ import regex
 from lexigrain.operators.languages import rule_set
 from lexigrain.operators.lexing import cut, first_of, groups_in, one_of
 from lexigrain.operators.render import render
-from lexigrain.operators.tokens import coalesce_rows, explode_tokens, tokenize, tokenize_by, tokenize_specs, type_counts, with_spans
+from lexigrain.operators.tokens import coalesce_rows, explode_spans, explode_tokens, tokenize, tokenize_by, tokenize_specs, type_counts, with_spans
 from lexigrain.plans.catalog import LEXER_NAMES
 from lexigrain.plans.goldens import GOLDEN
 from lexigrain.plans.queries import SOURCES
@@ -228,6 +228,15 @@ def test_word_trees():
     assert [first_of(p) for p in (r"\\\\(?:a|b)", "&x;", r"\\a|b", "ab", r"(?<=x)\\\\")] == ["\\\\", "&", None, None, None]
 
 
+def test_spans_within_rows(spark):
+    df = spark.createDataFrame([(1, '{"a":12}' * 500), (2, "[true]"), (3, ""), (4, None)], "id int, text string")
+    lexed_df = tokenize(df, "JSON")
+    got = {tuple(r) for r in explode_spans(lexed_df, "id").select("id", "seq", "type", "start", "end").collect()}
+    assert got == {tuple(r) for r in with_spans(explode_tokens(lexed_df, "id"), "id").select("id", "seq", "type", "start", "end").collect()}
+    assert len(got) > 2_000
+    assert "Exchange" not in explode_spans(lexed_df, "id")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rows_of_tokens(spark):
     df = spark.createDataFrame([(1, '{"a":12}'), (2, "[true]")], "id int, text string")
     rows = with_spans(explode_tokens(tokenize(df, "JSON"), "id"), "id")
