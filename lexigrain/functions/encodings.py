@@ -50,14 +50,15 @@ def encoded(text: Column, name: str) -> Column:
 
 
 def likely(name: str) -> list[tuple[str, float]]:
-    """(pattern, weight): what non-ASCII characters of a reading are worth."""
+    """(pattern, weight): what non-ASCII characters of a reading are worth. The character itself is looked for first, what is
+    around it only then."""
     if name in ("windows-1251", "KOI8-R"):
-        alone = "(?<![A-Za-z])%s(?![A-Za-z])"
-        return [(alone % "[а-яё]", 1.0), (alone % "(?<![а-яё])[А-ЯЁ]", 0.4), (f"[{QUOTES}№]", 0.4)]
+        alone = "%s(?<![A-Za-z].)(?![A-Za-z])"
+        return [(alone % "[а-яё]", 1.0), (alone % "[А-ЯЁ](?<![а-яё].)", 0.4), (f"[{QUOTES}№]", 0.4)]
     common, rare = (CENTRAL, CENTRAL_RARE) if name in ("ISO-8859-2", "windows-1250") else (WESTERN, WESTERN_RARE)
-    apart = r"(?<![^\x00-\x7f]{3})%s(?![^\x00-\x7f]{3})"
+    apart = r"%s(?<![^\x00-\x7f]{4})(?![^\x00-\x7f]{3})"
     capitals = "".join(c for c in (common + rare).upper() if len(c) == 1 and c not in "SŸ")
-    return [(apart % f"[{common}]", 1.0), (apart % f"[{rare}]", 0.5), (apart % rf"(?<!\p{{Ll}})[{capitals}]", 0.8), (f"[{QUOTES}](?!\\p{{L}})|(?<!\\p{{L}})[{QUOTES}]|[’]", 0.8)]
+    return [(apart % f"[{common}]", 1.0), (apart % f"[{rare}]", 0.5), (apart % rf"[{capitals}](?<!\p{{Ll}}.)", 0.8), (rf"[{QUOTES}](?:(?!\p{{L}})|(?<!\p{{L}}.)|(?<=’))", 0.8)]
 
 
 def readings(data: Column) -> Column:
