@@ -1,27 +1,73 @@
-"""Encodings of one byte a character: decoding, encoding, and telling them apart by what the bytes would say.
+"""Decoding, encoding, and telling encodings apart by what the bytes would say.
 
 A code page is its upper half of 128 characters, made from Python's codec of that name; text of ISO-8859-1 is mapped to it and
-back by ``translate``. To tell encodings apart, the bytes are read in each; a reading is as likely as the share of
-its non-ASCII characters that stand as letters of its script do: small letters between letters of their own kind,
-capitals that don't follow small letters, no words of two scripts, no long runs of accented letters. All of it is
-column expressions. Encodings of several bytes a character, other than the UTF family, aren't told.
+back by ``translate``. Encodings that Spark has no function for, of several bytes a character most of all, are decoded
+in Arrow batches.
+
+To tell encodings apart, each is scored on the bytes beyond ASCII. A code page is as likely as the share of its non-ASCII characters that stand as letters of its script do: small letters
+between letters of their own kind, the usual ones first, capitals that don't follow small letters, no words of two scripts,
+no long runs of accented letters. An encoding of several bytes a character must hold throughout, and is as likely as the share
+of its characters that are in its script's usual rows. Only what no mark and no valid UTF-8 tells goes to the workers,
+which count bytes with numpy: patterns in the JVM took several times as long.
 """
 
 from __future__ import annotations
 
+import codecs
+import functools
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexigrain.functions.strings import guess_encoding, to_utf8
-from lexigrain.operators.lexing import let
 
 #: Code pages in the order in which equal scores are decided.
-CODE_PAGES = {"ISO-8859-1": "latin-1", "windows-1252": "cp1252", "ISO-8859-2": "iso8859_2", "windows-1250": "cp1250", "windows-1251": "cp1251", "KOI8-R": "koi8_r"}
+CODE_PAGES = {
+    "ISO-8859-1": "latin-1", "windows-1252": "cp1252", "ISO-8859-2": "iso8859_2", "windows-1250": "cp1250", "windows-1251": "cp1251", "KOI8-R": "koi8_r",
+    "ISO-8859-5": "iso8859_5", "ISO-8859-7": "iso8859_7", "windows-1253": "cp1253", "ISO-8859-8": "iso8859_8", "windows-1255": "cp1255",
+    "ISO-8859-6": "iso8859_6", "windows-1256": "cp1256", "ISO-8859-9": "iso8859_9", "windows-1254": "cp1254",
+}
 HIGH = "".join(map(chr, range(0x80, 0x100)))
-#: Letters that languages of the two Latin pages write often, and others that they write now and then.
+#: Letters that languages of the Latin pages write often, and others that they write now and then.
 WESTERN, WESTERN_RARE = "àáâäçèéêëíîïñóôöùúûüßœ", "ãåæìòõøýÿ"
 CENTRAL, CENTRAL_RARE = "áäąčćęéěíłńóöőřśšúůüűýžźż", "âăçďđëîňôťşţ"
-QUOTES = "«»“”„‘’‚‹›–—…€©®°§¿¡· "
+TURKISH, TURKISH_RARE = "çğıöşü", "âîû"
+#: Letters of other scripts: usual ones, the others.
+CYRILLIC, CYRILLIC_RARE = "авеиклмнорст", "бгдёжзйуфхцчшщъыьэюяђѓєѕіїјљњћќўџґ"
+GREEK, GREEK_RARE = "αεηικλνοπρςστυάέήίό", "βγδζθμξφχψωϊϋΐΰύώ"
+HEBREW, HEBREW_RARE = "אבהוילמנרשת", "גדזחטכסעפצק"
+HEBREW_FINAL, HEBREW_POINTS = "ךםןףץ", "".join(map(chr, range(0x5B0, 0x5C3)))
+ARABIC, ARABIC_RARE = "ابةتدرعفقكلمنهوي", "ءآأؤإئثجحخذزسشصضطظغىًٌٍَُِّْ"
+QUOTES = "«»“”„‘’‚‹›–—…€©®°§¿¡·\xa0"
+#: For each code page the letters that it is told by, and whether they stand apart in Latin words.
+LETTERS = {
+    "ISO-8859-1": (WESTERN, WESTERN_RARE), "windows-1252": (WESTERN, WESTERN_RARE), "ISO-8859-2": (CENTRAL, CENTRAL_RARE), "windows-1250": (CENTRAL, CENTRAL_RARE),
+    "windows-1251": (CYRILLIC, CYRILLIC_RARE), "KOI8-R": (CYRILLIC, CYRILLIC_RARE), "ISO-8859-5": (CYRILLIC, CYRILLIC_RARE), "ISO-8859-7": (GREEK, GREEK_RARE),
+    "windows-1253": (GREEK, GREEK_RARE), "ISO-8859-8": (HEBREW, HEBREW_RARE), "windows-1255": (HEBREW, HEBREW_RARE), "ISO-8859-6": (ARABIC, ARABIC_RARE),
+    "windows-1256": (ARABIC, ARABIC_RARE), "ISO-8859-9": (TURKISH, TURKISH_RARE), "windows-1254": (TURKISH, TURKISH_RARE),
+}
+LATIN = {"ISO-8859-1", "windows-1252", "ISO-8859-2", "windows-1250", "ISO-8859-9", "windows-1254"}
+#: Code pages that are told by a few letters; the others need several different ones.
+USUAL = LATIN | {"windows-1251", "KOI8-R"}
+#: Encodings of several bytes a character: a character, and those in the rows that texts of the script mostly use with what
+#: each is worth (syllables of Korean; the first level of Chinese; kana, then the first level of kanji).
+WIDE = {
+    "EUC-KR": (r"[\xa1-\xfe]{2}", [(r"[\xb0-\xc8][\xa1-\xfe]", 1.0)]),
+    "EUC-JP": (r"\x8e[\xa1-\xdf]|\x8f?[\xa1-\xfe]{2}", [(r"[\xa4\xa5][\xa1-\xf6]", 1.0), (r"[\xb0-\xcf][\xa1-\xfe]", 0.85)]),
+    "Shift_JIS": (r"[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]", [(r"\x82[\x9f-\xf1]|\x83[\x40-\x7e\x80-\x96]", 1.0), (r"[\x88-\x97][\x40-\x7e\x80-\xfc]", 0.85)]),
+    "Big5": (r"[\xa1-\xf9][\x40-\x7e\xa1-\xfe]", [(r"[\xa4-\xc6][\x40-\x7e](?![A-Za-z])", 1.0), (r"[\xa4-\xc6][\xa1-\xfe]", 0.9)]),
+    "GB18030": (r"[\x81-\xfe](?:[\x40-\x7e\x80-\xfe]|[0-9][\x81-\xfe][0-9])", [(r"[\xb0-\xd7][\xa1-\xfe]", 0.99)]),
+}
+#: Marks of encodings that switch by escapes.
+ESCAPES = {"ISO-2022-JP": r"\x1b\$[@B]", "ISO-2022-KR": r"\x1b\$\)C"}
+#: Encodings that Spark decodes and encodes itself.
+SPARK = {"UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32", "US-ASCII"}
 #: A reading that is less likely, in hundredths, tells nothing.
 LEAST = 40
 
@@ -30,63 +76,126 @@ def upper_half(name: str) -> str:
     return "".join(bytes([b]).decode(CODE_PAGES[name], "replace") for b in range(0x80, 0x100))
 
 
-def decoded(data: Column, name: str) -> Column:
-    """Text of bytes in a code page; bytes that it has no character for become U+FFFD."""
-    return reading(F.decode(data, "ISO-8859-1"), name)
+def by_codec(value: Column, kind: str, convert: Callable) -> Column:
+    """``convert`` of each value that isn't null, in Arrow batches."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else convert(x) for x in values.to_pylist()], pa.string() if kind == "string" else pa.binary())
 
+    return F.arrow_udf(run, kind)(value)
 
-def reading(text: Column, name: str) -> Column:
-    """What text of ISO-8859-1 is in another code page."""
-    return text if name == "ISO-8859-1" else F.translate(text, HIGH, upper_half(name))
+
+def decoded(data: Column, name: str) -> Column:
+    """Text of bytes in an encoding that Spark, this module or Python knows (LookupError for others); bytes that it has no
+    character for become U+FFFD."""
+    if name in CODE_PAGES:
+        text = F.decode(data, "ISO-8859-1")
+        return text if name == "ISO-8859-1" else F.translate(text, HIGH, upper_half(name))
+    if name in SPARK:
+        return F.decode(data, name)
+    codec = codecs.lookup(name).name
+    return by_codec(data, "string", lambda x: bytes(x).decode(codec, "replace"))
 
 
 def encoded(text: Column, name: str) -> Column:
-    """Bytes of a text in a code page or an encoding that Spark knows; characters that the page lacks become ``?``."""
-    if name not in CODE_PAGES:
+    """Bytes of a text in such an encoding; characters that it lacks become ``?``."""
+    if name in CODE_PAGES:
+        page = [(c, b) for c, b in zip(upper_half(name), HIGH, strict=True) if c != "�"]
+        lacking = "[^\\x00-\\x7f" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in page) + "]"
+        return F.encode(F.translate(F.regexp_replace(text, lacking, "?"), "".join(c for c, _ in page), "".join(b for _, b in page)), "ISO-8859-1")
+    if name in SPARK:
         return F.encode(text, name)
-    page = [(c, b) for c, b in zip(upper_half(name), HIGH, strict=True) if c != "�"]
-    lacking = "[^\\x00-\\x7f" + "".join(f"\\x{{{ord(c):x}}}" for c, _ in page) + "]"
-    return F.encode(F.translate(F.regexp_replace(text, lacking, "?"), "".join(c for c, _ in page), "".join(b for _, b in page)), "ISO-8859-1")
-
-
-def likely(name: str) -> list[tuple[str, float]]:
-    """(pattern, weight): what non-ASCII characters of a reading are worth. The character itself is looked for first, what is
-    around it only then."""
-    if name in ("windows-1251", "KOI8-R"):
-        alone = "%s(?<![A-Za-z].)(?![A-Za-z])"
-        return [(alone % "[а-яё]", 1.0), (alone % "[А-ЯЁ](?<![а-яё].)", 0.4), (f"[{QUOTES}№]", 0.4)]
-    common, rare = (CENTRAL, CENTRAL_RARE) if name in ("ISO-8859-2", "windows-1250") else (WESTERN, WESTERN_RARE)
-    apart = r"%s(?<![^\x00-\x7f]{4})(?![^\x00-\x7f]{3})"
-    capitals = "".join(c for c in (common + rare).upper() if len(c) == 1 and c not in "SŸ")
-    return [(apart % f"[{common}]", 1.0), (apart % f"[{rare}]", 0.5), (apart % rf"[{capitals}](?<!\p{{Ll}}.)", 0.8), (rf"[{QUOTES}](?:(?!\p{{L}})|(?<!\p{{L}}.)|(?<=’))", 0.8)]
-
-
-def readings(data: Column) -> Column:
-    """(confidence, place, encoding) of every code page, confidence in hundredths; by the words with characters beyond
-    ASCII."""
-    words = F.regexp_extract_all(F.decode(data, "ISO-8859-1"), F.lit(r"(?<!\S)[^\s\x80-\xff]*+[\x80-\xff]\S*+"), F.lit(0))
-    return let(F.array_join(words, " "), readings_of)
-
-
-def readings_of(words: Column) -> Column:
-    n = F.greatest(F.regexp_count(words, F.lit(r"[\x80-\xff]")), F.lit(1))
-    c1 = words.rlike(r"[\x80-\x9f]")
-    out = []
-    for place, name in enumerate(CODE_PAGES):
-        text = reading(words, name)
-        worth = sum((F.regexp_count(text, F.lit(pattern)) * F.lit(weight) for pattern, weight in likely(name)), F.lit(0.0))
-        confidence = F.round(100 * worth / n).cast("int")
-        if name.startswith("ISO-"):  # it has no characters there
-            confidence = F.when(c1, 0).otherwise(confidence)
-        out.append(F.struct(confidence.alias("confidence"), F.lit(-place).alias("place"), F.lit(name).alias("encoding")))
-    return F.array(*out)
+    codec = codecs.lookup(name).name
+    return by_codec(text, "binary", lambda x: x.encode(codec, "replace"))
+
+
+@dataclass
+class Page:
+    """What bytes are worth in a code page, by byte: letters, capitals (not behind small letters), letters that end words,
+    and quotation marks."""
+
+    name: str
+    latin: bool
+    small: np.ndarray
+    letter: np.ndarray
+    letters: np.ndarray
+    capitals: np.ndarray
+    finals: np.ndarray
+    quotes: np.ndarray
+    apostrophe: np.ndarray
+
+
+def page_of(name: str) -> Page:
+    chars = [*map(chr, range(0x80)), *upper_half(name)]
+    common, rare = LETTERS[name]
+    latin = name in LATIN
+    capitals = [c for c in (common + rare).upper() if c not in common + rare + "SŸ"] + ["İ"] * (common == TURKISH)
+
+    def worth(wanted: list[tuple[str | list[str], float]]) -> np.ndarray:
+        return np.array([0.0] * 0x80 + [next((w for some, w in wanted if c in some), 0.0) for c in chars[0x80:]])
+
+    return Page(
+        name, latin, np.array([c.islower() for c in chars]), np.array([c.isalpha() for c in chars]),
+        worth([(common, 1.0), (rare, 0.5 if latin else 0.65 if common == ARABIC else 0.75), (HEBREW_POINTS if common == HEBREW else "", 0.3)]), worth([([c for c in capitals if latin or c.lower() in common], 0.8 if latin else 0.7), (capitals, 0.35)]),
+        worth([(HEBREW_FINAL, 1.0)] if common == HEBREW else []), worth([(QUOTES, 0.8)] if latin else [(QUOTES + "№", 0.4)]), np.array([c == "’" for c in chars]),
+    )
+
+
+@functools.cache
+def tables() -> tuple[list[Page], dict[str, tuple[re.Pattern, re.Pattern, list[float]]]]:
+    wide = {}
+    for name, (char, usual) in WIDE.items():
+        each = "|".join(f"({u})" for u, _ in usual)
+        wide[name] = (re.compile(rf"(?:[\x00-\x7f]|{char})*+".encode()), re.compile(rf"[\x00-\x7f]++|{each}|({char})".encode()), [w for _, w in usual] + [0.0])
+    return [page_of(name) for name in CODE_PAGES], wide
+
+
+def confidences(data: bytes) -> Iterator[tuple[str, int]]:
+    """(encoding, confidence in hundredths), in the order in which equal ones are decided."""
+    pages, wide = tables()
+    for name, (whole, chars, worths) in wide.items():
+        if whole.fullmatch(data):
+            kinds = Counter(m.lastindex for m in chars.finditer(data))
+            del kinds[None]
+            yield name, int(100 * sum(worths[k - 1] * n for k, n in kinds.items()) / (kinds.total() + 4))
+    raw = np.frombuffer(b"    " + data + b"    ", np.uint8)
+    high = raw >= 0x80
+    at = np.flatnonzero(high)
+    this, before, after = raw[at], raw[at - 1], raw[at + 1]
+    c1 = bool((this < 0xA0).any())
+    ascii_letter = pages[0].letter & (np.arange(256) < 0x80)
+    alone = ~(ascii_letter[before] | ascii_letter[after])
+    apart = ~(high[at - 1] & high[at - 2] & high[at - 3]) & ~(high[at + 1] & high[at + 2] & high[at + 3])
+    stands = {latin: (this[ok], before[ok], after[ok], np.bincount(this[ok], minlength=256)) for latin, ok in ((True, apart), (False, alone))}
+    every = np.bincount(this, minlength=256)
+    for page in pages:
+        if c1 and page.name.startswith("ISO-"):  # it has no characters there
+            continue
+        byte, left, right, counts = stands[page.latin]
+        worth = counts @ page.letters + page.capitals[byte] @ ~page.small[left] + (page.finals[byte] @ ~page.letter[right] if page.finals.any() else 0)
+        worth += page.quotes[this] @ (~page.letter[before] | ~page.letter[after] | page.apostrophe[this]) if page.latin else every @ page.quotes
+        if page.name not in USUAL:
+            worth *= 1 - 0.35 / (0.35 + np.count_nonzero(every))
+        yield page.name, round(100 * worth / max(1, len(at)))
+
+
+def likeliest(data: bytes) -> tuple[str, int] | None:
+    best = max(confidences(data), key=lambda x: x[1], default=None)
+    return best if best and best[1] >= LEAST else None
 
 
 def detect_encoding(data: Column) -> Column:
-    """(encoding, confidence): by mark, zero bytes or valid UTF-8 with full confidence, else the likeliest reading in a
-    code page if it is likely enough; null otherwise."""
-    told = guess_encoding(data)
-    best = let(F.array_max(readings(data)), lambda b: F.when(b["confidence"] >= LEAST, F.struct(b["encoding"].alias("encoding"), b["confidence"].alias("confidence"))))
+    """(encoding, confidence): by mark, zero bytes, escapes or valid UTF-8 with full confidence, else the likeliest
+    encoding if it is likely enough; null otherwise."""
+    told, text = guess_encoding(data), F.decode(data, "ISO-8859-1")
+    for name, escape in ESCAPES.items():
+        told = F.when((told == "UTF-8") & text.rlike(escape) & ~text.rlike(r"[\x80-\xff]"), name).otherwise(told)
+
+    def run(values: pa.Array) -> pa.Array:
+        found = (None if x is None else likeliest(x) for x in values.to_pylist())
+        return pa.array([x and {"encoding": x[0], "confidence": x[1]} for x in found], pa.struct([("encoding", pa.string()), ("confidence", pa.int32())]))
+
+    best = F.arrow_udf(run, "encoding string, confidence int")(F.when(told.isNull(), data))
     return F.when(told.isNotNull(), F.struct(told.alias("encoding"), F.lit(100).alias("confidence"))).otherwise(best)
 
 
@@ -95,4 +204,14 @@ def to_text(data: Column, encoding: Column) -> Column:
     out = to_utf8(data, encoding)
     for name in CODE_PAGES:
         out = F.when(encoding == name, decoded(data, name)).otherwise(out)
+    wide = F.when(encoding.isin(*WIDE, *ESCAPES) & data.isNotNull(), F.struct(data.alias("data"), encoding.alias("encoding")))
+    return F.coalesce(out, by_codec(wide, "string", lambda x: x["data"].decode(x["encoding"], "replace")))
+
+
+def to_bytes(text: Column, encoding: Column) -> Column:
+    """Bytes of a text in an encoding of those; characters that it lacks become ``?``. Null for others."""
+    wide = F.when(encoding.isin(*WIDE, *ESCAPES) & text.isNotNull(), F.struct(text.alias("text"), encoding.alias("encoding")))
+    out = by_codec(wide, "binary", lambda x: x["text"].encode(x["encoding"], "replace"))
+    for name in [*CODE_PAGES, "UTF-8", "UTF-16LE", "UTF-16BE"]:
+        out = F.when(encoding == name, encoded(text, name)).otherwise(out)
     return out

@@ -533,7 +533,29 @@ def legacy_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(back).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, marked_texts, user_themes, named_lexers, specs, row_specs, source_files, case_files, highlighted, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings)}
+ABC = "abcdefghijklmnopqrstuvwxyz"
+KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+#: For each written encoding: letters changed so that English texts have its script's.
+WIDE = [
+    ("EUC-KR", ABC, "가나다라마바사아자차카타파하고노도로모보소오조초코토"), ("EUC-JP", ABC, KANA), ("Shift_JIS", ABC, KANA), ("ISO-2022-JP", ABC, KANA),
+    ("Big5", ABC, "不中為主了人以來個們到國在地大子學我時是有的說這過就"), ("GB18030", ABC, "不中为主了人以来个们到国在地大子学我时是有的说这过就"),
+    ("ISO-8859-5", ABC, "абцдефгхийклмнопярстувшыжз"), ("ISO-8859-7", ABC, "αβψδεφγηιξκλμνοπθρστυωώχύζ"), ("ISO-8859-8", ABC, "אבכדהפגחייקלמנופקרשתוווסיז"),
+    ("ISO-8859-6", ABC, "ابكدهفغحيجكلمنوبقرستوفوخيز"), ("ISO-8859-9", "igsu", "ığşü"),
+]
+
+
+def wide_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents in the letters of eleven encodings' scripts: whether 95 % at least of those with such a letter are
+    told, and how many come back as they were."""
+    docs = sources(spark, sf_dir, "documents", F.lower("text").alias("text"), "lang").where((F.col("lang") == "en") & F.col("text").rlike("[a-z]"))
+    texts = F.array(*(F.struct(F.lit(name).alias("written"), F.translate("text", old, new).alias("text")) for name, old, new in WIDE))
+    rows = docs.select(F.inline(texts)).where(F.col("text").rlike(r"[^\x00-\x7f]"))
+    rows = rows.withColumn("data", encodings_of.to_bytes(F.col("text"), F.col("written")))
+    rows = rows.select("written", "text", encodings_of.detect_encoding(F.col("data"))["encoding"].alias("told"), encodings_of.to_text(F.col("data"), F.col("written")).alias("back"))
+    return rows.groupBy("written").agg(F.count("*").alias("texts"), (100 * F.count_if(F.col("told") == F.col("written")) >= 95 * F.count("*")).alias("mostly_told"), F.count_if(F.col("back") == F.col("text")).alias("back"))
+
+
+QUERIES = {f.__name__: f for f in (json_types, json_spans, json_runs, json_islands, json_by_day, page_types, page_attributes, page_round_trip, page_identifiers, sql_types, sql_uppercase, diff_lines, all_languages, golden_tokens, embedded_tokens, embedded_spans, keywords_by_language, long_constructs, url_basename, url_lexers, guessed, marked_texts, user_themes, named_lexers, specs, row_specs, source_files, case_files, highlighted, events_hooks, events_html, events_plain, formats, escaped, theme_css, nearest_colours, colours, sample_document, ancestors, lexer_list, option_list, markdown, option_values, string_functions, encodings, legacy_encodings, wide_encodings)}
 
 #: Tokens of the events' properties: pieces, their types, and neighbours of one type joined.
 JSON = r"""
@@ -644,3 +666,19 @@ ORACLE_SQL["legacy_encodings"] = f"""
     rows as (select written, has, translate(lower(coalesce(text, '')), old, new) as text from documents join pages on list_contains(string_split(langs, ' '), lang))
     select written, count(*) as texts, true as mostly_told, count_if(has is null or translate(regexp_replace(text, '[\\x00-\\x7f]', '', 'g'), has, '') = '')::bigint as back
     from rows where regexp_matches(text, '[^\\x00-\\x7f]') or written = 'UTF-16LE' and length(text) > 3 group by written"""
+
+
+def held(name: str, new: str) -> str | None:
+    """The characters below U+3000 beyond ASCII, and those of ``new``, that an encoding has by Python's codec; None for all."""
+    if name == "GB18030":
+        return None
+    there = lambda c: c.encode(name, "ignore").decode(name, "ignore") == c
+    return "".join(c for c in [*map(chr, range(0x80, 0x3000)), *new] if there(c))
+
+
+#: English texts as ``wide_encodings`` writes them.
+ORACLE_SQL["wide_encodings"] = f"""
+    with {catalog_sql.values("scripts", "written, old, new, has", ((name, old, new, held(name, new)) for name, old, new in WIDE))},
+    rows as (select written, has, translate(lower(text), old, new) as text from documents, scripts where lang = 'en' and regexp_matches(lower(text), '[a-z]'))
+    select written, count(*) as texts, true as mostly_told, count_if(has is null or translate(regexp_replace(text, '[\\x00-\\x7f]', '', 'g'), has, '') = '')::bigint as back
+    from rows where regexp_matches(text, '[^\\x00-\\x7f]') group by written"""

@@ -1,6 +1,6 @@
 import pytest
 
-from lexigrain.functions.encodings import CODE_PAGES, decoded, detect_encoding, encoded, to_text, upper_half
+from lexigrain.functions.encodings import CODE_PAGES, ESCAPES, WIDE, confidences, decoded, detect_encoding, encoded, to_bytes, to_text, upper_half
 from pyspark.sql import functions as F
 
 TEXTS = {
@@ -10,6 +10,22 @@ TEXTS = {
     "windows-1250": "Příliš žluťoučký kůň úpěl ďábelské ódy",
     "windows-1251": "Привет, мир. Как дела? ЭТО ЗАГОЛОВОК",
     "KOI8-R": "привет, мир. Как дела? Ёлка",
+    "ISO-8859-5": "Привет, мир. Как дела? ЭТО",
+    "ISO-8859-7": "Καλημέρα κόσμε, τι κάνεις σήμερα; Η Αθήνα",
+    "windows-1253": "Καλημέρα κόσμε… τι κάνεις σήμερα; Άλλο",
+    "ISO-8859-8": "שלום עולם, מה שלומך היום",
+    "windows-1255": "שָׁלוֹם עולם… מה שלומך",
+    "ISO-8859-6": "مرحبا بالعالم، كيف حالك اليوم",
+    "windows-1256": "مرحبا بالعالم، كيف حالك اليوم… گپ",
+    "ISO-8859-9": "Günaydın dünya, bugün nasılsınız? İyi akşamlar",
+    "windows-1254": "“Günaydın” dünya… nasılsınız? şöyle iğne",
+    "EUC-KR": "안녕하세요 세계. 오늘은 날씨가 좋습니다",
+    "EUC-JP": "こんにちは世界。今日は天気がいいです",
+    "Shift_JIS": "こんにちは世界。今日は天気がいいです",
+    "Big5": "你好世界。今天天氣很好，我們去公園吧",
+    "GB18030": "你好世界。今天天气很好，我们去公园吧",
+    "ISO-2022-JP": "こんにちは",
+    "ISO-2022-KR": "안녕하세요",
 }
 
 
@@ -24,7 +40,7 @@ def test_code_pages(spark, name):
 
 
 def test_detection(spark):
-    rows = [(name, text, text.encode(CODE_PAGES[name])) for name, text in TEXTS.items()] + [("UTF-8", "é" * 9, ("é" * 9).encode()), ("UTF-8", "", b""), ("UTF-16LE", "﻿ab", "﻿ab".encode("utf-16-le")), (None, None, b"\x81\x8d\x8f" * 9), (None, None, None)]
+    rows = [(name, text, text.encode(CODE_PAGES.get(name, name))) for name, text in TEXTS.items()] + [("UTF-8", "é" * 9, ("é" * 9).encode()), ("UTF-8", "", b""), ("UTF-16LE", "﻿ab", "﻿ab".encode("utf-16-le")), (None, None, b"\x81\x8d\x8f" * 9), (None, None, None)]
     df = spark.createDataFrame(rows, "name string, text string, data binary")
     for r in df.select("*", detect_encoding(F.col("data")).alias("told"), to_text(F.col("data"), F.col("name")).alias("back")).collect():
         if r.data is not None:
@@ -32,6 +48,33 @@ def test_detection(spark):
             assert r.name is None or r.back == r.text.lstrip("﻿")
 
 
+def test_bytes_by_row(spark):
+    """As Python's codecs write them; what an encoding lacks is a question mark, an unknown encoding gives null."""
+    text = "aé日€б\U0001f600"
+    names = [*CODE_PAGES, *WIDE, *ESCAPES, "UTF-8", "UTF-16LE", "EBCDIC", None]
+    df = spark.createDataFrame([(n, t) for n in names for t in (text, "", None)], "name string, text string")
+    for r in df.select("*", to_bytes(F.col("text"), F.col("name")).alias("data")).collect():
+        known = r.name not in ("EBCDIC", None) and r.text is not None
+        assert (r.data and bytes(r.data)) == (r.text.encode(CODE_PAGES.get(r.name, r.name), "replace") if known else None) or r.data == b"", (r.name, r.data)
+        assert known == (r.data is not None)
+
+
+@pytest.mark.parametrize("name", ["cp437", "johab", "cp1258"])
+def test_encodings_that_python_knows(spark, name):
+    row = spark.createDataFrame([("aé語가\u0301",)], "t string").select(encoded(F.col("t"), name).alias("data"), decoded(encoded(F.col("t"), name), name).alias("text")).first()
+    assert bytes(row.data) == "aé語가\u0301".encode(name, "replace") and row.text == bytes(row.data).decode(name)
+    with pytest.raises(LookupError):
+        encoded(F.col("t"), "no-such")
+
+
+def test_characters_are_read_from_their_first_byte():
+    """A character's second byte is no beginning of another: EUC-JP of one kana kind, and bytes that break off."""
+    found = dict(confidences("ひらがな".encode("euc_jp") * 20))
+    assert found["EUC-JP"] == 95 and found["EUC-KR"] == 0
+    assert "EUC-JP" not in dict(confidences("ひらがな".encode("euc_jp")[:-1]))
+    assert all(c == 0 for _, c in confidences(b""))
+
+
 def test_long_words_take_linear_time(spark):
     import time
 
