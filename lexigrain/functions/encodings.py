@@ -200,18 +200,15 @@ def detect_encoding(data: Column) -> Column:
 
 
 def to_text(data: Column, encoding: Column) -> Column:
-    """Text of bytes in an encoding that ``detect_encoding`` tells; null for others."""
-    out = to_utf8(data, encoding)
-    for name in CODE_PAGES:
-        out = F.when(encoding == name, decoded(data, name)).otherwise(out)
-    wide = F.when(encoding.isin(*WIDE, *ESCAPES) & data.isNotNull(), F.struct(data.alias("data"), encoding.alias("encoding")))
-    return F.coalesce(out, by_codec(wide, "string", lambda x: x["data"].decode(x["encoding"], "replace")))
+    """Text of bytes in an encoding that ``detect_encoding`` tells; null for others. The UTF family is decoded in the JVM."""
+    other = F.when(encoding.isin(*CODE_PAGES, *WIDE, *ESCAPES) & data.isNotNull(), F.struct(data.alias("data"), encoding.alias("encoding")))
+    return F.coalesce(to_utf8(data, encoding), by_codec(other, "string", lambda x: x["data"].decode(x["encoding"], "replace")))
 
 
 def to_bytes(text: Column, encoding: Column) -> Column:
     """Bytes of a text in an encoding of those; characters that it lacks become ``?``. Null for others."""
-    wide = F.when(encoding.isin(*WIDE, *ESCAPES) & text.isNotNull(), F.struct(text.alias("text"), encoding.alias("encoding")))
-    out = by_codec(wide, "binary", lambda x: x["text"].encode(x["encoding"], "replace"))
-    for name in [*CODE_PAGES, "UTF-8", "UTF-16LE", "UTF-16BE"]:
+    other = F.when(encoding.isin(*CODE_PAGES, *WIDE, *ESCAPES) & text.isNotNull(), F.struct(text.alias("text"), encoding.alias("encoding")))
+    out = by_codec(other, "binary", lambda x: x["text"].encode(x["encoding"], "replace"))
+    for name in ("UTF-8", "UTF-16LE", "UTF-16BE"):
         out = F.when(encoding == name, encoded(text, name)).otherwise(out)
     return out
