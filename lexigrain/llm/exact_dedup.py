@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import free_name, id_and_text, keep
+from lexigrain.llm.common import free_name, id_and_text, keep, lean
 
 
 def shared_prefix(a: bytes, b: bytes) -> int:
@@ -174,6 +174,7 @@ def fold(largest: bool):
     """Copies within a batch share one reference; the first row of each text carries its bytes, the
     batch's owner and the number of copies."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -205,6 +206,7 @@ def fold(largest: bool):
 def own(largest: bool, max_bytes: int):
     """The owner and size of every group of a length-and-hash partition, for each reference."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PatriciaTrie(largest, max_bytes)
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import Memo, discard, free_name, id_and_text, keep
+from lexigrain.llm.common import Memo, discard, free_name, id_and_text, keep, lean
 
 M1, M2, STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), 0x9E3779B97F4A7C15
 S33, LOW = np.uint64(33), np.uint64(0xFFFFFFFF)
@@ -95,6 +95,7 @@ def bands_of(coordinates: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketched(size: int, bands: int, rows: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -121,6 +122,7 @@ def shingle_set(text: bytes, size: int) -> set:
 def verified(size: int, percent: int):
     """Pairs whose full shingle sets (of words, not hashes) are similar enough."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, set())
         for batch in batches:
@@ -183,6 +185,7 @@ def block_links(rows: list[tuple[bool, int, int, bytes]], size: int, percent: in
 
 
 def searched(size: int, percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, key, rows = WordHashes(), None, []
 
@@ -232,6 +235,7 @@ PREFIX = "shingle long, doc_id long, component long, n long"
 def counted(size: int):
     """(part, n): how many shingles of a batch have a beginning."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
@@ -247,6 +251,7 @@ def counted(size: int):
 def prefixes(size: int, percent: int, counts: Broadcast):
     """The rarest shingles of each text: all but ``percent`` hundredths of it, rounded up, and one more."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rareness = WordHashes(), np.frombuffer(counts.value, np.uint32)
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import id_and_text, keep
+from lexigrain.llm.common import id_and_text, keep, lean
 
 #: Characters on which the tokenizer's normalization is Python's: printable ASCII, Latin-1, Latin Extended-A.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA0, 0x180)] if c != 0x130]
@@ -40,13 +40,13 @@ class WordTokenizer:
     """The token ids of a text, as the tokenizer file gives them, as little-endian 32-bit bytes.
 
     The tokenizer drops white space and treats each word on its own, so the ids of what stands between
-    white space are looked up once and kept, and those of its words without punctuation, ``most`` of
+    white space are looked up once and kept until ``forget``, and those of its words without punctuation, ``most`` of
     either at a time; those longer than ``longest`` characters only while their text is tokenized. A text's new words are encoded in one call; a word ends with the token that has the
     vocabulary's mark of a word's end. Texts with unusual characters or with special tokens' marks go
     through the tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
@@ -64,6 +64,10 @@ class WordTokenizer:
     def whole(self, text: str) -> bytes:
         return array("I", self.ids(text)).tobytes()
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.words.clear()
+
     def learn_words(self, words: list[str]) -> None:
         ids = self.ids(" ".join(words))
         ends = [4 * at for at, k in enumerate(ids, 1) if k in self.last]
@@ -120,7 +124,8 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def tokenizer(path: str) -> WordTokenizer:
-    """The tokenizer of this worker, which keeps its words from task to task."""
+    """The tokenizer of this worker, from task to task; its words are kept for a task only, as the worker then runs
+    other stages."""
     return WordTokenizer(path)
 
 
@@ -136,17 +141,21 @@ def cuts(n: int, capacity: int, tail: int) -> list[int]:
 def pieces(path: str, capacity: int, tail: int, end_id: int):
     end = array("I", [end_id]).tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = tokenizer(path)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids, start = tokenize(text.as_py()) + end, 0
-                for length in cuts(len(ids) // 4, capacity, tail):
-                    rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4))
-                    start += length
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                    ids, start = tokenize(text.as_py()) + end, 0
+                    for length in cuts(len(ids) // 4, capacity, tail):
+                        rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), len(ids) // 4))
+                        start += length
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            tokenize.forget()
 
     return run
 

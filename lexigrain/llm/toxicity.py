@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrain.llm.common import Memo, discard, id_and_text, keep
+from lexigrain.llm.common import Memo, discard, id_and_text, keep, lean
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that count as terms, by length.
@@ -210,6 +210,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, held: int, max
     return docs.join(marks, "doc_id")
 
 
+@lean
 def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch: every term with its number of rows, and of rows marked toxic."""
     for batch in batches:
@@ -250,6 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_f
     terms = {t: k for k, t in enumerate(chosen([r.term for r in best.select("term").collect()], max_terms))}
     k = len(terms)
 
+    @lean
     def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = columns_of(terms)
         for batch in batches:
@@ -285,6 +287,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     without words. A null identifier is in no fold and counts as not held out; rows repeated with one
     identifier are scored each; an empty table gives no rows."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = columns_of(model.terms)
         for batch in batches:
@@ -306,6 +309,7 @@ def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     where they are, so nothing is shuffled and repeated or null identifiers make no difference."""
     model = fit(id_and_text(df, id_col, text_col), labels, **options)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = columns_of(model.terms)
         for batch in batches:

@@ -3,11 +3,12 @@ import zlib
 from array import array
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from conftest import SF
-from lexigrain.llm.packing import WordTokenizer, cuts, pack
+from lexigrain.llm.packing import WordTokenizer, cuts, pack, pieces, tokenizer
 from lexigrain.llm.queries import op7_packing, tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -82,3 +83,15 @@ def test_long_words_are_not_kept():
         text = "".join(rng.choices("abcdefghij0-", k=20_000)) + " short words"
         assert list(array("I", fast(text))) == whole.encode(text, add_special_tokens=False).ids
     assert max(map(len, [*fast.chunks, *fast.words])) <= 64
+
+
+def test_a_task_leaves_no_words(monkeypatch):
+    """Workers stay for other stages, beside the executor's heap: what a task has looked up and what Arrow holds
+    for reuse goes with it."""
+    released = []
+    pool = type("Pool", (), {"release_unused": lambda self: released.append(1)})()
+    monkeypatch.setattr("pyarrow.default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["One two, three's", "four"]})
+    first, again = ([b.to_pylist() for b in pieces(PATH, 4096, 64, 2)(iter([batch]))] for _ in range(2))
+    assert first == again and [r["doc_tokens"] for r in first[0]] == [len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1 for t in ("One two, three's", "four")]
+    assert not tokenizer(PATH).chunks and not tokenizer(PATH).words and len(released) == 2
