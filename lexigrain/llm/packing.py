@@ -39,37 +39,42 @@ _PLAIN_LATIN1 = bytes(ord(c) for c in _PLAIN if ord(c) < 256)
 class WordTokenizer:
     """The token ids of a text, as the tokenizer file gives them, as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and treats each word on its own, so the ids of what stands between
-    white space are looked up once and kept until ``forget``, and those of its words without punctuation, ``most`` of
-    either at a time; those longer than ``longest`` characters only while their text is tokenized. A text's new words are encoded in one call; a word ends with the token that has the
-    vocabulary's mark of a word's end. Texts with unusual characters or with special tokens' marks go
-    through the tokenizer whole.
+    The tokenizer lower-cases a text, cuts it into words (letters, single digits, punctuation) and treats each on its
+    own, so the ids of words are looked up once and kept until ``forget``: up to ``most`` new ones and as many of
+    before, of which those met again become new ones; those longer than ``longest`` characters only while their text is
+    tokenized. A text's new words are encoded in one call, by the file's model without the steps that they have
+    been through; a word ends with the token that has the vocabulary's mark of a word's end. Texts with unusual
+    characters or with special tokens' marks go through the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 200_000, longest: int = 64):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.chunks: dict[str, bytes] = {}
+        self.of_words = Tokenizer(self.tokenizer.model)  # one model in memory
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.last = {k for token, k in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         kind = {c: unicodedata.category(c)[0] for c in _PLAIN}
         letters = re.escape("".join(c for c in _PLAIN if kind[c] == "L"))
         digits = re.escape("".join(c for c in _PLAIN if kind[c] == "N"))
-        self.cut = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+        self.cut = re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^\s{letters}{digits}]+")
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    @property
+    def chunks(self) -> dict[str, bytes]:
+        """The older words, by the name of what was kept beside the words before."""
+        return self.older
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.ids(text)).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def forget(self) -> None:
-        self.chunks.clear()
         self.words.clear()
+        self.older.clear()
 
-    def learn_words(self, words: list[str]) -> None:
-        ids = self.ids(" ".join(words))
+    def learn(self, words: list[str]) -> None:
+        ids = self.of_words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
         ends = [4 * at for at, k in enumerate(ids, 1) if k in self.last]
         if len(ends) == len(words) and ends[-1] == 4 * len(ids):
             joined = array("I", ids).tobytes()
@@ -78,27 +83,6 @@ class WordTokenizer:
             found = map(self.whole, words)
         self.words.update(zip(words, found, strict=True))
 
-    def learn_chunks(self, chunks: list[str]) -> None:
-        pieces = self.cut.findall("\n".join(chunks).lower())
-        new = set(pieces).difference(self.words, "\n")
-        if len(self.words) + len(new) > self.most:  # all words of these chunks must be there at once
-            self.words.clear()
-            new = set(pieces).difference("\n")
-        if new:
-            self.learn_words(list(new))
-        known, which, ids = self.words, iter(chunks), []
-        put = ids.append
-        for piece in pieces:
-            if piece != "\n":
-                put(known[piece])
-            else:
-                self.chunks[next(which)] = b"".join(ids)
-                ids.clear()
-        self.chunks[next(which)] = b"".join(ids)
-        for word in new:
-            if len(word) > self.longest:
-                del self.words[word]
-
     def usual(self, text: str) -> bool:
         try:
             return not text.encode("latin-1").translate(None, _PLAIN_LATIN1)
@@ -108,17 +92,23 @@ class WordTokenizer:
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not self.usual(text):
             return self.whole(text)
-        chunks = text.split()
-        new = set(chunks).difference(self.chunks)
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks.clear()
-            new = set(chunks)
+        words = self.cut.findall(text.lower())
+        new = set(words).difference(self.words)
+        if len(self.words) + len(new) > self.most:  # all words of this text must be there at once
+            self.older, self.words = self.words, {}
+            new = set(words)
+        again = self.older.keys() & new
+        self.words.update((word, self.older[word]) for word in again)
+        new -= again
         if new:
-            self.learn_chunks(list(new))
-        ids = b"".join(map(self.chunks.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > self.longest:
-                del self.chunks[chunk]
+            self.learn(list(new))
+        ids = b"".join(map(self.words.__getitem__, words))
+        if len(self.words) > self.most:  # one text's words
+            self.words.clear()
+        else:
+            for word in new:
+                if len(word) > self.longest:
+                    del self.words[word]
         return ids
 
 

@@ -1,14 +1,14 @@
 import random
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from conftest import SF
-from lexigrain.llm.packing import WordTokenizer, cuts, pack, pieces, tokenizer
+from lexigrain.llm.packing import _PLAIN, WordTokenizer, cuts, pack, pieces, tokenizer
 from lexigrain.llm.queries import op7_packing, tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
@@ -95,3 +95,36 @@ def test_a_task_leaves_no_words(monkeypatch):
     first, again = ([b.to_pylist() for b in pieces(PATH, 4096, 64, 2)(iter([batch]))] for _ in range(2))
     assert first == again and [r["doc_tokens"] for r in first[0]] == [len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids) + 1 for t in ("One two, three's", "four")]
     assert not tokenizer(PATH).chunks and not tokenizer(PATH).words and len(released) == 2
+
+
+def test_words_in_use_are_encoded_once():
+    """Whatever many words come once, those that come again are neither encoded again nor kept without bound."""
+    fast, encoded = WordTokenizer(PATH, most=50), Counter()
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            encoded.update(w for t in texts for w in t.split())
+            return self.inner.encode_batch_fast(texts, **options)
+
+    for name, inner in list(vars(fast).items()):
+        if isinstance(inner, Tokenizer):
+            setattr(fast, name, Counting(inner))
+    hot = [chr(ord("a") + k) * 3 for k in range(10)]
+    once = iter(f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "klmnpqrstvwxz")
+    for _ in range(30):
+        fast(" ".join([*hot, *(next(once) for _ in range(5))]))
+        assert len(fast.words) <= 50 and len(fast.chunks) <= 50
+    assert set(encoded.values()) == {1} and len(encoded) == 160
+    fast(" ".join(f"{a}{b}{c}" for a in "bcd" for b in "aeiou" for c in "klmnpqrstvwxz"))
+    assert len(fast.words) <= 50 and len(fast.chunks) <= 50
+
+
+def test_every_plain_character_is_exact():
+    whole, fast = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    around = ["", "a", "É", "7", "'", "'s", "'LL", ".", " ", "<"]
+    for c in _PLAIN:
+        text = "\n".join(f"{a}{c}{b}" for a in around for b in around)
+        assert list(array("I", fast(text))) == whole.encode(text, add_special_tokens=False).ids, repr(c)
