@@ -83,8 +83,8 @@ def as_int(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int"), F.lit(0))
 
 
-def guess_encoding(data: Column) -> Column:
-    """By the byte order mark, else by where the first four bytes are zero; null if nothing tells."""
+def guess_encoding(data: Column, utf8: str | Column = "UTF-8") -> Column:
+    """By the byte order mark, else by where the first four bytes are zero, else ``utf8`` of valid UTF-8; null if nothing tells."""
     head = F.hex(F.substring(data, 1, 4))
     # Marks, longest first, and patterns of zero bytes.
     marks = (("FFFE0000", "UTF-32LE"), ("0000FEFF", "UTF-32BE"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE"))
@@ -94,7 +94,7 @@ def guess_encoding(data: Column) -> Column:
         out = F.when(head.rlike(pattern), F.lit(name)).otherwise(out)
     for mark, name in reversed(marks):
         out = F.when(head.startswith(mark), F.lit(name)).otherwise(out)
-    return F.coalesce(out, F.when(F.is_valid_utf8(data.cast("string")), F.lit("UTF-8")))
+    return F.coalesce(out, F.when(F.is_valid_utf8(data.cast("string")), F.lit(utf8) if isinstance(utf8, str) else utf8))
 
 
 def first_bad_utf8(data: Column) -> Column:
