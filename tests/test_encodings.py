@@ -1,6 +1,6 @@
 import pytest
 
-from lexigrain.functions.encodings import CODE_PAGES, ESCAPES, WIDE, confidences, decoded, detect_encoding, encoded, likeliest, to_bytes, to_text, upper_half
+from lexigrain.functions.encodings import CODE_PAGES, ESCAPES, WIDE, confidences, decoded, detect_encoding, encoded, likeliest, ranges, to_bytes, to_text, upper_half
 from pyspark.sql import functions as F
 
 TEXTS = {
@@ -121,3 +121,9 @@ def test_scores_count_characters_in_numbers():
     began = time.process_time()
     assert likeliest(long) == ("EUC-KR", 99)
     assert time.process_time() - began < 2
+
+
+def test_lacking_characters_are_told_by_few_ranges():
+    """A class of 128 single characters was asked for each character of a text, one after the other."""
+    assert ranges("cabz") == r"\x{61}-\x{63}\x{7a}-\x{7a}"
+    assert ranges(upper_half("windows-1251")).count("-") < 40
