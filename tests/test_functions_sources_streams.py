@@ -70,6 +70,15 @@ def test_documents_and_encodings(spark, tmp_path):
     assert sorted(wide.read_bytes().decode("utf-16-be").split("\n")) == sorted(["“é”", "line two", "", "", "日", ""])
 
 
+def test_documents_are_dealt_to_all_cores(spark, tmp_path):
+    """A file for each row of one partition, from as many tasks as there are cores; twice as many after a second write."""
+    for turn in (1, 2):
+        write_documents(spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("text")), str(tmp_path / "docs"))
+        files = list((tmp_path / "docs").glob("part-*"))
+        assert sorted(f.read_text() for f in files) == sorted([f"{k}\n" for k in range(40)] * turn)
+    assert len({f.name.split("-")[1] for f in files}) == spark.sparkContext.defaultParallelism
+
+
 def test_case_files(spark, tmp_path):
     (tmp_path / "x.ssc").write_text("--TEST--\nname\n--LEXER--\nphp\nstart_inline=1\nflag\n--SOURCE--\na\n\n--EXPECT--\nNAME: a\n")
     row = read_cases(spark, str(tmp_path)).first()
