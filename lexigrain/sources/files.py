@@ -45,10 +45,11 @@ def write_rendered(df: DataFrame, path: str, text_col: str = "rendered", encodin
 
 def write_documents(df: DataFrame, path: str, text_col: str = "text", encoding: str = "UTF-8") -> None:
     """One file for each row, so that results of many lines stay apart; added to what is there. Spark's commit makes the
-    files whole. Files take time one by one, so rows of fewer partitions than there are cores are dealt to all cores."""
+    files whole. Files take time one by one, so rows of fewer partitions than there are cores are dealt to all cores, and
+    tasks move their files themselves: a write that fails may leave those of finished tasks."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     dealt = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-    written(dealt, text_col, encoding).option("maxRecordsPerFile", 1).mode("append").text(path)
+    written(dealt, text_col, encoding).option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).mode("append").text(path)
 
 
 def shared_folder(spark: SparkSession) -> str:
