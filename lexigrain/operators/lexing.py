@@ -27,10 +27,11 @@ FIRST, SIZE = 0xE000, 256
 STOP, HOLE = chr(FIRST + SIZE - 2), chr(FIRST + SIZE - 1)
 RESERVED = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 1:x}}}]"
 BLOCK = rf"\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 2:x}}}"
-ANY, TEXT, AFTER_STOP = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 3:x}}}]", f"[^{BLOCK}]++", f"(?<![^{STOP}])"
-#: What doesn't stay of the marks around the pieces, and of neighbours with one mark.
-SPARE = rf"(?<={ANY}){ANY}++|{AFTER_STOP}{ANY}++{STOP}?"
-TWINS = rf"(?<![{BLOCK}])({ANY}){ANY}*+{STOP}{ANY}*+(?={TEXT}\1)"
+ANY, TEXT = rf"[\x{{{FIRST:x}}}-\x{{{FIRST + SIZE - 3:x}}}]", f"[^{BLOCK}]++"
+#: A piece with the marks around it, of which its own stays, or marks without a piece; and the same for neighbours with one
+#: mark, of which the last one's stays. These match piece after piece, so that no place is looked at twice.
+SPARE = rf"{ANY}*+(?:({TEXT}{ANY}){ANY}*+({STOP})|{STOP})"
+TWINS = rf"{ANY}*+(?:({TEXT})(?:({ANY}){ANY}*+{STOP}{ANY}*+(?={TEXT}\2)|({ANY}){ANY}*+({STOP}))|{STOP})"
 TOKEN = "array<struct<lexer:string,depth:int,type:string,text:string,path:array<string>>>"
 
 
@@ -132,6 +133,16 @@ def without_sql(marked: str, *patterns: str) -> str:
     return f"regexp_replace({marked}, {literal('|'.join(patterns))}, '')"
 
 
+def own_marks_sql(marked: str) -> str:
+    """Pieces with their own marks only."""
+    return f"regexp_replace({marked}, {literal(SPARE)}, {literal('$1$2')})"
+
+
+def joined_sql(marked: str) -> str:
+    """Pieces with their own marks only, neighbours with one mark as one piece."""
+    return f"regexp_replace({marked}, {literal(TWINS)}, {literal('$1$3$4')})"
+
+
 def split_sql(marked: str) -> str:
     """Pieces with their own marks."""
     return f"split(rtrim('{STOP}', {marked}), '{STOP}')"
@@ -151,20 +162,28 @@ class Marks(dict):
         return mark
 
 
-def relabelled_sql(marked: str, listed: list[tuple[str, list[tuple[Iterable[str], bool, str]], str]]) -> str:
-    """SQL of a marked text in which the words of lists have the lists' marks, from (mark of the rule, lists
-    of (words, fold, mark), mark of other pieces)."""
-    parts, kept, at = [], [], 1
+def relabelled_sql(marked: str, listed: list[tuple[str, list[tuple[Iterable[str], bool, str]], str]], plain: Mapping[tuple[str, str], str]) -> str:
+    """SQL of a marked text, with spare marks or not, in which the words of lists have the lists' marks, from (mark of the rule, lists
+    of (words, fold, mark), mark of other pieces), and pieces without certain characters another mark, from
+    (characters, mark): marks of the rules. Other pieces come first, as they are told by their marks."""
+    owns = "".join([own for own, *_ in listed] + list(plain.values()))
+    parts, kept, at = [f"({TEXT}(?![{owns}]){ANY})"], ["$1"], 2
+    for (needles, mark), rules_ in plain.items():
+        parts.append(f"([^{BLOCK}{needles}]++)[{rules_}]")
+        kept.append(f"${at}{mark}")
+        at += 1
     for own, tables, other in listed:
-        found = []
         for words, fold, mark in tables:
-            found.append(f"((?i:{one_of(words)}))" if fold else f"({one_of(words)})")
+            parts.append(f"((?i:{one_of(words)})){own}" if fold else f"({one_of(words)}){own}")
             kept.append(f"${at}{mark}")
             at += 1
-        parts.append("".join(f"{f}{own}|" for f in found) + f"({TEXT}){own}")
+        parts.append(f"({TEXT}){own}")
         kept.append(f"${at}{other}")
         at += 1
-    return f"regexp_replace({marked}, {literal(f'(?<![^{BLOCK}])(?![{BLOCK}])(?:{"|".join(parts)})')}, {literal(''.join(kept))})"
+    if plain:
+        parts.append(f"({TEXT}{ANY})")
+        kept.append(f"${at}")
+    return f"regexp_replace({marked}, {literal(f'{ANY}*+(?:{"|".join(parts)}){ANY}*+{STOP}')}, {literal(''.join(kept) + STOP)})"
 
 
 def first_of(pattern: str) -> str | None:
@@ -189,9 +208,9 @@ def spliced_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...
     return bound(y, text, bound(o, cut_, bound(i, inside, joined)))
 
 
-def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...], level: int = 0, *spare: str) -> str:
-    """SQL of the marked text of a rule set and those inside it; a mark stands for (path of lexers, type).
-    ``spare``: what else goes together with the spare marks."""
+def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...], level: int = 0) -> str:
+    """SQL of the marked text of a rule set and those inside it; a mark stands for (path of lexers, type). At level 0 pieces
+    may have spare marks around them."""
     path = (*path, rule_set.lexer) if rule_set.lexer and rule_set.lexer != path[-1] else path
     if rule_set.outer is not None:
         return spliced_sql(text, rule_set, marks, path, level)
@@ -211,30 +230,27 @@ def tokens_sql(text: str, rule_set: RuleSet, marks: Marks, path: tuple[str, ...]
         else:
             patterns.append((r.pattern, mark))
     out = marked_sql(text, [*patterns, (r"(?s:.)", marks[path, rule_set.default])])
-    if listed:
-        out = relabelled_sql(out, listed)
-    if not inner:
-        return without_sql(out, *spare, SPARE)
-    out = without_sql(out, SPARE)
     plain: dict[tuple[str, str], str] = {}  # pieces in which no inner rule can match
     for own, r in inner:
         needles = {first_of(i.pattern) for i in r.inner.rules}
         if None not in needles and not r.inner.lexer and r.inner.outer is None:
             key = ("".join(sorted(needles)), marks[path, r.inner.default])
             plain[key] = plain.get(key, "") + own
-    for (needles, mark), owns in plain.items():
-        out = f"regexp_replace({out}, {literal(f'({AFTER_STOP}[^{BLOCK}{needles}]++)[{owns}]')}, {literal('$1' + mark)})"
+    if listed or plain:
+        out = relabelled_sql(out, listed, plain)
+    if not inner:
+        return joined_sql(out) if level else out
     some = f"[{''.join(own for own, _ in inner)}]"
     cases = "".join(f" when {literal(own)} then {tokens_sql(f'substr({p}, 1, length({p}) - 2)', r.inner, marks, path, level + 1)}" for own, r in inner)
     parts = f"regexp_extract_all({s}, {literal(f'{TEXT}{some}{STOP}|(?:{TEXT}(?!{some}){ANY}{STOP})++')}, 0)"
     whole = f"array_join(transform({parts}, {p} -> case substr({p}, -2, 1){cases} else {p} end), '')"
-    return bound(s, out, f"if({s} rlike {literal(some)}, {whole}, {s})")
+    return bound(s, own_marks_sql(out), f"if({s} rlike {literal(some)}, {whole}, {s})")
 
 
 def cut(text: Column, patterns: list[str]) -> Column:
     """Array of (number of the pattern, piece); the last number is for what none matches."""
     numbered = [(pattern, chr(FIRST + k)) for k, pattern in enumerate([*patterns, r"(?s:.)"])]
-    pieces = f"transform({split_sql(without_sql(marked_sql('y', numbered), SPARE))}, p -> named_struct('n', {number_sql('p')}, 'text', {back_sql('p')}))"
+    pieces = f"transform({split_sql(own_marks_sql(marked_sql('y', numbered)))}, p -> named_struct('n', {number_sql('p')}, 'text', {back_sql('p')}))"
     type_ = "array<struct<n:int,text:string>>"
     none = f"array(named_struct('n', {len(patterns)}, 'text', x))"
     return F.call_function("transform", F.array(text), F.expr(aside_sql(pieces, type_, none)))[0]
@@ -271,8 +287,7 @@ def lex_sql(rule_set: RuleSet, lexer: str) -> str:
     """A function of a text, as SQL, that gives its tokens."""
     with_shebang = RuleSet((rule("IGNORABLE", "\\A#![^\r\n]*[\r\n]"), *rule_set.rules), rule_set.default, rule_set.lexer, rule_set.outer)
     marks = Marks()
-    flat = rule_set.outer is None and all(r.inner is None for r in rule_set.rules)
-    joined = tokens_sql("y", with_shebang, marks, (lexer,), 0, TWINS) if flat else without_sql(tokens_sql("y", with_shebang, marks, (lexer,)), TWINS)
+    joined = joined_sql(tokens_sql("y", with_shebang, marks, (lexer,)))
     kinds = [None if k[0] == "rule" else k for k in marks]
     paths = {k[0]: f"array({', '.join(map(literal, k[0]))})" for k in kinds if k}
 

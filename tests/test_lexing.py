@@ -5,7 +5,7 @@ import pytest
 import regex
 
 from lexigrain.operators.languages import rule_set
-from lexigrain.operators.lexing import cut, first_of, groups_in, one_of
+from lexigrain.operators.lexing import FIRST, SPARE, STOP, TWINS, cut, first_of, groups_in, lex_sql, one_of
 from lexigrain.operators.render import render
 from lexigrain.operators.tokens import coalesce_rows, explode_spans, explode_tokens, tokenize, tokenize_by, tokenize_specs, type_counts, with_spans
 from lexigrain.plans.catalog import LEXER_NAMES
@@ -349,3 +349,16 @@ def test_specs_by_row(spark):
     with pytest.raises(ValueError):
         tokenize_specs(df, "spec", most=3)
     assert [t.lexer for t in rows[0].tokens] == ["PHP"] * len(rows[0].tokens) and "".join(t.text for t in rows[0].tokens) == "<b>{{ x }}</b>"
+
+
+def test_marked_texts_are_gone_over_piece_by_piece():
+    """No pass over a marked text looks behind at each of its places; marks around pieces, marks without one and neighbours."""
+    assert not any(f"(?<![^{STOP}])" in lex_sql(rule_set(name, None), name) for name in LEXER_NAMES)
+    marked = chr(FIRST + 1) + "a" + chr(FIRST) * 2 + STOP + "b" + chr(FIRST) + STOP + chr(FIRST) + STOP + chr(FIRST) + "c" + chr(FIRST + 1) + chr(FIRST) + STOP
+    assert re.sub(java(SPARE), r"\1\2", marked) == f"a{chr(FIRST)}{STOP}b{chr(FIRST)}{STOP}c{chr(FIRST + 1)}{STOP}"
+    assert re.sub(java(TWINS), r"\1\3\4", marked.replace(chr(FIRST) + STOP + chr(FIRST) + STOP, chr(FIRST) + STOP)) == f"ab{chr(FIRST)}{STOP}c{chr(FIRST + 1)}{STOP}"
+
+
+def java(pattern):
+    """Characters by their codes, as Python writes them."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), pattern)
